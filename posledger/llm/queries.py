@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op08_substring
+from . import op02_suffix, op08_substring
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -11,11 +11,16 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return op02_suffix.suffix_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark, sf_dir):
     return op08_substring.substring_digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op8_substring_dedup": op8_substring_dedup,
 }
 
