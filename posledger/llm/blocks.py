@@ -35,7 +35,7 @@ def layout(docs: DataFrame, text: str = "text", per_range: int = 8 << 20) -> Lay
     """One pass over the lengths. Blocks grow from 1 to 64 MB with the corpus; ranges see ``per_range`` bytes of text each."""
     total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     size = min(MOST_BLOCK_BYTES, max(BLOCK_BYTES, total // 20_000))
-    return Layout(max(1, -(-total // size)), int(min(20, max(5, np.ceil(np.log2(max(1, total / per_range)))))))
+    return Layout(max(1, -(-total // size)), int(min(20, max(7, np.ceil(np.log2(max(1, total / per_range)))))))
 
 
 def blocked(docs: DataFrame, plan: Layout, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

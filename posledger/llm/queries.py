@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op02_suffix, op08_substring
+from . import op02_suffix, op07_mixture, op08_substring
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -15,16 +15,22 @@ def op2_suffix_dedup(spark, sf_dir):
     return op02_suffix.suffix_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_mixture(spark, sf_dir):
+    return op07_mixture.mixture(table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark, sf_dir):
     return op08_substring.substring_digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op7_mixture": op7_mixture,
     "op8_substring_dedup": op8_substring_dedup,
 }
 
 ORACLES = {
+    "op7_mixture": op07_mixture.ORACLE,
     "op8_substring_dedup": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 p AS (SELECT doc_id, ws, len(ws) AS n FROM w),
