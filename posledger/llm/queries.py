@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op02_suffix, op07_mixture, op08_substring
+from . import op02_suffix, op03_rules, op04_classifier, op07_mixture, op08_substring
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -15,6 +15,14 @@ def op2_suffix_dedup(spark, sf_dir):
     return op02_suffix.suffix_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark, sf_dir):
+    return op03_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_quality_classifier(spark, sf_dir):
+    return op04_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_mixture(spark, sf_dir):
     return op07_mixture.mixture(table(spark, sf_dir, "documents"))
 
@@ -25,6 +33,8 @@ def op8_substring_dedup(spark, sf_dir):
 
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_quality_classifier": op4_quality_classifier,
     "op7_mixture": op7_mixture,
     "op8_substring_dedup": op8_substring_dedup,
 }
