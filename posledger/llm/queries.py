@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op02_suffix, op03_rules, op04_classifier, op07_mixture, op08_substring
+from . import op02_suffix, op03_rules, op04_classifier, op05_jaccard, op07_mixture, op08_substring
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -23,6 +23,10 @@ def op4_quality_classifier(spark, sf_dir):
     return op04_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_jaccard_join(spark, sf_dir):
+    return op05_jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_mixture(spark, sf_dir):
     return op07_mixture.mixture(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_mixture": op7_mixture,
     "op8_substring_dedup": op8_substring_dedup,
 }
