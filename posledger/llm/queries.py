@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op02_suffix, op03_rules, op04_classifier, op05_jaccard, op07_mixture, op08_substring
+from . import op02_suffix, op03_rules, op04_classifier, op05_jaccard, op07_mixture, op08_substring, op10_decontamination
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -35,6 +35,10 @@ def op8_substring_dedup(spark, sf_dir):
     return op08_substring.substring_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination_leaks(spark, sf_dir):
+    return op10_decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_quality_rules": op3_quality_rules,
@@ -42,6 +46,7 @@ QUERIES = {
     "op5_jaccard_join": op5_jaccard_join,
     "op7_mixture": op7_mixture,
     "op8_substring_dedup": op8_substring_dedup,
+    "op10_decontamination_leaks": op10_decontamination_leaks,
 }
 
 ORACLES = {
