@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op02_suffix, op03_rules, op04_classifier, op05_jaccard, op07_mixture, op08_substring, op10_decontamination
+from . import op01_lines, op02_suffix, op03_rules, op04_classifier, op05_jaccard, op07_mixture, op08_substring, op10_decontamination
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -11,6 +11,10 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark, sf_dir):
+    return op01_lines.line_digest(table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_dedup(spark, sf_dir):
     return op02_suffix.suffix_digest(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op10_decontamination_leaks(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_quality_classifier": op4_quality_classifier,
@@ -50,6 +55,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_line_dedup": op01_lines.ORACLE,
     "op7_mixture": op07_mixture.ORACLE,
     "op8_substring_dedup": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
