@@ -71,12 +71,12 @@ class Words:
     index of each document's first word (with one entry past the end), ``hash`` a hash per word.
     """
 
-    def __init__(self, texts: list, lower: bool = False):
+    def __init__(self, texts: list, lower: bool = False, separator: np.ndarray = SEPARATOR):
         self.data = b" ".join(texts) + b" "
         raw = np.frombuffer(self.data, np.uint8)
         sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
         self.begin = np.concatenate([[0], np.cumsum(sizes + 1)])[: len(texts) + 1]
-        sep = SEPARATOR[raw]
+        sep = separator[raw]
         edge = np.flatnonzero(sep[1:] != sep[:-1]) + 1
         if len(raw) and not sep[0]:
             edge = np.concatenate([[0], edge])

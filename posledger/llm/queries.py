@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_lines, op02_suffix, op03_rules, op04_classifier, op05_jaccard, op07_mixture, op08_substring, op10_decontamination
+from . import op01_lines, op02_suffix, op03_rules, op04_classifier, op05_jaccard, op06_licenses, op07_mixture, op08_substring, op10_decontamination
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -31,6 +31,10 @@ def op5_jaccard_join(spark, sf_dir):
     return op05_jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark, sf_dir):
+    return op06_licenses.license_spans(table(spark, sf_dir, "documents"))
+
+
 def op7_mixture(spark, sf_dir):
     return op07_mixture.mixture(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_license_scan": op6_license_scan,
     "op7_mixture": op7_mixture,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_decontamination_leaks": op10_decontamination_leaks,
