@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_lines, op02_suffix, op03_rules, op04_classifier, op05_jaccard, op06_licenses, op07_mixture, op08_substring, op10_decontamination
+from . import op01_lines, op02_suffix, op03_rules, op04_classifier, op05_jaccard, op06_licenses, op07_mixture, op08_substring, op09_pii, op10_decontamination
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -43,6 +43,10 @@ def op8_substring_dedup(spark, sf_dir):
     return op08_substring.substring_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_pii_spans(spark, sf_dir):
+    return op09_pii.pii_spans(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination_leaks(spark, sf_dir):
     return op10_decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op6_license_scan": op6_license_scan,
     "op7_mixture": op7_mixture,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_pii_spans": op9_pii_spans,
     "op10_decontamination_leaks": op10_decontamination_leaks,
 }
 
