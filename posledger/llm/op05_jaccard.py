@@ -36,7 +36,7 @@ ROWS = "doc_id long, key long, block long, n_shingles long, node long"
 SETS = "node long, n long, tokens binary, second array<long>, third array<long>"
 LABELS = "node long, root long"
 NUMBER = 80
-GROUP, PIVOTS, CHUNK = 300, 256, 256
+GROUP, PIVOTS, CHUNK = 300, 1024, 1024
 
 
 class _Sets:
