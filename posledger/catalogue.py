@@ -1,4 +1,6 @@
 """The registered ledger queries: name -> (spark, sf_dir) -> DataFrame, and the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import positions, pools, upkeep
+
+QUERIES: dict = {**positions.QUERIES, **pools.QUERIES, **upkeep.QUERIES}
+ORACLES: dict = {**positions.ORACLES, **pools.ORACLES, **upkeep.ORACLES}
