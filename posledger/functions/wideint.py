@@ -24,6 +24,11 @@ DEC = "decimal(38,0)"
 LIMB = 26
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: a lambda variable is, where a repeated expression would be repeated."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def num(value) -> Column:
     """A column, or an integer literal of up to 38 digits, as DECIMAL(38,0)."""
     return value.cast(DEC) if isinstance(value, Column) else F.lit(str(value)).cast(DEC)
@@ -46,8 +51,40 @@ def mul(a: Column, b: Column) -> Column:
     return (num(a) * num(b)).cast(DEC)
 
 
+def product(a: Column, b: Column) -> Column:
+    """The digits of a * b for two values of 0 to 38 digits, by limbs of 13 digits: no partial sum leaves 38 digits."""
+    unit, size = num(10**13), 13
+
+    def split(x, name):
+        low = (x % unit).cast(DEC)
+        rest = ((x - low) / unit).cast(DEC)
+        middle = (rest % unit).cast(DEC)
+        return low.alias(f"{name}0"), middle.alias(f"{name}1"), ((rest - middle) / unit).cast(DEC).alias(f"{name}2")
+
+    def convolve(t):
+        pairs = [[(i, k - i) for i in range(3) if 0 <= k - i < 3] for k in range(5)]
+        sums = [sum(((t[f"a{i}"] * t[f"b{j}"]).cast(DEC) for i, j in p[1:]), (t[f"a{p[0][0]}"] * t[f"b{p[0][1]}"]).cast(DEC)).cast(DEC) for p in pairs]
+
+        def step(acc, c):
+            total = (acc["carry"] + c).cast(DEC)
+            digit = (total % unit).cast(DEC)
+            return F.struct(((total - digit) / unit).cast(DEC).alias("carry"), F.concat(F.lpad(digit.cast("string"), size, "0"), acc["text"]).alias("text"))
+
+        start = F.struct(num(0).alias("carry"), F.lit("").alias("text"))
+        return F.aggregate(F.array(*sums), start, step, lambda r: F.concat(F.lpad(r["carry"].cast("string"), size, "0"), r["text"]))
+
+    return bound(F.struct(num(a).alias("a"), num(b).alias("b")), lambda t: bound(F.struct(*split(t["a"], "a"), *split(t["b"], "b")), convolve))
+
+
 def ray_mul_up(a: Column, b: Column) -> Column:
-    return div_up(mul(a, b), num(RAY))
+    """ceil(a * b / RAY): RAY is a power of ten, so the quotient is the product's digits but the last 27."""
+    keep = 6 * 13 - RAY_DIGITS
+
+    def rounded(digits):
+        whole = F.regexp_replace(F.substring(digits, 1, keep), "^0+(?=[0-9])", "").cast(DEC)
+        return (whole + F.when(F.substring(digits, keep + 1, RAY_DIGITS) != "0" * RAY_DIGITS, 1).otherwise(0)).cast(DEC)
+
+    return bound(product(a, b), rounded)
 
 
 def from_ray_up(a: Column) -> Column:
@@ -84,19 +121,24 @@ def joined(low: Column, middle: Column, high: Column) -> Column:
     """The decimal string of sums of limbs, which may have any sign and more than 26 digits each."""
     unit = num(10**LIMB)
 
-    def carried(a, b, c):
-        x = F.pmod(a, unit).cast(DEC)
-        b = (b + ((a - x) / unit).cast(DEC)).cast(DEC)
-        y = F.pmod(b, unit).cast(DEC)
-        return x, y, (c + ((b - y) / unit).cast(DEC)).cast(DEC)
+    def step(t, one, two):
+        """Carry what field ``one`` has beyond 26 digits into ``two``."""
+        x = F.pmod(t[one], unit).cast(DEC)
+        moved = {one: x, two: (t[two] + ((t[one] - x) / unit).cast(DEC)).cast(DEC)}
+        return F.struct(*[moved.get(n, t[n]).alias(n) for n in "abc"])
+
+    def carried(t, use):
+        return bound(step(t, "a", "b"), lambda u: bound(step(u, "b", "c"), use))
 
-    def digits(a, b, c):
-        text = F.concat(c.cast("string"), F.lpad(b.cast("string"), LIMB, "0"), F.lpad(a.cast("string"), LIMB, "0"))
+    def digits(t):
+        text = F.concat(t["c"].cast("string"), F.lpad(t["b"].cast("string"), LIMB, "0"), F.lpad(t["a"].cast("string"), LIMB, "0"))
         return F.regexp_replace(text, "^0+(?=[0-9])", "")
 
-    plus = carried(low, middle, high)
-    minus = carried(-low, -middle, -high)
-    return F.when(plus[2] < 0, F.concat(F.lit("-"), digits(*minus))).otherwise(digits(*plus))
+    def signed(t):
+        minus = F.struct(*[(-t[n]).cast(DEC).alias(n) for n in "abc"])
+        return carried(t, lambda p: F.when(p["c"] >= 0, digits(p)).otherwise(F.concat(F.lit("-"), bound(minus, lambda n: carried(n, digits)))))
+
+    return bound(F.struct(low.alias("a"), middle.alias("b"), high.alias("c")), signed)
 
 
 @F.pandas_udf(StringType())
