@@ -81,7 +81,8 @@ class Index:
     def __init__(self, items: list, budget: Budget):
         self.budget, self.ids = budget, [i for i, _ in items]
         self.texts = [folded(t.encode()) for _, t in items]
-        length = np.array([len(t) for t in self.texts], np.int64)
+        self.length = length = np.array([len(t) for t in self.texts], np.int64)
+        self.flat, self.begin = np.concatenate(self.texts), np.concatenate([[0], np.cumsum(length)[:-1]])
         hashes = [grams(t, budget.q) for t in self.texts]
         item = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
         place = np.concatenate([np.arange(len(h)) for h in hashes])
@@ -131,66 +132,100 @@ class Index:
             last = ahead[ok]
             ok = ok[(item[last] == item[ok]) & (band[last] == band[ok]) & (place[last] - place[ok] <= self.window[item[ok]] - self.budget.q)]
             last = ahead[ok]
-            lo = np.maximum(0, place[last] + self.budget.q - self.window[item[ok]])
-            found.append(np.stack([item[ok], band[ok], lo, place[ok]], 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 4), np.int64)
-
-
-def align(item: np.ndarray, text: np.ndarray, starts: np.ndarray, size: int, low: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least edits of each window [s, s + size) of the item against the text within diagonals [low, low + width), and where it ends."""
+            item, band, hi = item[ok], band[ok], np.minimum(place[ok], self.length[item[ok]] - self.window[item[ok]])
+            lo = np.maximum(0, place[last] + self.budget.q - self.window[item])
+            # ranges of one band come in order: each adds what the one before it doesn't have
+            more = np.flatnonzero((item[1:] == item[:-1]) & (band[1:] == band[:-1])) + 1
+            lo[more] = np.maximum(lo[more], hi[more - 1] + 1)
+            keep = lo <= hi
+            found.append(np.stack([item[keep], band[keep], lo[keep], hi[keep]], 1))
+        return np.concatenate(found) if found else np.zeros((0, 4), np.int64)
+
+
+def align(item: np.ndarray, start: np.ndarray, text: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray, size: int, width: int, edits: int):
+    """Least edits of windows ``item[start : start + size]`` against the text, and where each ends (column of the band).
+
+    Column c of a window's band holds the alignments whose byte i meets ``text[place + i + c]``; text
+    outside [first, last) matches nothing. Windows are given up once all of their band exceeds ``edits``.
+    """
     columns = np.arange(width)
-    cost = np.zeros((len(starts), width), np.int32)
+    alive, cost = np.arange(len(start)), np.zeros((len(start), width), np.int32)
+    least, end = np.full(len(start), size + 1), np.zeros(len(start), np.int64)
     for i in range(size):
-        at = starts[:, None] + i + low + columns
-        inside = (at >= 0) & (at < len(text))
-        other = np.where(inside, text[np.clip(at, 0, len(text) - 1)], -1) if len(text) else np.full(at.shape, -1)
-        step = cost + (other != item[starts + i][:, None])
+        at = place[alive, None] + i + columns
+        differs = (at < first[alive, None]) | (at >= last[alive, None])
+        differs |= text[np.clip(at, 0, len(text) - 1)] != item[start[alive] + i][:, None]
+        step = cost + differs
         step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)
         cost = np.minimum.accumulate(step - columns, axis=1) + columns
+        if i % 8 == 7:
+            keep = cost.min(1) <= edits
+            alive, cost = alive[keep], cost[keep]
+            if not len(alive):
+                return least, end
     best = cost.argmin(1)
-    return cost[np.arange(len(starts)), best], starts + size + low + best
-
-
-def search(index: Index, text: bytes) -> dict:
-    """Of one text: per item (first and last byte in the text, in the item, least edits) over all aligned windows."""
-    value, out, budget = folded(text), {}, index.budget
-    found = index.candidates(value)
-    if not len(found):
+    least[alive], end[alive] = cost[np.arange(len(alive)), best], best
+    return least, end
+
+
+def search(index: Index, texts: list) -> list:
+    """Of each text: per item (first and last byte in the text, in the item, least edits) over all aligned windows."""
+    out, budget, rows = [{} for _ in texts], index.budget, []
+    values = [folded(t) for t in texts]
+    for d, value in enumerate(values):
+        found = index.candidates(value)
+        if len(found):
+            rows.append(np.concatenate([np.full((len(found), 1), d), found], 1))
+    if not rows:
         return out
-    key = found[:, 0] * (1 << 40) + found[:, 1]
-    for rows in np.split(found, np.flatnonzero(np.diff(key)) + 1):
-        k, band = int(rows[0, 0]), int(rows[0, 1])
-        item = index.texts[k]
-        size, edits = budget.of(len(item))
-        starts = np.unique(K.spread(rows[:, 2], np.minimum(rows[:, 3], len(item) - size))[0])
-        if not len(starts):
-            continue
-        low, width = band * BAND - edits, BAND + 3 * edits + 1
-        cost, end = align(item, value, starts, size, low, width)
+    text, begin = np.concatenate(values), np.cumsum([0, *(len(v) for v in values)])
+    rows = np.concatenate(rows)
+    start, row = K.spread(rows[:, 3], rows[:, 4])
+    doc, item, band = rows[row, 0], rows[row, 1], rows[row, 2]
+    for size in np.unique(index.window[item]).tolist():
+        own = np.flatnonzero(index.window[item] == size)
+        d, k, s, edits = doc[own], item[own], start[own], budget.edits * size // budget.window
+        low, width = band[own] * BAND - budget.edits, BAND + 3 * budget.edits + 1
+        place = begin[d] + s + low
+        cost, end = align(index.flat, index.begin[k] + s, text, place, begin[d], begin[d + 1], size, width, edits)
         good = np.flatnonzero(cost <= edits)
-        if not len(good):
-            continue
-        n = len(value)  # the same windows read backwards end where they start
-        back, begin = align(item[::-1], value[::-1], len(item) - starts[good[:1]] - size, size, n - len(item) - low - width + 1, width)
-        one = (max(0, n - int(begin[0])), min(n, int(end[good].max())), int(starts[good[0]]), int(starts[good[-1]]) + size, int(cost[good].min()))
-        had = out.get(k, one)
-        out[k] = (min(had[0], one[0]), max(had[1], one[1]), min(had[2], one[2]), max(had[3], one[3]), min(had[4], one[4]))
+        # the same windows read backwards end where they start
+        total, letters = len(text), len(index.flat)
+        back = total - place[good] - size - width + 1
+        _, stop = align(index.flat[::-1], letters - index.begin[k[good]] - s[good] - size, text[::-1], back, total - begin[d[good] + 1], total - begin[d[good]], size, width, edits)
+        ends = np.minimum(place[good] + size + end[good], begin[d[good] + 1]) - begin[d[good]]
+        begins = np.maximum(total - (back + size + stop), begin[d[good]]) - begin[d[good]]
+        for x, a, b in zip(good.tolist(), begins.tolist(), ends.tolist()):
+            one = (a, b, int(s[x]), int(s[x]) + size, int(cost[x]))
+            had = out[d[x]].get(int(k[x]), one)
+            out[d[x]][int(k[x])] = (min(had[0], a), max(had[1], b), min(had[2], one[2]), max(had[3], one[3]), min(had[4], one[4]))
     return out
 
 
-def found_in(index: Index, text: bytes) -> dict:
-    """``search`` over a text of any length, in overlapping slices."""
-    overlap, out = 4 * index.budget.window, {}
-    for a in range(0, max(1, len(text) - overlap), SLICE):
-        for k, (s, e, i, j, c) in search(index, text[a : a + SLICE + overlap]).items():
-            h = out.get(k, (s + a, e + a, i, j, c))
-            out[k] = (min(h[0], s + a), max(h[1], e + a), min(h[2], i), max(h[3], j), min(h[4], c))
+def found_in(index: Index, texts: list) -> list:
+    """``search`` over texts of any length, in overlapping slices, many short texts at a time."""
+    overlap, out, part, size = 4 * index.budget.window, [{} for _ in texts], [], 0
+
+    def flush():
+        for (d, a), found in zip([p[:2] for p in part], search(index, [p[2] for p in part])):
+            for k, (s, e, i, j, c) in found.items():
+                h = out[d].get(k, (s + a, e + a, i, j, c))
+                out[d][k] = (min(h[0], s + a), max(h[1], e + a), min(h[2], i), max(h[3], j), min(h[4], c))
+        part.clear()
+
+    for d, text in enumerate(texts):
+        for a in range(0, max(1, len(text) - overlap), SLICE):
+            part.append((d, a, text[a : a + SLICE + overlap]))
+            size += len(part[-1][2])
+            if size >= SLICE:
+                flush()
+                size = 0
+    flush()
     return out
 
 
 def _found(index: Index, batch: pa.RecordBatch):
-    for text in batch.column("text"):
-        yield found_in(index, text.as_buffer().to_pybytes()) if text.is_valid else {}
+    return found_in(index, [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column("text")])
 
 
 def _scan(index: Index):

@@ -69,7 +69,7 @@ def test_spans_of_an_exact_leak():
     item = "Every benchmark item is a sentence of its own that no honest corpus would ever hold by chance, or so they say."
     index = Index([(7, item)], Budget())
     text = ("filler " * 30 + item + " and more filler" * 9).encode()
-    (k, (start, end, first, last, edits)), = search(index, text).items()
+    (k, (start, end, first, last, edits)), = search(index, [b"x", text, b""])[1].items()
     assert (index.ids[k], text[start:end].decode(), first, last, edits) == (7, item, 0, len(item), 0)
 
 
@@ -77,7 +77,8 @@ def test_align():
     r = np.random.default_rng(1)
     for _ in range(30):
         item, text = r.integers(0, 3, 20).astype(np.uint8), r.integers(0, 3, 25).astype(np.uint8)
-        cost, _ = align(item, text, np.arange(6), 15, -20, 60)
+        at = np.arange(6)
+        cost, _ = align(item, at, text, at - 20, 0 * at, 0 * at + 25, 15, 60, 15)
         assert cost.tolist() == [sellers(item[s : s + 15], text) for s in range(6)]
 
 
