@@ -120,7 +120,7 @@ def occurrences(docs: DataFrame, reach: int = 3) -> DataFrame:
     return each.select("k1", "k2", "copies", F.concat_ws(":", F.col("x.kind"), value).alias("entity"), terms.alias("terms"), F.xxhash64(before, after).alias("around"))
 
 
-def revealing(docs: DataFrame, near: DataFrame, generalise: float, small: int = SMALL) -> DataFrame:
+def revealing(docs: DataFrame, near: DataFrame, generalise: float) -> DataFrame:
     """(entity, term, share) of the terms that reveal an entity to a share of ``generalise`` or more."""
     in_text = near.groupBy("k1", "k2", "entity").agg(F.first("copies").alias("copies"))
     entities = in_text.groupBy("entity").agg(F.sum("copies").alias("n_e"))
@@ -129,11 +129,10 @@ def revealing(docs: DataFrame, near: DataFrame, generalise: float, small: int =
     pairs = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     pairs = saved(pairs.where("lo <> hi").select("entity", "term", "n_te"))
     total = docs.count()
-    terms = pairs.select("term").distinct()
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(None).cast("double").alias("share"))
     each = docs.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("term"))
-    counts = each.join(_checked(saved(terms), small), "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    counts = each.groupBy("term").agg(F.count("*").alias("n_t"))
     scored = pairs.join(entities, "entity").join(counts, "term")
     content = F.log2(F.lit(total) / F.col("n_e"))
     pmi = F.log2(F.lit(total) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
@@ -144,7 +143,7 @@ def revealing(docs: DataFrame, near: DataFrame, generalise: float, small: int =
 def _found(docs: DataFrame, reach: int, generalise: float, small: int) -> DataFrame:
     """The rows as ``_row`` with their base spans and the revealing terms as spans with their share."""
     near = saved(occurrences(docs, reach))
-    reveals = saved(revealing(docs, near, generalise, small))
+    reveals = saved(revealing(docs, near, generalise))
     own = near.select("k1", "k2", "entity", F.explode("terms").alias("term")).join(reveals, ["entity", "term"])
     own = own.groupBy("k1", "k2", "term").agg(F.max("share").alias("share")).groupBy("k1", "k2")
     own = own.agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("terms"))
