@@ -1,2 +1,177 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries over logs, headers, replay, streaming and reconciliation."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import chain, folds, reconcile
+from ..operators import ledger as lg
+from ..sources import logs
+from ..sources import mapping as m
+from ..streaming import ingest
+from . import pools
+
+TOPIC = {name: "0x" + f"{k + 1:064x}" for k, name in enumerate(logs.SPOKE_EVENTS)}
+FORK = 700
+
+
+def _word(x: str) -> str:
+    return f"lpad(lower(hex({x})), 64, '0')"
+
+
+def _negative(x: str) -> str:
+    """The two's complement word of -x for 0 <= x < 2**62."""
+    return f"if(x0 = 0, {_word('0L')}, concat(repeat('f', 48), lpad(lower(hex(-({x}))), 16, '0')))".replace("x0", x)
+
+
+def raw_spoke_logs(spark, sf_dir) -> DataFrame:
+    """Supply and Repay events as contract logs: topics and data words."""
+    b = m.spoke_base(spark, sf_dir).where(f"event_type IN ('view', 'error') AND spoke = '{m.SPOKES[0]}'")
+    user = _word("user_id")
+    return b.selectExpr(
+        f"{m.CHAIN} AS chain_id", "upper(spoke) AS address",
+        f"array(if(event_type = 'view', '{TOPIC['Supply']}', '{TOPIC['Repay']}'), concat('0x', {_word('reserve_id')}), concat('0x', {user}), concat('0x', {user})) AS topics",
+        f"if(event_type = 'view', concat('0x', {_word('s')}, {_word('s + 7')}), concat('0x', {_word('s div 8')}, {_word('s div 8 + 3')}, {_word('s div 16')}, {_negative('s')}, {_word('s')})) AS data",
+        "block_number", "if(event_id % 3 = 0, null, block_timestamp) AS block_timestamp", "'0x0' AS block_hash", "'0x1' AS tx_hash", "0 AS tx_index", "log_index",
+    )
+
+
+def _times(spark, sf_dir) -> DataFrame:
+    return m.spoke_base(spark, sf_dir).groupBy(F.lit(m.CHAIN).alias("chain_id"), "block_number").agg(F.min("block_timestamp").alias("block_timestamp"))
+
+
+def timestamp_fill(spark, sf_dir):
+    return logs.fill_timestamps(raw_spoke_logs(spark, sf_dir), _times(spark, sf_dir)).select("block_number", "log_index", "block_timestamp")
+
+
+def decode_logs(spark, sf_dir):
+    filled = logs.fill_timestamps(raw_spoke_logs(spark, sf_dir), _times(spark, sf_dir))
+    e = logs.decode_logs(logs.event_set(filled, TOPIC), TOPIC, m.SPOKES[0])
+    get = lambda p: F.get_json_object("body", f"$.{p}")
+    return e.select(
+        "block_number", "log_index", "event_name", get("user").alias("user"), get("reserveId").alias("reserve"), F.coalesce(get("suppliedShares"), get("drawnShares")).alias("shares"),
+        get("premiumDelta.offsetRayDelta").alias("offset_ray"),
+    )
+
+
+def decoded_fold(spark, sf_dir):
+    """From logs to positions: decode, append, fold."""
+    filled = logs.fill_timestamps(raw_spoke_logs(spark, sf_dir), _times(spark, sf_dir))
+    p = folds.positions_current(lg.append(logs.decode_logs(filled, TOPIC, m.SPOKES[0]), 1))
+    return p.select("user", "reserve_id", F.col("supplied_shares").cast("string").alias("supplied_shares"), F.col("premium_offset_ray"), "events")
+
+
+def header_contiguity(spark, sf_dir):
+    """Every 997th header is missing and every 1009th has a foreign parent."""
+    h = m.headers(spark, sf_dir).where("block_number % 997 <> 5").withColumn("parent_hash", F.when(F.col("block_number") % 1009 == 7, "x").otherwise(F.col("parent_hash")))
+    return chain.contiguity_breaks(h)
+
+
+def fork_point(spark, sf_dir):
+    own, other = m.headers(spark, sf_dir), m.headers(spark, sf_dir, "b", FORK)
+    lost = m.headers(spark, sf_dir, "c", -1).withColumn("chain_id", F.lit(3))
+    own = own.unionByName(own.withColumn("chain_id", F.lit(2))).unionByName(own.withColumn("chain_id", F.lit(3)))
+    return chain.fork_point(own, other.unionByName(m.headers(spark, sf_dir).withColumn("chain_id", F.lit(2))).unionByName(lost))
+
+
+def settled_split(spark, sf_dir):
+    return chain.settled(m.headers(spark, sf_dir)).groupBy("settled").agg(F.count("*").alias("n"), F.min("block_number").alias("lo"), F.max("block_number").alias("hi"))
+
+
+def header_window(spark, sf_dir):
+    return chain.retain(m.headers(spark, sf_dir)).select("block_number", "hash")
+
+
+def replay_plan(spark, sf_dir):
+    """Ranges of 64 blocks over all settled blocks, with the rows that each would dispatch."""
+    e = m.spoke_base(spark, sf_dir).select("block_number")
+    head = e.agg(F.max("block_number")).first()[0]
+    safe = chain.safe_head(head, 16)
+    plan = chain.replay_plan(spark, 0, safe, 64, safe)
+    rows = e.groupBy((F.col("block_number") - F.col("block_number") % 64).alias("range_from")).agg(F.sum((F.col("block_number") <= safe).cast("long")).alias("n"))
+    return plan.join(rows, "range_from", "left").select("range_from", "range_to", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def stream_fold_equals_batch(spark, sf_dir):
+    """The ledger built by micro-batches over landed files, the last third of the blocks landing twice, folded."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    at = f"{folder}/stream/{uuid.uuid4().hex}"
+    rows = m.spoke_events(spark, sf_dir)
+    rows = rows.select(*[(F.col(c.split()[0]) if c.split()[0] in rows.columns else F.lit(None).cast(c.split()[1])).alias(c.split()[0]) for c in ingest.EVENT.split(", ")])
+    blocks = rows.agg(F.max("block_number")).first()[0] + 1
+    third = F.floor(F.col("block_number") * 3 / blocks)
+    for k in (0, 1, 2, 2):
+        rows.where(third == k).repartitionByRange(4, "block_number").write.mode("append").json(f"{at}/source")
+    query = ingest.start_ingest(spark, f"{at}/source", f"{at}/ledger", f"{at}/checkpoint", f"{at}/progress", 1)
+    query.awaitTermination()
+    p = folds.positions_current(ingest.ledger(spark, f"{at}/ledger"))
+    return p.select("user", "spoke", "reserve_id", F.col("supplied_shares").cast("string").alias("supplied_shares"), "using_as_collateral", "events")
+
+
+def _hub(spark, sf_dir, until: int | None = None) -> DataFrame:
+    events = m.hub_events(spark, sf_dir)
+    return folds.hub_assets_current(lg.append(events if until is None else events.where(F.col("block_number") <= until), 1))
+
+
+def _perturbed(view: DataFrame) -> DataFrame:
+    """A snapshot in which asset 4's liquidity and asset 9's rate are off by one, and asset 16 is missing from the fold's side."""
+    off = lambda c, a: (F.col(c) + F.when(F.col("asset_id") == a, 1).otherwise(0)).cast("decimal(38,0)")
+    return view.withColumn("liquidity", off("liquidity", 4)).withColumn("drawn_rate", off("drawn_rate", 9))
+
+
+def reconcile_hub_delta(spark, sf_dir):
+    """The fold of the blocks after 300 against the change between two snapshots."""
+    late = folds.hub_assets_current(lg.append(m.hub_events(spark, sf_dir).where("block_number > 300"), 1)).where("asset_id <> 16")
+    r = reconcile.reconcile_hub(late, _perturbed(_hub(spark, sf_dir)), _hub(spark, sf_dir, 300))
+    return r.select("asset_id", "field", "status")
+
+
+def reconcile_hub_absolute(spark, sf_dir):
+    r = reconcile.reconcile_hub(_hub(spark, sf_dir).where("asset_id <> 16"), _perturbed(_hub(spark, sf_dir)))
+    return r.select("asset_id", "field", "status")
+
+
+def reconcile_positions(spark, sf_dir):
+    """Valued positions against getters that are off by one unit in each wallet's reserve 7."""
+    v = pools._valued(spark, sf_dir)
+    off = F.when(F.col("reserve_id") == 7, 1).otherwise(0)
+    getters = v.select(*folds.POSITION, (F.col("value.supplied") + off).cast("decimal(38,0)").alias("supplied"), F.col("value.drawn_debt").alias("drawn_debt"), F.col("value.premium_debt").alias("premium_debt"))
+    return reconcile.summary(reconcile.reconcile_positions(v, getters))
+
+
+QUERIES = {
+    x.__name__: x
+    for x in (
+        timestamp_fill, decode_logs, decoded_fold, header_contiguity, fork_point, settled_split, header_window, replay_plan, stream_fold_equals_batch,
+        reconcile_hub_delta, reconcile_hub_absolute, reconcile_positions,
+    )
+}
+
+_RAW = f"{m.SP}, raw AS (SELECT * FROM sp WHERE event_type IN ('view', 'error') AND spoke = '{m.SPOKES[0]}')"
+_FIELDS = "('liquidity', 1), ('added_shares', 1), ('drawn_shares', 1), ('premium_shares', 1), ('swept', 1), ('drawn_index', 0), ('drawn_rate', 0), ('realized_fees', 0)"
+_STATUS = "CASE WHEN a = 16 THEN '{missing}' WHEN field = 'liquidity' AND a = 4 OR field = 'drawn_rate' AND a = 9 THEN 'mismatch' ELSE 'match' END"
+
+ORACLES = {
+    "timestamp_fill": f"WITH {_RAW}, h AS (SELECT b, min(t) AS t FROM sp GROUP BY b) SELECT b AS block_number, CAST(l AS INTEGER) AS log_index, CASE WHEN event_id % 3 = 0 THEN h.t ELSE raw.t END AS block_timestamp FROM raw JOIN h USING (b)",
+    "decode_logs": f"""WITH {_RAW} SELECT b AS block_number, CAST(l AS INTEGER) AS log_index, CASE event_type WHEN 'view' THEN 'Supply' ELSE 'Repay' END AS event_name, usr AS user, CAST(r AS VARCHAR) AS reserve,
+ CAST(CASE event_type WHEN 'view' THEN s ELSE s // 8 END AS VARCHAR) AS shares, CASE event_type WHEN 'error' THEN CAST(-s AS VARCHAR) END AS offset_ray FROM raw""",
+    "decoded_fold": f"""WITH {_RAW} SELECT usr AS user, r AS reserve_id, CAST(sum(CASE event_type WHEN 'view' THEN s ELSE 0 END) AS VARCHAR) AS supplied_shares,
+ CAST(sum(CASE event_type WHEN 'error' THEN -s ELSE 0 END) AS VARCHAR) AS premium_offset_ray, count(*) AS events FROM raw GROUP BY usr, r""",
+    "header_contiguity": """WITH h AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 997 <> 5)
+SELECT 1 AS chain_id, k AS block_number, CASE WHEN (k - 1) % 997 = 5 THEN 'gap' ELSE 'parent' END AS problem FROM h WHERE k > 0 AND ((k - 1) % 997 = 5 OR k % 1009 = 7)""",
+    "fork_point": f"""SELECT 1 AS chain_id, 'reorg' AS verdict, CAST({FORK} AS BIGINT) AS ancestor, CAST({FORK + 1} AS BIGINT) AS retract_from, max(o_orderkey) AS retract_to FROM orders
+UNION ALL SELECT 2, 'continuous', max(o_orderkey), NULL, NULL FROM orders UNION ALL SELECT 3, 'unrecoverable', NULL, NULL, NULL""",
+    "settled_split": "SELECT o_orderkey <= (SELECT max(o_orderkey) - 128 FROM orders) AS settled, count(*) AS n, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders GROUP BY 1",
+    "header_window": "SELECT o_orderkey AS block_number, md5(o_orderkey || 'a') AS hash FROM orders WHERE o_orderkey >= (SELECT max(o_orderkey) - 128 FROM orders)",
+    "replay_plan": """WITH s AS (SELECT max(event_id // 10) - 16 AS safe FROM events)
+SELECT event_id // 10 - (event_id // 10) % 64 AS range_from, least(event_id // 10 - (event_id // 10) % 64 + 63, safe) AS range_to, count(*) AS n FROM events, s WHERE event_id // 10 <= safe GROUP BY 1, 2""",
+    "stream_fold_equals_batch": f"WITH {m.SP} SELECT usr AS user, spoke, r AS reserve_id, CAST(sum(sup) AS VARCHAR) AS supplied_shares, coalesce(arg_max(flag, event_id), false) AS using_as_collateral, CAST(sum(ev) AS BIGINT) AS events FROM spd GROUP BY usr, spoke, r",
+    "reconcile_hub_absolute": f"WITH {m.HB} SELECT a AS asset_id, field, {_STATUS.format(missing='mismatch')} AS status FROM hs, (VALUES {_FIELDS}) AS f(field, additive)",
+    "reconcile_hub_delta": f"WITH {m.HB} SELECT a AS asset_id, field, {_STATUS.format(missing='untouched')} AS status FROM hs, (VALUES {_FIELDS}) AS f(field, additive)",
+    "reconcile_positions": f"""WITH {pools._VAL} SELECT field, CASE WHEN NOT good THEN 'unvalued' WHEN field = 'supplied' AND r = 7 THEN 'mismatch' ELSE 'match' END AS status, count(*) AS n
+ FROM val, (VALUES ('supplied'), ('drawn_debt'), ('premium_debt')) AS f(field) GROUP BY ALL""",
+}

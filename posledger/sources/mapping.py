@@ -135,7 +135,7 @@ def sql_address(number: str) -> str:
     return f"('0x' || lpad(lower(hex({number})), 40, '0'))"
 
 
-SP = f"""sp AS (SELECT event_id, event_type, event_id // 10 AS b, event_id % 10 AS l, user_id, CAST(epoch(ts) AS BIGINT) AS t, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+SP = f"""sp AS (SELECT event_id, event_type, event_id // 10 AS b, event_id % 10 AS l, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
   {sql_address('user_id')} AS usr, CASE WHEN user_id % 2 = 0 THEN '{SPOKES[0]}' ELSE '{SPOKES[1]}' END AS spoke,
   CAST(json_extract_string(props, '$.k') AS BIGINT) % 14 AS r, CAST(round(value * 100) AS BIGINT) AS s FROM events),
 spd AS (SELECT *, CASE event_type WHEN 'view' THEN s WHEN 'click' THEN -(s // 4) ELSE 0 END AS sup, CASE event_type WHEN 'purchase' THEN s // 2 WHEN 'error' THEN -(s // 8) ELSE 0 END AS dr,
