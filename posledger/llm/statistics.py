@@ -81,8 +81,12 @@ COUNTS = ("n_words", "n_distinct", "n_repeat_words", "word_chars", "n_symbols",
 
 
 def with_counts(docs: DataFrame, keep=("doc_id",)) -> DataFrame:
-    """The ``keep`` columns and the ten counts of every document."""
-    s = docs.select(*[F.col(c) for c in keep], base(F.col("text")).alias("_s"))
+    """The ``keep`` columns and the ten counts of every document.
+
+    The counts pass through a generator of one row, so that a filter on them is not pushed below, where
+    each mention of a count would count again.
+    """
+    s = docs.select(*[F.col(c) for c in keep], F.explode(F.array(base(F.col("text")))).alias("_s"))
     inner = {"n_words", "n_distinct", "n_repeat_words"}
     return s.select(*keep, *[(F.col(f"_s.w.{c}") if c in inner else F.col(f"_s.{c}")).alias(c) for c in COUNTS])
 
