@@ -20,6 +20,25 @@ SPOKE_EVENTS = {
     "ReportDeficit": (2, [("reserveId", U), ("user", A), ("drawnShares", U), *PREMIUM]),
     "SetUsingAsCollateral": (3, [("reserveId", U), ("caller", A), ("user", A), ("usingAsCollateral", B)]),
     "AddReserve": (3, [("reserveId", U), ("assetId", U), ("hub", A)]),
+    "LiquidationCall": (3, [
+        ("collateralReserveId", U), ("debtReserveId", U), ("user", A), ("liquidator", A), ("receiveShares", B), ("debtAmountRestored", U), ("drawnSharesLiquidated", U), *PREMIUM,
+        ("collateralAmountRemoved", U), ("collateralSharesLiquidated", U), ("collateralSharesToLiquidator", U),
+    ]),
+}
+HUB_EVENTS = {
+    "Add": (2, [("assetId", U), ("spoke", A), ("shares", U), ("amount", U)]),
+    "Remove": (2, [("assetId", U), ("spoke", A), ("shares", U), ("amount", U)]),
+    "Draw": (2, [("assetId", U), ("spoke", A), ("drawnShares", U), ("drawnAmount", U)]),
+    "Restore": (2, [("assetId", U), ("spoke", A), ("drawnShares", U), *PREMIUM, ("drawnAmount", U), ("premiumAmount", U)]),
+    "ReportDeficit": (2, [("assetId", U), ("spoke", A), ("drawnShares", U), *PREMIUM, ("deficitAmountRay", U)]),
+    "EliminateDeficit": (3, [("assetId", U), ("callerSpoke", A), ("coveredSpoke", A), ("shares", U), ("deficitAmountRay", U)]),
+    "MintFeeShares": (2, [("assetId", U), ("feeReceiver", A), ("shares", U), ("assets", U)]),
+    "Sweep": (2, [("assetId", U), ("reinvestmentController", A), ("amount", U)]),
+    "Reclaim": (2, [("assetId", U), ("reinvestmentController", A), ("amount", U)]),
+    "RefreshPremium": (2, [("assetId", U), ("spoke", A), *PREMIUM]),
+    "UpdateAsset": (1, [("assetId", U), ("drawnIndex", U), ("drawnRate", U), ("accruedFees", U)]),
+    "UpdateAssetConfig": (1, [("assetId", U), ("config.feeReceiver", A), ("config.liquidityFee", U), ("config.irStrategy", A), ("config.reinvestmentController", A)]),
+    "AddAsset": (2, [("assetId", U), ("underlying", A), ("decimals", U)]),
 }
 
 

@@ -1,3 +1,4 @@
+import json
 from decimal import Decimal
 
 import pytest
@@ -35,6 +36,16 @@ def test_decode(spark):
     assert tuple(b) == ("Repay", SPOKE, str(2**255), "0x" + USER, None, None, "-3", str(big), str(2**256 - 1))
 
 
+def test_decode_the_longest_and_a_nested_event(spark):
+    topic, person = {"LiquidationCall": "0x" + "2a" * 32, "UpdateAssetConfig": "0x" + "ea" * 32}, "0x" + word(int(USER, 16))
+    call = raw([topic["LiquidationCall"], "0x" + word(7), "0x" + word(13), person], "0x" + "".join(map(word, (5, 1, 100, 101, -2, -3, 4, 150, 151, 140))))
+    config = raw([topic["UpdateAssetConfig"], "0x" + word(7)], "0x" + "".join(map(word, (1, 1000, 2, 3))))
+    made = logs.decode_logs(spark.createDataFrame([call, config], logs.RAW_LOG), topic, SPOKE, {**logs.SPOKE_EVENTS, **logs.HUB_EVENTS})
+    a, b = (json.loads(r.body) for r in made.orderBy("event_name").collect())
+    assert (a["debtReserveId"], a["user"], a["receiveShares"], a["premiumDelta"]["offsetRayDelta"], a["collateralSharesToLiquidator"]) == ("13", "0x" + USER, True, "-3", "140")
+    assert b["assetId"] == "7" and b["config"]["liquidityFee"] == "1000" and b["config"]["reinvestmentController"] == "0x" + f"{3:040x}"
+
+
 @pytest.mark.parametrize("bad,why", [
     (raw([TOPIC["Supply"], "0x" + word(1), "0x" + word(1), "0x" + word(1)], "0x" + word(1)), "malformed"), (raw(["0x" + "00" * 32], "0x"), "unknown"), (raw([], "0x"), "anonymous"),
     (raw([TOPIC["Supply"], "0x" + word(1), "0x" + word(1), "0x" + word(1)], "0x" + word(1) * 2, "0x" + "1" * 40), "another contract"),
