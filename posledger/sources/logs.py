@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.wideint import DEC, LIMB, joined, num
+from ..functions.wideint import DEC, LIMB, bound, joined, num
 
 RAW_LOG = "chain_id int, address string, topics array<string>, data string, block_number long, block_timestamp long, block_hash string, tx_hash string, tx_index int, log_index int"
 
@@ -73,27 +73,37 @@ def _limbs(word: Column, plus: int = 0) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(7)), start, step, lambda r: joined((r["a"] + plus).cast(DEC), r["b"], r["c"]))
 
 
-def word_value(word: Column, kind: str) -> Column:
-    """The value of a lower-case 64-digit hex word: decimal text for integers, 0x address, or boolean."""
-    if kind == A:
-        return F.concat(F.lit("0x"), F.substring(word, 25, 40))
-    if kind == B:
-        return word != "0" * 64
-    if kind == U:
-        return _limbs(word)
-    inverse = F.translate(word, "0123456789abcdef", "fedcba9876543210")
-    return F.when(F.substring(word, 1, 1) >= "8", F.concat(F.lit("-"), _limbs(inverse, 1))).otherwise(_limbs(word))
+def _words() -> Column:
+    """All words of a log, topics after the first and then data, as 64 lower-case digits; null where it is none."""
+    topics = F.transform(F.expr("slice(topics, 2, greatest(0, size(topics) - 1))"), lambda t: F.lower(F.substring(t, 3, 64)))
+    n = F.greatest(F.lit(0), ((F.length("data") - 2) / 64).cast("int"))
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    data = F.transform(places, lambda k: F.lower(F.substr(F.col("data"), k * 64 - 61, F.lit(64))))
+    return F.transform(F.concat(topics, data), lambda w: F.when(w.rlike("^[0-9a-f]{64}$"), w))
+
+
+def _values(words: Column) -> Column:
+    """Of each word its digits (w), and the decimal text of it as an unsigned (u) and as a two's complement integer (i)."""
+
+    def value(w: Column) -> Column:
+        inverse = F.translate(w, "0123456789abcdef", "fedcba9876543210")
+        signed = lambda u: F.when(F.substring(w, 1, 1) >= "8", F.concat(F.lit("-"), _limbs(inverse, 1))).otherwise(u)
+        return bound(_limbs(w), lambda u: F.struct(w.alias("w"), u.alias("u"), signed(u).alias("i")))
+
+    return F.transform(words, lambda w: F.when(w.isNotNull(), value(w)))
 
 
 def _body(spec: tuple) -> Column:
     indexed, fields = spec
     tree: dict = {}
     for k, (path, kind) in enumerate(fields):
-        word = F.lower(F.substring(F.get("topics", F.lit(k + 1)), 3, 64)) if k < indexed else F.lower(F.substring(F.col("data"), 3 + 64 * (k - indexed), 64))
-        word = F.when(word.rlike("^[0-9a-f]{64}$"), word).otherwise(F.raise_error(F.lit(f"malformed {path}")).cast("string"))
+        # the words of the topics come first, so a log with too few topics has its data words out of place
+        has = (F.size("topics") == indexed + 1) & F.get("_values", F.lit(k)).isNotNull()
+        word = F.get("_values", F.lit(k))
+        value = {U: word["u"], I: word["i"], A: F.concat(F.lit("0x"), F.substring(word["w"], 25, 40)), B: word["w"] != "0" * 64}[kind]
         *outer, name = path.split(".")
         place = tree.setdefault(outer[0], {}) if outer else tree
-        place[name] = word_value(word, kind)
+        place[name] = F.when(has, value).otherwise(F.raise_error(F.lit(f"malformed {path}")).cast("boolean" if kind == B else "string"))
     made = [(F.struct(*[c.alias(n) for n, c in v.items()]) if isinstance(v, dict) else v).alias(k) for k, v in tree.items()]
     return F.to_json(F.struct(*made))
 
@@ -112,7 +122,7 @@ def decode_logs(logs: DataFrame, topic0: dict, contract: str, events: dict = SPO
     wrong = F.lower("address") != contract.lower()
     name = F.when(wrong, F.raise_error(F.lit("log of another contract")).cast("string")).otherwise(name.otherwise(F.raise_error(F.lit("anonymous or unknown log")).cast("string")))
     topics = [F.get("topics", F.lit(k)).alias(f"topic{k}") for k in (1, 2, 3)]
-    return logs.select(
+    return logs.withColumn("_values", _values(_words())).select(
         "chain_id", F.lower("address").alias("address"), "block_number", "log_index", "block_hash", "block_timestamp", "tx_hash", "tx_index",
         name.alias("event_name"), *topics, body.alias("body"), "data",
     )
