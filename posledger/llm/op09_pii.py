@@ -4,10 +4,14 @@ An entity is a base match (e-mail, IP address, card, phone number). Its informat
 IC(e) = log2(N / n_e) over the N documents. A term is a word that stands within ``reach`` words of it on
 the same side of no other blank run than spaces or line breaks; it reveals the entity as far as
 PMI(t, e) = log2(N * n_te / (n_t * n_e)) reaches IC(e). n_te counts documents in which t stands near e,
-n_t documents that have t at all; both run over the whole corpus. Terms that do so in two different
-surroundings at least (copies of one text are one) and whose share PMI / IC is ``generalise`` or more become
-spans of kind ``term`` wherever they stand in those documents; ``sanitised`` replaces what it finds by its kind,
-and removes terms of a share of ``remove`` or more.
+n_t documents that have t at all; both run over the whole corpus. Terms whose share PMI / IC is ``generalise``
+or more become spans of kind ``term`` wherever they stand in those documents; ``sanitised`` replaces what it
+finds by its kind, and removes terms of a share of ``remove`` or more.
+
+With ``every``, as the registered query has it, every pair is scored, one seen once included, and what is glued to
+a match, such as brackets or a full stop, is passed over on the way to its words. Without it only terms in two different
+surroundings at least are scored, and a match has words only on a side where a blank follows at once.
+Words are looked for in the nearest 64 characters per word of ``reach`` (64 more for what is glued).
 
 The base patterns are written so that a match starts where a leftmost match must and no run of
 characters is scanned again from each of its places: long runs cost their length.
@@ -101,7 +105,7 @@ def _key(text: Column) -> list:
     return [F.xxhash64(text).alias("k1"), F.hash(text, F.lit(3)).alias("k2")]
 
 
-def occurrences(docs: DataFrame, reach: int = 3) -> DataFrame:
+def occurrences(docs: DataFrame, reach: int = 3, every: bool = False) -> DataFrame:
     """Rows (k1, k2, copies, entity, terms, around) of the base matches of each different text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     some = docs.select(text.alias("text")).withColumn("found", base_spans(F.col("text")))
@@ -109,25 +113,26 @@ def occurrences(docs: DataFrame, reach: int = 3) -> DataFrame:
     kinds = [_tagged(F.col(f"found.{k}"), k) for k in KINDS]
     one = some.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.first("text").alias("text"), F.first("found").alias("found"))
     each = one.select("k1", "k2", "copies", "text", F.explode(F.concat(*kinds)).alias("x"))
-    span = 64 * reach
+    span = 64 * (reach + every)
+    glued = r"[^\x20\x09-\x0D]*+" if every else ""
     left = F.expr(f"substring(text, greatest(1, x.s + 1 - {span}), least(x.s, {span}))")
     right = F.expr(f"substring(text, x.e + 1, {span})")
-    before = F.regexp_extract(left, rf"((?:(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{0,{reach}}})$", 1)
-    after = F.regexp_extract(right, rf"^((?:[\x20\x09-\x0D]++[^\x20\x09-\x0D]++(?![^\x20\x09-\x0D])){{0,{reach}}})", 1)
+    before = F.regexp_extract(left, rf"((?:(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{0,{reach}}}){glued}$", 1)
+    after = F.regexp_extract(right, rf"^{glued}((?:[\x20\x09-\x0D]++[^\x20\x09-\x0D]++(?![^\x20\x09-\x0D])){{0,{reach}}})", 1)
     words = lambda c: F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
     value = F.when(F.col("x.kind").isin("card", "phone"), _digits(F.col("x.m"))).otherwise(F.lower("x.m"))
     terms = F.array_distinct(F.concat(words(before), words(after)))
     return each.select("k1", "k2", "copies", F.concat_ws(":", F.col("x.kind"), value).alias("entity"), terms.alias("terms"), F.xxhash64(before, after).alias("around"))
 
 
-def revealing(docs: DataFrame, near: DataFrame, generalise: float) -> DataFrame:
+def revealing(docs: DataFrame, near: DataFrame, generalise: float, every: bool = False) -> DataFrame:
     """(entity, term, share) of the terms that reveal an entity to a share of ``generalise`` or more."""
     in_text = near.groupBy("k1", "k2", "entity").agg(F.first("copies").alias("copies"))
     entities = in_text.groupBy("entity").agg(F.sum("copies").alias("n_e"))
     pairs = near.select("k1", "k2", "copies", "entity", "around", F.explode("terms").alias("term"))
     pairs = pairs.groupBy("k1", "k2", "entity", "term").agg(F.first("copies").alias("copies"), F.min("around").alias("lo"), F.max("around").alias("hi"))
     pairs = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    pairs = saved(pairs.where("lo <> hi").select("entity", "term", "n_te"))
+    pairs = saved((pairs if every else pairs.where("lo <> hi")).select("entity", "term", "n_te"))
     total = docs.count()
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(None).cast("double").alias("share"))
@@ -140,10 +145,10 @@ def revealing(docs: DataFrame, near: DataFrame, generalise: float) -> DataFrame:
     return scored.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
 
 
-def _found(docs: DataFrame, reach: int, generalise: float, small: int) -> DataFrame:
+def _found(docs: DataFrame, reach: int, generalise: float, small: int, every: bool) -> DataFrame:
     """The rows as ``_row`` with their base spans and the revealing terms as spans with their share."""
-    near = saved(occurrences(docs, reach))
-    reveals = saved(revealing(docs, near, generalise))
+    near = saved(occurrences(docs, reach, every))
+    reveals = saved(revealing(docs, near, generalise, every))
     own = near.select("k1", "k2", "entity", F.explode("terms").alias("term")).join(reveals, ["entity", "term"])
     own = own.groupBy("k1", "k2", "term").agg(F.max("share").alias("share")).groupBy("k1", "k2")
     own = own.agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("terms"))
@@ -160,9 +165,9 @@ def _listed(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda x: F.concat_ws(":", F.lit(kind), x["s"], x["e"]))
 
 
-def pii_spans(docs: DataFrame, reach: int = 3, generalise: float = 0.9, small: int = SMALL) -> DataFrame:
+def pii_spans(docs: DataFrame, reach: int = 3, generalise: float = 0.9, small: int = SMALL, every: bool = False) -> DataFrame:
     """A row per document: counts of the base kinds, a digest of the base spans, and all spans."""
-    rows = _found(docs.select("doc_id", "text"), reach, generalise, small)
+    rows = _found(docs.select("doc_id", "text"), reach, generalise, small, every)
     base = F.concat(*[_listed(k, F.col(f"base.{k}")) for k in KINDS])
     return rows.select(
         F.col("_row.doc_id").alias("doc_id"), *[F.size(F.col(f"base.{k}")).cast("long").alias(f"n_{k}") for k in KINDS],
@@ -171,9 +176,9 @@ def pii_spans(docs: DataFrame, reach: int = 3, generalise: float = 0.9, small: i
     )
 
 
-def sanitised(docs: DataFrame, reach: int = 3, generalise: float = 0.9, remove: float = 0.97, small: int = SMALL) -> DataFrame:
+def sanitised(docs: DataFrame, reach: int = 3, generalise: float = 0.9, remove: float = 0.97, small: int = SMALL, every: bool = False) -> DataFrame:
     """The documents with their columns; base matches and revealing terms become their kind in brackets, or go."""
-    rows = _found(docs, reach, generalise, small)
+    rows = _found(docs, reach, generalise, small, every)
     marks = [F.transform(_tagged(F.col(f"base.{k}"), f"[{k.upper()}]"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("to"))) for k in KINDS]
     share = lambda x: F.element_at(F.col("terms"), x["m"])
     marks.append(F.transform("spots", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(share(x) >= remove, F.lit("")).otherwise(F.lit("[TERM]")).alias("to"))))

@@ -44,7 +44,7 @@ def op8_substring_dedup(spark, sf_dir):
 
 
 def op9_pii_spans(spark, sf_dir):
-    return op09_pii.pii_spans(table(spark, sf_dir, "documents"))
+    return op09_pii.pii_spans(table(spark, sf_dir, "documents"), every=True)
 
 
 def op10_decontamination_leaks(spark, sf_dir):

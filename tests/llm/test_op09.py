@@ -111,3 +111,49 @@ def test_long_runs_cost_their_length(spark):
     text = "x" * 400_000 + " " + "1" * 400_000 + " " + "1 " * 200_000 + "+" * 100_000 + "1." * 1_000
     (row,) = pii_spans(spark.createDataFrame([(1, text, None, None, None)], DOCS)).collect()
     assert row.n_email == 0 and row.n_card == 0
+
+
+def brute_every(rows, reach=3, least=0.9):
+    """Revealed terms per row: every pair is scored, and what is glued to a match is passed over."""
+    texts, blank = [r[1] or "" for r in rows], "\t\n\v\f\r "
+    n, near, n_e, n_te, n_t = len(texts), [], defaultdict(int), defaultdict(int), defaultdict(int)
+    for t in texts:
+        pairs, ents = set(), set()
+        for kind, s, e, v in base(t):
+            while s and t[s - 1] not in blank:
+                s -= 1
+            while e < len(t) and t[e] not in blank:
+                e += 1
+            ents.add((kind, v))
+            pairs |= {((kind, v), w) for w in WORD.findall(t[:s])[-reach:] + WORD.findall(t[e:])[:reach]}
+        for counts, keys in ((n_e, ents), (n_te, pairs), (n_t, set(WORD.findall(t)))):
+            for x in keys:
+                counts[x] += 1
+        near.append(pairs)
+    reveal = {p for p in n_te if n > n_e[p[0]] and math.log2(n * n_te[p] / (n_t[p[1]] * n_e[p[0]])) / math.log2(n / n_e[p[0]]) >= least}
+    out = []
+    for r, t, pairs in zip(rows, texts, near):
+        terms = {w for e, w in pairs if (e, w) in reveal}
+        out.append((r[0], ["term:%d:%d" % m.span() for m in WORD.finditer(t) if m.group(0) in terms]))
+    return sorted(out, key=str)
+
+
+def test_every_pair_is_scored(spark):
+    rows = [r for r in make() if r[1] is None or len(r[1]) < 2_000]
+    rows += [(600, "met Anna Meier (anna@x.org), Bonn", None, None, None)]
+    rows += [(610 + i, "text %d\ncall Uwe Lang at ul@y.example or write\nmore %d" % (i, i), None, None, None) for i in range(9)]
+    df = spark.createDataFrame(rows, DOCS)
+    for small in (200_000, 0):
+        got = pii_spans(df, small=small, every=True).collect()
+        assert sorted(((r.doc_id, [x for x in r.spans.split(",") if x.startswith("term:")]) for r in got), key=str) == brute_every(rows)
+    spans = {r.doc_id: r.spans for r in got}
+    assert "term:4:8,term:9:14,term:29:33" in spans[600]
+    assert all("term:12:15,term:16:20" in spans[610 + i] for i in range(9))
+
+
+def test_the_registered_query_scores_every_pair(spark, tmp_path):
+    from posledger.llm import queries
+
+    rows = [(i, "w%d x" % i, None, None, None) for i in range(20)] + [(20, "met Anna Meier (anna@x.org), Bonn", None, None, None)]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    assert [r.spans for r in queries.QUERIES["op9_pii_spans"](spark, str(tmp_path)).where("doc_id = 20").collect()] == ["email:16:26,term:0:3,term:4:8,term:9:14,term:29:33"]
