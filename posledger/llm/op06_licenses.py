@@ -1,11 +1,12 @@
 """Operator 6, license scans.
 
-Templates are winnowed: of each run of ``span`` neighbouring word triples the one with the least hash is a
-fingerprint, and the inverted index takes a fingerprint to its templates and places. Every
-triple of a document is looked up. Hits of a template on near diagonals make a candidate region,
-which is aligned with the template word by word within a band of diagonals (local alignment: a match
-counts 1, a gap or a differing word -1). A template is reported where the words matched are at
-least ``coverage`` of it, with the share matched and the stretch of text.
+An inverted index takes each word of the templates to the templates that have it, and how often. A stretch
+that aligns with a positive score and ``need`` words matched (``coverage`` of a template of n words) is at most
+2n - 1 words long, so some window of 2n - 1 words holds ``need`` words of the template, none counted more often
+than the template has it. Runs of such windows are candidate regions; the filter loses no stretch at the
+threshold. A region is aligned with the template word by word (local alignment: a match counts 1, a
+gap or a differing word -1; up to ``band`` words put in at a place); the best stretches that reach the coverage are taken, none
+overlapping another, and the rest between them is aligned again until none reaches it.
 
 Words are runs of letters, digits and other characters between blanks and ASCII punctuation, with A-Z
 as a-z, so layout and punctuation do not matter. Templates are a parameter: pairs of a name and a text; they
@@ -17,6 +18,8 @@ read in overlapping slices, no window of a template being lost at a border; othe
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,41 +51,48 @@ PUNCTUATED[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
 
 class Scanner:
-    def __init__(self, templates=TEMPLATES, gram: int = 3, span: int = 2, coverage: float = 0.8, band: int = 8):
-        self.names, self.gram, self.coverage, self.band = [n for n, _ in templates], gram, coverage, band
+    def __init__(self, templates=TEMPLATES, coverage: float = 0.8, band: int = 8):
+        self.names, self.band = [n for n, _ in templates], band
         w = K.Words([t.encode() for _, t in templates], True, PUNCTUATED)
         self.words = [w.hash[a:b] for a, b in zip(w.first, w.first[1:])]
-        at, hashes = w.runs(gram)
-        doc, first = w.doc[at], w.first
-        # a template shorter than a window of triples has all its triples as fingerprints
-        keep = K.anchors(at, doc, hashes, 0, span - 1, first[doc], np.maximum(first[doc], first[doc + 1] - gram - span + 1))[0]
+        self.need = [max(1, math.ceil(coverage * len(x))) for x in self.words]
         self.longest = max((len(x) for x in self.words), default=0)
-        order = keep[np.argsort(hashes[keep], kind="stable")]
-        self.hash, self.first = np.unique(hashes[order], return_index=True)
-        self.first = np.append(self.first, len(order))
-        self.template, self.place = doc[order], at[order] - first[doc[order]]
+        self.hash = np.unique(w.hash)
+        # how often a template has each of the words
+        self.room = [np.bincount(np.searchsorted(self.hash, x), minlength=len(self.hash)) for x in self.words]
 
     def candidates(self, words: K.Words):
-        """Rows (document, template, first and last word of the region, least and most diagonal)."""
-        at, hashes = words.runs(self.gram)
-        k = np.minimum(np.searchsorted(self.hash, hashes), max(0, len(self.hash) - 1))
-        ok = np.flatnonzero(self.hash[k] == hashes) if len(self.hash) else np.zeros(0, np.int64)
-        if not len(ok):
+        """Rows (document, template, first word of the region, word past its end)."""
+        if not len(self.hash) or not len(words):
             return []
-        entry, row = K.spread(self.first[k[ok]], self.first[k[ok] + 1] - 1)
-        at, template, diagonal = at[ok][row], self.template[entry], at[ok][row] - self.place[entry]
-        order = np.lexsort((diagonal, template, words.doc[at]))
-        at, template, diagonal = at[order], template[order], diagonal[order]
-        new = np.ones(len(at), bool)
-        new[1:] = (template[1:] != template[:-1]) | (words.doc[at[1:]] != words.doc[at[:-1]]) | (diagonal[1:] - diagonal[:-1] > self.band)
-        edge = np.append(np.flatnonzero(new), len(at))
-        return [(int(words.doc[at[a]]), int(template[a]), int(diagonal[a]), int(diagonal[b - 1])) for a, b in zip(edge, edge[1:])]
-
-    def align(self, template: np.ndarray, text: np.ndarray):
-        """Local alignment: words matched and the half-open range of the text's words, of the best score and, among these, the earliest end."""
+        k = np.minimum(np.searchsorted(self.hash, words.hash), len(self.hash) - 1)
+        at = np.flatnonzero(self.hash[k] == words.hash)
+        order = at[np.argsort(k[at].astype(np.int32), kind="stable")]
+        word, begin = k[order], words.first[words.doc[order]]
+        out = []
+        for t, (need, room) in enumerate(zip(self.need, self.room)):
+            own = np.flatnonzero(room[word])
+            if len(own) < need:
+                continue
+            # a word counts for the window starts back to its last occurrence but ``room``
+            pos, w, size = order[own], word[own], 2 * len(self.words[t]) - 1
+            back = np.arange(len(own)) - room[w]
+            before = np.where((back >= 0) & (w[np.maximum(back, 0)] == w), pos[np.maximum(back, 0)], -1)
+            low = np.maximum(np.maximum(pos - size, before) + 1, begin[own])
+            held = np.cumsum(np.bincount(low, minlength=len(words) + 1) - np.bincount(pos + 1, minlength=len(words) + 1))
+            start = np.flatnonzero(held >= need)
+            if not len(start):
+                continue
+            doc = words.doc[start]
+            edge = np.concatenate([[0], np.flatnonzero((doc[1:] != doc[:-1]) | (start[1:] - start[:-1] > size)) + 1, [len(start)]])
+            out += [(int(doc[a]), t, int(start[a]), int(min(start[b - 1] + size, words.first[doc[a] + 1]))) for a, b in zip(edge, edge[1:])]
+        return out
+
+    def align(self, template: np.ndarray, text: np.ndarray, need: int):
+        """Local alignment: per end in the text the best score with ``need`` words matched (0: none), the words matched and the start."""
         n = len(text)
         score, match, start = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64), np.arange(n + 1)
-        best = (0, 0, 0, 0)
+        best = np.zeros((3, n + 1), np.int64)
         for word in template:
             same = text == word
             new = score[:-1] + np.where(same, 1, -1)
@@ -94,26 +104,47 @@ class Scanner:
                 if not left.any():
                     break
                 s[1:], m[1:], o[1:] = np.where(left, s[:-1] - 1, s[1:]), np.where(left, m[:-1], m[1:]), np.where(left, o[:-1], o[1:])
-            none = s <= 0
+            none = (s < 0) | (s == 0) & (m == 0)
             s[none], m[none], o[none] = 0, 0, np.arange(n + 1)[none]
-            top = int(s.argmax())
-            if s[top] > best[0]:
-                best = (int(s[top]), int(m[top]), int(o[top]), top)
+            better = (m >= need) & (s > best[0])
+            best[:, better] = s[better], m[better], o[better]
             score, match, start = s, m, o
-        return best[1:]
+        return best
+
+    def stretches(self, t: int, text: np.ndarray):
+        """(words matched, first word, word past the end) of stretches that reach the coverage, none overlapping another."""
+        rest = [(0, len(text))]
+        while rest:
+            a, b = rest.pop()
+            if b - a < self.need[t]:
+                continue
+            score, match, start = self.align(self.words[t], text[a:b], self.need[t])
+            ends, used, edges = np.flatnonzero(score), np.zeros(b - a, bool), [a, b]
+            for e in ends[np.argsort(-score[ends], kind="stable")]:
+                if not used[start[e] : e].any():
+                    used[start[e] : e] = True
+                    edges += [a + int(start[e]), a + int(e)]
+                    yield int(match[e]), a + int(start[e]), a + int(e)
+            if len(ends):
+                edges.sort()
+                rest += zip(edges[0::2], edges[1::2])
 
     def scan(self, text: bytes) -> list:
-        """(template, words matched, first and last byte) of every template that is covered enough, by place."""
+        """(template, words matched, first and last byte) of every place of a template that is covered enough, by place."""
         found = {}
-        overlap = 64 * (self.longest + 2 * self.band)
+        overlap = 128 * (self.longest + self.band)
         for base in range(0, max(1, len(text) - overlap), SLICE):
             words = K.Words([text[base : base + SLICE + overlap]], True, PUNCTUATED)
-            for _, k, lo, hi in self.candidates(words):
-                template = self.words[k]
-                a, b = max(0, lo - self.band), min(len(words), hi + len(template) + self.band)
-                matched, i, j = self.align(template, words.hash[a:b])
-                if matched >= self.coverage * len(template):
+            for _, k, a, b in self.candidates(words):
+                for matched, i, j in self.stretches(k, words.hash[a:b]):
                     found[k, base + int(words.start[a + i]), base + int(words.end[a + j - 1])] = matched
+        if len(text) > SLICE:  # what a border cuts is whole in the next slice or the one before
+            best, used = {}, {}
+            for (k, s, e), m in sorted(found.items(), key=lambda x: (-x[1], x[0])):
+                taken = used.setdefault(k, np.zeros(len(text), bool))
+                if not taken[s:e].any():
+                    taken[s:e], best[k, s, e] = True, m
+            found = best
         return sorted((k, m, s, e) for (k, s, e), m in found.items())
 
 
@@ -122,12 +153,12 @@ def _scan(scanner: Scanner):
         for batch in batches:
             rows, raw = [], [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column("text")]
             ids = batch.column("doc_id").to_pylist()
-            for a, b in _slices(raw):  # the words of many short texts at once tell which have a fingerprint
+            for a, b in _slices(raw):  # the words of many short texts at once tell which have a candidate
                 for d in sorted({c[0] for c in scanner.candidates(K.Words(raw[a:b], True, PUNCTUATED))}):
                     text = raw[a + d]
+                    chars = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
                     for k, m, s, e in scanner.scan(text):
-                        start = len(text[:s].decode("utf-8", "ignore"))
-                        rows.append((ids[a + d], scanner.names[k], m, m / len(scanner.words[k]), start, start + len(text[s:e].decode("utf-8", "ignore"))))
+                        rows.append((ids[a + d], scanner.names[k], m, m / len(scanner.words[k]), int(chars[s]), int(chars[e])))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds[c]) for c in range(6)], names=["doc_id", "license", "n_matched", "coverage", "span_start", "span_end"])
 

@@ -65,3 +65,48 @@ def test_every_place_of_a_repeated_notice():
 
 def test_empty(spark):
     assert license_spans(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def places(text, name):
+    data = text.encode()
+    return [data[s:e].decode() for k, _, s, e in Scanner().scan(data) if TEMPLATES[k][0] == name]
+
+
+def test_every_place_of_a_chain():
+    assert places("(c) 2019 A. All rights reserved. (c) 2020 B. All rights reserved.", "Reserved") == ["All rights reserved"] * 2
+    for n in (5, 3_000):
+        assert places("Released under the MIT License.\n" * n, "MIT") == ["Released under the MIT License"] * n
+    assert places("All rights reserved. " * 70_000, "Reserved") == ["All rights reserved"] * 70_000
+
+
+def test_no_intact_triple_is_needed():
+    for text in ("Released under an MIT License.", "x Released truly under an MIT, new License y", "Released with the MIT License"):
+        assert len(places(text, "MIT")) == 1
+
+
+def test_edited_templates_against_plain_alignment():
+    r = random.Random(8)
+
+    def plain(a, b):  # as ``covered``, without its need of a triple
+        best, prev = (0, 0), [(0, 0)] * (len(b) + 1)
+        for x in a:
+            row = [(0, 0)]
+            for j, y in enumerate(b, 1):
+                s, m = prev[j - 1]
+                options = [(s + 1, m + 1) if x == y else (s - 1, m), (prev[j][0] - 1, prev[j][1]), (row[j - 1][0] - 1, row[j - 1][1]), (0, 0)]
+                row.append(max(options, key=lambda t: t[0]))
+            best, prev = max(best, *row), row
+        return best[1]
+
+    n = 0
+    for i in range(20 * len(TEMPLATES)):
+        k = i % len(TEMPLATES)
+        w = words(TEMPLATES[k][1])
+        b = list(w)
+        for _ in range(r.randint(0, len(w) // 4 + 1)):
+            b[r.randrange(len(b))] = r.choice(["new", "new " + b[-1], b[0] + " one", r.choice(w)])
+        text = " ".join(["x"] * r.randint(0, 9) + b + ["y"] * r.randint(0, 9))
+        if plain(w, words(text)) >= 0.8 * len(w):
+            n += 1
+            assert k in {x[0] for x in Scanner().scan(text.encode())}, text
+    assert n > 50
