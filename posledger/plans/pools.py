@@ -77,20 +77,20 @@ def valued_positions(spark, sf_dir):
     return v.select("user", "spoke", "reserve_id", F.col("asset.asset_id").alias("asset_id"), F.col("asset.decimals").alias("decimals"), *[F.col(f"value.{c}").cast("string").alias(c) for c in VALUE])
 
 
-def _labels(spark, sf_dir) -> DataFrame:
-    return page.latest_snapshot(m.label_rows(spark, sf_dir), ["chain_id", "token"])
+def _labels(spark, sf_dir, every=False) -> DataFrame:
+    return page.latest_snapshot(m.label_rows(spark, sf_dir, every), ["chain_id", "token"])
 
 
-def _prices(spark, sf_dir) -> DataFrame:
-    return page.latest_snapshot(page.valid_prices(m.price_snapshots(spark, sf_dir)), ["chain_id", "spoke", "reserve_id"], "priced_at")
+def _prices(spark, sf_dir, every=False) -> DataFrame:
+    return page.latest_snapshot(page.valid_prices(m.price_snapshots(spark, sf_dir, every)), ["chain_id", "spoke", "reserve_id"], "priced_at")
 
 
-def _enriched(spark, sf_dir, with_prices=True) -> DataFrame:
-    return page.enrich(_valued(spark, sf_dir), _labels(spark, sf_dir), _prices(spark, sf_dir), with_prices)
+def _enriched(spark, sf_dir, with_prices=True, every=False) -> DataFrame:
+    return page.enrich(_valued(spark, sf_dir), _labels(spark, sf_dir, every), _prices(spark, sf_dir, every), with_prices)
 
 
-def enriched_positions(spark, sf_dir):
-    e = _enriched(spark, sf_dir)
+def enriched_positions(spark, sf_dir, every=False):
+    e = _enriched(spark, sf_dir, every=every)
     return e.select("user", "spoke", "reserve_id", "symbol", "name", "underlying", "supplied", "debt", "premium", "price_usd", "supplied_usd", "debt_usd")
 
 
@@ -100,20 +100,20 @@ def unpriced_nulls(spark, sf_dir):
     return e.groupBy("reserve_id").agg(F.count("*").alias("n"), F.count("supplied").alias("scaled"), F.count("price_usd").alias("priced"), F.count("supplied_usd").alias("in_usd"))
 
 
-def pricing_staleness(spark, sf_dir):
-    return page.pricing_stamp(_enriched(spark, sf_dir), m.T0 + 400)
+def pricing_staleness(spark, sf_dir, every=False):
+    return page.pricing_stamp(_enriched(spark, sf_dir, every=every), m.T0 + 400)
 
 
-def latest_prices(spark, sf_dir):
-    return _prices(spark, sf_dir).select("spoke", "reserve_id", F.col("price").cast("string").alias("price"), "priced_at")
+def latest_prices(spark, sf_dir, every=False):
+    return _prices(spark, sf_dir, every).select("spoke", "reserve_id", F.col("price").cast("string").alias("price"), "priced_at")
 
 
-def label_gap(spark, sf_dir):
-    return page.label_gap(f.listed_tokens(lg.append(m.hub_events(spark, sf_dir), 1)), _labels(spark, sf_dir))
+def label_gap(spark, sf_dir, every=False):
+    return page.label_gap(f.listed_tokens(lg.append(m.hub_events(spark, sf_dir), 1)), _labels(spark, sf_dir, every))
 
 
-def decimals_audit(spark, sf_dir):
-    return page.decimals_audit(_pool(spark, sf_dir), _labels(spark, sf_dir)).select("asset_id", "underlying", "decimals", "token_decimals")
+def decimals_audit(spark, sf_dir, every=False):
+    return page.decimals_audit(_pool(spark, sf_dir), _labels(spark, sf_dir, every)).select("asset_id", "underlying", "decimals", "token_decimals")
 
 
 def scaled_amounts(spark, sf_dir):
@@ -142,15 +142,15 @@ def oracle_batches(spark, sf_dir):
     return rows.groupBy("priced_at").agg(F.count("*").alias("n"), F.sum(F.col("accepted").cast("long")).alias("accepted"), F.sum("price").cast("string").alias("total"))
 
 
-def _priced(spark, sf_dir) -> DataFrame:
-    v = _valued(spark, sf_dir).join(_prices(spark, sf_dir), ["chain_id", "spoke", "reserve_id"]).where("value IS NOT NULL")
+def _priced(spark, sf_dir, every=False) -> DataFrame:
+    v = _valued(spark, sf_dir).join(_prices(spark, sf_dir, every), ["chain_id", "spoke", "reserve_id"]).where("value IS NOT NULL")
     n = F.col("asset.decimals")
     value = lambda x: w.to_value(F.col(f"value.{x}"), n, F.col("price"))
     return v.select("chain_id", "user", "spoke", "reserve_id", "using_as_collateral", value("supplied").alias("supplied_value"), value("total_debt").alias("debt_value"), (F.lit(5000) + F.col("reserve_id") * 100).alias("factor_bps"))
 
 
-def spoke_totals(spark, sf_dir):
-    return risk.spoke_totals(_priced(spark, sf_dir)).select("user", "spoke", *_text(None, ("supplied_value", "debt_value", "net_worth")))
+def spoke_totals(spark, sf_dir, every=False):
+    return risk.spoke_totals(_priced(spark, sf_dir, every)).select("user", "spoke", *_text(None, ("supplied_value", "debt_value", "net_worth")))
 
 
 def health_factor(spark, sf_dir):
@@ -244,3 +244,16 @@ SELECT usr AS user, spoke, CASE WHEN sum(dv) > 0 THEN CAST((sum(sv * (5000 + r *
     "price_asof": """WITH o AS (SELECT o_orderkey, o_custkey % 17 AS asset_id, o_orderstatus, CAST(round(o_totalprice * 100) AS BIGINT) AS price FROM orders)
 SELECT o_orderkey, asset_id, CAST(last_value(CASE WHEN o_orderstatus = 'F' THEN price END IGNORE NULLS) OVER (PARTITION BY asset_id ORDER BY o_orderkey) AS VARCHAR) AS price FROM o""",
 }
+
+#: The queries of labels and prices over every row of ``part``, which grow with it; those above keep to the first rows, as their SQL does.
+WHOLE = ("latest_prices", "enriched_positions", "pricing_staleness", "spoke_totals", "label_gap", "decimals_audit")
+_LAB_WHOLE = _LAB.replace("p_partkey < 40 AND ", "")
+_PRICE_WHOLE = _PRICE.replace("p_partkey < 56 AND ", "").replace("p_partkey <> 31", "CAST(round(p_retailprice * 100) AS BIGINT) % 7 <> 3")
+
+
+def _whole(query):
+    return lambda spark, sf_dir: query(spark, sf_dir, every=True)
+
+
+QUERIES |= {f"{n}_whole": _whole(QUERIES[n]) for n in WHOLE}
+ORACLES |= {f"{n}_whole": ORACLES[n].replace(_LAB, _LAB_WHOLE).replace(_PRICE, _PRICE_WHOLE) for n in WHOLE}
