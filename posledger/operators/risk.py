@@ -27,6 +27,14 @@ def health_factor(priced: DataFrame) -> DataFrame:
     return df.withColumn("health_factor", F.when(F.col("debt_value") > 0, w.div_down(scaled, F.col("debt_value"))))
 
 
+def health_factor_wide(priced: DataFrame) -> DataFrame:
+    """As ``health_factor``, with the quotient by the wide path: values of full width, the result as a digit string."""
+    counted = F.when(F.col("using_as_collateral"), w.mul(F.col("supplied_value"), F.col("factor_bps"))).otherwise(w.num(0))
+    df = priced.groupBy("chain_id", "user", "spoke").agg(F.sum(counted).cast(w.DEC).alias("weighted"), F.sum("debt_value").cast(w.DEC).alias("debt_value"))
+    debt = F.when(F.col("debt_value") > 0, F.col("debt_value").cast("string"))
+    return df.withColumn("health_factor", w.mul_div_wide(F.col("weighted").cast("string"), F.lit(str(10**14)), debt))
+
+
 def headroom(health: Column) -> Column:
     """1 - 1 / HF in 18 decimals, floored."""
     return (w.num(10**18) - w.div_up(w.num(10**36), health)).cast(w.DEC)

@@ -158,6 +158,11 @@ def health_factor(spark, sf_dir):
     return h.select("user", "spoke", F.col("health_factor").cast("string").alias("health_factor"))
 
 
+def health_factor_whole(spark, sf_dir):
+    """Health by the folded collateral flag over exact values, with every part's price."""
+    return risk.health_factor_wide(_priced(spark, sf_dir, every=True)).select("user", "spoke", "health_factor")
+
+
 def price_asof(spark, sf_dir):
     """The price in force at each order of an asset: the last order of that asset by an 'F' order before it or with it."""
     o = m.table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey % 17 AS asset_id", "o_orderkey AS t", "o_orderstatus", "cast(round(o_totalprice * 100) AS decimal(38,0)) AS price")
@@ -170,7 +175,7 @@ QUERIES = {
     x.__name__: x
     for x in (
         hub_additive_fold, hub_latest_wins, hub_assets_current, listed_tokens, drawn_index_at, total_added_assets, supplied_amount, valued_positions, enriched_positions, unpriced_nulls,
-        pricing_staleness, latest_prices, label_gap, decimals_audit, scaled_amounts, clean_labels, oracle_batches, spoke_totals, health_factor, price_asof,
+        pricing_staleness, latest_prices, label_gap, decimals_audit, scaled_amounts, clean_labels, oracle_batches, spoke_totals, health_factor, health_factor_whole, price_asof,
     )
 }
 
@@ -255,5 +260,15 @@ def _whole(query):
     return lambda spark, sf_dir: query(spark, sf_dir, every=True)
 
 
+#: The quotient by long division in two steps of seven digits, which keeps its products in range.
+_HEALTH_WHOLE = f"""WITH {_VAL}, {_PRICE_WHOLE}, fl AS (SELECT usr, spoke, r, coalesce(arg_max(flag, event_id), false) AS flag FROM spd GROUP BY usr, spoke, r),
+e AS (SELECT val.usr, val.spoke, CASE WHEN flag THEN supplied * price * CAST('1' || repeat('0', 18 - decs) AS HUGEINT) * (5000 + val.r * 100) ELSE 0::HUGEINT END AS sv,
+ (drawn_debt + premium_debt) * price * CAST('1' || repeat('0', 18 - decs) AS HUGEINT) AS dv
+ FROM val JOIN prices_ pp ON pp.spoke = val.spoke AND pp.r = val.r JOIN fl ON fl.usr = val.usr AND fl.spoke = val.spoke AND fl.r = val.r WHERE good),
+t AS (SELECT usr, spoke, CAST(sum(sv) AS HUGEINT) AS n, CAST(sum(dv) AS HUGEINT) AS d FROM e GROUP BY usr, spoke),
+q AS (SELECT *, CASE WHEN d > 0 THEN n // d END AS q0, CASE WHEN d > 0 THEN (n % d) * 10000000 END AS r0 FROM t)
+SELECT usr AS user, spoke, CAST(q0 * 100000000000000 + (r0 // d) * 10000000 + ((r0 % d) * 10000000) // d AS VARCHAR) AS health_factor FROM q"""
+
 QUERIES |= {f"{n}_whole": _whole(QUERIES[n]) for n in WHOLE}
+ORACLES |= {"health_factor_whole": _HEALTH_WHOLE}
 ORACLES |= {f"{n}_whole": ORACLES[n].replace(_LAB, _LAB_WHOLE).replace(_PRICE, _PRICE_WHOLE) for n in WHOLE}
