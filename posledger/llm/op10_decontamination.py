@@ -5,7 +5,8 @@ A document holds a leak of a benchmark item if some ``window`` bytes of the item
 at least ``window + 1 - q * (edits + 1)`` q-grams whose diagonals (place in the document less place in
 the item) lie within ``edits`` of each other. So each q-gram of the document that the benchmark
 has is counted in diagonal bands, which overlap by ``edits``; where a window of the item gathers
-enough in one band, all windows there are aligned within the band.
+enough in one band, all windows there are aligned within the band. Items for which ``q`` leaves no q-gram
+in common (32 to 35 bytes by default) are searched by shorter ones, in passes of their own.
 
 Texts are compared as UTF-8 bytes, A-Z as a-z and every blank as a space. The benchmark is
 searched in blocks of at most about ``block_bytes``, each in one pass over all documents, so that
@@ -17,7 +18,7 @@ never found; repeated rows give repeated results; other columns are ignored by `
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,11 @@ class Budget:
         n = min(self.window, length)
         return n, self.edits * n // self.window
 
+    def gram(self, length: int) -> int:
+        """The longest q, up to ``q``, of which a window within the edits shares at least one."""
+        n, e = self.of(length)
+        return max(1, min(self.q, n // (e + 1)))
+
     def shared(self, length: int) -> int:
         n, e = self.of(length)
         return max(1, n + 1 - self.q * (e + 1))
@@ -255,8 +261,8 @@ def _indexes(benchmark: DataFrame, budget: Budget, block_bytes: int):
     items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     for part in range(blocks):
         own = sorted(((r.item_id, r.text) for r in items.where(F.col("part") == part).collect()), key=str)
-        if own:
-            yield Index(own, budget)
+        for q in sorted({budget.gram(len(t.encode())) for _, t in own}, reverse=True):
+            yield Index([(i, t) for i, t in own if budget.gram(len(t.encode())) == q], replace(budget, q=q))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, budget: Budget = Budget(), block_bytes: int = 1 << 20) -> DataFrame:

@@ -85,3 +85,14 @@ def test_align():
 def test_empty(spark):
     none, items = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
     assert leaks(none, items).count() == 0 and decontaminated(none, items).count() == 0
+
+
+def test_two_edits_in_an_item_of_32_to_35_bytes(spark):
+    r = random.Random(2)
+    items = [(n, "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))) for n in (24, 31, 32, 33, 34, 35, 36, 48)]
+    docs = []
+    for n, t in items[2:7]:
+        docs.append((n, "1234 " + t[:10] + "#" + t[11:21] + "#" + t[22:] + " 5678", None, None, None))
+        docs.append((100 + n, "1234 " + t[:11] + "#" + t[12:23] + "#" + t[24:] + " 5678", None, None, None))
+    got = leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == brute(docs, items, Budget()) >= {(k + n, n) for k in (0, 100) for n in (32, 33, 34, 35)}
