@@ -1,8 +1,9 @@
 """Vectorised text kernels: hashes of words, word runs and byte runs over a whole block of documents.
 
-A block is a few megabytes of text held by one task. Hashes are polynomials modulo 2**64 over
-random byte values, finished by a bit mixer, so that equal strings always get equal hashes and
-unequal ones collide with a probability near 2**-64.
+A block is a few megabytes of text held by one task. Hashes of runs are two polynomials over random
+31-bit values modulo the prime 2**31 - 1, at two random points, finished by a bit mixer: equal strings
+always get equal hashes, and two different runs of n letters equal ones with a probability of at most
+(n / 2**31)**2, about 2**-62 for strings of no special form.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
 _SEED = 20240229
 
 
@@ -34,34 +34,70 @@ LOWER = BYTES.copy()
 LOWER[65:91] = BYTES[97:123]
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
+PRIME = U((1 << 31) - 1)
+#: Two points at which the polynomials are taken, per kind of run (letters, words, words of windows).
+POINTS = ((1_215_752_192, 987_654_321), (1_431_655_765, 1_735_928_559), (1_640_531_527, 2_027_808_487))
 _powers: dict[int, np.ndarray] = {}
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime in place, not quite reduced: any 64-bit x becomes one under 2**34, one under 2**34 one under 2**31 + 8."""
+    high = x >> U(31)
+    x &= PRIME
+    x += high
+    return x
+
+
+def _canonical(x: np.ndarray) -> np.ndarray:
+    x = _folded(_folded(x))
+    return np.minimum(x, x - PRIME)  # below the prime the difference wraps to a larger number
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept per process and grown on demand."""
+    """base**0 .. base**(n-1) modulo the prime; kept per process and grown on demand, doubling."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        step = np.full(max(n, 1 << 16), base, U)
-        step[0] = 1
-        have = _powers[base] = np.cumprod(step, dtype=U)
+        have = np.ones(1, U) if have is None else have.astype(U)
+        while len(have) < max(n, 1 << 16):
+            have = np.concatenate([have, _canonical(have * U(pow(base, len(have), int(PRIME))))])
+        have = _powers[base] = have.astype(np.uint32)
     return have[:n]
 
 
-def inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
-
-
 class Rolling:
-    """Hashes of any run [i, j) of a sequence of 64-bit values."""
+    """Hashes of any run [i, j) of a sequence of 64-bit values; computed in pieces that fit a core's cache."""
+
+    PIECE = 1 << 14
 
     def __init__(self, values: np.ndarray, salt: int = 0):
-        base, n = (_BASE + 0x5DEECE66C * salt) % (1 << 64) | 1, len(values)
-        self.sums = np.zeros(n + 1, U)
-        np.cumsum(values * powers(base, n), out=self.sums[1:])
-        self.back = powers(inverse(base), n + 1)
+        n = len(values)
+        self.sums = [np.zeros(n + 1, np.uint32) for _ in POINTS[salt]]
+        self.back = [powers(pow(point, -1, int(PRIME)), n + 1) for point in POINTS[salt]]
+        forth, carry = [powers(point, n) for point in POINTS[salt]], [U(0), U(0)]
+        for a in range(0, n, self.PIECE):
+            piece = values[a : a + self.PIECE]
+            for k, half in enumerate((piece & PRIME, piece >> U(33))):
+                half *= forth[k][a : a + len(piece)]
+                half = np.cumsum(_folded(half), out=half)
+                half += carry[k]
+                half = self.sums[k][a + 1 : a + 1 + len(piece)] = _folded(_folded(half))
+                carry[k] = half[-1]
 
     def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return mix((self.sums[j] - self.sums[i]) * self.back[i])
+        out = np.empty(len(i), U)
+        for a in range(0, len(i), self.PIECE):
+            here, there, made = i[a : a + self.PIECE], j[a : a + self.PIECE], out[a : a + self.PIECE]
+            made[:] = 0
+            for sums, back in zip(self.sums, self.back):
+                x = sums[there].astype(U)
+                x += U(3) * PRIME
+                x -= sums[here]
+                x = _folded(x)
+                x *= back[here]
+                made <<= U(31)
+                made |= _canonical(x)
+            made[:] = mix(made)
+        return out
 
 
 class Words:
