@@ -11,7 +11,8 @@ finds by its kind, and removes terms of a share of ``remove`` or more.
 With ``every``, as the registered query has it, every pair is scored, one seen once included, and what is glued to
 a match, such as brackets or a full stop, is passed over on the way to its words. Without it only terms in two different
 surroundings at least are scored, and a match has words only on a side where a blank follows at once.
-Words are looked for in the nearest 64 characters per word of ``reach`` (64 more for what is glued).
+Words are taken whole, however long: what is looked at on a side doubles until ``reach`` words and the blank
+beyond them are in it, or the text ends.
 
 The base patterns are written so that a match starts where a leftmost match must and no run of
 characters is scanned again from each of its places: long runs cost their length.
@@ -105,6 +106,41 @@ def _key(text: Column) -> list:
     return [F.xxhash64(text).alias("k1"), F.hash(text, F.lit(3)).alias("k2")]
 
 
+BLANK, LETTER = r"[\x20\x09-\x0D]", WORD[:-1]
+
+
+def _context(s: Column, e: Column, reach: int, every: bool) -> tuple:
+    """The ``reach`` words (with their blanks) before place ``s`` and those after ``e`` of ``text``."""
+    glued = rf"{LETTER}*+" if every else ""
+    text, size = F.col("text"), F.length("text")
+
+    def widened(window, enough: str) -> Column:
+        """The least doubling of the window that is enough; the last one is the whole side."""
+
+        def step(acc, k):
+            wide = F.lit(64 * (reach + 1)) * F.pow(F.lit(2.0), k).cast("long")
+            return F.when(acc.isNotNull(), acc).otherwise(bound(window(wide), lambda w: F.when((k == 24) | w["all"] | w["text"].rlike(enough), w["text"])))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(24)), F.lit(None).cast("string"), step)
+
+    def left(wide):
+        n = F.least(s.cast("long"), wide).cast("int")
+        return F.struct(F.substr(text, s - n + 1, n).alias("text"), (n == s).alias("all"))
+
+    def right(wide):
+        n = F.least((size - e).cast("long"), wide).cast("int")
+        return F.struct(F.substr(text, e + 1, n).alias("text"), (n == size - e).alias("all"))
+
+    # without ``every`` a side on which no blank follows at once has no words, which is known at once
+    none = "" if every else rf"|(?<!{BLANK})\z"
+    before = widened(left, rf"{BLANK}(?:{LETTER}++{BLANK}++){{{reach}}}{glued}\z{none}")
+    none = "" if every else rf"|\A(?!{BLANK})"
+    after = widened(right, rf"\A{glued}(?:{BLANK}++{LETTER}++){{{reach}}}{BLANK}{none}")
+    before = F.regexp_extract(before, rf"(?<!{LETTER})((?:{LETTER}++{BLANK}++){{0,{reach}}}){glued}\z", 1)
+    after = F.regexp_extract(after, rf"\A{glued}((?:{BLANK}++{LETTER}++){{0,{reach}}})", 1)
+    return before, after
+
+
 def occurrences(docs: DataFrame, reach: int = 3, every: bool = False) -> DataFrame:
     """Rows (k1, k2, copies, entity, terms, around) of the base matches of each different text."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -113,16 +149,12 @@ def occurrences(docs: DataFrame, reach: int = 3, every: bool = False) -> DataFra
     kinds = [_tagged(F.col(f"found.{k}"), k) for k in KINDS]
     one = some.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.first("text").alias("text"), F.first("found").alias("found"))
     each = one.select("k1", "k2", "copies", "text", F.explode(F.concat(*kinds)).alias("x"))
-    span = 64 * (reach + every)
-    glued = r"[^\x20\x09-\x0D]*+" if every else ""
-    left = F.expr(f"substring(text, greatest(1, x.s + 1 - {span}), least(x.s, {span}))")
-    right = F.expr(f"substring(text, x.e + 1, {span})")
-    before = F.regexp_extract(left, rf"((?:(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{0,{reach}}}){glued}$", 1)
-    after = F.regexp_extract(right, rf"^{glued}((?:[\x20\x09-\x0D]++[^\x20\x09-\x0D]++(?![^\x20\x09-\x0D])){{0,{reach}}})", 1)
-    words = lambda c: F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
+    before, after = _context(F.col("x.s"), F.col("x.e"), reach, every)
     value = F.when(F.col("x.kind").isin("card", "phone"), _digits(F.col("x.m"))).otherwise(F.lower("x.m"))
-    terms = F.array_distinct(F.concat(words(before), words(after)))
-    return each.select("k1", "k2", "copies", F.concat_ws(":", F.col("x.kind"), value).alias("entity"), terms.alias("terms"), F.xxhash64(before, after).alias("around"))
+    each = each.select("k1", "k2", "copies", F.concat_ws(":", F.col("x.kind"), value).alias("entity"), before.alias("before"), after.alias("after"))
+    words = lambda c: F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
+    terms = F.array_distinct(F.concat(words("before"), words("after")))
+    return each.select("k1", "k2", "copies", "entity", terms.alias("terms"), F.xxhash64("before", "after").alias("around"))
 
 
 def revealing(docs: DataFrame, near: DataFrame, generalise: float, every: bool = False) -> DataFrame:

@@ -157,3 +157,17 @@ def test_the_registered_query_scores_every_pair(spark, tmp_path):
     rows = [(i, "w%d x" % i, None, None, None) for i in range(20)] + [(20, "met Anna Meier (anna@x.org), Bonn", None, None, None)]
     spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     assert [r.spans for r in queries.QUERIES["op9_pii_spans"](spark, str(tmp_path)).where("doc_id = 20").collect()] == ["email:16:26,term:0:3,term:4:8,term:9:14,term:29:33"]
+
+
+def test_words_of_any_length_stand_near(spark):
+    long = ["a" * 90, "b" * 90, "c" * 700, "d" * 5_000]
+    rows = [(1, "x " + " ".join(long[:2]) + " one me@x.org two " + " ".join(long[2:]) + " y", None, None, None)]
+    rows += [(2, " ".join(long).upper() + " me2@x.org", None, None, None), (3, "(" * 3_000 + "me3@x.org" + ")" * 3_000 + " " + "g" * 9_000 + " e f", None, None, None)]
+    rows += [(4, "me4@x.org", None, None, None), (5, "z" * 20_000 + " " + "me5@x.org", None, None, None)]
+    rows += [(10 + i, "w%d x" % i, None, None, None) for i in range(20)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("term:")] for r in pii_spans(df, every=True).collect()}
+    assert got == dict(brute_every(rows)) and [len(got[k]) for k in (1, 2, 3, 5)] == [6, 3, 3, 1]
+    for r in (1, 5):
+        got = {x.doc_id: [y for y in x.spans.split(",") if y.startswith("term:")] for x in pii_spans(df, reach=r, every=True).collect()}
+        assert got == dict(brute_every(rows, reach=r))
