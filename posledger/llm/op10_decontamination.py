@@ -6,14 +6,17 @@ at least ``window + 1 - q * (edits + 1)`` q-grams whose diagonals (place in the
 the item) lie within ``edits`` of each other. So each q-gram of the document that the benchmark
 has is counted in diagonal bands, which overlap by ``edits``; where a window of the item gathers
 enough in one band, all windows there are aligned within the band. Items for which ``q`` leaves no q-gram
-in common (32 to 35 bytes by default) are searched by shorter ones, in passes of their own.
+in common (32 to 35 bytes by default) are searched by shorter ones.
+
+Items under ``least`` bytes are too short to bear edits: they are found where they stand whole and exact, with no
+letter or digit on either side; their q-grams are as long as they are, ``q`` at most.
 
 Texts are compared as UTF-8 bytes, A-Z as a-z and every blank as a space. The benchmark is
 searched in blocks of at most about ``block_bytes``, each in one pass over all documents, so that
 what a task is sent never grows with the benchmark.
 
-Null and empty texts hold nothing; null items and items under ``least`` bytes, too short to tell a leak by, are
-never found; repeated rows give repeated results; other columns are ignored by ``leaks``.
+Null and empty texts hold nothing; null items and items without a letter or digit are never found; repeated rows
+give repeated results; other columns are ignored by ``leaks``.
 """
 
 from __future__ import annotations
@@ -33,6 +36,9 @@ SLICE = 1 << 20
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 FOLD[[9, 10, 11, 12, 13]] = 32
+#: Letters and digits of folded text, all bytes of characters beyond ASCII among them.
+ALNUM = np.zeros(256, bool)
+ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 
 @dataclass(frozen=True)
@@ -45,7 +51,7 @@ class Budget:
     def of(self, length: int) -> tuple[int, int]:
         """Window length and edits for an item."""
         n = min(self.window, length)
-        return n, self.edits * n // self.window
+        return n, self.edits * n // self.window if length >= self.least else 0
 
     def gram(self, length: int) -> int:
         """The longest q, up to ``q``, of which a window within the edits shares at least one."""
@@ -82,10 +88,8 @@ def grams(values: np.ndarray, q: int) -> np.ndarray:
 class Index:
     """The q-grams of some benchmark items, and where each occurs."""
 
-    BITS = 22
-
     def __init__(self, items: list, budget: Budget):
-        self.budget, self.ids = budget, [i for i, _ in items]
+        self.budget, self.ids, self.short = budget, [i for i, _ in items], all(len(t.encode()) < budget.least for _, t in items)
         self.texts = [folded(t.encode()) for _, t in items]
         self.length = length = np.array([len(t) for t in self.texts], np.int64)
         self.flat, self.begin = np.concatenate(self.texts), np.concatenate([[0], np.cumsum(length)[:-1]])
@@ -97,13 +101,14 @@ class Index:
         self.item, self.place = item[order], place[order]
         self.hash, self.first = np.unique(every[order], return_index=True)
         self.first = np.append(self.first, len(every))
-        self.seen = np.zeros(1 << self.BITS, bool)
+        self.bits = int(np.clip(np.ceil(np.log2(len(self.hash) + 1)) + 3, 10, 22))
+        self.seen = np.zeros(1 << self.bits, bool)
         self.seen[self._slot(self.hash)] = True
         self.window = np.array([budget.of(n)[0] for n in length])
         self.need = np.array([budget.shared(n) for n in length])
 
     def _slot(self, h: np.ndarray) -> np.ndarray:
-        return (h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - self.BITS)).astype(np.int64)
+        return (h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def hits(self, text: np.ndarray, most: int = 4_000_000):
         """Places in the text and entries of the index with equal q-grams, in runs of at most about ``most``; runs overlap."""
@@ -174,9 +179,35 @@ def align(item: np.ndarray, start: np.ndarray, text: np.ndarray, place: np.ndarr
     return least, end
 
 
-def search(index: Index, texts: list) -> list:
-    """Of each text: per item (first and last byte in the text, in the item, least edits) over all aligned windows."""
+def exact(index: Index, text: np.ndarray, before: bool, after: bool) -> dict:
+    """Of an index of short items, those that stand in the text with no letter or digit beside them.
+
+    ``before`` and ``after`` tell whether the text is cut there, which hides what stands beside.
+    """
+    out: dict = {}
+    for at, entry in index.hits(text):
+        start, item = at[index.place[entry] == 0], index.item[entry[index.place[entry] == 0]]
+        n = index.length[item]
+        ok = start + n <= len(text)
+        for k in range(int(n.max(initial=0))):
+            ok &= (k >= n) | (text[np.minimum(start + k, len(text) - 1)] == index.flat[np.minimum(index.begin[item] + k, len(index.flat) - 1)])
+        start, item, n = start[ok], item[ok], n[ok]
+        left = np.where(start > 0, ALNUM[text[np.maximum(start - 1, 0)]], before)
+        right = np.where(start + n < len(text), ALNUM[text[np.minimum(start + n, len(text) - 1)]], after)
+        for k, s, m in zip(item[~left & ~right].tolist(), start[~left & ~right].tolist(), n[~left & ~right].tolist()):
+            had = out.get(k, (s, s + m))
+            out[k] = (min(had[0], s), max(had[1], s + m), 0, m, 0)
+    return out
+
+
+def search(index: Index, texts: list, cut: list | None = None) -> list:
+    """Of each text: per item (first and last byte in the text, in the item, least edits) over all aligned windows.
+
+    ``cut`` tells of each text whether more of a document stands before and after it.
+    """
     out, budget, rows = [{} for _ in texts], index.budget, []
+    if index.short:
+        return [exact(index, folded(t), *c) for t, c in zip(texts, cut or [(False, False)] * len(texts))]
     values = [folded(t) for t in texts]
     for d, value in enumerate(values):
         found = index.candidates(value)
@@ -213,7 +244,8 @@ def found_in(index: Index, texts: list) -> list:
     overlap, out, part, size = 4 * index.budget.window, [{} for _ in texts], [], 0
 
     def flush():
-        for (d, a), found in zip([p[:2] for p in part], search(index, [p[2] for p in part])):
+        cut = [(a > 0, a + len(piece) < len(texts[d])) for d, a, piece in part]
+        for (d, a), found in zip([p[:2] for p in part], search(index, [p[2] for p in part], cut)):
             for k, (s, e, i, j, c) in found.items():
                 h = out[d].get(k, (s + a, e + a, i, j, c))
                 out[d][k] = (min(h[0], s + a), max(h[1], e + a), min(h[2], i), max(h[3], j), min(h[4], c))
@@ -230,51 +262,60 @@ def found_in(index: Index, texts: list) -> list:
     return out
 
 
-def _found(index: Index, batch: pa.RecordBatch):
-    return found_in(index, [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column("text")])
+def _found(indexes: list, batch: pa.RecordBatch) -> list:
+    """Of each text of the batch: (item, what was found of it)."""
+    texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column("text")]
+    out = [[] for _ in texts]
+    for index in indexes:
+        for rows, found in zip(out, found_in(index, texts)):
+            rows += [(index.ids[k], v) for k, v in sorted(found.items())]
+    return out
 
 
-def _scan(index: Index):
+def _scan(indexes: list):
     names = ["doc_id", "item_id", "doc_start", "doc_end", "item_start", "item_end", "edits"]
 
     def scan(batches):
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            rows = [(doc_id, index.ids[k], *v) for doc_id, found in zip(ids, _found(index, batch)) for k, v in sorted(found.items())]
+            rows = [(doc_id, item, *v) for doc_id, found in zip(ids, _found(indexes, batch)) for item, v in found]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(7)], names=names)
 
     return scan
 
 
-def _without(index: Index):
+def _without(indexes: list):
     def scan(batches):
         for batch in batches:
-            yield batch.filter(pa.array([not found for found in _found(index, batch)], pa.bool_()))
+            yield batch.filter(pa.array([not found for found in _found(indexes, batch)], pa.bool_()))
 
     return scan
 
 
 def _indexes(benchmark: DataFrame, budget: Budget, block_bytes: int):
-    """The benchmark in blocks of about ``block_bytes``, each indexed."""
-    items = benchmark.where(F.octet_length("text") >= budget.least).select("item_id", "text")
+    """The benchmark in blocks of about ``block_bytes``: of each an index per length of q-gram."""
+    items = benchmark.where((F.octet_length("text") >= budget.least) | F.col("text").rlike(r"[\p{L}\p{N}]")).select("item_id", "text")
     blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
     items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     for part in range(blocks):
         own = sorted(((r.item_id, r.text) for r in items.where(F.col("part") == part).collect()), key=str)
-        for q in sorted({budget.gram(len(t.encode())) for _, t in own}, reverse=True):
-            yield Index([(i, t) for i, t in own if budget.gram(len(t.encode())) == q], replace(budget, q=q))
+        by_gram: dict = {}
+        for item in own:
+            n = len(item[1].encode())
+            by_gram.setdefault((n >= budget.least, budget.gram(n)), []).append(item)
+        yield [Index(some, replace(budget, q=q)) for (_, q), some in sorted(by_gram.items(), reverse=True)]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, budget: Budget = Budget(), block_bytes: int = 1 << 20) -> DataFrame:
     """A row per document and item that it holds: spans in bytes over all aligned windows, and the least edits of a window."""
     docs, out = docs.select("doc_id", "text"), docs.sparkSession.createDataFrame([], RESULT)
-    for index in _indexes(benchmark, budget, block_bytes):
-        out = out.unionByName(docs.mapInArrow(_scan(index), RESULT))
+    for indexes in _indexes(benchmark, budget, block_bytes):
+        out = out.unionByName(docs.mapInArrow(_scan(indexes), RESULT))
     return out
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, budget: Budget = Budget(), block_bytes: int = 1 << 20) -> DataFrame:
     """The documents that hold no leak, with all their columns."""
-    for index in _indexes(benchmark, budget, block_bytes):
-        docs = docs.mapInArrow(_without(index), docs.schema)
+    for indexes in _indexes(benchmark, budget, block_bytes):
+        docs = docs.mapInArrow(_without(indexes), docs.schema)
     return docs

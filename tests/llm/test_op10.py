@@ -96,3 +96,39 @@ def test_two_edits_in_an_item_of_32_to_35_bytes(spark):
         docs.append((100 + n, "1234 " + t[:11] + "#" + t[12:23] + "#" + t[24:] + " 5678", None, None, None))
     got = leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
     assert {(x.doc_id, x.item_id) for x in got} == brute(docs, items, Budget()) >= {(k + n, n) for k in (0, 100) for n in (32, 33, 34, 35)}
+
+
+def test_every_edit_within_the_budget_is_found_at_every_length(spark):
+    """Items of 24 to 90 bytes with 0 to e random edits: all found (recall 1.0)."""
+    r, budget = random.Random(4), Budget()
+    say = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)).strip().ljust(n, "q")
+    items, docs = [], []
+    for n in range(24, 91, 3):
+        items.append((n, say(n)))
+        for e in range(budget.of(n)[1] + 1):
+            for k in range(6):
+                text = items[-1][1]
+                for _ in range(e):
+                    at = r.randrange(len(text))
+                    text = text[:at] + r.choice(["", "#", "#" + text[at]]) + text[at + 1 :]
+                docs.append((1000 * n + 100 * e + k, "1234567 " + text + " 7654321", None, None, None))
+    got = {(x.doc_id, x.item_id) for x in leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+    assert {d for d, i in got if d // 1000 == i} == {d[0] for d in docs}
+    assert got == brute(docs, items, budget)
+
+
+def test_short_items_are_found_whole_and_exact(spark, monkeypatch):
+    from posledger.llm import op10_decontamination as op
+
+    items = [(1, "short"), (2, "A b"), (3, "naïve ölçü 7"), (4, "twenty three bytes long"), (5, "--"), (6, "x")]
+    texts = ["a SHORT one", "shorter", "x short", "(short)", "a\tB", "ab a b", "naïve ölçü 7", "naïve ölçü 78", "ünaïve ölçü 7", "twenty three bytes long.", "twenty three byte long", "-- --", "ax xa", "", None]
+    want = {(0, 1), (2, 1), (2, 6), (3, 1), (4, 2), (5, 2), (6, 3), (9, 4)}
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    got = leaks(df, spark.createDataFrame(items, ITEMS)).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and {r.edits for r in got} == {0}
+    kept = {r.doc_id for r in decontaminated(df, spark.createDataFrame(items, ITEMS)).collect()}
+    assert kept == set(range(len(texts))) - {d for d, _ in want}
+    monkeypatch.setattr(op, "SLICE", 64)  # borders of slices hide no letter
+    (index,) = next(op._indexes(spark.createDataFrame(items[:1], ITEMS), Budget(window=4), 1 << 20))
+    for pad in range(60, 140):
+        assert [bool(f) for f in op.found_in(index, [b"." * pad + b"short" + b"." * 99, b"." * pad + b"ashort" + b"." * 99, b"." * pad + b"shortb" + b"." * 99])] == [True, False, False]
