@@ -12,8 +12,8 @@ Words are runs of letters, digits and other characters between blanks and ASCII
 as a-z, so layout and punctuation do not matter. Templates are a parameter: pairs of a name and a text; they
 are few and fixed and go to the tasks with the code.
 
-Null and empty texts hold nothing; repeated rows give repeated results; texts of any length are
-read in overlapping slices, no window of a template being lost at a border; other columns are ignored.
+Null and empty texts hold nothing; repeated rows give repeated results; long texts are read into words slice by
+slice, cut at a blank, and searched as a whole, so that no border is seen; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -131,21 +131,35 @@ class Scanner:
 
     def scan(self, text: bytes) -> list:
         """(template, words matched, first and last byte) of every place of a template that is covered enough, by place."""
-        found = {}
-        overlap = 128 * (self.longest + self.band)
-        for base in range(0, max(1, len(text) - overlap), SLICE):
-            words = K.Words([text[base : base + SLICE + overlap]], True, PUNCTUATED)
-            for _, k, a, b in self.candidates(words):
-                for matched, i, j in self.stretches(k, words.hash[a:b]):
-                    found[k, base + int(words.start[a + i]), base + int(words.end[a + j - 1])] = matched
-        if len(text) > SLICE:  # what a border cuts is whole in the next slice or the one before
-            best, used = {}, {}
-            for (k, s, e), m in sorted(found.items(), key=lambda x: (-x[1], x[0])):
-                taken = used.setdefault(k, np.zeros(len(text), bool))
-                if not taken[s:e].any():
-                    taken[s:e], best[k, s, e] = True, m
-            found = best
-        return sorted((k, m, s, e) for (k, s, e), m in found.items())
+        words = _Text(text)
+        return sorted(
+            (k, matched, int(words.start[a + i]), int(words.end[a + j - 1]))
+            for _, k, a, b in self.candidates(words)
+            for matched, i, j in self.stretches(k, words.hash[a:b])
+        )
+
+
+class _Text:
+    """The words of one text as ``K.Words`` has them, made of slices that end where a word does."""
+
+    def __init__(self, text: bytes):
+        raw, parts, a = np.frombuffer(text, np.uint8), [], 0
+        while a < len(text):
+            b, size = a + SLICE, 4096
+            while b < len(text):  # the next blank or punctuation; a word of any length stays whole
+                stop = np.flatnonzero(PUNCTUATED[raw[b : b + size]])
+                if len(stop):
+                    b += int(stop[0])
+                    break
+                b, size = b + size, 2 * size
+            w = K.Words([text[a:b]], True, PUNCTUATED)
+            parts.append((w.hash, w.start + a, w.end + a))
+            a = b
+        self.hash, self.start, self.end = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.doc, self.first = np.zeros(len(self.hash), np.int64), np.array([0, len(self.hash)])
+
+    def __len__(self) -> int:
+        return len(self.hash)
 
 
 def _scan(scanner: Scanner):

@@ -110,3 +110,16 @@ def test_edited_templates_against_plain_alignment():
             n += 1
             assert k in {x[0] for x in Scanner().scan(text.encode())}, text
     assert n > 50
+
+
+def test_a_notice_over_the_border_of_a_slice_is_one_row(monkeypatch):
+    from posledger.llm import op06_licenses as op
+
+    monkeypatch.setattr(op, "SLICE", 1_000)
+    notice = dict(TEMPLATES)["MIT-notice"]
+    for pad in range(700, 1_050):
+        text = ("ab " * 400)[:pad] + " " + notice + " tail" * 300
+        found = [(TEMPLATES[k][0], s, e) for k, _, s, e in Scanner().scan(text.encode())]
+        assert found == [("MIT-notice", pad + 1, pad + 1 + len(notice))]
+    text = "x" * 5_000 + " " + notice.replace(" ", " " * 90) + " " + "y" * 5_000 + " All rights reserved"
+    assert [TEMPLATES[k][0] for k, *_ in Scanner().scan(text.encode())] == ["MIT-notice", "Reserved"]
