@@ -6,7 +6,8 @@ line hash, merged by the aggregation; where the estimate is within its error of
 sites are counted exactly. Only lines with at least that many rows and two sites are sketched: no
 other can pass. A line that a third of all rows hold is combined before each shuffle.
 
-Documents meet their boilerplate by a hash of their text, on which alone it depends. Sets of line
+Documents meet their boilerplate by a hash of their text, on which alone it depends, and one of 1,024 parts by
+their other columns, so that the copies of one text do not meet in one task. Sets of line
 hashes are broadcast only up to ``small`` rows, counted first; beyond, the same join is a shuffled one.
 
 Null texts have no lines and stay null; blank lines always stay; the null site is a site; repeated rows
@@ -25,6 +26,7 @@ from .statistics import BLANKS
 LEAST_SITES = 5
 PRECISION = 12
 SMALL = 200_000
+COPIES = 1024
 
 
 def bare(line: Column) -> Column:
@@ -55,11 +57,13 @@ def boilerplate(docs: DataFrame, site: str = "source", least_sites: int = LEAST_
 def _marked(docs: DataFrame, site: str, least_sites: int, precision: int, small: int) -> DataFrame:
     """The input as ``_row``, with its lines and the hashes of those that go."""
     gone = _checked(saved(boilerplate(docs, site, least_sites, precision, small)), small)
-    key = [F.xxhash64("text").alias("k1"), F.hash("text", F.lit(7)).alias("k2")]
+    others = [F.col(c) for c, kind in docs.dtypes if c != "text" and "map<" not in kind and "variant" not in kind]
+    part = F.pmod(F.xxhash64(*others), F.lit(COPIES))
+    key = [F.xxhash64("text").alias("k1"), F.hash("text", F.lit(7)).alias("k2"), part.alias("part")]
     lines = docs.select(*key, F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line"))
-    hits = lines.select("k1", "k2", F.xxhash64(bare(F.col("line"))).alias("line")).join(gone, "line").groupBy("k1", "k2").agg(F.collect_set("line").alias("gone"))
+    hits = lines.select("k1", "k2", "part", F.xxhash64(bare(F.col("line"))).alias("line")).join(gone, "line").groupBy("k1", "k2", "part").agg(F.collect_set("line").alias("gone"))
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), *key)
-    return rows.join(hits, ["k1", "k2"], "left").select("_row", "gone", F.split("_row.text", "\n", -1).alias("lines"))
+    return rows.join(hits, ["k1", "k2", "part"], "left").select("_row", "gone", F.split("_row.text", "\n", -1).alias("lines"))
 
 
 def _stays(gone: Column):
