@@ -1,15 +1,30 @@
-"""Strict reading of event bodies: a missing or malformed number is an error and never 0."""
+"""Strict reading of event bodies: a missing or malformed number is an error and never 0.
+
+A body is parsed once per row, by ``parsed``, into a struct of strings; the other functions read its fields.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .wideint import DEC, fail
 
+BODY = "_body"
+
+
+def parsed(ledger: DataFrame, *paths: str) -> DataFrame:
+    """The ledger with the fields of its bodies, all as text, in a struct column; other fields are not read."""
+    tree: dict = {}
+    for path in paths:
+        outer, _, inner = path.partition(".")
+        tree.setdefault(outer, []).append(inner)
+    kinds = [f"{name} " + (f"struct<{', '.join(f'{x}: string' for x in dict.fromkeys(inner))}>" if inner[0] else "string") for name, inner in tree.items()]
+    return ledger.withColumn(BODY, F.from_json("body", ", ".join(kinds)))
 
-def text(path: str, body: Column | None = None) -> Column:
-    return F.get_json_object(F.col("body") if body is None else body, f"$.{path}")
+
+def text(path: str) -> Column:
+    return F.col(f"{BODY}.{path}")
 
 
 def integer(path: str) -> Column:
@@ -18,11 +33,17 @@ def integer(path: str) -> Column:
 
 
 def unsigned(path: str, most: int | None = None) -> Column:
-    x = integer(path)
-    wrong = (x < 0) if most is None else (x < 0) | (x > most)
+    t, x = text(path), integer(path)
+    wrong = F.startswith(t, F.lit("-")) if most is None else F.startswith(t, F.lit("-")) | (x > most)
     return F.when(wrong, fail(f"{path} out of range")).otherwise(x)
 
 
+def whole(path: str) -> Column:
+    """An id: an integer of 64 bits that is not negative."""
+    x = F.coalesce(text(path).cast("long"), fail(f"missing {path}", "long"))
+    return F.when(F.startswith(text(path), F.lit("-")), fail(f"{path} out of range", "long")).otherwise(x)
+
+
 def wide(path: str) -> Column:
     """A signed integer of any width, as its string."""
     t = text(path)

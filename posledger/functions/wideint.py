@@ -111,10 +111,12 @@ def premium_ray(shares: Column, offset: Column, index: Column) -> Column:
 
 
 def limbs(text: Column) -> list[Column]:
-    """Signed limbs of a decimal string, lowest first."""
+    """Signed limbs of a decimal string, lowest first; what fits the lowest one is only cast."""
+    short = F.length(text) <= LIMB
     digits = F.lpad(F.regexp_replace(text, "^-", ""), 3 * LIMB, "0")
     sign = F.when(F.startswith(text, F.lit("-")), -1).otherwise(1)
-    return [(F.substring(digits, 1 + LIMB * k, LIMB).cast(DEC) * sign).cast(DEC) for k in (2, 1, 0)]
+    long = [(F.substring(digits, 1 + LIMB * k, LIMB).cast(DEC) * sign).cast(DEC) for k in (2, 1, 0)]
+    return [F.when(short, text.cast(DEC) if k == 0 else num(0)).otherwise(x) for k, x in enumerate(long)]
 
 
 def joined(low: Column, middle: Column, high: Column) -> Column:
@@ -138,7 +140,8 @@ def joined(low: Column, middle: Column, high: Column) -> Column:
         minus = F.struct(*[(-t[n]).cast(DEC).alias(n) for n in "abc"])
         return carried(t, lambda p: F.when(p["c"] >= 0, digits(p)).otherwise(F.concat(F.lit("-"), bound(minus, lambda n: carried(n, digits)))))
 
-    return bound(F.struct(low.alias("a"), middle.alias("b"), high.alias("c")), signed)
+    narrow = (F.abs(low) < unit) & (middle == 0) & (high == 0)
+    return F.when(narrow, low.cast("string")).otherwise(bound(F.struct(low.alias("a"), middle.alias("b"), high.alias("c")), signed))
 
 
 @F.pandas_udf(StringType())

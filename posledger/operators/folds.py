@@ -18,17 +18,16 @@ POSITION = ("chain_id", "user", "spoke", "reserve_id")
 SUMS = ("supplied_shares", "drawn_shares", "premium_shares", "net_supplied", "net_borrowed")
 ASSET = ("chain_id", "hub", "asset_id")
 ASSET_SUMS = ("liquidity", "added_shares", "drawn_shares", "premium_shares", "swept")
+ASSET_WIDE = ("premium_offset_ray", "deficit_ray")
 STATE = ("drawn_index", "drawn_rate", "realized_fees", "index_timestamp", "liquidity_fee", "underlying", "decimals")
 ORDER = ("block_number", "log_index")
 
 
 def _leg(names: tuple, wide: tuple, key: dict, **delta) -> Column:
-    zero = F.lit(0).cast(DEC)
+    """A delta; what an event does not touch is null, which a sum passes over."""
     parts = [c.alias(k) for k, c in key.items()]
-    parts += [(delta[n].cast(DEC) if n in delta else zero).alias(n) for n in names]
-    for n in wide:
-        values = limbs(delta[n]) if n in delta else [zero] * 3
-        parts += [v.alias(f"{n}_{k}") for k, v in enumerate(values)]
+    parts += [(delta.get(n, F.lit(None))).cast(DEC).alias(n) for n in names]
+    parts += [(delta.get(n, F.lit(None))).cast("string").alias(n) for n in wide]
     return F.struct(*parts)
 
 
@@ -42,15 +41,24 @@ def _by_event(cases: dict) -> Column:
 
 
 def _signed(df: DataFrame, keys: tuple, names: tuple, wide: tuple) -> DataFrame:
-    all_sums = [*names, *[f"{n}_{k}" for n in wide for k in range(3)]]
-    return df.select(*keys, *[(F.col(n) * F.col("sign")).cast(DEC).alias(n) for n in all_sums], F.col("sign").cast("long").alias("events"))
+    """Deltas by the sign of their row; wide ones as limbs."""
+    sums = {n: F.col(n) for n in names} | {f"{n}_{k}": v for n in wide for k, v in enumerate(limbs(F.col(n)))}
+    return df.select(*keys, *[(c * F.col("sign")).cast(DEC).alias(n) for n, c in sums.items()], F.col("sign").cast("long").alias("events"))
+
+
+PREMIUM = ("premiumDelta.sharesDelta", "premiumDelta.offsetRayDelta")
+POSITION_FIELDS = (
+    "user", "reserveId", "suppliedShares", "suppliedAmount", "withdrawnShares", "withdrawnAmount", "drawnShares", "drawnAmount", "totalAmountRepaid", *PREMIUM, "liquidator", "collateralReserveId",
+    "debtReserveId", "receiveShares", "collateralSharesLiquidated", "collateralAmountRemoved", "drawnSharesLiquidated", "debtAmountRestored", "collateralSharesToLiquidator",
+)
+ASSET_FIELDS = ("assetId", "shares", "amount", "drawnShares", "drawnAmount", "premiumAmount", *PREMIUM, "deficitAmountRay")
 
 
 def position_deltas(ledger: DataFrame) -> DataFrame:
     """A row per touched position and event leg; a liquidation has two or three legs."""
 
     def leg(user="user", reserve="reserveId", **delta):
-        return _leg(SUMS, ("premium_offset_ray",), {"user": f.address(user), "reserve_id": f.unsigned(reserve).cast("long")}, **delta)
+        return _leg(SUMS, ("premium_offset_ray",), {"user": f.address(user), "reserve_id": f.whole(reserve)}, **delta)
 
     premium = {"premium_shares": f.integer("premiumDelta.sharesDelta"), "premium_offset_ray": f.wide("premiumDelta.offsetRayDelta")}
     collateral = leg(reserve="collateralReserveId", supplied_shares=-f.unsigned("collateralSharesLiquidated"), net_supplied=-f.unsigned("collateralAmountRemoved"))
@@ -64,34 +72,68 @@ def position_deltas(ledger: DataFrame) -> DataFrame:
         "ReportDeficit": [leg(drawn_shares=-f.unsigned("drawnShares"), **premium)],
         "LiquidationCall": F.when(f.boolean("receiveShares"), F.array(collateral, debt, liquidator)).otherwise(F.array(collateral, debt)),
     }
-    each = ledger.where(F.col("event_name").isin(*cases)).select("chain_id", F.lower("address").alias("spoke"), "sign", F.explode(_by_event(cases)).alias("leg"))
+    each = f.parsed(ledger.where(F.col("event_name").isin(*cases)), *POSITION_FIELDS).select("chain_id", F.lower("address").alias("spoke"), "sign", F.explode(_by_event(cases)).alias("leg"))
     return _signed(each.select("chain_id", "spoke", "sign", "leg.*"), POSITION, SUMS, ("premium_offset_ray",))
 
 
-def position_flags(ledger: DataFrame) -> DataFrame:
-    """Live collateral flags at event grain."""
-    flags = ledger.where("event_name = 'SetUsingAsCollateral'").select(
-        "chain_id", f.address("user").alias("user"), F.lower("address").alias("spoke"), f.unsigned("reserveId").cast("long").alias("reserve_id"),
+def flag_rows(ledger: DataFrame) -> DataFrame:
+    """Collateral flags at event grain, signed."""
+    return f.parsed(ledger.where("event_name = 'SetUsingAsCollateral'"), "user", "reserveId", "usingAsCollateral").select(
+        "chain_id", f.address("user").alias("user"), F.lower("address").alias("spoke"), f.whole("reserveId").alias("reserve_id"),
         f.boolean("usingAsCollateral").alias("flag"), *ORDER, "version", "sign",
     )
-    return current(flags, ("user", "spoke", "reserve_id"))
+
+
+def position_flags(ledger: DataFrame) -> DataFrame:
+    """Live collateral flags at event grain."""
+    return current(flag_rows(ledger), ("user", "spoke", "reserve_id"))
+
+
+def touching(ledger: DataFrame, user: str) -> DataFrame:
+    """The rows of a ledger that name a wallet somewhere in their body, before any body is parsed."""
+    return ledger.where(F.contains(F.lower("body"), F.lit(user.lower())))
 
 
 def _latest(column: str) -> Column:
     """The value of the last row in chain order that has one: max_by alone would return the null of a later row."""
-    return F.expr(f"max_by({column}, struct({', '.join(ORDER)})) FILTER (WHERE {column} IS NOT NULL)")
+    place = "cast(block_number AS decimal(19,0)) * 10000000000 + log_index"  # one number, so that a hash aggregation can hold it
+    return F.expr(f"max_by({column}, {place}) FILTER (WHERE {column} IS NOT NULL)")
 
 
-def positions_current(ledger: DataFrame) -> DataFrame:
-    """Positions: five narrow sums, one wide, the collateral flag and the signed number of events."""
-    deltas, flags = position_deltas(ledger), position_flags(ledger).drop("version")
-    both = deltas.unionByName(flags, allowMissingColumns=True)
+def fold_positions(deltas: DataFrame, flags: DataFrame) -> DataFrame:
+    """Positions from deltas and live flags, by one aggregation over both."""
+    both = deltas.unionByName(flags.drop("version"), allowMissingColumns=True)
     wide = [F.coalesce(F.sum(f"premium_offset_ray_{k}"), F.lit(0)).cast(DEC).alias(f"_p{k}") for k in range(3)]
     sums = [F.coalesce(F.sum(n), F.lit(0)).cast(DEC).alias(n) for n in SUMS]
     folded = both.groupBy(*POSITION).agg(*sums, *wide, F.coalesce(_latest("flag"), F.lit(False)).alias("using_as_collateral"), F.coalesce(F.sum("events"), F.lit(0)).cast("long").alias("events"))
     return folded.withColumn("premium_offset_ray", joined(*[F.col(f"_p{k}") for k in range(3)])).drop("_p0", "_p1", "_p2")
 
 
+def positions_current(ledger: DataFrame) -> DataFrame:
+    """Positions: five narrow sums, one wide, the collateral flag and the signed number of events."""
+    return fold_positions(position_deltas(ledger), position_flags(ledger))
+
+
+def position_rows(ledger: DataFrame) -> DataFrame:
+    """What a ledger adds to a stored table of typed deltas: deltas, and flags at event grain, both signed."""
+    flags = flag_rows(ledger).withColumnRenamed("sign", "flag_sign")
+    return position_deltas(ledger).unionByName(flags, allowMissingColumns=True)
+
+
+def store_positions(rows: DataFrame, path: str, mode: str = "append", files: int | None = None) -> None:
+    """Write typed deltas in ranges of wallets, sorted, so that a reader of one wallet reads its pages only."""
+    key = ["user", "spoke", "reserve_id"]
+    dealt = rows.repartitionByRange(*([files] if files else []), *key)
+    dealt.sortWithinPartitions(*key).write.mode(mode).parquet(path)
+
+
+def stored_positions(rows: DataFrame) -> DataFrame:
+    """The positions of stored deltas; filters on the key reach the scan of both halves."""
+    flags = rows.where("flag IS NOT NULL").select(*POSITION, "flag", *ORDER, "version", F.col("flag_sign").alias("sign"))
+    deltas = rows.where("flag IS NULL").drop("flag", *ORDER, "version", "flag_sign")
+    return fold_positions(deltas, current(flags, ("user", "spoke", "reserve_id")))
+
+
 def open_positions(positions: DataFrame) -> DataFrame:
     """Unequal to zero and not only above it: a negative fold must stay visible."""
     return positions.where("supplied_shares <> 0 OR drawn_shares <> 0")
@@ -99,7 +141,7 @@ def open_positions(positions: DataFrame) -> DataFrame:
 
 def hub_deltas(ledger: DataFrame) -> DataFrame:
     def leg(**delta):
-        return _leg(ASSET_SUMS, ("premium_offset_ray", "deficit_ray"), {"asset_id": f.unsigned("assetId").cast("long")}, **delta)
+        return _leg(ASSET_SUMS, ASSET_WIDE, {"asset_id": f.whole("assetId")}, **delta)
 
     premium = {"premium_shares": f.integer("premiumDelta.sharesDelta"), "premium_offset_ray": f.wide("premiumDelta.offsetRayDelta")}
     amount, shares = f.unsigned("amount"), f.unsigned("shares")
@@ -117,16 +159,17 @@ def hub_deltas(ledger: DataFrame) -> DataFrame:
         "Reclaim": [leg(liquidity=amount, swept=-amount)],
         "RefreshPremium": [leg(**premium)],
     }
-    each = ledger.where(F.col("event_name").isin(*cases)).select("chain_id", F.lower("address").alias("hub"), "sign", F.explode(_by_event(cases)).alias("leg"))
-    return _signed(each.select("chain_id", "hub", "sign", "leg.*"), ASSET, ASSET_SUMS, ("premium_offset_ray", "deficit_ray"))
+    each = f.parsed(ledger.where(F.col("event_name").isin(*cases)), *ASSET_FIELDS).select("chain_id", F.lower("address").alias("hub"), "sign", F.explode(_by_event(cases)).alias("leg"))
+    return _signed(each.select("chain_id", "hub", "sign", "leg.*"), ASSET, ASSET_SUMS, ASSET_WIDE)
 
 
 def hub_state(ledger: DataFrame) -> DataFrame:
     """Live latest-wins rows of the pool, three independent groups of columns."""
     name = F.col("event_name")
     only = lambda event, c, kind: F.when(name == event, c.cast(kind))
-    rows = ledger.where(name.isin("UpdateAsset", "UpdateAssetConfig", "AddAsset")).select(
-        "chain_id", F.lower("address").alias("hub"), f.unsigned("assetId").cast("long").alias("asset_id"),
+    read = ("assetId", "drawnIndex", "drawnRate", "accruedFees", "config.liquidityFee", "underlying", "decimals")
+    rows = f.parsed(ledger.where(name.isin("UpdateAsset", "UpdateAssetConfig", "AddAsset")), *read).select(
+        "chain_id", F.lower("address").alias("hub"), f.whole("assetId").alias("asset_id"),
         only("UpdateAsset", f.unsigned("drawnIndex"), DEC).alias("drawn_index"), only("UpdateAsset", f.unsigned("drawnRate"), DEC).alias("drawn_rate"),
         only("UpdateAsset", f.unsigned("accruedFees"), DEC).alias("realized_fees"), only("UpdateAsset", F.col("block_timestamp"), "long").alias("index_timestamp"),
         only("UpdateAssetConfig", f.unsigned("config.liquidityFee", 65_535), "int").alias("liquidity_fee"),
@@ -137,14 +180,18 @@ def hub_state(ledger: DataFrame) -> DataFrame:
 
 
 def hub_assets_current(ledger: DataFrame) -> DataFrame:
-    """Pool state per asset: sums, and each latest-wins column by its own last row."""
-    both = hub_deltas(ledger).unionByName(hub_state(ledger).drop("version"), allowMissingColumns=True)
-    wide = [F.coalesce(F.sum(f"{n}_{k}"), F.lit(0)).cast(DEC).alias(f"_{n}_{k}") for n in ("premium_offset_ray", "deficit_ray") for k in range(3)]
-    sums = [F.coalesce(F.sum(n), F.lit(0)).cast(DEC).alias(n) for n in ASSET_SUMS]
-    folded = both.groupBy(*ASSET).agg(*sums, *wide, *[_latest(c).alias(c) for c in STATE], F.coalesce(F.sum("events"), F.lit(0)).cast("long").alias("events"))
-    for n in ("premium_offset_ray", "deficit_ray"):
-        folded = folded.withColumn(n, joined(*[F.col(f"_{n}_{k}") for k in range(3)]))
-    return folded.drop(*[f"_{n}_{k}" for n in ("premium_offset_ray", "deficit_ray") for k in range(3)])
+    """Pool state per asset: sums, and each latest-wins column by its own last row.
+
+    The halves are folded apart, since text can't be held by the hash aggregation of the many delta rows, and meet as one row each.
+    """
+    all_wide = [f"{n}_{k}" for n in ASSET_WIDE for k in range(3)]
+    sums = hub_deltas(ledger).groupBy(*ASSET).agg(*[F.sum(n).alias(n) for n in (*ASSET_SUMS, *all_wide, "events")])
+    state = hub_state(ledger).groupBy(*ASSET).agg(*[_latest(c).alias(c) for c in STATE])
+    both = sums.unionByName(state, allowMissingColumns=True)
+    whole = [F.coalesce(F.sum(n), F.lit(0)).cast("long" if n == "events" else DEC).alias(n) for n in (*ASSET_SUMS, *all_wide, "events")]
+    folded = both.groupBy(*ASSET).agg(*whole, *[F.max(c).alias(c) for c in STATE])
+    wide = [joined(*[F.col(f"{n}_{k}") for k in range(3)]).alias(n) for n in ASSET_WIDE]
+    return folded.select(*ASSET, *ASSET_SUMS, *STATE, "events", *wide)
 
 
 def hub_assets(view: DataFrame, chain: int, hub: str, asset_id: int | None = None) -> DataFrame:
@@ -155,9 +202,9 @@ def hub_assets(view: DataFrame, chain: int, hub: str, asset_id: int | None = Non
 
 def reserves_current(ledger: DataFrame) -> DataFrame:
     """The reserve registry: the last live AddReserve of each reserve."""
-    rows = ledger.where("event_name = 'AddReserve'").select(
-        "chain_id", F.lower("address").alias("spoke"), f.unsigned("reserveId").cast("long").alias("reserve_id"),
-        f.unsigned("assetId").cast("long").alias("asset_id"), f.address("hub").alias("hub"), *ORDER, "version", "sign",
+    rows = f.parsed(ledger.where("event_name = 'AddReserve'"), "reserveId", "assetId", "hub").select(
+        "chain_id", F.lower("address").alias("spoke"), f.whole("reserveId").alias("reserve_id"),
+        f.whole("assetId").alias("asset_id"), f.address("hub").alias("hub"), *ORDER, "version", "sign",
     )
     live = current(rows, ("spoke", "reserve_id"))
     last = F.max_by(F.struct("asset_id", "hub"), F.struct(*ORDER)).alias("last")
@@ -170,5 +217,5 @@ def reserve_ids(view: DataFrame, chain: int, spoke: str) -> DataFrame:
 
 def listed_tokens(ledger: DataFrame) -> DataFrame:
     """Distinct underlying tokens of AddAsset rows at event grain; retracted listings stay, odd bodies are skipped."""
-    rows = ledger.where("event_name = 'AddAsset'").select("chain_id", F.lower(f.text("underlying")).alias("underlying"))
+    rows = f.parsed(ledger.where("event_name = 'AddAsset'"), "underlying").select("chain_id", F.lower(f.text("underlying")).alias("underlying"))
     return rows.where("underlying RLIKE '^0x[0-9a-f]{40}$'").distinct()

@@ -9,7 +9,9 @@ from ..operators import folds as f
 from ..operators import ledger as lg
 from ..operators import page, risk
 from ..sources import mapping as m
+from ..sources import shared
 
+WALLET = "0x" + "0" * 39 + "1"
 WIDE = ("supplied_shares", "drawn_shares", "premium_shares", "premium_offset_ray", "net_supplied", "net_borrowed")
 
 
@@ -94,8 +96,12 @@ def largest_positions(spark, sf_dir):
 
 
 def _page(spark, sf_dir, after):
-    positions = f.positions_current(lg.append(m.spoke_events(spark, sf_dir), 1))
-    rows = page.first_of(page.page_rows(positions, m.CHAIN, "0x" + "0" * 39 + "1", None, 5, after), 5)
+    positions = f.positions_current(f.touching(lg.append(m.spoke_events(spark, sf_dir), 1), WALLET))
+    return _shown_page(positions, after)
+
+
+def _shown_page(positions, after):
+    rows = page.first_of(page.page_rows(positions, m.CHAIN, WALLET, None, 5, after), 5)
     return rows.select("spoke", "reserve_id", F.col("supplied_shares").cast("string").alias("supplied_shares"), F.col("next_key.spoke").alias("next_spoke"), F.col("next_key.reserve_id").alias("next_reserve_id"))
 
 
@@ -103,6 +109,14 @@ def positions_page(spark, sf_dir):
     return _page(spark, sf_dir, None)
 
 
+def positions_page_stored(spark, sf_dir):
+    """The page from a stored table of typed deltas, half of which came in a second batch."""
+    at, ledger = shared.table_path(spark, "deltas"), lg.append(m.spoke_events(spark, sf_dir), 1)
+    for part in (ledger.where("block_number % 2 = 0"), ledger.where("block_number % 2 = 1")):
+        f.store_positions(f.position_rows(part), at, files=4)
+    return _shown_page(f.stored_positions(spark.read.parquet(at)), None)
+
+
 def positions_page_next(spark, sf_dir):
     return _page(spark, sf_dir, (m.SPOKES[1], "6"))
 
@@ -117,7 +131,7 @@ QUERIES = {
     x.__name__: x
     for x in (
         position_fold, position_fold_plain, position_fold_retracted, position_fold_redispatch, position_fold_appended_twice, ledger_current, ledger_unpaired_retraction,
-        collateral_flag_latest, liquidation_legs, liquidation_groups, registry_latest, reserve_ids, largest_positions, positions_page, positions_page_next, additive_fold_lineitem,
+        collateral_flag_latest, liquidation_legs, liquidation_groups, registry_latest, reserve_ids, largest_positions, positions_page, positions_page_stored, positions_page_next, additive_fold_lineitem,
     )
 }
 
@@ -164,6 +178,7 @@ SELECT event_name, CAST(version AS BIGINT) AS version, CAST(sum(w) AS BIGINT) AS
     "reserve_ids": f"WITH {m.SP} SELECT DISTINCT r AS reserve_id FROM sp WHERE event_type = 'signup' AND spoke = '{m.SPOKES[0]}'",
     "largest_positions": _fold(tail="ORDER BY sum(sup) DESC, usr, spoke, r LIMIT 100"),
     "positions_page": _PAGE.format(after="true"),
+    "positions_page_stored": _PAGE.format(after="true"),
     "positions_page_next": _PAGE.format(after=f"(spoke, r) > ('{m.SPOKES[1]}', 6)"),
     "additive_fold_lineitem": """SELECT l_partkey, CAST(sum(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents,
  CAST(sum(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity, CAST(sum(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END) AS BIGINT) AS events FROM lineitem GROUP BY l_partkey""",
