@@ -2,8 +2,9 @@
 
 Narrow path: DECIMAL(38,0) expressions, for columns declared to have at most 38 digits. ANSI mode makes
 an overflow an error. Wide path: sums run on three signed limbs of 26 digits, so an additive fold of any
-width is an ordinary partial aggregation; products and quotients of wide values use one Arrow UDF on
-digit strings. Callers choose by declared width, never by looking at values.
+width is an ordinary partial aggregation; products and quotients of wide values are Python integers in
+Arrow functions over digit strings (``integers``), since Spark has no exact type beyond 38 digits.
+Callers choose by declared width, never by looking at values.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # The protocol's scales and bounds.
 RAY = 10**27
@@ -39,8 +39,21 @@ def fail(message: str, kind: str = DEC) -> Column:
 
 
 def div_down(p: Column, d: Column) -> Column:
-    """floor(p / d) for p >= 0 and d > 0; the division is made exact first, since decimal division rounds."""
-    return ((p - p % d) / d).cast(DEC)
+    """floor(p / d) for p >= 0 and d > 0; the division is made exact first, since decimal division rounds.
+
+    A quotient has 32 digits before the point at most, so small divisors take the upper and the lower 19 digits in turn.
+    """
+    half, p, d = num(10**19), num(p), num(d)
+
+    def exact(x, y):
+        return ((x - x % y) / y).cast(DEC)
+
+    def by_halves(x):
+        low = (x % half).cast(DEC)
+        high = exact(x, half)
+        return (exact(high, d) * half + exact(((high % d) * half + low).cast(DEC), d)).cast(DEC)
+
+    return F.when(d >= 10**6, exact(p, d)).otherwise(by_halves(p))
 
 
 def div_up(p: Column, d: Column) -> Column:
@@ -123,31 +136,82 @@ def joined(low: Column, middle: Column, high: Column) -> Column:
     """The decimal string of sums of limbs, which may have any sign and more than 26 digits each."""
     unit = num(10**LIMB)
 
-    def step(t, one, two):
+    def carry(one: str, two: str):
         """Carry what field ``one`` has beyond 26 digits into ``two``."""
-        x = F.pmod(t[one], unit).cast(DEC)
-        moved = {one: x, two: (t[two] + ((t[one] - x) / unit).cast(DEC)).cast(DEC)}
-        return F.struct(*[moved.get(n, t[n]).alias(n) for n in "abc"])
 
-    def carried(t, use):
-        return bound(step(t, "a", "b"), lambda u: bound(step(u, "b", "c"), use))
+        def step(t):
+            x = F.pmod(t[one], unit).cast(DEC)
+            moved = {one: x, two: (t[two] + ((t[one] - x) / unit).cast(DEC)).cast(DEC)}
+            return F.struct(*[moved.get(n, t[n]).alias(n) for n in "abc"], t["minus"].alias("minus"))
+
+        return step
+
+    def positive(t):
+        return F.struct(*[F.when(t["c"] < 0, -t[n]).otherwise(t[n]).cast(DEC).alias(n) for n in "abc"], (t["c"] < 0).alias("minus"))
 
     def digits(t):
         text = F.concat(t["c"].cast("string"), F.lpad(t["b"].cast("string"), LIMB, "0"), F.lpad(t["a"].cast("string"), LIMB, "0"))
-        return F.regexp_replace(text, "^0+(?=[0-9])", "")
-
-    def signed(t):
-        minus = F.struct(*[(-t[n]).cast(DEC).alias(n) for n in "abc"])
-        return carried(t, lambda p: F.when(p["c"] >= 0, digits(p)).otherwise(F.concat(F.lit("-"), bound(minus, lambda n: carried(n, digits)))))
+        return F.concat(F.when(t["minus"], "-").otherwise(""), F.regexp_replace(text, "^0+(?=[0-9])", ""))
 
+    # one lambda after another and none in another: an Arrow function can't be given nested ones
+    whole = F.struct(low.alias("a"), middle.alias("b"), high.alias("c"), F.lit(False).alias("minus"))
+    for step in (carry("a", "b"), carry("b", "c"), positive, carry("a", "b"), carry("b", "c"), digits):
+        whole = bound(whole, step)
     narrow = (F.abs(low) < unit) & (middle == 0) & (high == 0)
-    return F.when(narrow, low.cast("string")).otherwise(bound(F.struct(low.alias("a"), middle.alias("b"), high.alias("c")), signed))
+    return F.when(narrow, low.cast("string")).otherwise(whole)
+
+
+class Unvalued(ValueError):
+    """Why a row has no value; it is told in the row and stops no other."""
+
+
+def integers(function, fields: tuple):
+    """An Arrow function over digit strings.
+
+    ``function`` gets the Python integers of a row (None for null) and returns one for each of ``fields``, or raises
+    ``Unvalued``. The result is a struct of strings: the fields, null where there is no value, and ``reason``, null where there is.
+    """
 
+    @F.pandas_udf(", ".join(f"{x} string" for x in (*fields, "reason")))
+    def over_rows(*columns: pd.Series) -> pd.DataFrame:
+        rows = []
+        for row in zip(*[[x if x is None else int(x) for x in c] for c in columns]):
+            try:
+                rows.append((*[None if x is None else str(x) for x in function(*row)], None))
+            except Unvalued as why:
+                rows.append((*[None] * len(fields), str(why)))
+        return pd.DataFrame(rows, columns=[*fields, "reason"], dtype=object)
 
-@F.pandas_udf(StringType())
-def mul_div_wide(a: pd.Series, b: pd.Series, d: pd.Series) -> pd.Series:
+    return lambda *columns: over_rows(*[c.cast("string") if isinstance(c, Column) else F.col(c).cast("string") for c in columns])
+
+
+def _quotient(a, b, d):
+    return (None if a is None or b is None or d is None else a * b // d,)
+
+
+def _value(amount, decimals, price):
+    if amount is None or decimals is None or price is None:
+        return (None,)
+    return (amount * price * 10 ** (18 - decimals) if decimals <= 18 else amount * price // 10 ** (decimals - 18),)
+
+
+def mul_div_wide(a, b, d) -> Column:
     """floor(a * b / d) of digit strings of any width; null where any is null."""
-    return pd.Series([None if x is None or y is None or z is None else str(int(x) * int(y) // int(z)) for x, y, z in zip(a, b, d)], dtype=object)
+    return integers(_quotient, ("x",))(a, b, d)["x"]
+
+
+def value_wide(amount, decimals, price) -> Column:
+    """As ``to_value``, of any width and as digits; null where any is null."""
+    return integers(_value, ("x",))(amount, decimals, price)["x"]
+
+
+def sums_wide(values: dict) -> list[Column]:
+    """Aggregates of named columns of any width, as limbs; ``joined_sums`` makes digits of them."""
+    return [F.coalesce(F.sum(v), F.lit(0)).cast(DEC).alias(f"_{n}_{k}") for n, column in values.items() for k, v in enumerate(column)]
+
+
+def joined_sums(name: str) -> Column:
+    return joined(*[F.col(f"_{name}_{k}") for k in range(3)])
 
 
 def to_value(amount: Column, decimals: Column, price: Column) -> Column:

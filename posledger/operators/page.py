@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+import time
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import wideint as w
-from .folds import open_positions
-from .valuation import sized, value_positions
+from .folds import hub_assets_current, open_positions, positions_current, reserves_current
+from .valuation import asset_at, sized, value_positions
 
 # The service's bounds.
 DEFAULT_LIMIT, MOST_LIMIT = 50, 200
@@ -24,6 +25,23 @@ def _address(value: str | None) -> str | None:
     return value and value.lower()
 
 
+def instant(as_of: int | None = None) -> int:
+    """The one instant of a page: now, or one asked for, within bounds."""
+    if as_of is None:
+        return int(time.time())
+    if not EARLIEST <= as_of <= LATEST:
+        raise ValueError(f"as_of must be {EARLIEST}..{LATEST}")
+    return as_of
+
+
+def views(spoke_ledger: DataFrame, hub_ledger: DataFrame, as_of: int | None = None, until: bool = False) -> dict:
+    """What a page is made from, at one instant; with ``until`` from the ledger as it stood then, without later blocks."""
+    at = instant(as_of)
+    if until:
+        spoke_ledger, hub_ledger = (x.where(F.col("block_timestamp") <= at) for x in (spoke_ledger, hub_ledger))
+    return {"positions": positions_current(spoke_ledger), "reserves": reserves_current(spoke_ledger), "assets_at": asset_at(hub_assets_current(hub_ledger), at)}
+
+
 def page_rows(positions: DataFrame, chain: int, user: str, spoke: str | None = None, limit: int = DEFAULT_LIMIT, after: tuple | None = None) -> DataFrame:
     """``limit + 1`` open positions of a wallet after a key, in numeric order; the extra row tells that there is a next page."""
     if not 1 <= limit <= MOST_LIMIT:
@@ -80,7 +98,7 @@ def enrich(valued: DataFrame, labels: DataFrame, prices: DataFrame, with_prices:
     price, n = F.when(used, F.col("_price")), F.col("asset.decimals")
 
     def usd(amount: Column) -> Column:
-        return F.when(price.isNotNull(), w.to_decimal(w.to_value(amount, n, price), F.lit(w.VALUE_DIGITS)))
+        return F.when(price.isNotNull(), w.to_decimal(w.value_wide(amount, n, price), F.lit(w.VALUE_DIGITS)))
 
     def scaled(amount: Column) -> Column:
         return F.when(F.col("asset").isNotNull(), w.to_decimal(amount, n))

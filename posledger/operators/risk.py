@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import wideint as w
 
 
+WALLET = ("chain_id", "user", "spoke")
+
+
 def spoke_totals(priced: DataFrame) -> DataFrame:
-    """Supplied, debt and net worth per wallet and Spoke; risk never adds up across Spokes."""
-    df = priced.groupBy("chain_id", "user", "spoke").agg(F.sum("supplied_value").cast(w.DEC).alias("supplied_value"), F.sum("debt_value").cast(w.DEC).alias("debt_value"))
-    return df.withColumn("net_worth", (F.col("supplied_value") - F.col("debt_value")).cast(w.DEC))
+    """Supplied, debt and net worth per wallet and Spoke, as digits; risk never adds up across Spokes."""
+    supplied, debt = (w.limbs(F.col(c).cast("string")) for c in ("supplied_value", "debt_value"))
+    sums = w.sums_wide({"s": supplied, "d": debt, "n": [a - b for a, b in zip(supplied, debt)]})
+    df = priced.groupBy(*WALLET).agg(*sums)
+    return df.select(*WALLET, w.joined_sums("s").alias("supplied_value"), w.joined_sums("d").alias("debt_value"), w.joined_sums("n").alias("net_worth"))
 
 
 def position_type(collateral: Column, factor_bps: Column) -> Column:
@@ -20,19 +25,15 @@ def position_type(collateral: Column, factor_bps: Column) -> Column:
 
 
 def health_factor(priced: DataFrame) -> DataFrame:
-    """floor(sum(factor_bps * collateral) * 1e14 / debt) with 18 decimals; null without debt (no bound)."""
-    counted = F.when(F.col("using_as_collateral"), F.col("supplied_value") * F.col("factor_bps")).otherwise(0)
-    df = priced.groupBy("chain_id", "user", "spoke").agg(F.sum(counted).cast(w.DEC).alias("weighted"), F.sum("debt_value").cast(w.DEC).alias("debt_value"))
-    scaled = w.mul(F.col("weighted"), w.num(10**14))
-    return df.withColumn("health_factor", F.when(F.col("debt_value") > 0, w.div_down(scaled, F.col("debt_value"))))
-
-
-def health_factor_wide(priced: DataFrame) -> DataFrame:
-    """As ``health_factor``, with the quotient by the wide path: values of full width, the result as a digit string."""
-    counted = F.when(F.col("using_as_collateral"), w.mul(F.col("supplied_value"), F.col("factor_bps"))).otherwise(w.num(0))
-    df = priced.groupBy("chain_id", "user", "spoke").agg(F.sum(counted).cast(w.DEC).alias("weighted"), F.sum("debt_value").cast(w.DEC).alias("debt_value"))
-    debt = F.when(F.col("debt_value") > 0, F.col("debt_value").cast("string"))
-    return df.withColumn("health_factor", w.mul_div_wide(F.col("weighted").cast("string"), F.lit(str(10**14)), debt))
+    """floor(sum(factor_bps * collateral) * 1e14 / debt) with 18 decimals, over exact values of any width; null without debt (no bound)."""
+    counted = [F.when(F.col("using_as_collateral"), v * F.col("factor_bps").cast("int")).otherwise(0) for v in w.limbs(F.col("supplied_value").cast("string"))]
+    df = priced.groupBy(*WALLET).agg(*w.sums_wide({"w": counted, "d": w.limbs(F.col("debt_value").cast("string"))}))
+    df = df.select(*WALLET, w.joined_sums("w").alias("weighted"), w.joined_sums("d").alias("debt_value"))
+    debt = F.when(F.col("debt_value") != "0", F.col("debt_value"))
+    return df.withColumn("health_factor", w.mul_div_wide("weighted", F.lit(str(10**14)), debt))
+
+
+health_factor_wide = health_factor
 
 
 def headroom(health: Column) -> Column:

@@ -1,7 +1,7 @@
-"""Valuation of positions at one instant, in exact integer arithmetic.
+"""Valuation of positions at one instant, in exact integer arithmetic of any width.
 
 Pool index and totals are computed once per asset and joined; per position there are only a few
-products left. ``value_positions`` is the narrow path (38 digits), all expressions.
+products left, of Python integers in one Arrow function. A row that can't be valued is null and tells why.
 """
 
 from __future__ import annotations
@@ -12,54 +12,92 @@ from pyspark.sql import functions as F
 from ..functions import wideint as w
 
 BROADCAST_ROWS = 500_000
+MOST = 10**38
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint for a dimension that was counted and is small; otherwise the join shuffles."""
+    """A dimension that was computed once and counted: a broadcast hint where it is small; otherwise the join shuffles."""
+    df = df.persist()
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def drawn_index_at(at: Column) -> Column:
-    idle = (F.col("drawn_shares") == 0) & (F.col("premium_shares") == 0)
-    grown = w.ray_mul_up(F.col("drawn_index"), w.linear_interest(F.col("drawn_rate"), at - F.col("index_timestamp")))
-    return F.when((at == F.col("index_timestamp")) | idle, F.col("drawn_index")).otherwise(grown)
+def _over(a: int, d: int) -> int:
+    """a / d toward zero, as the protocol's own arithmetic has it where a pool is in the red."""
+    return a // d if a >= 0 else -(-a // d)
 
 
-def _owed(index: Column) -> Column:
-    premium = w.premium_ray(F.col("premium_shares"), F.col("premium_offset_ray"), index)
-    return (w.mul(F.col("drawn_shares"), index) + premium + w.num(F.col("deficit_ray"))).cast(w.DEC)
+def _up(x: int) -> int:
+    return _over(x + w.RAY - 1, w.RAY)
+
+
+def _owed(drawn: int, premium: int, offset: int, index: int, deficit: int = 0) -> tuple[int, int]:
+    """What is owed in all, and its premium."""
+    ray = premium * index - offset
+    if ray < 0:
+        raise w.Unvalued("negative premium")
+    return drawn * index + ray + deficit, ray
+
+
+def _asset(liquidity, swept, drawn, premium, offset, deficit, fees, fee, index, rate, stamp, at):
+    if index is None:
+        raise w.Unvalued("no checkpoint")
+    now = index
+    if at != stamp and (drawn or premium):
+        if at < stamp:
+            raise w.Unvalued("instant before the checkpoint")
+        now = _up(index * (w.RAY + rate * (at - stamp) // w.YEAR_SECONDS))
+    after, before = (_up(_owed(drawn, premium, offset, i, deficit)[0]) for i in (now, index))
+    unrealized = _over((after - before) * fee, w.BPS) if now != index and fee else 0
+    return now, unrealized, liquidity + swept + after - fees - unrealized
+
+
+def _position(supplied, drawn, premium, offset, index, total, added):
+    if index is None or total is None:
+        raise w.Unvalued("no checkpoint")
+    if supplied < 0 or drawn < 0 or added + w.VIRTUAL <= 0:
+        raise w.Unvalued("negative balance")
+    ray = _owed(0, premium, offset, index)[1]
+    amounts = supplied * (total + w.VIRTUAL) // (added + w.VIRTUAL), _up(drawn * index), _up(ray)
+    if max(amounts[0], amounts[1] + amounts[2]) >= MOST:
+        raise w.Unvalued("over 38 digits")
+    return *amounts, amounts[1] + amounts[2], ray
 
 
 def asset_at(hub_assets: DataFrame, at: int) -> DataFrame:
-    """Each asset with its index, unrealised fees and total assets at an instant; null without a checkpoint."""
-    known = F.col("drawn_index").isNotNull()
-    df = hub_assets.withColumn("index_at", F.when(known, drawn_index_at(F.lit(at).cast("long"))))
-    df = df.withColumn("owed_after", w.from_ray_up(_owed(F.col("index_at")))).withColumn("owed_before", w.from_ray_up(_owed(F.col("drawn_index"))))
-    fee = F.coalesce("liquidity_fee", F.lit(0))
-    still = (F.col("index_at") == F.col("drawn_index")) | (fee == 0)
-    df = df.withColumn("unrealized_fees", F.when(still, w.num(0)).otherwise(w.percent_mul_down(F.col("owed_after") - F.col("owed_before"), fee)))
-    total = F.col("liquidity") + F.col("swept") + F.col("owed_after") - F.col("realized_fees") - F.col("unrealized_fees")
-    return df.withColumn("total_added_assets", F.when(known, total.cast(w.DEC))).drop("owed_after", "owed_before")
+    """Each asset with its index, unrealised fees and total assets at an instant; null without a checkpoint, with the reason."""
+    inputs = ("liquidity", "swept", "drawn_shares", "premium_shares", "premium_offset_ray", "deficit_ray", "realized_fees")
+    made = w.integers(_asset, ("index_at", "unrealized_fees", "total_added_assets"))(
+        *inputs, F.coalesce("liquidity_fee", F.lit(0)), "drawn_index", "drawn_rate", "index_timestamp", F.lit(at)
+    )
+    df = hub_assets.withColumn("_made", made).withColumn("at", F.lit(at).cast("long"))
+    numbers = [F.col(f"_made.{n}").cast(w.DEC).alias(n) for n in ("index_at", "unrealized_fees", "total_added_assets")]
+    return df.select(*hub_assets.columns, *numbers, F.col("_made.reason").alias("unvalued"), "at")
 
 
 def supplied_assets(shares: Column) -> Column:
-    return w.mul_div_down(shares, F.col("total_added_assets") + w.num(w.VIRTUAL), F.col("pool_added_shares") + w.num(w.VIRTUAL))
+    """Base units that shares of a pool are worth, as digits."""
+    return w.mul_div_wide(shares, F.col("total_added_assets") + w.num(w.VIRTUAL), F.col("pool_added_shares") + w.num(w.VIRTUAL))
+
+
+AMOUNTS = ("supplied", "drawn_debt", "premium_debt", "total_debt")
 
 
 def value_positions(positions: DataFrame, reserves: DataFrame, assets_at: DataFrame) -> DataFrame:
-    """Positions with their asset and value; both null where the reserve or its checkpoint is unknown.
+    """Positions with their asset and value, null where the reserve or its checkpoint is unknown.
 
-    A negative balance is listed and not valued.
+    Amounts have up to 38 digits; ``premium_ray`` is a digit string of any width. A position without a value, a
+    negative balance for one, is listed with the reason in ``unvalued``; ``value.at`` is the instant.
     """
-    pool = assets_at.select("chain_id", "hub", "asset_id", "underlying", "decimals", "index_at", "total_added_assets", F.col("added_shares").alias("pool_added_shares"))
+    pool = assets_at.select(
+        "chain_id", "hub", "asset_id", "underlying", "decimals", "index_at", "total_added_assets", F.col("added_shares").alias("pool_added_shares"), F.col("unvalued").alias("_why"), "at"
+    )
     joined = positions.join(sized(reserves), ["chain_id", "spoke", "reserve_id"], "left").join(sized(pool), ["chain_id", "hub", "asset_id"], "left")
-    good = F.col("index_at").isNotNull() & (F.col("supplied_shares") >= 0) & (F.col("drawn_shares") >= 0)
-    drawn = w.ray_mul_up(F.col("drawn_shares"), F.col("index_at"))
-    owed = w.premium_ray(F.col("premium_shares"), F.col("premium_offset_ray"), F.col("index_at"))
-    premium = w.from_ray_up(owed)
-    joined = joined.withColumn("_v", F.when(good, F.struct(
-        supplied_assets(F.col("supplied_shares")).alias("supplied"), drawn.alias("drawn_debt"), premium.alias("premium_debt"),
-        (drawn + premium).cast(w.DEC).alias("total_debt"), F.col("index_at").alias("drawn_index"), owed.alias("premium_ray"),
-    )))
+    made = w.integers(_position, (*AMOUNTS, "premium_ray"))(
+        "supplied_shares", "drawn_shares", "premium_shares", "premium_offset_ray", "index_at", "total_added_assets", "pool_added_shares"
+    )
+    joined = joined.withColumn("_made", made)
+    value = F.struct(*[F.col(f"_made.{n}").cast(w.DEC).alias(n) for n in AMOUNTS], F.col("index_at").alias("drawn_index"), F.col("_made.premium_ray").alias("premium_ray"), "at")
+    reason = F.when(F.col("underlying").isNull() & F.col("index_at").isNull() & F.col("_why").isNull(), "unknown reserve").otherwise(F.coalesce("_why", "_made.reason"))
     asset = F.when(F.col("underlying").isNotNull(), F.struct("hub", "asset_id", "underlying", "decimals"))
-    return joined.withColumn("asset", asset).withColumnRenamed("_v", "value").select(*positions.columns, "asset", "value")
+    joined = joined.withColumn("asset", asset).withColumn("value", F.when(F.col("_made.reason").isNull(), value))
+    return joined.withColumn("unvalued", F.when(F.col("_made.reason").isNotNull(), reason)).select(*positions.columns, "asset", "value", "unvalued")

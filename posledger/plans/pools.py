@@ -77,20 +77,20 @@ def valued_positions(spark, sf_dir):
     return v.select("user", "spoke", "reserve_id", F.col("asset.asset_id").alias("asset_id"), F.col("asset.decimals").alias("decimals"), *[F.col(f"value.{c}").cast("string").alias(c) for c in VALUE])
 
 
-def _labels(spark, sf_dir, every=False) -> DataFrame:
-    return page.latest_snapshot(m.label_rows(spark, sf_dir, every), ["chain_id", "token"])
+def _labels(spark, sf_dir) -> DataFrame:
+    return page.latest_snapshot(m.label_rows(spark, sf_dir), ["chain_id", "token"])
 
 
-def _prices(spark, sf_dir, every=False) -> DataFrame:
-    return page.latest_snapshot(page.valid_prices(m.price_snapshots(spark, sf_dir, every)), ["chain_id", "spoke", "reserve_id"], "priced_at")
+def _prices(spark, sf_dir) -> DataFrame:
+    return page.latest_snapshot(page.valid_prices(m.price_snapshots(spark, sf_dir)), ["chain_id", "spoke", "reserve_id"], "priced_at")
 
 
-def _enriched(spark, sf_dir, with_prices=True, every=False) -> DataFrame:
-    return page.enrich(_valued(spark, sf_dir), _labels(spark, sf_dir, every), _prices(spark, sf_dir, every), with_prices)
+def _enriched(spark, sf_dir, with_prices=True) -> DataFrame:
+    return page.enrich(_valued(spark, sf_dir), _labels(spark, sf_dir), _prices(spark, sf_dir), with_prices)
 
 
-def enriched_positions(spark, sf_dir, every=False):
-    e = _enriched(spark, sf_dir, every=every)
+def enriched_positions(spark, sf_dir):
+    e = _enriched(spark, sf_dir)
     return e.select("user", "spoke", "reserve_id", "symbol", "name", "underlying", "supplied", "debt", "premium", "price_usd", "supplied_usd", "debt_usd")
 
 
@@ -100,20 +100,20 @@ def unpriced_nulls(spark, sf_dir):
     return e.groupBy("reserve_id").agg(F.count("*").alias("n"), F.count("supplied").alias("scaled"), F.count("price_usd").alias("priced"), F.count("supplied_usd").alias("in_usd"))
 
 
-def pricing_staleness(spark, sf_dir, every=False):
-    return page.pricing_stamp(_enriched(spark, sf_dir, every=every), m.T0 + 400)
+def pricing_staleness(spark, sf_dir):
+    return page.pricing_stamp(_enriched(spark, sf_dir), m.T0 + 400)
 
 
-def latest_prices(spark, sf_dir, every=False):
-    return _prices(spark, sf_dir, every).select("spoke", "reserve_id", F.col("price").cast("string").alias("price"), "priced_at")
+def latest_prices(spark, sf_dir):
+    return _prices(spark, sf_dir).select("spoke", "reserve_id", F.col("price").cast("string").alias("price"), "priced_at")
 
 
-def label_gap(spark, sf_dir, every=False):
-    return page.label_gap(f.listed_tokens(lg.append(m.hub_events(spark, sf_dir), 1)), _labels(spark, sf_dir, every))
+def label_gap(spark, sf_dir):
+    return page.label_gap(f.listed_tokens(lg.append(m.hub_events(spark, sf_dir), 1)), _labels(spark, sf_dir))
 
 
-def decimals_audit(spark, sf_dir, every=False):
-    return page.decimals_audit(_pool(spark, sf_dir), _labels(spark, sf_dir, every)).select("asset_id", "underlying", "decimals", "token_decimals")
+def decimals_audit(spark, sf_dir):
+    return page.decimals_audit(_pool(spark, sf_dir), _labels(spark, sf_dir)).select("asset_id", "underlying", "decimals", "token_decimals")
 
 
 def scaled_amounts(spark, sf_dir):
@@ -142,25 +142,32 @@ def oracle_batches(spark, sf_dir):
     return rows.groupBy("priced_at").agg(F.count("*").alias("n"), F.sum(F.col("accepted").cast("long")).alias("accepted"), F.sum("price").cast("string").alias("total"))
 
 
-def _priced(spark, sf_dir, every=False) -> DataFrame:
-    v = _valued(spark, sf_dir).join(_prices(spark, sf_dir, every), ["chain_id", "spoke", "reserve_id"]).where("value IS NOT NULL")
+def _priced(spark, sf_dir) -> DataFrame:
+    v = _valued(spark, sf_dir).join(_prices(spark, sf_dir), ["chain_id", "spoke", "reserve_id"]).where("value IS NOT NULL")
     n = F.col("asset.decimals")
-    value = lambda x: w.to_value(F.col(f"value.{x}"), n, F.col("price"))
+    value = lambda x: w.value_wide(F.col(f"value.{x}"), n, F.col("price"))
     return v.select("chain_id", "user", "spoke", "reserve_id", "using_as_collateral", value("supplied").alias("supplied_value"), value("total_debt").alias("debt_value"), (F.lit(5000) + F.col("reserve_id") * 100).alias("factor_bps"))
 
 
-def spoke_totals(spark, sf_dir, every=False):
-    return risk.spoke_totals(_priced(spark, sf_dir, every)).select("user", "spoke", *_text(None, ("supplied_value", "debt_value", "net_worth")))
+def spoke_totals(spark, sf_dir):
+    return risk.spoke_totals(_priced(spark, sf_dir)).select("user", "spoke", *_text(None, ("supplied_value", "debt_value", "net_worth")))
 
 
 def health_factor(spark, sf_dir):
-    h = risk.health_factor(_priced(spark, sf_dir).withColumn("using_as_collateral", F.lit(True)).withColumn("supplied_value", w.div_down(F.col("supplied_value"), w.num(10**20))).withColumn("debt_value", w.div_down(F.col("debt_value"), w.num(10**20))))
-    return h.select("user", "spoke", F.col("health_factor").cast("string").alias("health_factor"))
+    """Health by the folded collateral flag over exact values."""
+    return risk.health_factor(_priced(spark, sf_dir)).select("user", "spoke", "health_factor")
 
 
-def health_factor_whole(spark, sf_dir):
-    """Health by the folded collateral flag over exact values, with every part's price."""
-    return risk.health_factor_wide(_priced(spark, sf_dir, every=True)).select("user", "spoke", "health_factor")
+def valued_positions_wide(spark, sf_dir):
+    """Positions 1e18 times as large, as tokens of 18 decimals have them: products of over 50 digits, and their value in dollars."""
+    views, zeros = _views(spark, sf_dir), "0" * 18
+    large = views["positions"].select(
+        "chain_id", "user", "spoke", "reserve_id", *[(F.col(c) * w.num(10**18)).cast(w.DEC).alias(c) for c in ("supplied_shares", "drawn_shares", "premium_shares")],
+        F.when(F.col("premium_offset_ray") == "0", "0").otherwise(F.concat("premium_offset_ray", F.lit(zeros))).alias("premium_offset_ray"),
+    )
+    v = page.value_all({**views, "positions": large}).join(valuation.sized(_prices(spark, sf_dir)), ["chain_id", "spoke", "reserve_id"], "left")
+    worth = w.value_wide(F.col("value.supplied"), F.col("asset.decimals"), F.col("price")).alias("supplied_value")
+    return v.select("user", "spoke", "reserve_id", *[F.col(f"value.{c}").cast("string").alias(c) for c in VALUE], worth, (F.col("unvalued") == "negative balance").alias("negative"))
 
 
 def price_asof(spark, sf_dir):
@@ -175,7 +182,7 @@ QUERIES = {
     x.__name__: x
     for x in (
         hub_additive_fold, hub_latest_wins, hub_assets_current, listed_tokens, drawn_index_at, total_added_assets, supplied_amount, valued_positions, enriched_positions, unpriced_nulls,
-        pricing_staleness, latest_prices, label_gap, decimals_audit, scaled_amounts, clean_labels, oracle_batches, spoke_totals, health_factor, health_factor_whole, price_asof,
+        pricing_staleness, latest_prices, label_gap, decimals_audit, scaled_amounts, clean_labels, oracle_batches, spoke_totals, health_factor, valued_positions_wide, price_asof,
     )
 }
 
@@ -209,11 +216,11 @@ def _decimal(x: str, d: str) -> str:
 
 
 _POOL_TEXT = ", ".join(f"CAST({c} AS VARCHAR) AS {n}" for c, n in zip(("liq", "added", "dr", "pr", "po", "de", "sw"), TEXT))
-_LAB = f"""lab AS (SELECT {m.sql_address('p_partkey % 17 + 1')} AS token, arg_max(p_partkey, p_partkey) AS k FROM part WHERE p_partkey < 40 AND p_partkey % 17 NOT IN (3, 11) GROUP BY 1),
+_LAB = f"""lab AS (SELECT {m.sql_address('p_partkey % 17 + 1')} AS token, arg_max(p_partkey, p_partkey) AS k FROM part WHERE p_partkey % 17 NOT IN (3, 11) GROUP BY 1),
 labels_ AS (SELECT token, CASE WHEN k % 17 = 5 THEN NULL ELSE p_brand END AS symbol, p_name AS name, CASE WHEN k % 17 = 6 THEN NULL ELSE CAST(6 + (k % 17 + CASE WHEN k % 17 IN (2, 9) THEN 1 ELSE 0 END) % 13 AS INTEGER) END AS token_decimals
   FROM lab JOIN part ON p_partkey = k)"""
 _PRICE = f"""pr0 AS (SELECT CASE WHEN p_partkey % 28 < 14 THEN '{m.SPOKES[0]}' ELSE '{m.SPOKES[1]}' END AS spoke, p_partkey % 14 AS r, CAST(round(p_retailprice * 100) AS HUGEINT) * 1000000 AS price, p_partkey AS k
-  FROM part WHERE p_partkey < 56 AND p_partkey % 14 <> 13 AND p_partkey <> 31),
+  FROM part WHERE p_partkey % 14 <> 13 AND CAST(round(p_retailprice * 100) AS BIGINT) % 7 <> 3),
 prices_ AS (SELECT spoke, r, arg_max(price, k) AS price, {m.T0} + max(k) AS priced_at FROM pr0 GROUP BY spoke, r)"""
 
 ORACLES = {
@@ -243,25 +250,12 @@ SELECT usr AS user, spoke, r AS reserve_id, symbol, name, und AS underlying, {_d
     "spoke_totals": f"""WITH {_VAL}, {_PRICE}, e AS (SELECT usr, val.spoke, supplied * price * CAST('1' || repeat('0', 18 - decs) AS HUGEINT) AS sv, (drawn_debt + premium_debt) * price * CAST('1' || repeat('0', 18 - decs) AS HUGEINT) AS dv
  FROM val JOIN prices_ pp ON pp.spoke = val.spoke AND pp.r = val.r WHERE good)
 SELECT usr AS user, spoke, CAST(sum(sv) AS VARCHAR) AS supplied_value, CAST(sum(dv) AS VARCHAR) AS debt_value, CAST(sum(sv) - sum(dv) AS VARCHAR) AS net_worth FROM e GROUP BY usr, spoke""",
-    "health_factor": f"""WITH {_VAL}, {_PRICE}, e AS (SELECT usr, val.spoke, val.r, (supplied * price * CAST('1' || repeat('0', 18 - decs) AS HUGEINT)) // 100000000000000000000::HUGEINT AS sv,
- ((drawn_debt + premium_debt) * price * CAST('1' || repeat('0', 18 - decs) AS HUGEINT)) // 100000000000000000000::HUGEINT AS dv FROM val JOIN prices_ pp ON pp.spoke = val.spoke AND pp.r = val.r WHERE good)
-SELECT usr AS user, spoke, CASE WHEN sum(dv) > 0 THEN CAST((sum(sv * (5000 + r * 100)) * 100000000000000) // sum(dv) AS VARCHAR) END AS health_factor FROM e GROUP BY usr, spoke""",
     "price_asof": """WITH o AS (SELECT o_orderkey, o_custkey % 17 AS asset_id, o_orderstatus, CAST(round(o_totalprice * 100) AS BIGINT) AS price FROM orders)
 SELECT o_orderkey, asset_id, CAST(last_value(CASE WHEN o_orderstatus = 'F' THEN price END IGNORE NULLS) OVER (PARTITION BY asset_id ORDER BY o_orderkey) AS VARCHAR) AS price FROM o""",
 }
 
-#: The queries of labels and prices over every row of ``part``, which grow with it; those above keep to the first rows, as their SQL does.
-WHOLE = ("latest_prices", "enriched_positions", "pricing_staleness", "spoke_totals", "label_gap", "decimals_audit")
-_LAB_WHOLE = _LAB.replace("p_partkey < 40 AND ", "")
-_PRICE_WHOLE = _PRICE.replace("p_partkey < 56 AND ", "").replace("p_partkey <> 31", "CAST(round(p_retailprice * 100) AS BIGINT) % 7 <> 3")
-
-
-def _whole(query):
-    return lambda spark, sf_dir: query(spark, sf_dir, every=True)
-
-
 #: The quotient by long division in two steps of seven digits, which keeps its products in range.
-_HEALTH_WHOLE = f"""WITH {_VAL}, {_PRICE_WHOLE}, fl AS (SELECT usr, spoke, r, coalesce(arg_max(flag, event_id), false) AS flag FROM spd GROUP BY usr, spoke, r),
+_HEALTH = f"""WITH {_VAL}, {_PRICE}, fl AS (SELECT usr, spoke, r, coalesce(arg_max(flag, event_id), false) AS flag FROM spd GROUP BY usr, spoke, r),
 e AS (SELECT val.usr, val.spoke, CASE WHEN flag THEN supplied * price * CAST('1' || repeat('0', 18 - decs) AS HUGEINT) * (5000 + val.r * 100) ELSE 0::HUGEINT END AS sv,
  (drawn_debt + premium_debt) * price * CAST('1' || repeat('0', 18 - decs) AS HUGEINT) AS dv
  FROM val JOIN prices_ pp ON pp.spoke = val.spoke AND pp.r = val.r JOIN fl ON fl.usr = val.usr AND fl.spoke = val.spoke AND fl.r = val.r WHERE good),
@@ -269,6 +263,15 @@ t AS (SELECT usr, spoke, CAST(sum(sv) AS HUGEINT) AS n, CAST(sum(dv) AS HUGEINT)
 q AS (SELECT *, CASE WHEN d > 0 THEN n // d END AS q0, CASE WHEN d > 0 THEN (n % d) * 10000000 END AS r0 FROM t)
 SELECT usr AS user, spoke, CAST(q0 * 100000000000000 + (r0 // d) * 10000000 + ((r0 % d) * 10000000) // d AS VARCHAR) AS health_factor FROM q"""
 
-QUERIES |= {f"{n}_whole": _whole(QUERIES[n]) for n in WHOLE}
-ORACLES |= {"health_factor_whole": _HEALTH_WHOLE}
-ORACLES |= {f"{n}_whole": ORACLES[n].replace(_LAB, _LAB_WHOLE).replace(_PRICE, _PRICE_WHOLE) for n in WHOLE}
+_E18 = "1000000000000000000::HUGEINT"
+_WIDE = f"""WITH {_VAL}, {_PRICE}, x AS (SELECT j.*, sup * (total + 1000000) AS n, added + 1000000 AS d, pr * ixa - po AS ray, price FROM j LEFT JOIN prices_ pp ON pp.spoke = j.spoke AND pp.r = j.r),
+y AS (SELECT *, CASE WHEN good THEN (n // d) * {_E18} + ((n % d) * {_E18}) // d END AS s, CASE WHEN good THEN (dr * ixa + 999999999) // 1000000000 END AS dd, CASE WHEN good THEN (ray + 999999999) // 1000000000 END AS pd FROM x)
+SELECT usr AS user, spoke, r AS reserve_id, CAST(s AS VARCHAR) AS supplied, CAST(dd AS VARCHAR) AS drawn_debt, CAST(pd AS VARCHAR) AS premium_debt, CAST(dd + pd AS VARCHAR) AS total_debt,
+ CASE WHEN NOT good THEN NULL WHEN ray = 0 THEN '0' ELSE ray || '000000000000000000' END AS premium_ray,
+ CASE WHEN s * price = 0 THEN '0' ELSE (s * price) || repeat('0', 18 - decs) END AS supplied_value, CASE WHEN NOT good THEN ixa IS NOT NULL END AS negative FROM y"""
+ORACLES |= {"health_factor": _HEALTH, "valued_positions_wide": _WIDE}
+
+#: Second names of queries that once had a form over part of the rows.
+WHOLE = ("latest_prices", "enriched_positions", "pricing_staleness", "spoke_totals", "label_gap", "decimals_audit", "health_factor")
+QUERIES |= {f"{n}_whole": QUERIES[n] for n in WHOLE}
+ORACLES |= {f"{n}_whole": ORACLES[n] for n in WHOLE}

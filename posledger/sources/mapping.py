@@ -113,19 +113,19 @@ def headers(spark, sf_dir: str, branch: str = "a", fork: int | None = None) -> D
     return table(spark, sf_dir, "orders").selectExpr(f"{CHAIN} AS chain_id", "o_orderkey AS block_number", f"{own} AS hash", f"{above} AS parent_hash", f"{T0} + o_orderkey AS block_timestamp")
 
 
-def label_rows(spark, sf_dir: str, every: bool = False) -> DataFrame:
-    """Labels per asset from the first parts, or with ``every`` from all; some assets were never asked about, some have none."""
-    p = table(spark, sf_dir, "part").where("p_partkey % 17 NOT IN (3, 11)" + ("" if every else " AND p_partkey < 40"))
+def label_rows(spark, sf_dir: str) -> DataFrame:
+    """Labels per asset, a snapshot per part; some assets were never asked about, some have none."""
+    p = table(spark, sf_dir, "part").where("p_partkey % 17 NOT IN (3, 11)")
     return p.selectExpr(
         f"{CHAIN} AS chain_id", f"{address('p_partkey % 17 + 1')} AS token", "if(p_partkey % 17 = 5, null, p_brand) AS symbol", "p_name AS name",
         "if(p_partkey % 17 = 6, null, cast(6 + (p_partkey % 17 + if(p_partkey % 17 IN (2, 9), 1, 0)) % 13 AS int)) AS token_decimals", "p_partkey AS fetched_at",
     )
 
 
-def price_snapshots(spark, sf_dir: str, every: bool = False) -> DataFrame:
-    """Prices per Spoke and reserve with 8 decimals, from the first parts or with ``every`` from all; some are refused, reserve 13 has none."""
-    p = table(spark, sf_dir, "part").where("p_partkey % 14 <> 13" + ("" if every else " AND p_partkey < 56"))
-    refused = "cast(round(p_retailprice * 100) AS bigint) % 7 = 3" if every else "p_partkey = 31"
+def price_snapshots(spark, sf_dir: str) -> DataFrame:
+    """Prices per Spoke and reserve with 8 decimals, a snapshot per part; some are refused, reserve 13 has none."""
+    p = table(spark, sf_dir, "part").where("p_partkey % 14 <> 13")
+    refused = "cast(round(p_retailprice * 100) AS bigint) % 7 = 3"
     return p.selectExpr(
         f"{CHAIN} AS chain_id", f"if(p_partkey % 28 < 14, '{SPOKES[0]}', '{SPOKES[1]}') AS spoke", "p_partkey % 14 AS reserve_id",
         f"cast(if({refused}, 0, round(p_retailprice * 100) * 1000000) AS decimal(38,0)) AS price", f"{T0} + p_partkey AS priced_at",

@@ -160,3 +160,56 @@ def test_random_ledgers_against_a_model(spark):
         want[k] = want.get(k, 0) + int(b["suppliedShares"])
     got = {k: int(p.supplied_shares) for k, p in positions(ledger).items() if p.events}
     assert got == want and lg.current(ledger).count() == len(live)
+
+
+def test_values_of_realistic_size_against_python(spark):
+    """Shares of 1e24, an index of 1.2e27, offsets of 61 digits, a position of a billion dollars; one bad position stops no other."""
+    from decimal import Decimal
+
+    from posledger.functions import wideint as w
+
+    r = random.Random(9)
+    index, rate, total, added, at = 12 * 10**26 + 7, RAY // 20, 3 * 10**25 + 1, 2 * 10**25 + 3, T0 + 100 + 12345
+    kind = "chain_id int, hub string, asset_id long, liquidity decimal(38,0), added_shares decimal(38,0), drawn_shares decimal(38,0), premium_shares decimal(38,0), swept decimal(38,0), drawn_index decimal(38,0), drawn_rate decimal(38,0), realized_fees decimal(38,0), index_timestamp long, liquidity_fee int, underlying string, decimals int, premium_offset_ray string, deficit_ray string"
+    D = Decimal
+    rows = [
+        (1, HUB, 7, D(total), D(added), D(10**24 + 9), D(10**23), D(5), D(index), D(rate), D(77), T0 + 100, 1000, "0x1", 6, str(-(10**51) - 3), str(10**40 + 1)),
+        (1, HUB, 8, D(1), D(1), D(1), D(0), D(0), D(index), D(rate), D(0), at + 1, 0, "0x2", 6, "0", "0"),
+    ]
+    pool_df = spark.createDataFrame(rows, kind)
+    pool = {x.asset_id: x for x in valuation.asset_at(pool_df, at).collect()}
+    up = lambda x: -(-x // RAY)
+    now = up(index * (RAY + rate * 12345 // 31536000))
+    owed = lambda i: (10**24 + 9) * i + 10**23 * i + 10**51 + 3 + 10**40 + 1
+    fees = (up(owed(now)) - up(owed(index))) * 1000 // 10000
+    assets = total + 5 + up(owed(now)) - 77 - fees
+    assert (int(pool[7].index_at), int(pool[7].unrealized_fees), int(pool[7].total_added_assets), pool[7].unvalued, pool[7].at) == (now, fees, assets, None, at)
+    assert pool[8].index_at is None and pool[8].unvalued == "instant before the checkpoint"
+    held = [(1, "u%d" % i, SPOKE, 7, r.randrange(10**24), r.randrange(10**24), r.randrange(10**24), -r.randrange(10**60, 10**61)) for i in range(30)]
+    held += [(1, "neg", SPOKE, 7, -1, 5, 0, 0), (1, "premium", SPOKE, 7, 1, 5, 1, 10**60), (1, "early", SPOKE, 8, 1, 5, 0, 0), (1, "none", SPOKE, 99, 1, 5, 0, 0), (1, "real", SPOKE, 7, 0, 422166581625087607993, 0, 0)]
+    kind = "chain_id int, user string, spoke string, reserve_id long, supplied_shares decimal(38,0), drawn_shares decimal(38,0), premium_shares decimal(38,0), premium_offset_ray string"
+    df = spark.createDataFrame([(*x[:4], *map(D, x[4:7]), str(x[7])) for x in held], kind)
+    reserves = spark.createDataFrame([(1, SPOKE, 7, 7, HUB), (1, SPOKE, 8, 8, HUB)], "chain_id int, spoke string, reserve_id long, asset_id long, hub string")
+    got = {x.user: x for x in valuation.value_positions(df, reserves, valuation.asset_at(pool_df, at)).collect()}
+    for _, user, _, _, s, d, p, o in held[:30] + held[-1:]:
+        v, ray = got[user].value, p * now - o
+        assert (int(v.supplied), int(v.drawn_debt), int(v.premium_debt), int(v.total_debt), v.premium_ray, v.at) == (s * (assets + 10**6) // (added + 10**6), up(d * now), up(ray), up(d * now) + up(ray), str(ray), at)
+        assert got[user].unvalued is None
+    assert {u: (got[u].value, got[u].unvalued) for u in ("neg", "premium", "early", "none")} == {
+        "neg": (None, "negative balance"), "premium": (None, "negative premium"), "early": (None, "instant before the checkpoint"), "none": (None, "unknown reserve"),
+    }
+    amounts = spark.createDataFrame([(str(a), d, str(p)) for a, d, p in ((1_100_000 * 10**6, 6, 10**8), (10**27, 18, 187522000000), (10**30, 27, 10**13), (7, 20, 10**8))], "a string, d int, p string")
+    worth = [x.v for x in amounts.select(w.value_wide("a", "d", "p").alias("v")).collect()]
+    assert worth == [str(11 * 10**31), str(10**27 * 187522000000), str(10**34), str(7 * 10**8 // 100)]
+
+
+def test_health_of_realistic_size(spark):
+    from posledger.operators import risk
+
+    c, d = 10**3 * 10**26, 500 * 10**26
+    kind = "chain_id int, user string, spoke string, using_as_collateral boolean, supplied_value string, debt_value string, factor_bps long"
+    rows = [(1, "a", "s", True, str(c), "0", 7800), (1, "a", "s", False, "0", str(d), 7800), (1, "b", "s", True, str(10**45), str(10**44), 9999)]
+    got = {x.user: x.health_factor for x in risk.health_factor(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {"a": str(c * 7800 * 10**14 // d), "b": str(10**45 * 9999 * 10**14 // 10**44)}
+    totals = {x.user: (x.supplied_value, x.debt_value, x.net_worth) for x in risk.spoke_totals(spark.createDataFrame(rows, kind)).collect()}
+    assert totals["a"] == (str(c), str(d), str(c - d)) and totals["b"][2] == str(9 * 10**44)

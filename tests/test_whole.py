@@ -26,9 +26,9 @@ def test_against_sql(spark, name):
 
 def test_every_part_is_a_snapshot(spark):
     parts = spark.read.parquet(f"{DATA}/part.parquet")
-    assert m.price_snapshots(spark, DATA, every=True).count() == parts.where("p_partkey % 14 <> 13").count() > 56
-    assert m.label_rows(spark, DATA, every=True).count() == parts.where("p_partkey % 17 NOT IN (3, 11)").count() > 40
-    assert m.price_snapshots(spark, DATA, every=True).where("price = 0").count() > 1
+    assert m.price_snapshots(spark, DATA).count() == parts.where("p_partkey % 14 <> 13").count() > 56
+    assert m.label_rows(spark, DATA).count() == parts.where("p_partkey % 17 NOT IN (3, 11)").count() > 40
+    assert m.price_snapshots(spark, DATA).where("price = 0").count() > 1
     assert all(r.priced_at > m.T0 + 56 for r in catalogue.QUERIES["latest_prices_whole"](spark, DATA).collect())
 
 
