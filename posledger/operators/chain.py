@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ledger import replace_range
+
 DEPTH = 128
 
 
@@ -65,3 +67,12 @@ def replay_plan(spark, lo: int, hi: int, width: int, safe: int) -> DataFrame:
         raise ValueError(f"block {hi} is above the safe head {safe}")
     starts = spark.range(lo, hi + 1, width).withColumnRenamed("id", "range_from")
     return starts.withColumn("range_to", F.least(F.col("range_from") + width - 1, F.lit(hi).cast("long")))
+
+
+def replay(ledger: DataFrame, events: DataFrame, chain: int, lo: int, hi: int, version: int, safe: int) -> tuple[DataFrame, int]:
+    """The ledger with a settled range dispatched again from its events, and the block to resume from. No cursor moves."""
+    if lo > hi:
+        raise ValueError("empty range")
+    if hi > safe:
+        raise ValueError(f"block {hi} is above the safe head {safe}")
+    return replace_range(ledger, events, chain, lo, hi, version), hi + 1

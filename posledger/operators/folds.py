@@ -219,3 +219,14 @@ def listed_tokens(ledger: DataFrame) -> DataFrame:
     """Distinct underlying tokens of AddAsset rows at event grain; retracted listings stay, odd bodies are skipped."""
     rows = f.parsed(ledger.where("event_name = 'AddAsset'"), "underlying").select("chain_id", F.lower(f.text("underlying")).alias("underlying"))
     return rows.where("underlying RLIKE '^0x[0-9a-f]{40}$'").distinct()
+
+
+def listing_counts(ledger: DataFrame) -> DataFrame:
+    """How often each token was listed: a small table, added up over batches, of which the keys are what counts."""
+    rows = f.parsed(ledger.where("event_name = 'AddAsset'"), "underlying").select("chain_id", F.lower(f.text("underlying")).alias("underlying"))
+    return rows.where("underlying RLIKE '^0x[0-9a-f]{40}$'").groupBy("chain_id", "underlying").agg(F.count("*").alias("n"))
+
+
+def rebuild(ledger: DataFrame, path: str, files: int | None = None) -> None:
+    """Make the stored position deltas again from the ledger, in place of what is there."""
+    store_positions(position_rows(ledger), path, "overwrite", files)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +9,7 @@ from ..operators import chain, folds, reconcile
 from ..operators import ledger as lg
 from ..sources import logs
 from ..sources import mapping as m
+from ..sources import shared
 from ..streaming import ingest
 from . import pools
 
@@ -96,19 +94,45 @@ def replay_plan(spark, sf_dir):
     return plan.join(rows, "range_from", "left").select("range_from", "range_to", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def stream_fold_equals_batch(spark, sf_dir):
-    """The ledger built by micro-batches over landed files, the last third of the blocks landing twice, folded."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    at = f"{folder}/stream/{uuid.uuid4().hex}"
-    rows = m.spoke_events(spark, sf_dir)
-    rows = rows.select(*[(F.col(c.split()[0]) if c.split()[0] in rows.columns else F.lit(None).cast(c.split()[1])).alias(c.split()[0]) for c in ingest.EVENT.split(", ")])
-    blocks = rows.agg(F.max("block_number")).first()[0] + 1
-    third = F.floor(F.col("block_number") * 3 / blocks)
-    for k in (0, 1, 2, 2):
-        rows.where(third == k).repartitionByRange(4, "block_number").write.mode("append").json(f"{at}/source")
-    query = ingest.start_ingest(spark, f"{at}/source", f"{at}/ledger", f"{at}/checkpoint", f"{at}/progress", 1)
-    query.awaitTermination()
+def _landed(spark, sf_dir, at: str) -> None:
+    """Ranges of 500 blocks land in files: all but each third; then the rest, with each tenth block's range twice and one emptied
+    and filled again, all in the same files as ranges far from them."""
+    events = m.spoke_events(spark, sf_dir)
+    last = events.agg(F.max("block_number")).first()[0]
+    ranges = spark.range(0, last + 1, 500).selectExpr(
+        f"{m.CHAIN} AS chain_id", "id AS range_from", f"least(id + 499, {last}L) AS range_to", "id div 500 AS n", f"{last}L + 12 AS head", "false AS rewind"
+    )
+    shown = ["chain_id", "range_from", "range_to", "dispatch", "head", "rewind"]
+    first = ranges.where("n % 3 <> 1").withColumn("dispatch", F.lit(1).cast("long"))
+    second = ranges.where("n % 3 = 1 OR n % 10 = 0").withColumn("dispatch", F.lit(2).cast("long"))
+    emptied = ranges.where("n % 10 = 5").withColumn("dispatch", F.lit(3).cast("long"))
+    filled = ranges.where("n % 10 = 5").withColumn("dispatch", F.lit(4).cast("long"))
+    gone = ranges.where("n = 2").withColumn("dispatch", F.lit(5).cast("long")).withColumn("rewind", F.lit(True))
+    land = lambda rows, some: ingest.land(ingest.dispatches(some, rows.select(*shown)).coalesce(2), f"{at}/source")
+    land(first, events)
+    land(second.unionByName(filled).unionByName(second.where("n % 10 = 0")), events)
+    land(emptied.unionByName(gone), events.where("false"))
+
+
+def stream_ranges(spark, sf_dir):
+    """Ranges that land with gaps, twice in one batch, emptied, and emptied and filled again: the ledger's fold."""
+    at = shared.table_path(spark, "stream")
+    _landed(spark, sf_dir, at)
+    ingest.start_ingest(spark, f"{at}/source", f"{at}/ledger", f"{at}/checkpoint", f"{at}/progress", 100).awaitTermination()
     p = folds.positions_current(ingest.ledger(spark, f"{at}/ledger"))
+    return p.select("user", "spoke", "reserve_id", F.col("supplied_shares").cast("string").alias("supplied_shares"), "premium_offset_ray", "using_as_collateral", "events").where("events > 0 OR using_as_collateral")
+
+
+def stream_fold_equals_batch(spark, sf_dir):
+    """The typed deltas kept by micro-batches over landed ranges, the last third of the blocks landing twice, folded."""
+    at, events = shared.table_path(spark, "stream"), m.spoke_events(spark, sf_dir)
+    blocks = events.agg(F.max("block_number")).first()[0] + 1
+    for turn, k in enumerate((0, 1, 2, 2)):
+        lo, hi = -(-k * blocks // 3), -(-(k + 1) * blocks // 3) - 1
+        ranges = spark.range(lo, hi + 1, 250).selectExpr(f"{m.CHAIN} AS chain_id", "id AS range_from", f"least(id + 249, {hi}L) AS range_to", f"{turn}L AS dispatch", f"{blocks}L AS head", "false AS rewind")
+        ingest.land(ingest.dispatches(events, ranges).coalesce(1), f"{at}/source")
+    ingest.start_ingest(spark, f"{at}/source", f"{at}/ledger", f"{at}/checkpoint", f"{at}/progress", 1, deltas=f"{at}/deltas").awaitTermination()
+    p = folds.stored_positions(spark.read.parquet(f"{at}/deltas"))
     return p.select("user", "spoke", "reserve_id", F.col("supplied_shares").cast("string").alias("supplied_shares"), "using_as_collateral", "events")
 
 
@@ -146,7 +170,7 @@ def reconcile_positions(spark, sf_dir):
 QUERIES = {
     x.__name__: x
     for x in (
-        timestamp_fill, decode_logs, decoded_fold, header_contiguity, fork_point, settled_split, header_window, replay_plan, stream_fold_equals_batch,
+        timestamp_fill, decode_logs, decoded_fold, header_contiguity, fork_point, settled_split, header_window, replay_plan, stream_fold_equals_batch, stream_ranges,
         reconcile_hub_delta, reconcile_hub_absolute, reconcile_positions,
     )
 }
@@ -170,6 +194,8 @@ UNION ALL SELECT 2, 'continuous', max(o_orderkey), NULL, NULL FROM orders UNION
     "replay_plan": """WITH s AS (SELECT max(event_id // 10) - 16 AS safe FROM events)
 SELECT event_id // 10 - (event_id // 10) % 64 AS range_from, least(event_id // 10 - (event_id // 10) % 64 + 63, safe) AS range_to, count(*) AS n FROM events, s WHERE event_id // 10 <= safe GROUP BY 1, 2""",
     "stream_fold_equals_batch": f"WITH {m.SP} SELECT usr AS user, spoke, r AS reserve_id, CAST(sum(sup) AS VARCHAR) AS supplied_shares, coalesce(arg_max(flag, event_id), false) AS using_as_collateral, CAST(sum(ev) AS BIGINT) AS events FROM spd GROUP BY usr, spoke, r",
+    "stream_ranges": f"""WITH {m.SP} SELECT usr AS user, spoke, r AS reserve_id, CAST(sum(sup) AS VARCHAR) AS supplied_shares, CAST(sum(po) AS VARCHAR) AS premium_offset_ray,
+ coalesce(arg_max(flag, event_id), false) AS using_as_collateral, CAST(sum(ev) AS BIGINT) AS events FROM spd WHERE b // 500 <> 2 GROUP BY usr, spoke, r HAVING sum(ev) > 0 OR coalesce(arg_max(flag, event_id), false)""",
     "reconcile_hub_absolute": f"WITH {m.HB} SELECT a AS asset_id, field, {_STATUS.format(missing='mismatch')} AS status FROM hs, (VALUES {_FIELDS}) AS f(field, additive)",
     "reconcile_hub_delta": f"WITH {m.HB} SELECT a AS asset_id, field, {_STATUS.format(missing='untouched')} AS status FROM hs, (VALUES {_FIELDS}) AS f(field, additive)",
     "reconcile_positions": f"""WITH {pools._VAL} SELECT field, CASE WHEN NOT good THEN 'unvalued' WHEN field = 'supplied' AND r = 7 THEN 'mismatch' ELSE 'match' END AS status, count(*) AS n

@@ -1,61 +1,167 @@
-"""Continuous ingest of decoded events: each micro-batch replaces its block range in the signed ledger.
+"""Continuous ingest of dispatched block ranges: each one replaces its range in the signed ledger.
 
-A batch's rows go to a partition of their own, overwritten when the batch runs again, so a replay after a
-failure changes nothing. The retraction reads every other batch's rows and never its own. The checkpoint
-of the query is the resume point.
+What lands is one row per dispatched range, with its events; a range without events empties it. In a micro-batch the last
+dispatch of a block counts. Exactly the landed ranges are retracted, no block between them, and retraction reads only the
+ledger's partitions of these blocks. A batch's rows go to a partition of their own, overwritten when the batch
+runs again, so a replay after a failure changes nothing; it never reads its own rows. The checkpoint of the query is the resume point.
+
+A reorganisation is a range too: empty (or with the new branch's events) and marked ``rewind``, which sets the cursor back
+to the block before it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.ledger import append, in_range, retract_range
+from ..functions.wideint import DEC, joined_sums
+from ..operators import folds
+from ..operators.chain import truncate_above
+from ..operators.ledger import KEYS, append, current
+from ..operators.page import label_gap
 
 EVENT = (
     "chain_id int, address string, block_number long, log_index int, block_hash string, block_timestamp long, tx_hash string, "
     "tx_index int, event_name string, topic1 string, topic2 string, topic3 string, body string, data string"
 )
+NESTED = ", ".join(f"{c.split()[0]}: {c.split()[1]}" for c in EVENT.split(", ") if not c.startswith("chain_id"))
+RANGE = f"chain_id int, range_from long, range_to long, dispatch long, head long, rewind boolean, events array<struct<{NESTED}>>"
 LEDGER = EVENT + ", version long, sign int"
-PROGRESS = "batch_id long, chain_id int, block_from long, block_to long, appended long, cursor long, lag long"
+STORED = LEDGER + ", batch_id long, block_part long"
+PROGRESS = "batch_id long, chain_id int, block_from long, block_to long, dispatch long, appended long, rewind boolean, cursor long, head long, lag long"
+#: Ranges are matched with blocks by pieces of so many blocks.
+PIECE = 1024
 
 
 def ledger(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    rows = spark.read.schema(LEDGER + ", batch_id long").parquet(path)
-    return (rows if before is None else rows.where(F.col("batch_id") != before)).drop("batch_id")
+    rows = spark.read.schema(STORED).parquet(path)
+    return (rows if before is None else rows.where(F.col("batch_id") != before)).drop("batch_id", "block_part")
+
+
+def land(ranges: DataFrame, source: str, fmt: str = "json") -> None:
+    """Append dispatched ranges (rows of RANGE) to the folder that the stream watches."""
+    ranges.write.mode("append").format(fmt).save(source)
+
+
+def dispatches(events: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Rows of RANGE from ranges (chain_id, range_from, range_to, dispatch, head, rewind) and the events of their blocks."""
+    names = [c.split()[0] for c in EVENT.split(", ") if not c.startswith("chain_id")]
+    kinds = dict(c.split() for c in EVENT.split(", "))
+    fields = [(F.col(n) if n in events.columns else F.lit(None)).cast(kinds[n]).alias(n) for n in names]
+    placed = events.select("chain_id", _piece(F.col("block_number")), F.struct(*fields).alias("e"))
+    hit = _pieces(ranges.dropDuplicates(["chain_id", "range_from", "range_to", "dispatch"])).join(placed, ["chain_id", "piece"]).where("e.block_number BETWEEN range_from AND range_to")
+    got = hit.groupBy("chain_id", "range_from", "range_to", "dispatch").agg(F.collect_list("e").alias("events"))
+    all_rows = ranges.join(got, ["chain_id", "range_from", "range_to", "dispatch"], "left")
+    return all_rows.select("chain_id", "range_from", "range_to", "dispatch", "head", "rewind", F.coalesce("events", F.array().cast(f"array<struct<{NESTED}>>")).alias("events"))
+
+
+def _piece(block: Column) -> Column:
+    return F.floor(block / PIECE).alias("piece")
+
+
+def _pieces(ranges: DataFrame) -> DataFrame:
+    """Each range once for every piece of blocks that it touches."""
+    steps = F.sequence(F.floor(F.col("range_from") / PIECE), F.floor(F.col("range_to") / PIECE))
+    return ranges.withColumn("piece", F.explode(steps))
 
 
-def dispatch(batch: DataFrame, batch_id: int, path: str, progress: str, head: int | None = None) -> None:
-    """Replace the block range of each chain in the batch; at most a row per chain reaches the driver."""
+def _dispatched(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The ranges of a batch and the events that count: those of the last dispatch of their block.
+
+    A range that landed twice under one number is one, and so is an event; of different ranges with one number the later one counts.
+    """
+    batch = batch.dropDuplicates(["chain_id", "range_from", "range_to", "dispatch"])
+    order = F.struct("dispatch", "range_from", "range_to")
+    ranges = batch.select("chain_id", "range_from", "range_to", order.alias("turn"))
+    each = batch.select("chain_id", "range_from", "range_to", order.alias("turn"), F.explode("events").alias("e"))
+    outside = ~F.col("e.block_number").between(F.col("range_from"), F.col("range_to"))
+    each = each.select("chain_id", "turn", "e.*", F.when(outside, F.raise_error(F.lit("event outside its range"))).cast("int").alias("_in"))
+    each = each.where("_in IS NULL").drop("_in").withColumn("piece", _piece(F.col("block_number")))
+    later = _pieces(ranges).select("chain_id", "piece", "range_from", "range_to", F.col("turn").alias("other"))
+    beaten = (each.chain_id == later.chain_id) & (each.piece == later.piece) & each.block_number.between(later.range_from, later.range_to) & (later.other > each.turn)
+    kept = each.join(later, beaten, "left_anti")
+    return batch.drop("events"), kept.select(*[c.split()[0] for c in EVENT.split(", ")]).dropDuplicates(list(KEYS))
+
+
+def retractions(past: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The rows that retract what is live in any of the ranges; blocks between them stay."""
+    wanted = _pieces(ranges.select("chain_id", "range_from", "range_to")).withColumnRenamed("chain_id", "_chain")
+    own = past.withColumn("piece", _piece(F.col("block_number")))
+    within = (own.chain_id == wanted._chain) & (own.piece == wanted.piece) & own.block_number.between(wanted.range_from, wanted.range_to)
+    return current(own.join(wanted, within, "left_semi").drop("piece")).withColumn("sign", F.lit(-1))
+
+
+def dispatch(batch: DataFrame, batch_id: int, path: str, progress: str, deltas: str | None = None, listings: str | None = None, labels: DataFrame | None = None) -> None:
+    """Replace the batch's ranges; with ``deltas`` keep the typed position deltas too, with ``listings`` the counts of listed tokens.
+
+    With ``labels`` the listed tokens that were never asked about are added to ``listings``/gaps. Only the numbers of the
+    millions of blocks that a batch touches reach the driver.
+    """
     spark = batch.sparkSession
     batch = batch.persist()
-    ranges = batch.groupBy("chain_id").agg(F.min("block_number").alias("lo"), F.max("block_number").alias("hi"), F.count("*").alias("n")).collect()
-    past = ledger(spark, path, batch_id)
-    rows = append(batch, batch_id)
-    for r in ranges:
-        rows = rows.unionByName(retract_range(past, r.chain_id, r.lo, r.hi))
-    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-    told = [(batch_id, r.chain_id, r.lo, r.hi, r.n, r.hi, max(0, (head if head is not None else r.hi) - r.hi)) for r in ranges]
-    spark.createDataFrame(told, PROGRESS).write.mode("overwrite").parquet(f"{progress}/part={batch_id}")
+    ranges, events = _dispatched(batch)
+    spans = F.explode(F.sequence(F.expr("range_from div 1000000"), F.expr("range_to div 1000000")))
+    parts = [r[0] for r in ranges.select(spans.alias("p")).distinct().collect()]
+    past = spark.read.schema(STORED).parquet(path).where((F.col("batch_id") != batch_id) & F.col("block_part").isin(parts)).drop("batch_id", "block_part")
+    rows = append(events, batch_id)
+    rows = rows.unionByName(retractions(past.select(*rows.columns), ranges))
+    rows = rows.withColumn("block_part", F.expr("block_number div 1000000"))
+    rows.write.mode("overwrite").partitionBy("block_part").parquet(f"{path}/batch_id={batch_id}")
+    own = spark.read.schema(LEDGER).parquet(f"{path}/batch_id={batch_id}")
+    if deltas:
+        folds.store_positions(folds.position_rows(own), f"{deltas}/batch_id={batch_id}", "overwrite")
+    if listings:
+        folds.listing_counts(own).write.mode("overwrite").parquet(f"{listings}/counts/batch_id={batch_id}")
+        if labels is not None:
+            label_gap(folds.listed_tokens(own.where("sign = 1")), labels).write.mode("overwrite").parquet(f"{listings}/gaps/batch_id={batch_id}")
+    _told(ranges, events, batch_id, progress).write.mode("overwrite").parquet(f"{progress}/batch_id={batch_id}")
     batch.unpersist()
 
 
-def reorg(spark: SparkSession, path: str, chain: int, lo: int, hi: int, batch_id: int) -> None:
-    """Retract a range and nothing else, as a batch of its own."""
-    retract_range(ledger(spark, path, batch_id), chain, lo, hi).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-
-def start_ingest(spark: SparkSession, source: str, path: str, checkpoint: str, progress: str, files_per_batch: int = 16, fmt: str = "json") -> StreamingQuery:
-    """Ingest landed event files, all that are there now; run again for later ones."""
-    spark.createDataFrame([], LEDGER).write.mode("overwrite").parquet(f"{path}/batch_id=-1")
-    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_per_batch).format(fmt).load(source)
-    write = stream.writeStream.foreachBatch(lambda df, n: dispatch(df, n, path, progress))
+def _told(ranges: DataFrame, events: DataFrame, batch_id: int, progress: str) -> DataFrame:
+    """A row per range: what it appended, and its chain's cursor, highest head and lag after the batch."""
+    counted = _pieces(ranges).join(events.select("chain_id", "block_number", _piece(F.col("block_number"))), ["chain_id", "piece"])
+    counted = counted.where("block_number BETWEEN range_from AND range_to").groupBy("chain_id", "range_from", "range_to", "dispatch").agg(F.count("*").alias("appended"))
+    before = ranges.sparkSession.read.schema(PROGRESS).parquet(progress).where(F.col("batch_id") != batch_id).groupBy("chain_id").agg(F.max("head").alias("known"))
+    last = F.max_by(F.when(F.col("rewind"), F.col("range_from") - 1).otherwise(F.col("range_to")), F.struct("dispatch", "range_from", "range_to"))
+    state = ranges.groupBy("chain_id").agg(last.alias("cursor"), F.max("head").alias("told"))
+    state = state.join(before, "chain_id", "left").select("chain_id", "cursor", F.greatest("told", "known").alias("head"))
+    df = ranges.drop("head").join(counted, ["chain_id", "range_from", "range_to", "dispatch"], "left").join(state, "chain_id")
+    return df.select(
+        F.lit(batch_id).cast("long").alias("batch_id"), "chain_id", F.col("range_from").alias("block_from"), F.col("range_to").alias("block_to"), "dispatch",
+        F.coalesce("appended", F.lit(0)).cast("long").alias("appended"), F.coalesce("rewind", F.lit(False)).alias("rewind"), "cursor", "head",
+        F.greatest(F.lit(0), F.coalesce("head", "cursor") - F.col("cursor")).cast("long").alias("lag"),
+    )
+
+
+def cursors(progress: DataFrame) -> DataFrame:
+    """Per chain the cursor, head and lag after the last batch."""
+    last = F.max_by(F.struct("cursor", "head", "lag"), "batch_id").alias("s")
+    return progress.groupBy("chain_id").agg(last).select("chain_id", "s.*")
+
+
+def rewind(headers: DataFrame, ancestor: int) -> DataFrame:
+    """The headers that stay after a reorganisation; the range above is landed empty and marked ``rewind``."""
+    return truncate_above(headers, ancestor)
+
+
+def start_ingest(spark: SparkSession, source: str, path: str, checkpoint: str, progress: str, files_per_batch: int = 16, fmt: str = "json", **more) -> StreamingQuery:
+    """Ingest landed ranges, all that are there now; run again for later ones. ``more`` goes to ``dispatch``."""
+    empty = lambda schema: spark.createDataFrame([], ", ".join(c for c in schema.split(", ") if not c.startswith("batch_id")))
+    empty(LEDGER).withColumn("block_part", F.lit(0).cast("long")).write.mode("overwrite").partitionBy("block_part").parquet(f"{path}/batch_id=-1")
+    empty(PROGRESS).write.mode("overwrite").parquet(f"{progress}/batch_id=-1")
+    stream = spark.readStream.schema(RANGE).option("maxFilesPerTrigger", files_per_batch).format(fmt).load(source)
+    write = stream.writeStream.foreachBatch(lambda df, n: dispatch(df, n, path, progress, **more))
     return write.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def continuous_sums(events: DataFrame) -> DataFrame:
-    """The additive fold as a streaming aggregation, for output in update mode; no watermark, so no late row is dropped."""
-    from ..operators.folds import POSITION, SUMS, position_deltas
-
-    return position_deltas(events).groupBy(*POSITION).agg(*[F.sum(n).alias(n) for n in SUMS], F.sum("events").alias("events"))
+    """The additive fold as a streaming aggregation, for output in update mode; no watermark, so no late row is dropped.
+
+    Flags are latest-wins over live rows, which update mode can't hold; they come from the stored deltas.
+    """
+    wide = [f"premium_offset_ray_{k}" for k in range(3)]
+    sums = [F.coalesce(F.sum(n), F.lit(0)).cast(DEC).alias(n if n in folds.SUMS else f"_{n}") for n in (*folds.SUMS, *wide)]
+    df = folds.position_deltas(events).groupBy(*folds.POSITION).agg(*sums, F.sum("events").alias("events"))
+    return df.select(*folds.POSITION, *folds.SUMS, "events", joined_sums("premium_offset_ray").alias("premium_offset_ray"))
