@@ -14,6 +14,7 @@ from ..streaming import ingest
 from . import pools
 
 TOPIC = {name: "0x" + f"{k + 1:064x}" for k, name in enumerate(logs.SPOKE_EVENTS)}
+HUB_TOPIC = {name: "0x" + f"{k + 101:064x}" for k, name in enumerate(logs.HUB_EVENTS)}
 FORK = 700
 
 
@@ -26,41 +27,87 @@ def _negative(x: str) -> str:
     return f"if(x0 = 0, {_word('0L')}, concat(repeat('f', 48), lpad(lower(hex(-({x}))), 16, '0')))".replace("x0", x)
 
 
-def raw_spoke_logs(spark, sf_dir) -> DataFrame:
-    """Supply and Repay events as contract logs: topics and data words."""
-    b = m.spoke_base(spark, sf_dir).where(f"event_type IN ('view', 'error') AND spoke = '{m.SPOKES[0]}'")
-    user = _word("user_id")
-    return b.selectExpr(
-        f"{m.CHAIN} AS chain_id", "upper(spoke) AS address",
-        f"array(if(event_type = 'view', '{TOPIC['Supply']}', '{TOPIC['Repay']}'), concat('0x', {_word('reserve_id')}), concat('0x', {user}), concat('0x', {user})) AS topics",
-        f"if(event_type = 'view', concat('0x', {_word('s')}, {_word('s + 7')}), concat('0x', {_word('s div 8')}, {_word('s div 8 + 3')}, {_word('s div 16')}, {_negative('s')}, {_word('s')})) AS data",
-        "block_number", "if(event_id % 3 = 0, null, block_timestamp) AS block_timestamp", "'0x0' AS block_hash", "'0x1' AS tx_hash", "0 AS tx_index", "log_index",
+def _log(df: DataFrame, contract: str, cases: dict, names: dict, *more: str) -> DataFrame:
+    """Rows as contract logs; ``cases`` has per value of ``kind`` the event, its topics and its data words."""
+    pick = lambda of: "CASE kind " + " ".join(f"WHEN {k} THEN {of(*v)}" for k, v in cases.items()) + " END"
+    topics = pick(lambda name, topics, data: f"array('{names[name]}', " + ", ".join(f"concat('0x', {t})" for t in topics) + ")")
+    data = pick(lambda name, topics, data: f"concat('0x', {', '.join(data)})" if data else "'0x'")
+    return df.selectExpr(
+        f"{m.CHAIN} AS chain_id", f"upper({contract}) AS address", f"{topics} AS topics", f"{data} AS data", "block_number",
+        "if(log_index % 3 = 0, null, block_timestamp) AS block_timestamp", "'0x0' AS block_hash", "'0x1' AS tx_hash", "0 AS tx_index", "log_index", *more,
     )
 
 
+def raw_spoke_logs(spark, sf_dir) -> DataFrame:
+    """Every Spoke event as a contract log."""
+    key = [_word("reserve_id"), _word("user_id"), _word("user_id")]
+    cases = {
+        "'view'": ("Supply", key, [_word("s"), _word("s + 7")]), "'click'": ("Withdraw", key, [_word("s div 4"), _word("s div 5")]),
+        "'purchase'": ("Borrow", key, [_word("s div 2"), _word("s div 2 + 1")]),
+        "'error'": ("Repay", key, [_word("s div 8"), _word("s div 8 + 3"), _word("s div 16"), _negative("s"), _word("s")]),
+        "'signup'": ("SetUsingAsCollateral", key, [_word("event_id % 2")]),
+    }
+    return _log(m.spoke_base(spark, sf_dir).withColumn("kind", F.col("event_type")), "spoke", cases, TOPIC, "spoke")
+
+
+def raw_hub_logs(spark, sf_dir) -> DataFrame:
+    """Every pool event as a contract log: all 13 kinds, with words beyond 64 bits."""
+    a, spoke, zeros = _word("asset_id"), _word("id % 5"), lambda x, n: f"lpad(concat(lower(hex({x})), repeat('0', {n})), 64, '0')"
+    premium = [_word("v div 50"), _negative("v"), _word("v div 9")]
+    two = [a, spoke]
+    events = [
+        (two, [_word("v * 9"), _word("v * 10")]), (two, [_word("v"), _word("v")]), (two, [_word("v"), _word("v + 2")]), (two, [_word("v div 4"), *premium, _word("v div 4"), _word("v div 100")]),
+        (two, [_word("v div 8"), *premium, zeros("v", 20)]), ([a, spoke, spoke], [_word("v div 9"), zeros("v", 20)]), (two, [_word("v div 20"), _word("v")]), (two, [_word("v div 3")]),
+        (two, [_word("v div 6")]), (two, premium), ([a], [zeros("v", 8), zeros("v", 6), _word("v div 1000")]), ([a], [_word("1"), _word("id % 3000"), _word("2"), _word("3")]), ([a, _word("asset_id + 1")], [_word("6 + asset_id % 13")]),
+    ]
+    cases = {k: (name, *event) for k, (name, event) in enumerate(zip(m.HUB_EVENTS, events))}
+    return _log(m.hub_base(spark, sf_dir), f"'{m.HUB}'", cases, HUB_TOPIC)
+
+
 def _times(spark, sf_dir) -> DataFrame:
     return m.spoke_base(spark, sf_dir).groupBy(F.lit(m.CHAIN).alias("chain_id"), "block_number").agg(F.min("block_timestamp").alias("block_timestamp"))
 
 
+def _filled(spark, sf_dir) -> DataFrame:
+    return logs.fill_timestamps(raw_spoke_logs(spark, sf_dir), _times(spark, sf_dir))
+
+
+def _decoded(spark, sf_dir) -> DataFrame:
+    filled = logs.event_set(_filled(spark, sf_dir), TOPIC)
+    one, two = (logs.decode_logs(filled.where(F.col("spoke") == s), TOPIC, s) for s in m.SPOKES)
+    return one.unionByName(two)
+
+
 def timestamp_fill(spark, sf_dir):
-    return logs.fill_timestamps(raw_spoke_logs(spark, sf_dir), _times(spark, sf_dir)).select("block_number", "log_index", "block_timestamp")
+    return _filled(spark, sf_dir).select("block_number", "log_index", "block_timestamp")
+
+
+def _field(path):
+    return F.get_json_object("body", f"$.{path}")
 
 
 def decode_logs(spark, sf_dir):
-    filled = logs.fill_timestamps(raw_spoke_logs(spark, sf_dir), _times(spark, sf_dir))
-    e = logs.decode_logs(logs.event_set(filled, TOPIC), TOPIC, m.SPOKES[0])
-    get = lambda p: F.get_json_object("body", f"$.{p}")
-    return e.select(
-        "block_number", "log_index", "event_name", get("user").alias("user"), get("reserveId").alias("reserve"), F.coalesce(get("suppliedShares"), get("drawnShares")).alias("shares"),
-        get("premiumDelta.offsetRayDelta").alias("offset_ray"),
+    """All logs of both Spokes."""
+    return _decoded(spark, sf_dir).select(
+        "block_number", "log_index", "address", "event_name", _field("user").alias("user"), _field("reserveId").alias("reserve"),
+        F.coalesce(*[_field(x) for x in ("suppliedShares", "withdrawnShares", "drawnShares")]).alias("shares"),
+        F.coalesce(*[_field(x) for x in ("suppliedAmount", "withdrawnAmount", "drawnAmount", "totalAmountRepaid")]).alias("amount"),
+        _field("premiumDelta.offsetRayDelta").alias("offset_ray"), _field("usingAsCollateral").alias("flag"),
     )
 
 
+def decode_hub_logs(spark, sf_dir):
+    """All logs of the pool, 13 kinds; amounts by kind and asset, the wide ones as text."""
+    times = m.hub_base(spark, sf_dir).groupBy(F.lit(m.CHAIN).alias("chain_id"), "block_number").agg(F.min("block_timestamp").alias("block_timestamp"))
+    e = logs.decode_logs(logs.fill_timestamps(raw_hub_logs(spark, sf_dir), times), HUB_TOPIC, m.HUB, logs.HUB_EVENTS)
+    amount = F.coalesce(*[_field(x) for x in ("amount", "drawnAmount", "assets", "premiumDelta.offsetRayDelta", "shares", "accruedFees", "config.liquidityFee", "decimals")])
+    return e.select("block_number", "log_index", "event_name", _field("assetId").alias("asset"), amount.alias("amount"), _field("deficitAmountRay").alias("deficit"), _field("drawnIndex").alias("index"), _field("underlying").alias("underlying"))
+
+
 def decoded_fold(spark, sf_dir):
     """From logs to positions: decode, append, fold."""
-    filled = logs.fill_timestamps(raw_spoke_logs(spark, sf_dir), _times(spark, sf_dir))
-    p = folds.positions_current(lg.append(logs.decode_logs(filled, TOPIC, m.SPOKES[0]), 1))
-    return p.select("user", "reserve_id", F.col("supplied_shares").cast("string").alias("supplied_shares"), F.col("premium_offset_ray"), "events")
+    p = folds.positions_current(lg.append(_decoded(spark, sf_dir), 1))
+    return p.select("user", "spoke", "reserve_id", F.col("supplied_shares").cast("string").alias("supplied_shares"), F.col("premium_offset_ray"), "using_as_collateral", "events")
 
 
 def header_contiguity(spark, sf_dir):
@@ -170,21 +217,27 @@ def reconcile_positions(spark, sf_dir):
 QUERIES = {
     x.__name__: x
     for x in (
-        timestamp_fill, decode_logs, decoded_fold, header_contiguity, fork_point, settled_split, header_window, replay_plan, stream_fold_equals_batch, stream_ranges,
+        timestamp_fill, decode_logs, decode_hub_logs, decoded_fold, header_contiguity, fork_point, settled_split, header_window, replay_plan, stream_fold_equals_batch, stream_ranges,
         reconcile_hub_delta, reconcile_hub_absolute, reconcile_positions,
     )
 }
 
-_RAW = f"{m.SP}, raw AS (SELECT * FROM sp WHERE event_type IN ('view', 'error') AND spoke = '{m.SPOKES[0]}')"
 _FIELDS = "('liquidity', 1), ('added_shares', 1), ('drawn_shares', 1), ('premium_shares', 1), ('swept', 1), ('drawn_index', 0), ('drawn_rate', 0), ('realized_fees', 0)"
 _STATUS = "CASE WHEN a = 16 THEN '{missing}' WHEN field = 'liquidity' AND a = 4 OR field = 'drawn_rate' AND a = 9 THEN 'mismatch' ELSE 'match' END"
 
 ORACLES = {
-    "timestamp_fill": f"WITH {_RAW}, h AS (SELECT b, min(t) AS t FROM sp GROUP BY b) SELECT b AS block_number, CAST(l AS INTEGER) AS log_index, CASE WHEN event_id % 3 = 0 THEN h.t ELSE raw.t END AS block_timestamp FROM raw JOIN h USING (b)",
-    "decode_logs": f"""WITH {_RAW} SELECT b AS block_number, CAST(l AS INTEGER) AS log_index, CASE event_type WHEN 'view' THEN 'Supply' ELSE 'Repay' END AS event_name, usr AS user, CAST(r AS VARCHAR) AS reserve,
- CAST(CASE event_type WHEN 'view' THEN s ELSE s // 8 END AS VARCHAR) AS shares, CASE event_type WHEN 'error' THEN CAST(-s AS VARCHAR) END AS offset_ray FROM raw""",
-    "decoded_fold": f"""WITH {_RAW} SELECT usr AS user, r AS reserve_id, CAST(sum(CASE event_type WHEN 'view' THEN s ELSE 0 END) AS VARCHAR) AS supplied_shares,
- CAST(sum(CASE event_type WHEN 'error' THEN -s ELSE 0 END) AS VARCHAR) AS premium_offset_ray, count(*) AS events FROM raw GROUP BY usr, r""",
+    "timestamp_fill": f"WITH {m.SP}, h AS (SELECT b, min(t) AS t FROM sp GROUP BY b) SELECT b AS block_number, CAST(l AS INTEGER) AS log_index, CASE WHEN l % 3 = 0 THEN h.t ELSE sp.t END AS block_timestamp FROM sp JOIN h USING (b)",
+    "decode_logs": f"""WITH {m.SP} SELECT b AS block_number, CAST(l AS INTEGER) AS log_index, spoke AS address,
+ CASE event_type WHEN 'view' THEN 'Supply' WHEN 'click' THEN 'Withdraw' WHEN 'purchase' THEN 'Borrow' WHEN 'error' THEN 'Repay' ELSE 'SetUsingAsCollateral' END AS event_name, usr AS user, CAST(r AS VARCHAR) AS reserve,
+ CAST(CASE event_type WHEN 'view' THEN s WHEN 'click' THEN s // 4 WHEN 'purchase' THEN s // 2 WHEN 'error' THEN s // 8 END AS VARCHAR) AS shares,
+ CAST(CASE event_type WHEN 'view' THEN s + 7 WHEN 'click' THEN s // 5 WHEN 'purchase' THEN s // 2 + 1 WHEN 'error' THEN s // 8 + 3 END AS VARCHAR) AS amount,
+ CASE event_type WHEN 'error' THEN CAST(-s AS VARCHAR) END AS offset_ray, CASE event_type WHEN 'signup' THEN CASE WHEN event_id % 2 = 1 THEN 'true' ELSE 'false' END END AS flag FROM sp""",
+    "decode_hub_logs": f"""WITH {m.HB}
+SELECT b AS block_number, CAST(id % 10 AS INTEGER) AS log_index, list_extract(['{"', '".join(m.HUB_EVENTS)}'], CAST(kind + 1 AS INTEGER)) AS event_name, CAST(a AS VARCHAR) AS asset,
+ CAST(CASE kind WHEN 0 THEN v * 10 WHEN 1 THEN v WHEN 2 THEN v + 2 WHEN 3 THEN v // 4 WHEN 4 THEN -v WHEN 5 THEN v // 9 WHEN 6 THEN v WHEN 7 THEN v // 3 WHEN 8 THEN v // 6 WHEN 9 THEN -v WHEN 10 THEN v // 1000 WHEN 11 THEN id % 3000 ELSE 6 + a % 13 END AS VARCHAR) AS amount,
+ CASE WHEN kind IN (4, 5) THEN CAST(v * 1208925819614629174706176::HUGEINT AS VARCHAR) END AS deficit, CASE WHEN kind = 10 THEN CAST(v * 4294967296 AS VARCHAR) END AS "index",
+ CASE WHEN kind = 12 THEN {m.sql_address('a + 1')} END AS underlying FROM hb""",
+    "decoded_fold": f"WITH {m.SP} SELECT usr AS user, spoke, r AS reserve_id, CAST(sum(sup) AS VARCHAR) AS supplied_shares, CAST(sum(po) AS VARCHAR) AS premium_offset_ray, coalesce(arg_max(flag, event_id), false) AS using_as_collateral, CAST(sum(ev) AS BIGINT) AS events FROM spd GROUP BY usr, spoke, r",
     "header_contiguity": """WITH h AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 997 <> 5)
 SELECT 1 AS chain_id, k AS block_number, CASE WHEN (k - 1) % 997 = 5 THEN 'gap' ELSE 'parent' END AS problem FROM h WHERE k > 0 AND ((k - 1) % 997 = 5 OR k % 1009 = 7)""",
     "fork_point": f"""SELECT 1 AS chain_id, 'reorg' AS verdict, CAST({FORK} AS BIGINT) AS ancestor, CAST({FORK + 1} AS BIGINT) AS retract_from, max(o_orderkey) AS retract_to FROM orders

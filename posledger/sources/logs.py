@@ -1,12 +1,15 @@
-"""Landed contract logs: scan, timestamps, and decoding of ABI words by column expressions."""
+"""Landed contract logs: scan, timestamps, and decoding of ABI words.
+
+The words that an event's fields need are cut out by column expressions; those that are numbers become
+decimal text in one Arrow function, since 256 bits are more than Spark's exact types hold.
+"""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.wideint import DEC, LIMB, bound, joined, num
-
 RAW_LOG = "chain_id int, address string, topics array<string>, data string, block_number long, block_timestamp long, block_hash string, tx_hash string, tx_index int, log_index int"
 
 # The decoded events, their fields in order as (path in the body, type), and how many are indexed.
@@ -43,10 +46,10 @@ HUB_EVENTS = {
 
 
 def raw_logs(spark, path: str, addresses: list, topic0: list, lo: int, hi: int, fmt: str = "parquet") -> DataFrame:
-    """Logs of some addresses, with any of the first topics (all if none is given), in an inclusive block range."""
+    """Logs of some addresses, in any case, with any of the first topics (all if none is given), in an inclusive block range."""
     logs = spark.read.schema(RAW_LOG).format(fmt).load(path)
-    logs = logs.where(F.col("block_number").between(lo, hi) & F.col("address").isin([a.lower() for a in addresses]))
-    return logs.where(F.get("topics", F.lit(0)).isin(topic0)) if topic0 else logs
+    logs = logs.where(F.col("block_number").between(lo, hi) & F.lower("address").isin([a.lower() for a in addresses]))
+    return event_set(logs, dict(enumerate(topic0))) if topic0 else logs
 
 
 def fill_timestamps(logs: DataFrame, headers: DataFrame) -> DataFrame:
@@ -57,22 +60,6 @@ def fill_timestamps(logs: DataFrame, headers: DataFrame) -> DataFrame:
     return df.withColumn("block_timestamp", time).drop("_time").select(*logs.columns)
 
 
-def _limbs(word: Column, plus: int = 0) -> Column:
-    """Limbs of a 64-digit hex word, by eight chunks of 32 bits."""
-    unit, shift = num(10**LIMB), num(2**32)
-    zero = num(0)
-    start = F.struct(zero.alias("a"), zero.alias("b"), zero.alias("c"))
-
-    def step(acc, i):
-        chunk = F.conv(F.substr(word, i * 8 + 1, F.lit(8)), 16, 10).cast(DEC)
-        x = (acc["a"] * shift + chunk).cast(DEC)
-        y = (acc["b"] * shift + ((x - x % unit) / unit).cast(DEC)).cast(DEC)
-        z = (acc["c"] * shift + ((y - y % unit) / unit).cast(DEC)).cast(DEC)
-        return F.struct((x % unit).cast(DEC).alias("a"), (y % unit).cast(DEC).alias("b"), z.alias("c"))
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(7)), start, step, lambda r: joined((r["a"] + plus).cast(DEC), r["b"], r["c"]))
-
-
 def _words() -> Column:
     """All words of a log, topics after the first and then data, as 64 lower-case digits; null where it is none."""
     topics = F.transform(F.expr("slice(topics, 2, greatest(0, size(topics) - 1))"), lambda t: F.lower(F.substring(t, 3, 64)))
@@ -82,15 +69,17 @@ def _words() -> Column:
     return F.transform(F.concat(topics, data), lambda w: F.when(w.rlike("^[0-9a-f]{64}$"), w))
 
 
-def _values(words: Column) -> Column:
-    """Of each word its digits (w), and the decimal text of it as an unsigned (u) and as a two's complement integer (i)."""
+@F.pandas_udf("array<string>")
+def _numbers(words: pd.Series, kinds: pd.Series) -> pd.Series:
+    """The decimal text of each word whose kind is u (unsigned) or i (two's complement); null for the others."""
 
-    def value(w: Column) -> Column:
-        inverse = F.translate(w, "0123456789abcdef", "fedcba9876543210")
-        signed = lambda u: F.when(F.substring(w, 1, 1) >= "8", F.concat(F.lit("-"), _limbs(inverse, 1))).otherwise(u)
-        return bound(_limbs(w), lambda u: F.struct(w.alias("w"), u.alias("u"), signed(u).alias("i")))
+    def text(word, kind):
+        if word is None or kind not in "ui":
+            return None
+        x = int(word, 16)
+        return str(x - (1 << 256) if kind == "i" and x >> 255 else x)
 
-    return F.transform(words, lambda w: F.when(w.isNotNull(), value(w)))
+    return pd.Series([[text(w, k) for w, k in zip(row, code.ljust(len(row)))] for row, code in zip(words, kinds)], dtype=object)
 
 
 def _body(spec: tuple) -> Column:
@@ -98,9 +87,9 @@ def _body(spec: tuple) -> Column:
     tree: dict = {}
     for k, (path, kind) in enumerate(fields):
         # the words of the topics come first, so a log with too few topics has its data words out of place
-        has = (F.size("topics") == indexed + 1) & F.get("_values", F.lit(k)).isNotNull()
-        word = F.get("_values", F.lit(k))
-        value = {U: word["u"], I: word["i"], A: F.concat(F.lit("0x"), F.substring(word["w"], 25, 40)), B: word["w"] != "0" * 64}[kind]
+        word, number = F.get("_words", F.lit(k)), F.get("_numbers", F.lit(k))
+        has = (F.size("topics") == indexed + 1) & word.isNotNull()
+        value = {U: number, I: number, A: F.concat(F.lit("0x"), F.substring(word, 25, 40)), B: word != "0" * 64}[kind]
         *outer, name = path.split(".")
         place = tree.setdefault(outer[0], {}) if outer else tree
         place[name] = F.when(has, value).otherwise(F.raise_error(F.lit(f"malformed {path}")).cast("boolean" if kind == B else "string"))
@@ -114,15 +103,17 @@ def decode_logs(logs: DataFrame, topic0: dict, contract: str, events: dict = SPO
     A log of another address, an anonymous or unknown one, and a malformed word are errors.
     """
     first = F.lower(F.get("topics", F.lit(0)))
-    name, body = F.when(F.lit(False), F.lit("")), F.when(F.lit(False), F.lit(""))
+    name, body, code = F.when(F.lit(False), F.lit("")), F.when(F.lit(False), F.lit("")), F.when(F.lit(False), F.lit(""))
     for event, spec in events.items():
         if event in topic0:
             mine = first == topic0[event].lower()
-            name, body = name.when(mine, F.lit(event)), body.when(mine, _body(spec))
+            kinds = "".join({U: "u", I: "i"}.get(kind, " ") for _, kind in spec[1])
+            name, body, code = name.when(mine, F.lit(event)), body.when(mine, _body(spec)), code.when(mine, F.lit(kinds))
     wrong = F.lower("address") != contract.lower()
     name = F.when(wrong, F.raise_error(F.lit("log of another contract")).cast("string")).otherwise(name.otherwise(F.raise_error(F.lit("anonymous or unknown log")).cast("string")))
     topics = [F.get("topics", F.lit(k)).alias(f"topic{k}") for k in (1, 2, 3)]
-    return logs.withColumn("_values", _values(_words())).select(
+    words = logs.withColumn("_words", _words()).withColumn("_kinds", code.otherwise(F.lit("")))
+    return words.withColumn("_numbers", _numbers("_words", "_kinds")).select(
         "chain_id", F.lower("address").alias("address"), "block_number", "log_index", "block_hash", "block_timestamp", "tx_hash", "tx_index",
         name.alias("event_name"), *topics, body.alias("body"), "data",
     )
