@@ -46,6 +46,11 @@ def _signed(df: DataFrame, keys: tuple, names: tuple, wide: tuple) -> DataFrame:
     return df.select(*keys, *[(c * F.col("sign")).cast(DEC).alias(n) for n, c in sums.items()], F.col("sign").cast("long").alias("events"))
 
 
+def additive(rows: DataFrame, keys: tuple, names: tuple) -> DataFrame:
+    """The additive fold: sums of columns by the sign of their row, and the signed number of rows, combined before the shuffle."""
+    return rows.groupBy(*keys).agg(*[F.sum(F.col(n) * F.col("sign")).alias(n) for n in names], F.sum("sign").alias("events"))
+
+
 PREMIUM = ("premiumDelta.sharesDelta", "premiumDelta.offsetRayDelta")
 POSITION_FIELDS = (
     "user", "reserveId", "suppliedShares", "suppliedAmount", "withdrawnShares", "withdrawnAmount", "drawnShares", "drawnAmount", "totalAmountRepaid", *PREMIUM, "liquidator", "collateralReserveId",

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.wideint import DEC, joined, limbs
 from .folds import ASSET, POSITION
 
-ADDITIVE = ("liquidity", "added_shares", "drawn_shares", "premium_shares", "swept")
-LATEST = ("drawn_index", "drawn_rate", "realized_fees")
+ADDITIVE = ("liquidity", "added_shares", "drawn_shares", "premium_shares", "swept", "premium_offset_ray", "deficit_ray")
+LATEST = ("drawn_index", "drawn_rate", "realized_fees", "liquidity_fee", "index_timestamp")
 GETTERS = ("supplied", "drawn_debt", "premium_debt")
 
 
@@ -18,21 +19,26 @@ def _long(df: DataFrame, keys: tuple, fields: tuple, name: str) -> DataFrame:
     return text.unpivot(list(keys), list(fields), "field", name)
 
 
+def difference(a, b):
+    """a - b of digit strings of any width."""
+    return joined(*[(x - y).cast(DEC) for x, y in zip(limbs(a), limbs(b))])
+
+
 def reconcile_hub(fold: DataFrame, after: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """Status of each asset and field: match, mismatch, skipped (the fold has no value) or untouched.
 
     With ``before``, additive fields are compared with the change between the snapshots, and an asset that the
     fold lacks was not touched; without it they are absolute, and a missing asset is a mismatch.
+    Fields that the snapshot does not have are not compared; values are of any width.
     """
-    fields = (*ADDITIVE, *LATEST)
-    wide = "decimal(38,0)"
+    fields = tuple(x for x in (*ADDITIVE, *LATEST) if x in after.columns)
     ours, theirs = _long(fold, ASSET, fields, "ours"), _long(after, ASSET, fields, "theirs")
     df = theirs.join(ours.withColumn("_has", F.lit(True)), [*ASSET, "field"], "full")
     want = F.col("theirs")
     if before is not None:
         df = df.join(_long(before, ASSET, fields, "_was"), [*ASSET, "field"], "left")
-        change = F.col("theirs").cast(wide) - F.coalesce(F.col("_was").cast(wide), F.lit(0))
-        want = F.when(F.col("field").isin(*ADDITIVE), change.cast(wide).cast("string")).otherwise(F.col("theirs"))
+        change = difference(F.col("theirs"), F.coalesce("_was", F.lit("0")))
+        want = F.when(F.col("field").isin(*ADDITIVE), change).otherwise(F.col("theirs"))
     missing = F.lit("mismatch" if before is None else "untouched")
     status = F.when(F.col("_has").isNull(), missing).when(F.col("ours").isNull(), "skipped").when(F.col("ours") == want, "match").otherwise("mismatch")
     return df.select(*ASSET, "field", "ours", want.alias("theirs"), status.alias("status"))
@@ -51,7 +57,10 @@ def summary(reconciled: DataFrame) -> DataFrame:
     return reconciled.groupBy("field", "status").agg(F.count("*").alias("n"))
 
 
-def drift(reconciled: DataFrame) -> DataFrame:
-    """Mismatches by field, with the largest difference first."""
-    bad = reconciled.where("status = 'mismatch'").withColumn("gap", F.abs(F.col("ours").cast("decimal(38,0)") - F.col("theirs").cast("decimal(38,0)")))
-    return bad.groupBy("field").agg(F.count("*").alias("n"), F.max("gap").cast("string").alias("largest_gap"))
+def drift(reconciled: DataFrame, keys: tuple = ASSET) -> DataFrame:
+    """Mismatches by field: how many, the largest difference, and the row that has it."""
+    gap = F.regexp_replace(difference(F.coalesce("ours", F.lit("0")), F.coalesce("theirs", F.lit("0"))), "^-", "")
+    bad = reconciled.where("status = 'mismatch'").withColumn("gap", gap)
+    size = F.struct(F.length("gap").alias("n"), F.col("gap"), *keys)
+    worst = bad.groupBy("field").agg(F.count("*").alias("n"), F.max(size).alias("_most"))
+    return worst.select("field", "n", F.col("_most.gap").alias("largest_gap"), *[F.col(f"_most.{k}").alias(k) for k in keys])

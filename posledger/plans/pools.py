@@ -178,11 +178,46 @@ def price_asof(spark, sf_dir):
     return out.select("o_orderkey", "asset_id", F.col("price").cast("string").alias("price"))
 
 
+#: An instant in the middle of the derived pool ledger.
+THEN = m.T0 + 50
+
+
+def total_added_assets_then(spark, sf_dir):
+    """The pool as it stood at an earlier instant: the ledger up to it, valued at it."""
+    past = lg.append(m.hub_events(spark, sf_dir), 1).where(F.col("block_timestamp") <= THEN)
+    return valuation.asset_at(f.hub_assets_current(past), THEN).select("asset_id", F.col("index_at").cast("string").alias("index_at"), *_text(None, ("unrealized_fees", "total_added_assets")))
+
+
+def listing_counts(spark, sf_dir):
+    return f.listing_counts(lg.append(m.hub_events(spark, sf_dir), 1))
+
+
+def _quotes(spark, sf_dir) -> DataFrame:
+    return m.table(spark, sf_dir, "orders").selectExpr("o_orderkey", "cast(round(o_totalprice * 100) AS decimal(38,0)) AS v", "cast(o_custkey + 1 AS decimal(38,0)) AS c")
+
+
+def headroom(spark, sf_dir):
+    """Of each order's health factor (its cents, 16 decimals up) what the collateral may lose."""
+    return _quotes(spark, sf_dir).select("o_orderkey", risk.headroom((F.col("v") * w.num(10**16)).cast(w.DEC)).cast("string").alias("headroom"))
+
+
+def derived_prices(spark, sf_dir):
+    """A feed times a ratio around one, up to a cap."""
+    q = _quotes(spark, sf_dir)
+    ratio = (w.num(10**18) + F.col("c") * w.num(10**13)).cast(w.DEC)
+    return q.select("o_orderkey", risk.derived_price(F.col("v"), ratio, w.num(20_000_000)).cast("string").alias("price"))
+
+
+def price_deviation(spark, sf_dir):
+    q = _quotes(spark, sf_dir).withColumn("market", (F.col("v") + F.col("c") * 100 - 5000).cast(w.DEC)).where("market > 0")
+    return risk.deviation(q, "v", "market").select("o_orderkey", F.col("deviation_bps").cast("string").alias("deviation_bps"))
+
+
 QUERIES = {
     x.__name__: x
     for x in (
         hub_additive_fold, hub_latest_wins, hub_assets_current, listed_tokens, drawn_index_at, total_added_assets, supplied_amount, valued_positions, enriched_positions, unpriced_nulls,
-        pricing_staleness, latest_prices, label_gap, decimals_audit, scaled_amounts, clean_labels, oracle_batches, spoke_totals, health_factor, valued_positions_wide, price_asof,
+        pricing_staleness, latest_prices, label_gap, decimals_audit, scaled_amounts, clean_labels, oracle_batches, spoke_totals, health_factor, valued_positions_wide, price_asof, total_added_assets_then, listing_counts, headroom, derived_prices, price_deviation,
     )
 }
 
@@ -269,6 +304,15 @@ y AS (SELECT *, CASE WHEN good THEN (n // d) * {_E18} + ((n % d) * {_E18}) // d
 SELECT usr AS user, spoke, r AS reserve_id, CAST(s AS VARCHAR) AS supplied, CAST(dd AS VARCHAR) AS drawn_debt, CAST(pd AS VARCHAR) AS premium_debt, CAST(dd + pd AS VARCHAR) AS total_debt,
  CASE WHEN NOT good THEN NULL WHEN ray = 0 THEN '0' ELSE ray || '000000000000000000' END AS premium_ray,
  CASE WHEN s * price = 0 THEN '0' ELSE (s * price) || repeat('0', 18 - decs) END AS supplied_value, CASE WHEN NOT good THEN ixa IS NOT NULL END AS negative FROM y"""
+_Q = "WITH q AS (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS HUGEINT) AS v, CAST(o_custkey + 1 AS HUGEINT) AS c FROM orders)"
+_THEN = _AT.replace(str(AT), str(THEN)).replace("FROM orders)", f"FROM orders WHERE {m.T0} + o_orderkey // 10 <= {THEN})")
+ORACLES |= {
+    "total_added_assets_then": f"WITH {_THEN} SELECT a AS asset_id, CAST(ixa AS VARCHAR) AS index_at, CASE WHEN ix IS NOT NULL THEN CAST(unr AS VARCHAR) END AS unrealized_fees, CAST(total AS VARCHAR) AS total_added_assets FROM pool",
+    "listing_counts": f"WITH {m.HB} SELECT 1 AS chain_id, {m.sql_address('a + 1')} AS underlying, count(*) AS n FROM hb WHERE kind = 12 GROUP BY a",
+    "headroom": f"{_Q} SELECT o_orderkey, CAST(1000000000000000000::HUGEINT - (1000000000000000000000000000000000000::HUGEINT + v * 10000000000000000 - 1) // (v * 10000000000000000) AS VARCHAR) AS headroom FROM q",
+    "derived_prices": f"{_Q} SELECT o_orderkey, CAST(least((v * (1000000000000000000::HUGEINT + c * 10000000000000)) // 1000000000000000000, 20000000::HUGEINT) AS VARCHAR) AS price FROM q",
+    "price_deviation": f"{_Q} SELECT o_orderkey, CAST((abs(c * 100 - 5000) * 10000) // (v + c * 100 - 5000) AS VARCHAR) AS deviation_bps FROM q WHERE v + c * 100 - 5000 > 0",
+}
 ORACLES |= {"health_factor": _HEALTH, "valued_positions_wide": _WIDE}
 
 #: Second names of queries that once had a form over part of the rows.

@@ -123,15 +123,29 @@ def positions_page_next(spark, sf_dir):
 
 def additive_fold_lineitem(spark, sf_dir):
     """The scale case of the additive fold: quantities and prices in cents by part, returned lines retracted."""
-    rows = m.table(spark, sf_dir, "lineitem").selectExpr("l_partkey", "if(l_returnflag = 'R', -1, 1) AS sign", "cast(round(l_extendedprice * 100) AS bigint) AS cents", "cast(l_quantity AS bigint) AS q")
-    return rows.groupBy("l_partkey").agg(F.sum(F.expr("sign * cents")).alias("cents"), F.sum(F.expr("sign * q")).alias("quantity"), F.sum("sign").alias("events"))
+    rows = m.table(spark, sf_dir, "lineitem").selectExpr("l_partkey", "if(l_returnflag = 'R', -1, 1) AS sign", "cast(round(l_extendedprice * 100) AS bigint) AS cents", "cast(l_quantity AS bigint) AS quantity")
+    return f.additive(rows, ("l_partkey",), ("cents", "quantity"))
+
+
+def deficit_legs(spark, sf_dir):
+    """Repayments reported as deficits: shares and premium go, nothing is paid back."""
+    events = m.spoke_events(spark, sf_dir).where("event_name = 'Repay'").withColumn("event_name", F.lit("ReportDeficit"))
+    return shown(f.positions_current(lg.append(events, 1)))
+
+
+def position_types(spark, sf_dir):
+    """Open positions by type; each third reserve has no collateral factor."""
+    p = f.open_positions(f.positions_current(lg.append(m.spoke_events(spark, sf_dir), 1)))
+    factor = F.when(F.col("reserve_id") % 3 == 0, 0).otherwise(7500)
+    kind = risk.position_type(F.col("using_as_collateral"), factor)
+    return p.groupBy("reserve_id", kind.alias("type")).agg(F.count("*").alias("n"))
 
 
 QUERIES = {
     x.__name__: x
     for x in (
         position_fold, position_fold_plain, position_fold_retracted, position_fold_redispatch, position_fold_appended_twice, ledger_current, ledger_unpaired_retraction,
-        collateral_flag_latest, liquidation_legs, liquidation_groups, registry_latest, reserve_ids, largest_positions, positions_page, positions_page_stored, positions_page_next, additive_fold_lineitem,
+        collateral_flag_latest, liquidation_legs, liquidation_groups, registry_latest, reserve_ids, largest_positions, positions_page, positions_page_stored, positions_page_next, additive_fold_lineitem, deficit_legs, position_types,
     )
 }
 
@@ -159,7 +173,14 @@ legs AS (SELECT usr, spoke, r, -s AS sup, 0 AS dr, 0 AS pr, 0 AS po, -(s + 1) AS
 SELECT 1 AS chain_id, usr AS user, spoke, r AS reserve_id, {", ".join(f"CAST(sum({c}) AS VARCHAR) AS {n}" for c, n in zip(("sup", "dr", "pr", "po", "ns", "nb"), WIDE))}, false AS using_as_collateral,
  count(*) AS events FROM legs GROUP BY usr, spoke, r"""
 
+_DEFICIT = f"""WITH {m.SP} SELECT 1 AS chain_id, usr AS user, spoke, r AS reserve_id, '0' AS supplied_shares, CAST(sum(-(s // 8)) AS VARCHAR) AS drawn_shares, CAST(sum(s // 16) AS VARCHAR) AS premium_shares,
+ CAST(sum(-s) AS VARCHAR) AS premium_offset_ray, '0' AS net_supplied, '0' AS net_borrowed, false AS using_as_collateral, count(*) AS events FROM sp WHERE event_type = 'error' GROUP BY usr, spoke, r"""
+_TYPES = f"""WITH {m.SP}, p AS (SELECT r, sum(sup) AS x, sum(dr) AS y, coalesce(arg_max(flag, event_id), false) AS flag FROM spd GROUP BY usr, spoke, r)
+SELECT r AS reserve_id, CASE WHEN y > 0 THEN 'borrow' WHEN flag AND r % 3 <> 0 THEN 'collateral' ELSE 'supply' END AS type, count(*) AS n FROM p WHERE x <> 0 OR y <> 0 GROUP BY ALL"""
+
 ORACLES = {
+    "deficit_legs": _DEFICIT,
+    "position_types": _TYPES,
     "position_fold": _fold(_TWICE, having=f"sum({_TWICE} * sup) <> 0 OR sum({_TWICE} * dr) <> 0"),
     "position_fold_plain": _fold(),
     # what is wholly retracted stays as a row of zeros, since sums run over raw rows; positions with flags only do not

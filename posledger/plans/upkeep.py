@@ -206,6 +206,12 @@ def reconcile_hub_absolute(spark, sf_dir):
     return r.select("asset_id", "field", "status")
 
 
+def drift_by_field(spark, sf_dir):
+    """Which fields drift, how far at most and where."""
+    r = reconcile.reconcile_hub(_hub(spark, sf_dir).where("asset_id <> 16"), _perturbed(_hub(spark, sf_dir)).where("asset_id <> 16"))
+    return reconcile.drift(r).select("field", "n", "largest_gap", "asset_id")
+
+
 def reconcile_positions(spark, sf_dir):
     """Valued positions against getters that are off by one unit in each wallet's reserve 7."""
     v = pools._valued(spark, sf_dir)
@@ -218,11 +224,11 @@ QUERIES = {
     x.__name__: x
     for x in (
         timestamp_fill, decode_logs, decode_hub_logs, decoded_fold, header_contiguity, fork_point, settled_split, header_window, replay_plan, stream_fold_equals_batch, stream_ranges,
-        reconcile_hub_delta, reconcile_hub_absolute, reconcile_positions,
+        reconcile_hub_delta, reconcile_hub_absolute, drift_by_field, reconcile_positions,
     )
 }
 
-_FIELDS = "('liquidity', 1), ('added_shares', 1), ('drawn_shares', 1), ('premium_shares', 1), ('swept', 1), ('drawn_index', 0), ('drawn_rate', 0), ('realized_fees', 0)"
+_FIELDS = "('liquidity', 1), ('added_shares', 1), ('drawn_shares', 1), ('premium_shares', 1), ('swept', 1), ('drawn_index', 0), ('drawn_rate', 0), ('realized_fees', 0), ('premium_offset_ray', 1), ('deficit_ray', 1), ('liquidity_fee', 0), ('index_timestamp', 0)"
 _STATUS = "CASE WHEN a = 16 THEN '{missing}' WHEN field = 'liquidity' AND a = 4 OR field = 'drawn_rate' AND a = 9 THEN 'mismatch' ELSE 'match' END"
 
 ORACLES = {
@@ -251,6 +257,7 @@ SELECT event_id // 10 - (event_id // 10) % 64 AS range_from, least(event_id // 1
  coalesce(arg_max(flag, event_id), false) AS using_as_collateral, CAST(sum(ev) AS BIGINT) AS events FROM spd WHERE b // 500 <> 2 GROUP BY usr, spoke, r HAVING sum(ev) > 0 OR coalesce(arg_max(flag, event_id), false)""",
     "reconcile_hub_absolute": f"WITH {m.HB} SELECT a AS asset_id, field, {_STATUS.format(missing='mismatch')} AS status FROM hs, (VALUES {_FIELDS}) AS f(field, additive)",
     "reconcile_hub_delta": f"WITH {m.HB} SELECT a AS asset_id, field, {_STATUS.format(missing='untouched')} AS status FROM hs, (VALUES {_FIELDS}) AS f(field, additive)",
+    "drift_by_field": "SELECT 'liquidity' AS field, CAST(1 AS BIGINT) AS n, '1' AS largest_gap, CAST(4 AS BIGINT) AS asset_id WHERE (SELECT count(*) FROM orders WHERE o_custkey % 17 = 4) > 0 UNION ALL SELECT 'drawn_rate', 1, '1', 9 WHERE (SELECT count(*) FROM orders WHERE o_custkey % 17 = 9 AND o_orderkey % 13 = 10) > 0",
     "reconcile_positions": f"""WITH {pools._VAL} SELECT field, CASE WHEN NOT good THEN 'unvalued' WHEN field = 'supplied' AND r = 7 THEN 'mismatch' ELSE 'match' END AS status, count(*) AS n
  FROM val, (VALUES ('supplied'), ('drawn_debt'), ('premium_debt')) AS f(field) GROUP BY ALL""",
 }
