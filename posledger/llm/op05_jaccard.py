@@ -9,11 +9,11 @@ under any order of all tokens. Three orders are used, and a pair is verified onl
 3. rarest first with ties by a third hash.
 
 Equal sets are one class throughout. Sets that meet in prefix tokens of orders 2 and 3 form
-candidate groups (components; a star per token, so a token with n sets gives n edges). In a group, pairs
-must share prefix tokens of both orders and fit in size before their overlap is counted. A group
-of up to ``group`` sets is one task's; in a larger one, rounds of up to ``pivots`` sets are compared with
-all others, dealt in chunks, the loosest sets first. It is finished when all sets that were no pivot are
-in one component, since what is compared only decides links between components.
+candidate groups (components; a star per token, so a token with n sets gives n edges). A group of up to ``group`` sets is
+a cell; a larger one is dealt into cells of about ``chunk`` sets by bands of size, two bands apart of which can't link, and
+by hash. Cells that can link are compared pair by pair of cells: two sets must share prefix tokens of both orders and fit in
+size before their overlap is counted, ``pivots`` sets against the other cell at a time. What is told of a pair of cells is per
+set the number of documents that it links with, and a forest of the links: every link is verified and counted, no row is made for it.
 
 Sets are known by 64-bit hashes of their shingles. Null and empty texts have no shingles and link with
 nothing; rows with equal ids are documents of their own; a null id is never the least unless all of a
@@ -29,14 +29,15 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import kernels as K
-from .shared import components, saved
+from .shared import components, saved, spread_join
 
 U = np.uint64
 ROWS = "doc_id long, key long, block long, n_shingles long, node long"
 SETS = "node long, n long, tokens binary, second array<long>, third array<long>"
 LABELS = "node long, root long"
 NUMBER = 80
-GROUP, PIVOTS, CHUNK = 300, 1024, 1024
+GROUP, PIVOTS, CHUNK = 512, 256, 512
+TOLD = "node long, root long, links long"
 
 
 class _Sets:
@@ -173,7 +174,8 @@ def _links(a: tuple, b: tuple, number: int):
     packed = []
     for k in range(3):
         words = _shared([np.unique(np.concatenate(side[k])) for side in (a, b) if side[k]] if a is not b else a[k])
-        packed.append((_bits(a[k], words), _bits(b[k], words)))
+        packed.append((_bits(a[k], words), _bits(b[k], words) if a is not b else None))
+    packed = [(x, x if y is None else y) for x, y in packed]
     for i in range(len(a[0])):
         n = sizes[0][i]
         can = (100 * np.minimum(n, sizes[1]) >= number * np.maximum(n, sizes[1]))
@@ -186,68 +188,57 @@ def _links(a: tuple, b: tuple, number: int):
         yield can
 
 
-def _small(number: int):
-    def solve(table: pa.Table) -> pa.Table:
-        nodes = table["node"].to_numpy()
-        root = np.arange(len(nodes))
-        columns = _columns(table)
-        for i, linked in enumerate(_links(columns, columns, number)):
-            merged = np.unique(root[np.append(np.flatnonzero(linked), i)])
-            root[np.isin(root, merged)] = merged[0]
-        least = {r: int(nodes[root == r].min()) for r in np.unique(root).tolist()}
-        return pa.table({"node": nodes, "root": pa.array([least[r] for r in root.tolist()], pa.int64())})
-
-    return solve
-
-
-def _against(number: int):
-    """Links of a chunk's sets with the pivots, as a forest: each set and each pivot to the first it links with."""
+def _compare(number: int, pivots: int):
+    """All links between the sets of two cells, or of one with itself: per linked set its links, and the least of its tree."""
 
     def solve(table: pa.Table) -> pa.Table:
-        pivot = table["pivot"].to_numpy(zero_copy_only=False).astype(bool)
-        chunk, pivots = table.filter(pa.array(~pivot)), table.filter(pa.array(pivot))
-        out_a, out_b = [], []
-        if chunk.num_rows and pivots.num_rows:
-            to, seen = pivots["node"].to_numpy(), {}
-            for node, linked in zip(chunk["node"].to_pylist(), _links(_columns(chunk), _columns(pivots), number)):
+        second = table["other"].to_numpy(zero_copy_only=False).astype(bool)
+        one = table["a"][0].as_py() == table["b"][0].as_py()
+        sides = [table] if one else [table.filter(pa.array(~second)), table.filter(pa.array(second))]
+        columns = [_columns(x) for x in sides]
+        nodes = np.concatenate([x["node"].to_numpy() for x in sides])
+        copies = [x["copies"].to_numpy() for x in sides]
+        shift = 0 if one else sides[0].num_rows
+        links, root = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
+        for s in range(0, sides[0].num_rows, pivots):
+            some = columns[0] if one and sides[0].num_rows <= pivots else tuple(x[s : s + pivots] for x in columns[0])
+            for i, linked in enumerate(_links(some, columns[-1], number), s):
+                if one:
+                    linked[i] = False
                 at = np.flatnonzero(linked)
                 if len(at):
-                    out_a.append(node)
-                    out_b.append(int(to[at[0]]))
-                    for k in at[1:].tolist():
-                        if (k, int(at[0])) not in seen:
-                            seen[k, int(at[0])] = True
-                            out_a.append(int(to[k]))
-                            out_b.append(int(to[at[0]]))
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+                    links[i] += copies[-1][at].sum()
+                    if not one:
+                        links[at + shift] += copies[0][i]
+                    trees = np.unique(root[np.append(at + shift, i)])
+                    if len(trees) > 1:
+                        root[np.isin(root, trees)] = trees[0]
+        least = np.full(len(nodes), np.iinfo(np.int64).max)
+        np.minimum.at(least, root, nodes)
+        told = np.flatnonzero(links)
+        return pa.table({"node": nodes[told], "root": least[root[told]], "links": links[told]})
 
     return solve
 
 
-def _large(sets: DataFrame, number: int, pivots: int, chunk: int) -> DataFrame:
-    """Roots of the sets of large groups (``sets`` has their group in ``cls``)."""
-    spark = sets.sparkSession
-    chunks = sets.groupBy("cls").agg(F.count("*").alias("m"))
-    dealt = saved(sets.join(chunks, "cls").withColumn("chunk", F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.expr(f"m div {chunk}")))).drop("m"))
-    state = saved(dealt.select("node", "cls", F.col("node").alias("root"), F.lit(False).alias("done")))
-    edges = spark.createDataFrame([], "a long, b long")
-    while True:
-        size = state.groupBy("cls", "root").agg(F.count("*").alias("size"))
-        waiting = state.where("NOT done").join(size, ["cls", "root"])
-        open_ = waiting.groupBy("cls").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("cls")
-        turn = F.row_number().over(Window.partitionBy("cls").orderBy("size", F.xxhash64("node")))
-        chosen = saved(waiting.join(open_, "cls").withColumn("turn", turn).where(F.col("turn") <= pivots).select("node", "cls"))
-        if chosen.isEmpty():
-            return state.select("node", "root")
-        sent = dealt.join(chosen, ["node", "cls"], "left_semi").drop("chunk").join(dealt.select("cls", "chunk").distinct(), "cls").withColumn("pivot", F.lit(True))
-        kept = dealt.join(chosen.select("cls").distinct(), "cls", "left_semi").withColumn("pivot", F.lit(False))
-        found = kept.unionByName(sent).groupBy("cls", "chunk").applyInArrow(_against(number), "a long, b long")
-        edges = saved(edges.unionByName(found).distinct())
-        root = components(edges)
-        state = saved(
-            state.drop("root").join(root, "node", "left").join(chosen.select("node", F.lit(True).alias("now")), "node", "left")
-            .select("node", "cls", F.coalesce("root", "node").alias("root"), (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
-        )
+def _cells(sets: DataFrame, number: int, group: int, chunk: int) -> DataFrame:
+    """From (node, n, cls, m), without the sets' tokens, a row (node, cls, a, b, other) per pair of cells that a set is compared in."""
+    # a little wider than the similarity, so that rounding never puts sets that fit two bands apart
+    band = F.floor(F.log("n") / F.lit(float(np.log(100.01 / number))))
+    banded = sets.withColumn("band", F.when(F.col("m") <= group, F.lit(0).cast("long")).otherwise(band)).withColumn("_band", F.concat_ws(":", "cls", "band"))
+    banded = saved(banded)
+    bands = banded.groupBy("_band", "cls", "band").agg(F.max("m").alias("m"), F.count("*").alias("k"))
+    bands = saved(bands.withColumn("pieces", F.when(F.col("m") <= group, F.lit(1)).otherwise(F.ceil(F.col("k") / chunk)).cast("int")).drop("m", "k"))
+    cell = lambda band, piece: F.concat_ws(":", band, piece)
+    each = bands.select("cls", "band", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    other = each.select("cls", F.col("band").alias("band2"), F.col("piece").alias("piece2"))
+    near = ((F.col("band2") == F.col("band")) & (F.col("piece2") >= F.col("piece"))) | (F.col("band2") == F.col("band") + 1)
+    pairs = each.join(other, "cls").where(near).select("cls", cell("band", "piece").alias("a"), cell("band2", "piece2").alias("b"))
+    sides = pairs.select("cls", F.col("a").alias("cell"), "a", "b", F.lit(False).alias("other"))
+    sides = sides.unionByName(pairs.where("a <> b").select("cls", F.col("b").alias("cell"), "a", "b", F.lit(True).alias("other")))
+    placed = spread_join(banded, bands.select("_band", "pieces"), "_band", "node")
+    placed = placed.select("node", "cls", cell("band", F.pmod(F.xxhash64("node"), F.col("pieces"))).alias("cell"))
+    return placed.join(sides, ["cls", "cell"]).select("node", "cls", "a", "b", "other")
 
 
 def _stars(sets: DataFrame, column: str, *keys: str) -> DataFrame:
@@ -258,40 +249,44 @@ def _stars(sets: DataFrame, column: str, *keys: str) -> DataFrame:
 
 
 def classes(docs: DataFrame, size: int = 5, number: int = NUMBER, group: int = GROUP, pivots: int = PIVOTS, chunk: int = CHUNK):
-    """Rows of the documents (ROWS), and LABELS of the shingle sets that link with another."""
+    """Rows of the documents (ROWS), and a row per shingle set: its documents, links to others, the least of its component."""
     plan = B.layout(docs)
     blocked = B.blocked(docs, plan).withColumn("key", F.xxhash64("text"))
     rows = saved(_rows(blocked, size))
-    owners = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("block", "key")).alias("o")).select("o.block", "o.key")
-    sets = saved(_candidates(blocked, owners, plan.bits, size, number))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id"), F.col("key"))).alias("least")
+    own = saved(rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("block", "key")).alias("o"), F.count("*").alias("copies"), least))
+    sets = saved(_candidates(blocked, own.select("o.block", "o.key"), plan.bits, size, number))
     second = components(_stars(sets, "second"))
-    sets = sets.join(second, "node", "left").withColumn("cls", F.coalesce("root", "node")).drop("root")
-    third = components(_stars(sets, "third", "cls"))
-    sets = sets.drop("cls").join(third, "node", "left").withColumn("cls", F.coalesce("root", "node")).drop("root")
-    counts = sets.groupBy("cls").agg(F.count("*").alias("m")).where("m > 1")
-    sets = saved(sets.join(counts, "cls"))
-    labels = sets.where(F.col("m") <= group).drop("m").groupBy("cls").applyInArrow(_small(number), LABELS)
-    large = sets.where(F.col("m") > group).drop("m")
-    if not large.isEmpty():
-        labels = labels.unionByName(_large(large, number, pivots, chunk))
-    return rows, labels.where("node <> root")
+    light = sets.select("node", "n", "third").join(second, "node", "left").withColumn("cls", F.coalesce("root", "node")).drop("root")
+    third = components(_stars(light, "third", "cls"))
+    light = light.drop("cls", "third").join(third, "node", "left").withColumn("cls", F.coalesce("root", "node")).drop("root")
+    light = saved(light)
+    light = spread_join(light, light.groupBy("cls").agg(F.count("*").alias("m")).where("m > 1"), "cls", "node")
+    dealt = _cells(light, number, group, chunk).join(own.select("node", "copies"), "node")
+    told = saved(sets.join(dealt, "node").groupBy("cls", "a", "b").applyInArrow(_compare(number, pivots), TOLD))
+    root = components(told.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    links = told.groupBy("node").agg(F.sum("links").alias("links"))
+    nodes = own.join(root, "node", "left").join(links, "node", "left")
+    others = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
+    return rows, saved(nodes.select("node", F.coalesce("root", "node").alias("comp"), others.alias("n_links"), "least"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, number: int = NUMBER, **sizes) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document, and ``first`` on one row of each component."""
-    rows, labels = classes(docs, size, number, **sizes)
-    placed = rows.join(labels, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+    """doc_id, n_shingles, component_id, n_links (documents that a document links with) and ``first`` on one row of each component."""
+    rows, nodes = classes(docs, size, number, **sizes)
+    least = nodes.groupBy("comp").agg(F.min("least").alias("first"))
+    placed = spread_join(nodes.drop("least"), least, "comp", "node").select("node", "n_links", "first")
+    placed = spread_join(rows, placed, "node", "doc_id", "left")
     order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id"), F.col("key"))
-    least = placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min(order).alias("least"))
-    placed = placed.join(least, "comp", "left")
+    alone = F.col("node").isNull()
     return placed.select(
-        "doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"),
-        "key", (F.col("comp").isNull() | (order == F.col("least"))).alias("first"),
+        "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "key", (alone | (order == F.col("first"))).alias("first"),
     )
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
+    return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

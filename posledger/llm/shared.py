@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, as in tests, a folder of this session's own."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset a local session gets one of its own, and a cluster is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -27,6 +29,23 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+HOT_KEYS, SALTS = 1000, 64
+
+
+def spread_join(df: DataFrame, other: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """``df`` joined with ``other``, which has a row per key; keys that many rows of ``df`` have are dealt over many tasks.
+
+    A key is hot with over a thousandth of all rows, so there are at most a thousand, which are broadcast; their rows go to
+    one of ``SALTS`` parts by a hash of ``by``, and their row of ``other`` to each. ``df`` is read twice: it is to be a saved table.
+    """
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    least = max(100, df.count() // HOT_KEYS)
+    hot = F.broadcast(saved(counts.where(F.col("_n") > least).select(key, F.lit(SALTS).alias("_salts"))))
+    left = df.join(hot, key, "left").withColumn("_salt", F.when(F.col("_salts").isNull() & F.col(key).isNotNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))).drop("_salts")
+    right = other.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 SMALL_EDGES = 2_000_000
 
 

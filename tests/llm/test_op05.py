@@ -68,3 +68,32 @@ def test_one_of_each_group_stays(spark):
 
 def test_empty(spark):
     assert jaccard_components(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def brute_links(rows):
+    sets = [shingles(r[1]) for r in rows]
+    linked = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 80 * len(a | b)
+    return sorted(((r[0], sum(linked(a, b) for j, b in enumerate(sets) if j != i)) for i, (r, a) in enumerate(zip(rows, sets))), key=str)
+
+
+@pytest.mark.parametrize("rows,sizes", [(corpus(8) + copies(1)[:20], {}), (copies(2, 80) + copies(2, 9), {"group": 4, "pivots": 3, "chunk": 5})])
+def test_every_link_is_counted(spark, rows, sizes):
+    got = near_duplicates(spark.createDataFrame(rows, DOCS), **sizes).select("doc_id", "n_links").collect()
+    assert sorted(map(tuple, got), key=str) == brute_links(rows)
+
+
+def test_sets_of_all_sizes_in_one_group(spark):
+    """One group with sets from 20 to 400 words, in chains of just similar ones: bands lose no link."""
+    r = random.Random(6)
+    words = ["w%d" % i for i in range(2000)]
+    long = [r.choice(words) for _ in range(400)]
+    rows = [(i, " ".join(long[: 20 + 5 * i]), None, None, None) for i in range(76)]
+    got = near_duplicates(spark.createDataFrame(rows, DOCS), group=5, chunk=3, pivots=2).collect()
+    assert sorted(((x.doc_id, x.n_links) for x in got), key=str) == brute_links(rows)
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=str) == brute(rows)
+
+
+def test_hot_keys_are_dealt_out(spark):
+    rows = [(i, "the same five words here and on" if i % 2 else "text %d has other words of its own" % i, None, None, None) for i in range(600)]
+    got = {x.doc_id: (x.component_id, x.n_links) for x in jaccard_components(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {i: (1, 299) if i % 2 else (i, 0) for i in range(600)}
