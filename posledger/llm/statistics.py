@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
-#: Three words from each word on; the texts are words joined by one space.
-THREE = r"(?<![^ ])(?=([^ ]+ [^ ]+ [^ ]+))"
+SYMBOLS = "[#*$%&|<>]"
 LABELLED_ROWS = 20_000
 
 
@@ -18,39 +16,36 @@ def bound(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def without(text: Column, characters: str) -> Column:
-    return F.length(F.translate(text, characters, ""))
+def n_of(text: Column, pattern: str) -> Column:
+    """How many characters of the text are of a class."""
+    return F.length(text) - F.length(F.regexp_replace(text, pattern + "+", ""))
 
 
 def repeat_words(words: Column) -> Column:
-    """Words of the three-word windows that the text has more than once.
+    """Words of the three-word windows that the text has more than once; windows are known by 64-bit hashes.
 
-    Texts without such a window, the most by far, are told by the number of distinct windows. In the
-    others the windows are sorted with their places; neighbours that are equal give the places of
-    repeated windows, and each adds the words that the one before doesn't cover.
+    Texts without such a window are told by the number of distinct hashes. In the others the hashes are sorted with
+    their places; neighbours that are equal give the places of repeated windows, and each adds the words that the one
+    before doesn't cover.
     """
+    hashes = F.transform(F.slice(words, 3, F.greatest(F.lit(0), F.size(words) - 2)), lambda w, i: F.xxhash64(F.get(words, i), F.get(words, i + 1), w))
 
-    def places(three: Column) -> Column:
-        pairs = F.array_sort(F.transform(three, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
-
-        def repeated(s: Column) -> Column:
-            same = lambda k: F.get(s, k)["t"].eqNullSafe(F.get(s, k + 1)["t"])
-            at = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: ((k > 0) & same(k - 1)) | ((k < F.size(s) - 1) & same(k)))
-            return F.array_sort(F.transform(at, lambda k: F.get(s, k)["i"]))
-
-        return bound(pairs, repeated)
+    def repeated(s: Column) -> Column:
+        same = lambda k: F.get(s, k)["h"].eqNullSafe(F.get(s, k + 1)["h"])
+        at = F.filter(F.transform(s, lambda x, k: F.when(((k > 0) & same(k - 1)) | ((k < F.size(s) - 1) & same(k)), x["i"])), lambda i: i.isNotNull())
+        return F.sort_array(at)
 
     def total(at: Column) -> Column:
         start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
         step = lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"))
         return F.aggregate(at, start, step)["n"]
 
-    count = lambda three: F.when(F.size(F.array_distinct(three)) == F.size(three), F.lit(0).cast("long")).otherwise(total(places(three)))
-    return bound(F.regexp_extract_all(F.array_join(words, " "), F.lit(THREE), F.lit(1)), count)
+    places = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    return bound(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(total(bound(places(h), repeated))))
 
 
 def dup_lines(text: Column) -> Column:
-    lines = F.filter(F.split(text, "\n", -1), lambda line: without(line, BLANKS) > 0)
+    lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(WORD))
     return bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
@@ -63,17 +58,17 @@ def base(text: Column) -> Column:
             F.size(words).cast("long").alias("n_words"),
             F.size(F.array_distinct(words)).cast("long").alias("n_distinct"),
             repeat_words(words).alias("n_repeat_words"),
+            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         )
 
     return F.struct(
         bound(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), counts).alias("w"),
-        without(text, BLANKS).cast("long").alias("word_chars"),
-        (F.length(text) - without(text, SYMBOLS)).cast("long").alias("n_symbols"),
+        n_of(text, SYMBOLS).cast("long").alias("n_symbols"),
         dup_lines(text).alias("n_dup_lines"),
-        (F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", ""))).cast("long").alias("n_upper"),
-        (F.length(text) - without(text, "!?")).cast("long").alias("n_marks"),
-        (F.length(text) - without(text, "0123456789")).cast("long").alias("n_digits"),
-        (F.length(text) - without(text, ".,;:'\"()-")).cast("long").alias("n_points"),
+        n_of(text, r"\p{Lu}").cast("long").alias("n_upper"),
+        n_of(text, "[!?]").cast("long").alias("n_marks"),
+        n_of(text, "[0-9]").cast("long").alias("n_digits"),
+        n_of(text, "[.,;:'\"()-]").cast("long").alias("n_points"),
     )
 
 
@@ -87,7 +82,7 @@ def with_counts(docs: DataFrame, keep=("doc_id",)) -> DataFrame:
     each mention of a count would count again.
     """
     s = docs.select(*[F.col(c) for c in keep], F.explode(F.array(base(F.col("text")))).alias("_s"))
-    inner = {"n_words", "n_distinct", "n_repeat_words"}
+    inner = {"n_words", "n_distinct", "n_repeat_words", "word_chars"}
     return s.select(*keep, *[(F.col(f"_s.w.{c}") if c in inner else F.col(f"_s.{c}")).alias(c) for c in COUNTS])
 
 
