@@ -10,7 +10,7 @@ from ..operators import folds as f
 from ..operators import ledger as lg
 from ..operators import page, risk, valuation
 from ..sources import dimensions
-from ..sources import mapping as m
+from . import mapping as m
 
 #: The instant of valuation: after every checkpoint of the derived ledgers.
 AT = m.T0 + 40_000_000

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import folds as f
 from ..operators import ledger as lg
 from ..operators import page, risk
-from ..sources import mapping as m
+from . import mapping as m
 from ..sources import shared
 
 WALLET = "0x" + "0" * 39 + "1"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import chain, folds, reconcile
 from ..operators import ledger as lg
 from ..sources import logs
-from ..sources import mapping as m
+from . import mapping as m
 from ..sources import shared
 from ..streaming import ingest
 from . import pools

@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 RAW_LOG = "chain_id int, address string, topics array<string>, data string, block_number long, block_timestamp long, block_hash string, tx_hash string, tx_index int, log_index int"
 
@@ -69,7 +70,7 @@ def _words() -> Column:
     return F.transform(F.concat(topics, data), lambda w: F.when(w.rlike("^[0-9a-f]{64}$"), w))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _numbers(words: pd.Series, kinds: pd.Series) -> pd.Series:
     """The decimal text of each word whose kind is u (unsigned) or i (two's complement); null for the others."""
 

@@ -5,7 +5,7 @@ import os
 import pytest
 
 from posledger import catalogue
-from posledger.sources import mapping as m
+from posledger.plans import mapping as m
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
