@@ -12,7 +12,8 @@ size; none exceeds ``cap`` times its own size, and what it leaves is shared by w
 
 Nulls: a null text has size 0, null sources are one source, null ids are allowed. Repeated rows are
 documents of their own; rows with equal id and size tie and are interchangeable. An empty table gives an
-empty result. Columns of the input that are carried keep their names; working columns start with ``_mix``.
+empty result. Columns of the input that are carried keep their names, but those called as a column of the result
+(``size``, ``source_size``, ``target``, ``taken``, in any case) are returned as ``carried_`` and their name.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 ROWS_PER_BUCKET = 100_000
 LEAST_BUCKETS = 64
+MADE = ("size", "source_size", "target", "taken")
 
 
 def n_words(text: Column) -> Column:
@@ -55,7 +57,7 @@ def mixture(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, seed: str = "mix",
     """The ``carry`` columns of every document with its size, its source's size and target, and the words taken of it."""
     size = n_words(F.col("text"))
     rows = docs.select(
-        *[F.col(c) for c in carry],
+        F.struct(*[F.col(c) for c in carry]).alias("_mix_row"),
         size.alias("size"),
         # never null, ordered as the source is, with the null source last
         F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t")).alias("_mix_source"),
@@ -76,7 +78,8 @@ def mixture(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, seed: str = "mix",
     passes = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0))
     rest = budget - passes * F.col("source_size") - F.col("_mix_before")
     taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(rest, F.col("size")))
-    return placed.select(*carry, "size", "source_size", "target", taken.cast("long").alias("taken"))
+    carried = [F.col("_mix_row")[c].alias(f"carried_{c}" if c.lower() in MADE else c) for c in carry]
+    return placed.select(*carried, "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 ORACLE = r"""

@@ -56,3 +56,15 @@ def test_caps_and_empty_sources(spark):
 def test_nothing(spark):
     check(spark, [])
     check(spark, [(1, None, None, None, None), (2, "", None, "a", None)])
+
+
+def test_carried_columns_of_clashing_names(spark):
+    rows = [(i, "a b c " * (1 + i % 4), "s%d" % (i % 3), -i, "t%d" % i, 2 * i, i % 2, "k", "b") for i in range(40)]
+    names = ["doc_id", "text", "source", "Size", "target", "taken", "source_size", "_mix_key", "_mix_bucket"]
+    df = spark.createDataFrame(rows, names)
+    carry = ("doc_id", "Size", "target", "taken", "source_size", "_mix_key", "_mix_bucket")
+    got = mixture(df, carry=carry)
+    assert got.columns == ["doc_id", "carried_Size", "carried_target", "carried_taken", "carried_source_size", "_mix_key", "_mix_bucket", "size", "source_size", "target", "taken"]
+    plain = {r.doc_id: tuple(r)[1:] for r in mixture(df.select("doc_id", "text", "source")).collect()}
+    for r in got.collect():
+        assert tuple(r)[:7] == (r.doc_id, -r.doc_id, "t%d" % r.doc_id, 2 * r.doc_id, r.doc_id % 2, "k", "b") and tuple(r)[7:] == plain[r.doc_id]
