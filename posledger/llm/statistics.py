@@ -113,11 +113,11 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> D
 
     The bound is what makes the join a broadcast: at most ``rows`` pairs of numbers. Rows are
     chosen by a hash of their id. Labels without an id or a quality of 0 or 1 are left out; of several
-    labels of one document the least counts.
+    labels of one document the least counts, and of several documents of one id the one of the least statistics.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return with_counts(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), ("doc_id", "quality")).select(
-        "doc_id", "quality", *[v.alias(k) for k, v in ratios().items()]
-    )
+    found = with_counts(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), ("doc_id", "quality"))
+    found = found.groupBy("doc_id").agg(F.min(F.struct("quality", *[v.alias(k) for k, v in ratios().items()])).alias("s"))
+    return found.select("doc_id", "s.*")

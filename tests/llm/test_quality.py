@@ -85,3 +85,52 @@ def test_classifier_filter_and_degenerate_labels(spark):
     assert kept.columns == df.columns and 200 < kept.count() < 280
     none = op04_classifier.quality_scores(df, spark.createDataFrame([], LABELS)).select("score").distinct().collect()
     assert [r.score for r in none] == [0.5]
+
+
+def test_labelled_rows_are_bounded_when_ids_repeat(spark):
+    docs, labels = quality_corpus(100)
+    docs = [(7, "w%d " % i * 60, None, None, None) for i in range(400)] + docs * 3
+    sample = S.labelled(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS), 30).collect()
+    assert len(sample) == 30 and len({r.doc_id for r in sample}) == 30
+    every = S.labelled(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)).collect()
+    assert len(every) == len({i for i, q, _ in labels if i is not None and q is not None and zlib.crc32(str(i).encode()) % 5})
+
+
+def statistics_of(row):
+    """The statistics by name, from a row of counts."""
+    per = lambda a, b: a / b if b > 0 else 0.0
+    words, chars = row.n_words, row.word_chars
+    by_word = {"symbol": row.n_symbols, "repeat": row.n_repeat_words, "distinct": row.n_distinct, "mark": row.n_marks, "point": row.n_points, "dup_line": row.n_dup_lines}
+    out = {f"{k}_ratio": per(v, words) for k, v in by_word.items()}
+    return out | {"words": float(words), "upper_ratio": per(row.n_upper, chars), "digit_ratio": per(row.n_digits, chars), "word_length": per(chars, words)}
+
+
+def test_verdicts_against_a_plain_reading_of_the_list(spark):
+    docs, labels = quality_corpus()
+    docs += docs[:5] + [(950, "x " * 100_000, None, None, None)]
+    df = spark.createDataFrame(docs, DOCS)
+    rules = op03_rules.learn(S.labelled(df, spark.createDataFrame(labels, LABELS)))
+    assert rules
+    want = []
+    for r in S.with_counts(df).collect():
+        s = statistics_of(r)
+        first = next((k for k, rule in enumerate(rules, 1) if all(s[n] <= m if at_most else s[n] > m for n, at_most, m in rule)), 0)
+        failed = r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
+        want.append((r.doc_id, failed, first, not failed and not first))
+    got = [(r.doc_id, r.base_failed, r.rule, r.kept) for r in op03_rules.judge(df, rules).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_compiled_score_against_the_rules_outcomes(spark):
+    docs, labels = quality_corpus()
+    docs += docs[:5] + [(950, "x! " * 100_000, None, None, None)]
+    df = spark.createDataFrame(docs, DOCS)
+    (rules, weights, offset), names = op04_classifier.train(df, spark.createDataFrame(labels, LABELS))
+    assert rules
+    rows = S.with_counts(df).collect()
+    x = np.array([[statistics_of(r)[n] for n in names] for r in rows])
+    want = 1 / (1 + np.exp(-(op04_classifier.outcomes(x, rules) @ weights + offset)))
+    got = op04_classifier.score(df, ((rules, weights, offset)), names).collect()
+    key = lambda p: (str(p[0]), round(p[1], 9))
+    a, b = sorted(zip([r.doc_id for r in rows], want), key=key), sorted(((r.doc_id, r.score) for r in got), key=key)
+    assert [i for i, _ in a] == [i for i, _ in b] and np.allclose([s for _, s in a], [s for _, s in b], atol=1e-9)
