@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_lines, op02_suffix, op03_rules, op04_classifier, op05_jaccard, op06_licenses, op07_mixture, op08_substring, op09_pii, op10_decontamination
+from . import op01_lines, op02_suffix, op03_rules, op04_classifier, op05_jaccard, op06_licenses, op07_mixture, op08_substring, op09_pii, op10_decontamination, op13_pieces
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -51,6 +51,12 @@ def op10_decontamination_leaks(spark, sf_dir):
     return op10_decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_pieces_encoding(spark, sf_dir):
+    import public_tokenizers
+
+    return op13_pieces.encoding_digest(table(spark, sf_dir, "documents"), op13_pieces.read_model(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -62,6 +68,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_pii_spans": op9_pii_spans,
     "op10_decontamination_leaks": op10_decontamination_leaks,
+    "op13_pieces_encoding": op13_pieces_encoding,
 }
 
 ORACLES = {
