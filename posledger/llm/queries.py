@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_lines, op02_suffix, op03_rules, op04_classifier, op05_jaccard, op06_licenses, op07_mixture, op08_substring, op09_pii, op10_decontamination, op12_centroids, op13_pieces
+from . import op01_lines, op02_suffix, op03_rules, op04_classifier, op05_jaccard, op06_licenses, op07_mixture, op08_substring, op09_pii, op10_decontamination, op11_spelling, op12_centroids, op13_pieces
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -51,6 +51,10 @@ def op10_decontamination_leaks(spark, sf_dir):
     return op10_decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return op11_spelling.spelling_variants(op11_spelling.word_counts(table(spark, sf_dir, "documents"), every=199))
+
+
 def op12_centroid_clusters(spark, sf_dir):
     return op12_centroids.cluster_digest(table(spark, sf_dir, "embeddings"))
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_pii_spans": op9_pii_spans,
     "op10_decontamination_leaks": op10_decontamination_leaks,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_centroid_clusters": op12_centroid_clusters,
     "op13_pieces_encoding": op13_pieces_encoding,
 }
@@ -79,6 +84,7 @@ QUERIES = {
 ORACLES = {
     "op1_line_dedup": op01_lines.ORACLE,
     "op7_mixture": op07_mixture.ORACLE,
+    "op11_spelling_variants": op11_spelling.ORACLE,
     "op12_centroid_clusters": op12_centroids.ORACLE,
     "op8_substring_dedup": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
