@@ -4,11 +4,12 @@ A model whose pieces hold the whitespace marker only in front can't merge over a
 So a text falls into *chunks*, a run of markers and what follows it, that are segmented one by one: each distinct chunk of
 the corpus is segmented and decoded once, by the library, and a text's ids are those of its chunks in order of position.
 
-Texts are dealt into blocks; a block sends each of its distinct chunks once, packed by hash range; a range segments what it
-gets and answers each block in its own order. A chunk that every text holds costs a row per block, and texts move once.
+Each task packs what it reads into blocks, a row each; a block sends each of its distinct chunks once, packed by hash range; a
+range segments what it gets and answers each block in its own order. A chunk that every text holds costs a row per block, equal
+rows lie where they were read, and texts move once, compressed.
 
 Null and empty texts have no ids but the end id, if asked for. Rows are kept one by one, repeated and null ids included; columns other than
-id and text are not read. Input is a table or a saved one: rows are dealt by their place in it, so that equal rows spread.
+id and text are not read. Input is a table or a saved one: a lost task must read its rows in the same order again.
 """
 
 from __future__ import annotations
@@ -19,17 +20,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import layout, meet, number, texts_of
+from .blocks import meet, texts_of
+from .kernels import spread
 
 MARK = "▁"
 SPACE = 32
-SENT = "p int, block long, chunks binary, sizes binary"
+SENT = "p int, block long, chunks binary, n int, sizes binary"
 ANSWER = "block long, p int, counts binary, ids binary, sizes binary, surfaces binary"
-#: In ``sizes`` of an answer: the chunk's surface is the chunk itself.
-SAME = (1 << 32) - 1
+#: Bytes of text of a block, and of all blocks for each range; a text that is larger is a block of its own.
+BLOCK_BYTES, RANGE_BYTES = 16 << 20, 16 << 20
 
 
 @lru_cache(maxsize=2)
@@ -99,19 +103,63 @@ def _runs(part: np.ndarray):
 
 
 def _sizes(items) -> np.ndarray:
-    return np.fromiter((len(x) for x in items), np.uint32, len(items))
+    return np.fromiter((len(x) for x in items), np.int64, len(items))
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Unsigned numbers in the fewest bytes that hold the largest; ``_unpacked`` knows how many there are."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0)))).tobytes()
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
+def _pack(size: int):
+    def each(batches):
+        """Blocks of about ``size`` bytes in the order in which rows are read."""
+        part, count, held, room = TaskContext.get().partitionId(), 0, [], size
+        for batch in batches:
+            rows = pa.table({"doc_id": batch.column("doc_id"), "text": pc.fill_null(batch.column("text"), "")})
+            ends = np.cumsum(pc.binary_length(rows["text"]).to_numpy().astype(np.int64) + 16)
+            a = 0
+            while a < len(ends):
+                done = int(ends[a - 1]) if a else 0
+                b = max(a + (not held), int(np.searchsorted(ends, done + room, "right")))
+                held += [rows.slice(a, b - a)] if b > a else []
+                room -= int(ends[b - 1]) - done if b > a else 0
+                if b < len(ends):
+                    yield _block(part, count, held)
+                    count, held, room = count + 1, [], size
+                a = b
+        if held:
+            yield _block(part, count, held)
+
+    return each
+
+
+def _block(part: int, count: int, held: list[pa.Table]) -> pa.RecordBatch:
+    table, sink = pa.concat_tables(held).combine_chunks(), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return pa.RecordBatch.from_arrays([pa.array([part << 32 | count], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "packed"])
+
+
+def _unpacked_block(table: pa.Table) -> pa.Table:
+    return pa.ipc.open_stream(table["packed"][0].as_buffer()).read_all()
 
 
 def _send(bits: int):
     def each(table: pa.Table) -> pa.Table:
-        chunks = Chunks(texts_of(table), bits)
+        chunks = Chunks(texts_of(_unpacked_block(table)), bits)
         rows = [(p, chunks.distinct[a:b]) for p, a, b in _runs(chunks.part)]
         return pa.table(
             {
                 "p": pa.array([p for p, _ in rows], pa.int32()),
-                "block": pa.array([number(table)] * len(rows), pa.int64()),
-                "chunks": pa.array([b"".join(c) for _, c in rows], pa.binary()),
-                "sizes": pa.array([_sizes(c).tobytes() for _, c in rows], pa.binary()),
+                "block": pa.array([table["block"][0].as_py()] * len(rows), pa.int64()),
+                "chunks": pa.array([zstandard.compress(b"".join(c)) for _, c in rows], pa.binary()),
+                "n": pa.array([len(c) for _, c in rows], pa.int32()),
+                "sizes": pa.array([_packed(_sizes(c)) for _, c in rows], pa.binary()),
             }
         )
 
@@ -120,21 +168,24 @@ def _send(bits: int):
 
 def _answer(model: bytes):
     def each(table: pa.Table) -> pa.Table:
-        """Segment every distinct chunk of a range once and answer each row in its own order."""
-        sizes = [np.frombuffer(x.as_buffer(), np.uint32) for x in table["sizes"]]
+        """Segment every distinct chunk of a range once and answer each row in its own order.
+
+        In ``sizes`` 0 says that the chunk's surface is the chunk itself, another number is one more than its length.
+        """
+        sizes = [_unpacked(x.as_py(), n) for x, n in zip(table["sizes"], table["n"].to_pylist())]
         ends = np.cumsum(np.concatenate([[0], *sizes]).astype(np.int64))
-        coded = _slices(b"".join(x.as_py() for x in table["chunks"]), ends).dictionary_encode()
+        coded = _slices(b"".join(zstandard.decompress(x.as_py()) for x in table["chunks"]), ends).dictionary_encode()
         chunks = coded.dictionary.to_pylist()
         ids, surfaces = segmented(model, chunks)
-        packed = [np.array(x, np.int32).tobytes() for x in ids]
-        counts = _sizes(ids)
-        width = np.array([SAME if s == c else len(s) for s, c in zip(surfaces, chunks)], np.uint32)
+        counts, flat = _sizes(ids), np.fromiter((i for x in ids for i in x), np.int64, sum(map(len, ids)))
+        cut = np.concatenate([[0], np.cumsum(counts)])
         other = [b"" if s == c else s for s, c in zip(surfaces, chunks)]
+        width = np.array([0 if s == c else len(s) + 1 for s, c in zip(surfaces, chunks)], np.int64)
         rows, place, a = [], coded.indices.to_numpy(), 0
         for n in map(len, sizes):
             own = place[a : a + n]
-            listed = own.tolist()
-            rows.append((counts[own].tobytes(), b"".join([packed[i] for i in listed]), width[own].tobytes(), b"".join([other[i] for i in listed])))
+            at, _ = spread(cut[own], cut[own + 1] - 1)
+            rows.append((_packed(counts[own]), zstandard.compress(_packed(flat[at])), _packed(width[own]), b"".join([other[i] for i in own[width[own] > 0].tolist()])))
             a += n
         named = {name: pa.array([r[k] for r in rows], pa.binary()) for k, name in enumerate(("counts", "ids", "sizes", "surfaces"))}
         return pa.table({"block": table["block"], "p": table["p"], **named})
@@ -142,8 +193,7 @@ def _answer(model: bytes):
     return each
 
 
-def _cut(rows: list[bytes], sizes: np.ndarray, unit: int) -> list[bytes]:
-    data = b"".join(rows)
+def _cut(data: bytes, sizes: np.ndarray, unit: int = 1) -> list[bytes]:
     ends = (np.cumsum(sizes) * unit).tolist()
     return [data[a:b] for a, b in zip([0, *ends], ends)]
 
@@ -151,24 +201,28 @@ def _cut(rows: list[bytes], sizes: np.ndarray, unit: int) -> list[bytes]:
 def _meet(bits: int, make):
     def each(key: tuple, table: pa.Table, answer: pa.Table) -> pa.Table:
         """The texts of a block with the ids and surfaces of their chunks, put together by position."""
+        table = _unpacked_block(table)
         chunks = Chunks(texts_of(table), bits)
         answer = answer.sort_by("p")
+        held = [b - a for _, a, b in _runs(chunks.part)]
         got = {n: [x.as_py() for x in answer[n]] for n in ("counts", "ids", "sizes", "surfaces")}
-        counts = np.frombuffer(b"".join(got["counts"]), np.uint32).astype(np.int64)
-        width = np.frombuffer(b"".join(got["sizes"]), np.uint32).astype(np.int64)
-        ids = _cut(got["ids"], counts, 4)
-        other = _cut(got["surfaces"], np.where(width == SAME, 0, width), 1)
-        surfaces = [c if w == SAME else s for c, s, w in zip(chunks.distinct, other, width.tolist())]
-        return make(table["doc_id"], chunks, ids, counts, surfaces)
+        told = [_unpacked(x, n) for x, n in zip(got["counts"], held)]
+        none = np.zeros(0, np.int64)
+        ids = np.concatenate([none, *(_unpacked(zstandard.decompress(x), int(c.sum())) for x, c in zip(got["ids"], told))]).astype(np.int32)
+        width = np.concatenate([none, *(_unpacked(x, n) for x, n in zip(got["sizes"], held))])
+        counts = np.concatenate([none, *told])
+        other = _cut(b"".join(got["surfaces"]), np.maximum(width - 1, 0))
+        surfaces = [s if w else c for c, s, w in zip(chunks.distinct, other, width.tolist())]
+        return make(table["doc_id"], chunks, _cut(ids.tobytes(), counts, 4), counts, surfaces)
 
     return each
 
 
 def _texts(chunks: Chunks, parts: list[bytes], between: bytes = b""):
     """Per text the parts of its chunks, joined."""
-    places, first = chunks.place.tolist(), chunks.first.tolist()
+    first = chunks.first.tolist()
     for a, b in zip(first, first[1:]):
-        yield between.join([parts[i] for i in places[a:b]])
+        yield between.join([parts[i] for i in chunks.place[a:b].tolist()])
 
 
 def _rows(end: bytes):
@@ -202,13 +256,13 @@ def _digests(end: list[int]):
 
 
 def _through_table(docs: DataFrame, model: bytes, make, schema: str, doc_id: str, text: str) -> DataFrame:
-    plan = layout(docs, text)
+    total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    bits = int(min(20, max(6, np.ceil(np.log2(max(1, total / RANGE_BYTES))))))
     kind = docs.schema[doc_id].dataType.simpleString()
-    dealt = F.xxhash64(F.col(doc_id), F.substring(F.col(text), 1, 64), F.octet_length(text), F.monotonically_increasing_id())
-    blocks = docs.select(F.pmod(dealt, F.lit(plan.blocks)).alias("block"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sent = blocks.groupBy("block").applyInArrow(_send(plan.bits), SENT)
+    blocks = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_pack(BLOCK_BYTES), "block long, packed binary")
+    sent = blocks.groupBy("block").applyInArrow(_send(bits), SENT)
     answer = sent.groupBy("p").applyInArrow(_answer(model), ANSWER)
-    return meet(blocks, answer, _meet(plan.bits, make), f"doc_id {kind}, {schema}")
+    return meet(blocks, answer, _meet(bits, make), f"doc_id {kind}, {schema}")
 
 
 def _end(model: bytes, end: bool) -> list[int]:

@@ -45,13 +45,15 @@ def test_other_columns_types_and_empty_tables(spark):
     assert op.encoding_digest(docs.limit(0), MODEL, doc_id="key", text="body").count() == 0
 
 
-def test_equal_rows_spread_over_blocks(spark):
-    docs = spark.createDataFrame([(None, "w " * 1000)] * 3000, "doc_id long, text string")
-    from posledger.llm.blocks import layout
-
-    assert layout(docs).blocks >= 5
+def test_equal_rows_lie_in_many_blocks_and_long_texts_in_their_own(spark, monkeypatch):
+    monkeypatch.setattr(op, "BLOCK_BYTES", 1 << 16)
+    rows = [(None, "w " * 1000)] * 300 + [(1, "long text " * 20_000), (2, ""), (3, None)] + [(4, "x")] * 7
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    packed = docs.mapInArrow(op._pack(op.BLOCK_BYTES), "block long, packed binary").collect()
+    assert len(packed) >= 10 == len({r.block for r in packed}) - len(packed) + 10
     got = op.encoding_digest(docs, MODEL)
-    assert got.distinct().count() == 1 and got.count() == 3000
+    assert got.count() == len(rows) and got.where("doc_id IS NULL").distinct().count() == 1
+    assert got.where("doc_id = 1").first().n_tokens == len(whole(rows[300][1])[0])
 
 
 @settings(max_examples=200, deadline=None)
