@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .wideint import DEC, fail
+from .wideint import fail
 
 BODY = "_body"
 
@@ -27,15 +27,35 @@ def text(path: str) -> Column:
     return F.col(f"{BODY}.{path}")
 
 
+#: Digits of an amount: 256 bits.
+MOST_DIGITS = 78
+INTEGER, UNSIGNED, ID = f"^-?[0-9]{{1,{MOST_DIGITS}}}$", f"^[0-9]{{1,{MOST_DIGITS}}}$", "^[0-9]{1,18}$"
+
+
+def _strict(path: str, pattern: str) -> Column:
+    t = text(path)
+    return F.when(t.rlike(pattern), t).otherwise(F.raise_error(F.lit(f"missing, malformed or out of range: {path}")).cast("string"))
+
+
 def integer(path: str) -> Column:
-    """A signed integer of up to 38 digits."""
-    return F.coalesce(text(path).cast(DEC), fail(f"missing {path}"))
+    """The digits of a signed integer of up to 256 bits."""
+    return _strict(path, INTEGER)
+
 
+def unsigned(path: str) -> Column:
+    """The digits of an unsigned integer of up to 256 bits."""
+    return _strict(path, UNSIGNED)
 
-def unsigned(path: str, most: int | None = None) -> Column:
-    t, x = text(path), integer(path)
-    wrong = F.startswith(t, F.lit("-")) if most is None else F.startswith(t, F.lit("-")) | (x > most)
-    return F.when(wrong, fail(f"{path} out of range")).otherwise(x)
+
+def minus(digits: Column) -> Column:
+    """The negative of unsigned digits."""
+    return F.concat(F.lit("-"), digits)
+
+
+def small(path: str, most: int) -> Column:
+    """An unsigned integer up to ``most``."""
+    x = _strict(path, ID).cast("long")
+    return F.when(x > most, fail(f"{path} out of range", "long")).otherwise(x)
 
 
 def whole(path: str) -> Column:
@@ -44,13 +64,6 @@ def whole(path: str) -> Column:
     return F.when(F.startswith(text(path), F.lit("-")), fail(f"{path} out of range", "long")).otherwise(x)
 
 
-def wide(path: str) -> Column:
-    """A signed integer of any width, as its string."""
-    t = text(path)
-    ok = t.rlike("^-?[0-9]{1,78}$")
-    return F.when(ok, t).otherwise(F.raise_error(F.lit(f"missing or malformed {path}")).cast("string"))
-
-
 def boolean(path: str) -> Column:
     t = text(path)
     return F.when(t.isin("true", "false"), t == "true").otherwise(F.raise_error(F.lit(f"missing {path}")).cast("boolean"))

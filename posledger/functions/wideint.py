@@ -1,8 +1,8 @@
 """Exact integer arithmetic on on-chain quantities.
 
 Narrow path: DECIMAL(38,0) expressions, for columns declared to have at most 38 digits. ANSI mode makes
-an overflow an error. Wide path: sums run on three signed limbs of 26 digits, so an additive fold of any
-width is an ordinary partial aggregation; products and quotients of wide values are Python integers in
+an overflow an error. Wide path: sums run on signed limbs of 26 digits, so an additive fold of the declared
+width (78 digits for an event's amount, 156 for a value; more is an error) is an ordinary partial aggregation; products and quotients of wide values are Python integers in
 Arrow functions over digit strings (``integers``), since Spark has no exact type beyond 38 digits.
 Callers choose by declared width, never by looking at values.
 """
@@ -21,7 +21,8 @@ VIRTUAL = 10**6
 RAY_DIGITS, ORACLE_DIGITS, VALUE_DIGITS = 27, 8, 26
 
 DEC = "decimal(38,0)"
-LIMB = 26
+#: Digits of a limb, and limbs of an event's amount: 78 digits hold 256 bits. Values in dollars are products of three and have more.
+LIMB, LIMBS, VALUE_LIMBS = 26, 3, 6
 
 
 def bound(value: Column, use) -> Column:
@@ -123,42 +124,54 @@ def premium_ray(shares: Column, offset: Column, index: Column) -> Column:
     return F.when(owed < 0, fail("negative premium")).otherwise(owed)
 
 
-def limbs(text: Column) -> list[Column]:
-    """Signed limbs of a decimal string, lowest first; what fits the lowest one is only cast."""
-    short = F.length(text) <= LIMB
-    digits = F.lpad(F.regexp_replace(text, "^-", ""), 3 * LIMB, "0")
-    sign = F.when(F.startswith(text, F.lit("-")), -1).otherwise(1)
-    long = [(F.substring(digits, 1 + LIMB * k, LIMB).cast(DEC) * sign).cast(DEC) for k in (2, 1, 0)]
-    return [F.when(short, text.cast(DEC) if k == 0 else num(0)).otherwise(x) for k, x in enumerate(long)]
+def limbs(text: Column, count: int = LIMBS) -> list[Column]:
+    """Signed limbs of a decimal string, lowest first; more digits than ``count`` limbs hold are an error.
 
-
-def joined(low: Column, middle: Column, high: Column) -> Column:
-    """The decimal string of sums of limbs, which may have any sign and more than 26 digits each."""
-    unit = num(10**LIMB)
-
-    def carry(one: str, two: str):
-        """Carry what field ``one`` has beyond 26 digits into ``two``."""
-
-        def step(t):
-            x = F.pmod(t[one], unit).cast(DEC)
-            moved = {one: x, two: (t[two] + ((t[one] - x) / unit).cast(DEC)).cast(DEC)}
-            return F.struct(*[moved.get(n, t[n]).alias(n) for n in "abc"], t["minus"].alias("minus"))
-
-        return step
-
-    def positive(t):
-        return F.struct(*[F.when(t["c"] < 0, -t[n]).otherwise(t[n]).cast(DEC).alias(n) for n in "abc"], (t["c"] < 0).alias("minus"))
-
-    def digits(t):
-        text = F.concat(t["c"].cast("string"), F.lpad(t["b"].cast("string"), LIMB, "0"), F.lpad(t["a"].cast("string"), LIMB, "0"))
-        return F.concat(F.when(t["minus"], "-").otherwise(""), F.regexp_replace(text, "^0+(?=[0-9])", ""))
-
-    # one lambda after another and none in another: an Arrow function can't be given nested ones
-    whole = F.struct(low.alias("a"), middle.alias("b"), high.alias("c"), F.lit(False).alias("minus"))
-    for step in (carry("a", "b"), carry("b", "c"), positive, carry("a", "b"), carry("b", "c"), digits):
-        whole = bound(whole, step)
-    narrow = (F.abs(low) < unit) & (middle == 0) & (high == 0)
-    return F.when(narrow, low.cast("string")).otherwise(whole)
+    What fits the lowest limb is only cast, and the others are null: a sum passes over them.
+    """
+    size = F.length(text)
+    minus = F.startswith(text, F.lit("-"))
+    digits = F.lpad(F.regexp_replace(text, "^-?0*", ""), count * LIMB, "0")
+    most = F.when(F.length(F.regexp_replace(text, "^-?0*", "")) > count * LIMB, fail(f"more than {count * LIMB} digits"))
+    sign = F.when(minus, -1).otherwise(1)
+    long = [(F.substring(digits, 1 + LIMB * k, LIMB).cast(DEC) * sign).cast(DEC) for k in range(count - 1, -1, -1)]
+    long[0] = F.coalesce(most, long[0])
+    return [F.when(size <= LIMB, text.cast(DEC) if k == 0 else F.lit(None).cast(DEC)).otherwise(x) for k, x in enumerate(long)]
+
+
+def limb(text: Column, scale: Column, count: int = LIMBS) -> Column:
+    """One signed limb of a decimal string of at most ``count`` limbs' digits: the ``scale``-th from the lowest, null where the string ends below it."""
+    minus = F.startswith(text, F.lit("-"))
+    digits = F.lpad(F.substr(text, F.when(minus, 2).otherwise(1)), count * LIMB, "0")
+    part = F.substr(digits, F.lit(1 + (count - 1) * LIMB) - scale * LIMB, F.lit(LIMB)).cast(DEC)
+    return F.when(F.length(text) <= LIMB, F.when(scale == 0, text.cast(DEC))).otherwise(F.when(minus, -part).otherwise(part)).cast(DEC)
+
+
+def joined(*parts: Column) -> Column:
+    """The decimal string of sums of limbs, lowest first, which may have any sign and more than 26 digits each; null is 0."""
+    unit, zero = num(10**LIMB), num(0)
+
+    def step(acc, part):
+        """Carry on, keeping the digits so far and those of the negative, whose limbs are complements above the first that isn't 0."""
+        x = (acc["carry"] + F.coalesce(part, zero)).cast(DEC)
+        low = F.pmod(x, unit).cast(DEC)
+        other = F.when(acc["seen"], unit - 1 - low).when(low == 0, zero).otherwise(unit - low).cast(DEC)
+        pad = lambda v: F.lpad(v.cast("string"), LIMB, "0")
+        return F.struct(
+            ((x - low) / unit).cast(DEC).alias("carry"), F.concat(pad(low), acc["text"]).alias("text"), F.concat(pad(other), acc["other"]).alias("other"), (acc["seen"] | (low > 0)).alias("seen"),
+        )
+
+    def digits(acc):
+        top = F.when(acc["seen"], -acc["carry"] - 1).otherwise(-acc["carry"])
+        plain = lambda text: F.regexp_replace(text, "^0+(?=[0-9])", "")
+        below = F.concat(F.lit("-"), plain(F.concat(top.cast(DEC).cast("string"), acc["other"])))
+        return F.when(acc["carry"] < 0, below).otherwise(plain(F.concat(acc["carry"].cast("string"), acc["text"])))
+
+    start = F.struct(zero.alias("carry"), F.lit("").alias("text"), F.lit("").alias("other"), F.lit(False).alias("seen"))
+    narrow = F.lit(True)
+    for p in parts[1:]:
+        narrow = narrow & (F.coalesce(p, zero) == 0)
+    return F.when(narrow, F.coalesce(parts[0], zero).cast("string")).otherwise(F.aggregate(F.array(*parts), start, step, digits))
 
 
 class Unvalued(ValueError):
@@ -206,12 +219,12 @@ def value_wide(amount, decimals, price) -> Column:
 
 
 def sums_wide(values: dict) -> list[Column]:
-    """Aggregates of named columns of any width, as limbs; ``joined_sums`` makes digits of them."""
-    return [F.coalesce(F.sum(v), F.lit(0)).cast(DEC).alias(f"_{n}_{k}") for n, column in values.items() for k, v in enumerate(column)]
+    """Aggregates of named lists of limbs; ``joined_sums`` makes digits of them."""
+    return [F.sum(v).cast(DEC).alias(f"_{n}_{k}") for n, column in values.items() for k, v in enumerate(column)]
 
 
-def joined_sums(name: str) -> Column:
-    return joined(*[F.col(f"_{name}_{k}") for k in range(3)])
+def joined_sums(name: str, count: int = LIMBS) -> Column:
+    return joined(*[F.col(f"_{name}_{k}") for k in range(count)])
 
 
 def to_value(amount: Column, decimals: Column, price: Column) -> Column:

@@ -11,24 +11,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fields as f
-from ..functions.wideint import DEC, joined, limbs
+from ..functions.wideint import DEC, LIMB, LIMBS, joined, limb
 from .ledger import current
 
 POSITION = ("chain_id", "user", "spoke", "reserve_id")
-SUMS = ("supplied_shares", "drawn_shares", "premium_shares", "net_supplied", "net_borrowed")
+SUMS = ("supplied_shares", "drawn_shares", "premium_shares", "net_supplied", "net_borrowed", "premium_offset_ray")
 ASSET = ("chain_id", "hub", "asset_id")
-ASSET_SUMS = ("liquidity", "added_shares", "drawn_shares", "premium_shares", "swept")
-ASSET_WIDE = ("premium_offset_ray", "deficit_ray")
+ASSET_SUMS = ("liquidity", "added_shares", "drawn_shares", "premium_shares", "swept", "premium_offset_ray", "deficit_ray")
 STATE = ("drawn_index", "drawn_rate", "realized_fees", "index_timestamp", "liquidity_fee", "underlying", "decimals")
 ORDER = ("block_number", "log_index")
 
 
-def _leg(names: tuple, wide: tuple, key: dict, **delta) -> Column:
-    """A delta; what an event does not touch is null, which a sum passes over."""
+def _leg(names: tuple, key: dict, events: int = 1, **delta) -> Column:
+    """A delta in digits; what an event does not touch is null, which a sum passes over."""
     parts = [c.alias(k) for k, c in key.items()]
-    parts += [(delta.get(n, F.lit(None))).cast(DEC).alias(n) for n in names]
-    parts += [(delta.get(n, F.lit(None))).cast("string").alias(n) for n in wide]
-    return F.struct(*parts)
+    parts += [delta.get(n, F.lit(None)).cast("string").alias(n) for n in names]
+    return F.struct(*parts, F.lit(events).alias("events"))
 
 
 def _by_event(cases: dict) -> Column:
@@ -40,10 +38,25 @@ def _by_event(cases: dict) -> Column:
     return out
 
 
-def _signed(df: DataFrame, keys: tuple, names: tuple, wide: tuple) -> DataFrame:
-    """Deltas by the sign of their row; wide ones as limbs."""
-    sums = {n: F.col(n) for n in names} | {f"{n}_{k}": v for n in wide for k, v in enumerate(limbs(F.col(n)))}
-    return df.select(*keys, *[(c * F.col("sign")).cast(DEC).alias(n) for n, c in sums.items()], F.col("sign").cast("long").alias("events"))
+def _signed(df: DataFrame, keys: tuple, names: tuple) -> DataFrame:
+    """Deltas by the sign of their row, by limbs of 26 digits.
+
+    A row has the limbs of one ``scale``. What has no longer amount is one row, at scale 0; longer ones are a row per scale.
+    """
+    long = F.greatest(*[F.coalesce(F.length(n), F.lit(0)) for n in names], F.lit(0)) > LIMB
+    scales = F.when(long, F.array(*map(F.lit, range(LIMBS)))).otherwise(F.array(F.lit(0)))
+    back, each = F.col("sign") < 0, df.withColumn("scale", F.explode(scales))
+    parts = [limb(F.col(n), F.col("scale")) for n in names]
+    counted = F.when(F.col("scale") == 0, F.col("sign") * F.col("events")).otherwise(0).cast("long")
+    return each.select(*keys, "scale", *[F.when(back, -v).otherwise(v).cast(DEC).alias(n) for n, v in zip(names, parts)], counted.alias("events"))
+
+
+def _sums(names: tuple) -> list[Column]:
+    return [F.sum(F.when(F.col("scale") == k, F.col(n))).alias(f"{n}_{k}") for n in names for k in range(LIMBS)]
+
+
+def _joined(names: tuple) -> list[Column]:
+    return [joined(*[F.col(f"{n}_{k}") for k in range(LIMBS)]).alias(n) for n in names]
 
 
 def additive(rows: DataFrame, keys: tuple, names: tuple) -> DataFrame:
@@ -60,25 +73,26 @@ ASSET_FIELDS = ("assetId", "shares", "amount", "drawnShares", "drawnAmount", "pr
 
 
 def position_deltas(ledger: DataFrame) -> DataFrame:
-    """A row per touched position and event leg; a liquidation has two or three legs."""
+    """A row per touched position, event leg and scale; a liquidation has two or three legs."""
 
     def leg(user="user", reserve="reserveId", **delta):
-        return _leg(SUMS, ("premium_offset_ray",), {"user": f.address(user), "reserve_id": f.whole(reserve)}, **delta)
+        return _leg(SUMS, {"user": f.address(user), "reserve_id": f.whole(reserve)}, **delta)
 
-    premium = {"premium_shares": f.integer("premiumDelta.sharesDelta"), "premium_offset_ray": f.wide("premiumDelta.offsetRayDelta")}
-    collateral = leg(reserve="collateralReserveId", supplied_shares=-f.unsigned("collateralSharesLiquidated"), net_supplied=-f.unsigned("collateralAmountRemoved"))
-    debt = leg(reserve="debtReserveId", drawn_shares=-f.unsigned("drawnSharesLiquidated"), net_borrowed=-f.unsigned("debtAmountRestored"), **premium)
-    liquidator = leg("liquidator", "collateralReserveId", supplied_shares=f.unsigned("collateralSharesToLiquidator"))
+    plus, less = f.unsigned, lambda path: f.minus(f.unsigned(path))
+    premium = {"premium_shares": f.integer("premiumDelta.sharesDelta"), "premium_offset_ray": f.integer("premiumDelta.offsetRayDelta")}
+    collateral = leg(reserve="collateralReserveId", supplied_shares=less("collateralSharesLiquidated"), net_supplied=less("collateralAmountRemoved"))
+    debt = leg(reserve="debtReserveId", drawn_shares=less("drawnSharesLiquidated"), net_borrowed=less("debtAmountRestored"), **premium)
+    liquidator = leg("liquidator", "collateralReserveId", supplied_shares=plus("collateralSharesToLiquidator"))
     cases = {
-        "Supply": [leg(supplied_shares=f.unsigned("suppliedShares"), net_supplied=f.unsigned("suppliedAmount"))],
-        "Withdraw": [leg(supplied_shares=-f.unsigned("withdrawnShares"), net_supplied=-f.unsigned("withdrawnAmount"))],
-        "Borrow": [leg(drawn_shares=f.unsigned("drawnShares"), net_borrowed=f.unsigned("drawnAmount"))],
-        "Repay": [leg(drawn_shares=-f.unsigned("drawnShares"), net_borrowed=-f.unsigned("totalAmountRepaid"), **premium)],
-        "ReportDeficit": [leg(drawn_shares=-f.unsigned("drawnShares"), **premium)],
+        "Supply": [leg(supplied_shares=plus("suppliedShares"), net_supplied=plus("suppliedAmount"))],
+        "Withdraw": [leg(supplied_shares=less("withdrawnShares"), net_supplied=less("withdrawnAmount"))],
+        "Borrow": [leg(drawn_shares=plus("drawnShares"), net_borrowed=plus("drawnAmount"))],
+        "Repay": [leg(drawn_shares=less("drawnShares"), net_borrowed=less("totalAmountRepaid"), **premium)],
+        "ReportDeficit": [leg(drawn_shares=less("drawnShares"), **premium)],
         "LiquidationCall": F.when(f.boolean("receiveShares"), F.array(collateral, debt, liquidator)).otherwise(F.array(collateral, debt)),
     }
     each = f.parsed(ledger.where(F.col("event_name").isin(*cases)), *POSITION_FIELDS).select("chain_id", F.lower("address").alias("spoke"), "sign", F.explode(_by_event(cases)).alias("leg"))
-    return _signed(each.select("chain_id", "spoke", "sign", "leg.*"), POSITION, SUMS, ("premium_offset_ray",))
+    return _signed(each.select("chain_id", "spoke", "sign", "leg.*"), POSITION, SUMS)
 
 
 def flag_rows(ledger: DataFrame) -> DataFrame:
@@ -108,14 +122,12 @@ def _latest(column: str) -> Column:
 def fold_positions(deltas: DataFrame, flags: DataFrame) -> DataFrame:
     """Positions from deltas and live flags, by one aggregation over both."""
     both = deltas.unionByName(flags.drop("version"), allowMissingColumns=True)
-    wide = [F.coalesce(F.sum(f"premium_offset_ray_{k}"), F.lit(0)).cast(DEC).alias(f"_p{k}") for k in range(3)]
-    sums = [F.coalesce(F.sum(n), F.lit(0)).cast(DEC).alias(n) for n in SUMS]
-    folded = both.groupBy(*POSITION).agg(*sums, *wide, F.coalesce(_latest("flag"), F.lit(False)).alias("using_as_collateral"), F.coalesce(F.sum("events"), F.lit(0)).cast("long").alias("events"))
-    return folded.withColumn("premium_offset_ray", joined(*[F.col(f"_p{k}") for k in range(3)])).drop("_p0", "_p1", "_p2")
+    folded = both.groupBy(*POSITION).agg(*_sums(SUMS), F.coalesce(_latest("flag"), F.lit(False)).alias("using_as_collateral"), F.coalesce(F.sum("events"), F.lit(0)).cast("long").alias("events"))
+    return folded.select(*POSITION, *_joined(SUMS), "using_as_collateral", "events")
 
 
 def positions_current(ledger: DataFrame) -> DataFrame:
-    """Positions: five narrow sums, one wide, the collateral flag and the signed number of events."""
+    """Positions: six sums as digits, exact for amounts of up to 256 bits, the collateral flag and the signed number of events."""
     return fold_positions(position_deltas(ledger), position_flags(ledger))
 
 
@@ -125,6 +137,12 @@ def position_rows(ledger: DataFrame) -> DataFrame:
     return position_deltas(ledger).unionByName(flags, allowMissingColumns=True)
 
 
+#: The columns of stored deltas.
+STORED = (
+    "chain_id int, user string, spoke string, reserve_id long, scale int, " + ", ".join(f"{n} decimal(38,0)" for n in SUMS) + ", events long, flag boolean, block_number long, log_index int, version long, flag_sign int"
+)
+
+
 def store_positions(rows: DataFrame, path: str, mode: str = "append", files: int | None = None) -> None:
     """Write typed deltas in ranges of wallets, sorted, so that a reader of one wallet reads its pages only."""
     key = ["user", "spoke", "reserve_id"]
@@ -141,31 +159,34 @@ def stored_positions(rows: DataFrame) -> DataFrame:
 
 def open_positions(positions: DataFrame) -> DataFrame:
     """Unequal to zero and not only above it: a negative fold must stay visible."""
-    return positions.where("supplied_shares <> 0 OR drawn_shares <> 0")
+    return positions.where("supplied_shares <> '0' OR drawn_shares <> '0'")
 
 
 def hub_deltas(ledger: DataFrame) -> DataFrame:
     def leg(**delta):
-        return _leg(ASSET_SUMS, ASSET_WIDE, {"asset_id": f.whole("assetId")}, **delta)
+        return _leg(ASSET_SUMS, {"asset_id": f.whole("assetId")}, **delta)
 
-    premium = {"premium_shares": f.integer("premiumDelta.sharesDelta"), "premium_offset_ray": f.wide("premiumDelta.offsetRayDelta")}
-    amount, shares = f.unsigned("amount"), f.unsigned("shares")
-    drawn, drawn_amount = f.unsigned("drawnShares"), f.unsigned("drawnAmount")
-    minus = F.concat(F.lit("-"), f.wide("deficitAmountRay"))
+    plus, less = f.unsigned, lambda path: f.minus(f.unsigned(path))
+    premium = {"premium_shares": f.integer("premiumDelta.sharesDelta"), "premium_offset_ray": f.integer("premiumDelta.offsetRayDelta")}
     cases = {
-        "Add": [leg(liquidity=amount, added_shares=shares)],
-        "Remove": [leg(liquidity=-amount, added_shares=-shares)],
-        "Draw": [leg(liquidity=-drawn_amount, drawn_shares=drawn)],
-        "Restore": [leg(liquidity=drawn_amount + f.unsigned("premiumAmount"), drawn_shares=-drawn, **premium)],
-        "ReportDeficit": [leg(drawn_shares=-drawn, deficit_ray=f.wide("deficitAmountRay"), **premium)],
-        "EliminateDeficit": [leg(added_shares=-shares, deficit_ray=minus)],
-        "MintFeeShares": [leg(added_shares=shares)],
-        "Sweep": [leg(liquidity=-amount, swept=amount)],
-        "Reclaim": [leg(liquidity=amount, swept=-amount)],
+        "Add": [leg(liquidity=plus("amount"), added_shares=plus("shares"))],
+        "Remove": [leg(liquidity=less("amount"), added_shares=less("shares"))],
+        "Draw": [leg(liquidity=less("drawnAmount"), drawn_shares=plus("drawnShares"))],
+        "Restore": [leg(liquidity=plus("drawnAmount"), drawn_shares=less("drawnShares"), **premium), leg(events=0, liquidity=plus("premiumAmount"))],
+        "ReportDeficit": [leg(drawn_shares=less("drawnShares"), deficit_ray=plus("deficitAmountRay"), **premium)],
+        "EliminateDeficit": [leg(added_shares=less("shares"), deficit_ray=less("deficitAmountRay"))],
+        "MintFeeShares": [leg(added_shares=plus("shares"))],
+        "Sweep": [leg(liquidity=less("amount"), swept=plus("amount"))],
+        "Reclaim": [leg(liquidity=plus("amount"), swept=less("amount"))],
         "RefreshPremium": [leg(**premium)],
     }
     each = f.parsed(ledger.where(F.col("event_name").isin(*cases)), *ASSET_FIELDS).select("chain_id", F.lower("address").alias("hub"), "sign", F.explode(_by_event(cases)).alias("leg"))
-    return _signed(each.select("chain_id", "hub", "sign", "leg.*"), ASSET, ASSET_SUMS, ASSET_WIDE)
+    return _signed(each.select("chain_id", "hub", "sign", "leg.*"), ASSET, ASSET_SUMS)
+
+
+def _plain(digits: Column) -> Column:
+    """Digits as they are written: without zeros in front."""
+    return F.regexp_replace(digits, "^0+(?=[0-9])", "")
 
 
 def hub_state(ledger: DataFrame) -> DataFrame:
@@ -175,10 +196,10 @@ def hub_state(ledger: DataFrame) -> DataFrame:
     read = ("assetId", "drawnIndex", "drawnRate", "accruedFees", "config.liquidityFee", "underlying", "decimals")
     rows = f.parsed(ledger.where(name.isin("UpdateAsset", "UpdateAssetConfig", "AddAsset")), *read).select(
         "chain_id", F.lower("address").alias("hub"), f.whole("assetId").alias("asset_id"),
-        only("UpdateAsset", f.unsigned("drawnIndex"), DEC).alias("drawn_index"), only("UpdateAsset", f.unsigned("drawnRate"), DEC).alias("drawn_rate"),
-        only("UpdateAsset", f.unsigned("accruedFees"), DEC).alias("realized_fees"), only("UpdateAsset", F.col("block_timestamp"), "long").alias("index_timestamp"),
-        only("UpdateAssetConfig", f.unsigned("config.liquidityFee", 65_535), "int").alias("liquidity_fee"),
-        only("AddAsset", f.address("underlying"), "string").alias("underlying"), only("AddAsset", f.unsigned("decimals", 255), "int").alias("decimals"),
+        only("UpdateAsset", _plain(f.unsigned("drawnIndex")), "string").alias("drawn_index"), only("UpdateAsset", _plain(f.unsigned("drawnRate")), "string").alias("drawn_rate"),
+        only("UpdateAsset", _plain(f.unsigned("accruedFees")), "string").alias("realized_fees"), only("UpdateAsset", F.col("block_timestamp"), "long").alias("index_timestamp"),
+        only("UpdateAssetConfig", f.small("config.liquidityFee", 65_535), "int").alias("liquidity_fee"),
+        only("AddAsset", f.address("underlying"), "string").alias("underlying"), only("AddAsset", f.small("decimals", 255), "int").alias("decimals"),
         *ORDER, "version", "sign",
     )
     return current(rows, ("hub", "asset_id"))
@@ -189,14 +210,12 @@ def hub_assets_current(ledger: DataFrame) -> DataFrame:
 
     The halves are folded apart, since text can't be held by the hash aggregation of the many delta rows, and meet as one row each.
     """
-    all_wide = [f"{n}_{k}" for n in ASSET_WIDE for k in range(3)]
-    sums = hub_deltas(ledger).groupBy(*ASSET).agg(*[F.sum(n).alias(n) for n in (*ASSET_SUMS, *all_wide, "events")])
+    sums = hub_deltas(ledger).groupBy(*ASSET).agg(*_sums(ASSET_SUMS), F.sum("events").alias("events"))
     state = hub_state(ledger).groupBy(*ASSET).agg(*[_latest(c).alias(c) for c in STATE])
     both = sums.unionByName(state, allowMissingColumns=True)
-    whole = [F.coalesce(F.sum(n), F.lit(0)).cast("long" if n == "events" else DEC).alias(n) for n in (*ASSET_SUMS, *all_wide, "events")]
-    folded = both.groupBy(*ASSET).agg(*whole, *[F.max(c).alias(c) for c in STATE])
-    wide = [joined(*[F.col(f"{n}_{k}") for k in range(3)]).alias(n) for n in ASSET_WIDE]
-    return folded.select(*ASSET, *ASSET_SUMS, *STATE, "events", *wide)
+    whole = [F.sum(f"{n}_{k}").alias(f"{n}_{k}") for n in ASSET_SUMS for k in range(LIMBS)]
+    folded = both.groupBy(*ASSET).agg(*whole, F.coalesce(F.sum("events"), F.lit(0)).cast("long").alias("events"), *[F.max(c).alias(c) for c in STATE])
+    return folded.select(*ASSET, *_joined(ASSET_SUMS), *STATE, "events")
 
 
 def hub_assets(view: DataFrame, chain: int, hub: str, asset_id: int | None = None) -> DataFrame:
@@ -230,8 +249,3 @@ def listing_counts(ledger: DataFrame) -> DataFrame:
     """How often each token was listed: a small table, added up over batches, of which the keys are what counts."""
     rows = f.parsed(ledger.where("event_name = 'AddAsset'"), "underlying").select("chain_id", F.lower(f.text("underlying")).alias("underlying"))
     return rows.where("underlying RLIKE '^0x[0-9a-f]{40}$'").groupBy("chain_id", "underlying").agg(F.count("*").alias("n"))
-
-
-def rebuild(ledger: DataFrame, path: str, files: int | None = None) -> None:
-    """Make the stored position deltas again from the ledger, in place of what is there."""
-    store_positions(position_rows(ledger), path, "overwrite", files)

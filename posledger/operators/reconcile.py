@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.wideint import DEC, joined, limbs
+from ..functions.wideint import DEC, VALUE_LIMBS, joined, limbs
 from .folds import ASSET, POSITION
 
 ADDITIVE = ("liquidity", "added_shares", "drawn_shares", "premium_shares", "swept", "premium_offset_ray", "deficit_ray")
@@ -20,8 +20,10 @@ def _long(df: DataFrame, keys: tuple, fields: tuple, name: str) -> DataFrame:
 
 
 def difference(a, b):
-    """a - b of digit strings of any width."""
-    return joined(*[(x - y).cast(DEC) for x, y in zip(limbs(a), limbs(b))])
+    """a - b of digit strings of up to 156 digits; null where either is."""
+    none = F.lit(0).cast(DEC)
+    parts = [(F.coalesce(x, none) - F.coalesce(y, none)).cast(DEC) for x, y in zip(limbs(a, VALUE_LIMBS), limbs(b, VALUE_LIMBS))]
+    return F.when(a.isNotNull() & b.isNotNull(), joined(*parts))
 
 
 def reconcile_hub(fold: DataFrame, after: DataFrame, before: DataFrame | None = None) -> DataFrame:

@@ -13,22 +13,22 @@ WALLET = ("chain_id", "user", "spoke")
 
 def spoke_totals(priced: DataFrame) -> DataFrame:
     """Supplied, debt and net worth per wallet and Spoke, as digits; risk never adds up across Spokes."""
-    supplied, debt = (w.limbs(F.col(c).cast("string")) for c in ("supplied_value", "debt_value"))
-    sums = w.sums_wide({"s": supplied, "d": debt, "n": [a - b for a, b in zip(supplied, debt)]})
-    df = priced.groupBy(*WALLET).agg(*sums)
-    return df.select(*WALLET, w.joined_sums("s").alias("supplied_value"), w.joined_sums("d").alias("debt_value"), w.joined_sums("n").alias("net_worth"))
+    supplied, debt = (w.limbs(F.col(c).cast("string"), w.VALUE_LIMBS) for c in ("supplied_value", "debt_value"))
+    net = [F.coalesce(a, F.lit(0)) - F.coalesce(b, F.lit(0)) for a, b in zip(supplied, debt)]
+    df = priced.groupBy(*WALLET).agg(*w.sums_wide({"s": supplied, "d": debt, "n": net}))
+    return df.select(*WALLET, *[w.joined_sums(n, w.VALUE_LIMBS).alias(c) for n, c in (("s", "supplied_value"), ("d", "debt_value"), ("n", "net_worth"))])
 
 
 def position_type(collateral: Column, factor_bps: Column) -> Column:
     """borrow if anything is drawn, collateral if it is used as such with a factor, else supply."""
-    return F.when(F.col("drawn_shares") > 0, "borrow").when(collateral & (factor_bps > 0), "collateral").otherwise("supply")
+    return F.when(~F.startswith("drawn_shares", F.lit("-")) & (F.col("drawn_shares") != "0"), "borrow").when(collateral & (factor_bps > 0), "collateral").otherwise("supply")
 
 
 def health_factor(priced: DataFrame) -> DataFrame:
     """floor(sum(factor_bps * collateral) * 1e14 / debt) with 18 decimals, over exact values of any width; null without debt (no bound)."""
-    counted = [F.when(F.col("using_as_collateral"), v * F.col("factor_bps").cast("int")).otherwise(0) for v in w.limbs(F.col("supplied_value").cast("string"))]
-    df = priced.groupBy(*WALLET).agg(*w.sums_wide({"w": counted, "d": w.limbs(F.col("debt_value").cast("string"))}))
-    df = df.select(*WALLET, w.joined_sums("w").alias("weighted"), w.joined_sums("d").alias("debt_value"))
+    counted = [F.when(F.col("using_as_collateral"), v * F.col("factor_bps").cast("int")).otherwise(0) for v in w.limbs(F.col("supplied_value").cast("string"), w.VALUE_LIMBS)]
+    df = priced.groupBy(*WALLET).agg(*w.sums_wide({"w": counted, "d": w.limbs(F.col("debt_value").cast("string"), w.VALUE_LIMBS)}))
+    df = df.select(*WALLET, w.joined_sums("w", w.VALUE_LIMBS).alias("weighted"), w.joined_sums("d", w.VALUE_LIMBS).alias("debt_value"))
     debt = F.when(F.col("debt_value") != "0", F.col("debt_value"))
     return df.withColumn("health_factor", w.mul_div_wide("weighted", F.lit(str(10**14)), debt))
 
@@ -79,4 +79,8 @@ def deviation(df: DataFrame, oracle: str, market: str) -> DataFrame:
 
 
 def largest_positions(positions: DataFrame, column: str, n: int) -> DataFrame:
-    return positions.orderBy(F.col(column).desc(), "user", "spoke", "reserve_id").limit(n)
+    """The ``n`` largest by a column of digits."""
+    digits, less = F.regexp_replace(F.col(column), "^-", ""), F.startswith(column, F.lit("-"))
+    size = F.when(less, -F.length(digits)).otherwise(F.length(digits))
+    below = F.when(less, F.translate(digits, "0123456789", "9876543210")).otherwise(digits)
+    return positions.orderBy(size.desc(), below.desc(), "user", "spoke", "reserve_id").limit(n)

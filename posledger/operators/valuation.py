@@ -48,7 +48,10 @@ def _asset(liquidity, swept, drawn, premium, offset, deficit, fees, fee, index,
         now = _up(index * (w.RAY + rate * (at - stamp) // w.YEAR_SECONDS))
     after, before = (_up(_owed(drawn, premium, offset, i, deficit)[0]) for i in (now, index))
     unrealized = _over((after - before) * fee, w.BPS) if now != index and fee else 0
-    return now, unrealized, liquidity + swept + after - fees - unrealized
+    made = now, unrealized, liquidity + swept + after - fees - unrealized
+    if max(map(abs, made)) >= MOST:
+        raise w.Unvalued("over 38 digits")
+    return made
 
 
 def _position(supplied, drawn, premium, offset, index, total, added):
@@ -63,6 +66,10 @@ def _position(supplied, drawn, premium, offset, index, total, added):
     return *amounts, amounts[1] + amounts[2], ray
 
 
+def _supplied(shares, total, added):
+    return (None if shares is None or total is None else shares * (total + w.VIRTUAL) // (added + w.VIRTUAL),)
+
+
 def asset_at(hub_assets: DataFrame, at: int) -> DataFrame:
     """Each asset with its index, unrealised fees and total assets at an instant; null without a checkpoint, with the reason."""
     inputs = ("liquidity", "swept", "drawn_shares", "premium_shares", "premium_offset_ray", "deficit_ray", "realized_fees")
@@ -76,7 +83,7 @@ def asset_at(hub_assets: DataFrame, at: int) -> DataFrame:
 
 def supplied_assets(shares: Column) -> Column:
     """Base units that shares of a pool are worth, as digits."""
-    return w.mul_div_wide(shares, F.col("total_added_assets") + w.num(w.VIRTUAL), F.col("pool_added_shares") + w.num(w.VIRTUAL))
+    return w.integers(_supplied, ("x",))(shares, "total_added_assets", "pool_added_shares")["x"]
 
 
 AMOUNTS = ("supplied", "drawn_debt", "premium_debt", "total_debt")

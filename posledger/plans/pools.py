@@ -161,10 +161,8 @@ def health_factor(spark, sf_dir):
 def valued_positions_wide(spark, sf_dir):
     """Positions 1e18 times as large, as tokens of 18 decimals have them: products of over 50 digits, and their value in dollars."""
     views, zeros = _views(spark, sf_dir), "0" * 18
-    large = views["positions"].select(
-        "chain_id", "user", "spoke", "reserve_id", *[(F.col(c) * w.num(10**18)).cast(w.DEC).alias(c) for c in ("supplied_shares", "drawn_shares", "premium_shares")],
-        F.when(F.col("premium_offset_ray") == "0", "0").otherwise(F.concat("premium_offset_ray", F.lit(zeros))).alias("premium_offset_ray"),
-    )
+    more = [F.when(F.col(c) == "0", "0").otherwise(F.concat(c, F.lit(zeros))).alias(c) for c in ("supplied_shares", "drawn_shares", "premium_shares", "premium_offset_ray")]
+    large = views["positions"].select("chain_id", "user", "spoke", "reserve_id", *more)
     v = page.value_all({**views, "positions": large}).join(valuation.sized(_prices(spark, sf_dir)), ["chain_id", "spoke", "reserve_id"], "left")
     worth = w.value_wide(F.col("value.supplied"), F.col("asset.decimals"), F.col("price")).alias("supplied_value")
     return v.select("user", "spoke", "reserve_id", *[F.col(f"value.{c}").cast("string").alias(c) for c in VALUE], worth, (F.col("unvalued") == "negative balance").alias("negative"))

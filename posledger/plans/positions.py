@@ -62,7 +62,7 @@ def ledger_unpaired_retraction(spark, sf_dir):
     events = m.spoke_events(spark, sf_dir).where("event_name = 'Supply'")
     lone = lg.append(events.where("block_number < 100"), 7).withColumn("sign", F.lit(-1))
     ledger = lg.append(events.where("block_number >= 100"), 1).unionByName(lone)
-    sums = f.positions_current(ledger).agg(F.sum("supplied_shares").cast("string").alias("supplied"), F.sum("events").alias("events"))
+    sums = f.positions_current(ledger).agg(F.sum(F.col("supplied_shares").cast("decimal(38,0)")).cast("string").alias("supplied"), F.sum("events").alias("events"))
     return sums.crossJoin(lg.current(ledger).agg(F.count("*").alias("live")))
 
 

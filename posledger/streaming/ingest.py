@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.wideint import DEC, joined_sums
-from ..operators import folds
+from ..operators import folds, generations, maintained
 from ..operators.chain import truncate_above
 from ..operators.ledger import KEYS, append, current
 from ..operators.page import label_gap
@@ -34,9 +33,10 @@ PROGRESS = "batch_id long, chain_id int, block_from long, block_to long, dispatc
 PIECE = 1024
 
 
-def ledger(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+def ledger(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """The ledger's rows, or those of its batches up to one."""
     rows = spark.read.schema(STORED).parquet(path)
-    return (rows if before is None else rows.where(F.col("batch_id") != before)).drop("batch_id", "block_part")
+    return (rows if upto is None else rows.where(F.col("batch_id") <= upto)).drop("batch_id", "block_part")
 
 
 def land(ranges: DataFrame, source: str, fmt: str = "json") -> None:
@@ -92,11 +92,12 @@ def retractions(past: DataFrame, ranges: DataFrame) -> DataFrame:
     return current(own.join(wanted, within, "left_semi").drop("piece")).withColumn("sign", F.lit(-1))
 
 
-def dispatch(batch: DataFrame, batch_id: int, path: str, progress: str, deltas: str | None = None, listings: str | None = None, labels: DataFrame | None = None) -> None:
+def dispatch(batch: DataFrame, batch_id: int, path: str, progress: str, deltas: str | None = None, listings: str | None = None, labels: DataFrame | None = None, view: str | None = None) -> None:
     """Replace the batch's ranges; with ``deltas`` keep the typed position deltas too, with ``listings`` the counts of listed tokens.
 
-    With ``labels`` the listed tokens that were never asked about are added to ``listings``/gaps. Only the numbers of the
-    millions of blocks that a batch touches reach the driver.
+    Deltas are a table of generations (``operators.generations``), published when the batch is whole; with ``view`` the positions
+    of ``operators.maintained`` are kept from them. With ``labels`` the listed tokens that were never asked about are added to
+    ``listings``/gaps. Only the numbers of the millions of blocks that a batch touches reach the driver.
     """
     spark = batch.sparkSession
     batch = batch.persist()
@@ -110,15 +111,42 @@ def dispatch(batch: DataFrame, batch_id: int, path: str, progress: str, deltas:
     rows.write.mode("overwrite").partitionBy("block_part").parquet(f"{path}/batch_id={batch_id}")
     own = spark.read.schema(LEDGER).parquet(f"{path}/batch_id={batch_id}")
     if deltas:
-        folds.store_positions(folds.position_rows(own), f"{deltas}/batch_id={batch_id}", "overwrite")
+        generations.write_batch(folds.position_rows(own), deltas, batch_id, store)
     if listings:
         folds.listing_counts(own).write.mode("overwrite").parquet(f"{listings}/counts/batch_id={batch_id}")
         if labels is not None:
             label_gap(folds.listed_tokens(own.where("sign = 1")), labels).write.mode("overwrite").parquet(f"{listings}/gaps/batch_id={batch_id}")
     _told(ranges, events, batch_id, progress).write.mode("overwrite").parquet(f"{progress}/batch_id={batch_id}")
+    if deltas:
+        generations.publish_batch(spark, deltas, batch_id)
+        if view:
+            maintained.maintain(spark, deltas, view, batch_id)
     batch.unpersist()
 
 
+def store(rows: DataFrame, folder: str) -> None:
+    folds.store_positions(rows, folder, "overwrite")
+
+
+def positions(spark: SparkSession, deltas: str) -> DataFrame:
+    """The positions of the stored deltas as they are published."""
+    return folds.stored_positions(generations.read(spark, deltas, folds.STORED))
+
+
+def rebuild(spark: SparkSession, path: str, deltas: str, view: str | None = None) -> int | None:
+    """Make the stored deltas, and the view, again from the ledger; a stream may run meanwhile and goes on from there.
+
+    The ledger is read up to the last batch that is whole, which is returned; later batches stand beside the new base.
+    """
+    upto = generations.head(spark, deltas)
+    if upto is not None:
+        rows = folds.position_rows(ledger(spark, path, upto))
+        name = generations.rebuild(rows, deltas, upto, store)
+        if view:
+            maintained.rebuild(generations.base(spark, deltas, folds.STORED, name), view, upto)
+    return upto
+
+
 def _told(ranges: DataFrame, events: DataFrame, batch_id: int, progress: str) -> DataFrame:
     """A row per range: what it appended, and its chain's cursor, highest head and lag after the batch."""
     counted = _pieces(ranges).join(events.select("chain_id", "block_number", _piece(F.col("block_number"))), ["chain_id", "piece"])
@@ -146,11 +174,16 @@ def rewind(headers: DataFrame, ancestor: int) -> DataFrame:
     return truncate_above(headers, ancestor)
 
 
-def start_ingest(spark: SparkSession, source: str, path: str, checkpoint: str, progress: str, files_per_batch: int = 16, fmt: str = "json", **more) -> StreamingQuery:
-    """Ingest landed ranges, all that are there now; run again for later ones. ``more`` goes to ``dispatch``."""
+def start(spark: SparkSession, path: str, progress: str) -> None:
+    """Empty tables, so that the first batch has something to read."""
     empty = lambda schema: spark.createDataFrame([], ", ".join(c for c in schema.split(", ") if not c.startswith("batch_id")))
     empty(LEDGER).withColumn("block_part", F.lit(0).cast("long")).write.mode("overwrite").partitionBy("block_part").parquet(f"{path}/batch_id=-1")
     empty(PROGRESS).write.mode("overwrite").parquet(f"{progress}/batch_id=-1")
+
+
+def start_ingest(spark: SparkSession, source: str, path: str, checkpoint: str, progress: str, files_per_batch: int = 16, fmt: str = "json", **more) -> StreamingQuery:
+    """Ingest landed ranges, all that are there now; run again for later ones. ``more`` goes to ``dispatch``."""
+    start(spark, path, progress)
     stream = spark.readStream.schema(RANGE).option("maxFilesPerTrigger", files_per_batch).format(fmt).load(source)
     write = stream.writeStream.foreachBatch(lambda df, n: dispatch(df, n, path, progress, **more))
     return write.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -161,7 +194,5 @@ def continuous_sums(events: DataFrame) -> DataFrame:
 
     Flags are latest-wins over live rows, which update mode can't hold; they come from the stored deltas.
     """
-    wide = [f"premium_offset_ray_{k}" for k in range(3)]
-    sums = [F.coalesce(F.sum(n), F.lit(0)).cast(DEC).alias(n if n in folds.SUMS else f"_{n}") for n in (*folds.SUMS, *wide)]
-    df = folds.position_deltas(events).groupBy(*folds.POSITION).agg(*sums, F.sum("events").alias("events"))
-    return df.select(*folds.POSITION, *folds.SUMS, "events", joined_sums("premium_offset_ray").alias("premium_offset_ray"))
+    df = folds.position_deltas(events).groupBy(*folds.POSITION).agg(*folds._sums(folds.SUMS), F.sum("events").alias("events"))
+    return df.select(*folds.POSITION, *folds._joined(folds.SUMS), "events")

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from posledger.operators import chain, folds
+from posledger.operators import chain, folds, generations
 from posledger.operators import ledger as lg
 from posledger.streaming import ingest
 
@@ -89,9 +89,9 @@ def test_stored_deltas_prune_by_wallet_and_rebuild(spark, tmp_path):
     rows = [(1, SPOKE, b, 0, 5, "0xt", "Supply", body("0x%040x" % (b % 50), b)) for b in range(200)]
     rows += [(1, SPOKE, 300 + b, 0, 5, "0xt", "SetUsingAsCollateral", json.dumps({"reserveId": "7", "user": "0x%040x" % b, "usingAsCollateral": b % 2 == 0})) for b in range(50)]
     ledger = lg.append(events(spark, *rows), 1)
-    folds.rebuild(ledger, str(tmp_path / "d"), 4)
-    folds.rebuild(ledger, str(tmp_path / "d"), 4)
-    own = folds.stored_positions(spark.read.parquet(str(tmp_path / "d"))).where(F.col("user") == "0x%040x" % 4)
+    for _ in range(2):
+        generations.rebuild(folds.position_rows(ledger), str(tmp_path / "d"), 0, lambda rows, folder: folds.store_positions(rows, folder, "overwrite", 4))
+    own = ingest.positions(spark, str(tmp_path / "d")).where(F.col("user") == "0x%040x" % 4)
     plan = own._jdf.queryExecution().executedPlan().toString()
     assert plan.count("EqualTo(user,0x%040x" % 4) >= 2
     (r,) = own.collect()
