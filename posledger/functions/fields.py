@@ -30,6 +30,7 @@ def text(path: str) -> Column:
 #: Digits of an amount: 256 bits.
 MOST_DIGITS = 78
 INTEGER, UNSIGNED, ID = f"^-?[0-9]{{1,{MOST_DIGITS}}}$", f"^[0-9]{{1,{MOST_DIGITS}}}$", "^[0-9]{1,18}$"
+BOOLEAN, ANY = "^(true|false)$", "(?s)^.*$"
 
 
 def _strict(path: str, pattern: str) -> Column:

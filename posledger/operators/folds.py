@@ -95,6 +95,48 @@ def position_deltas(ledger: DataFrame) -> DataFrame:
     return _signed(each.select("chain_id", "spoke", "sign", "leg.*"), POSITION, SUMS)
 
 
+#: What the body of an event has to have, by the kind of its fields.
+REQUIRED = {
+    "Supply": {f.ID: ("reserveId",), f.UNSIGNED: ("suppliedShares", "suppliedAmount"), f.ANY: ("user",)},
+    "Withdraw": {f.ID: ("reserveId",), f.UNSIGNED: ("withdrawnShares", "withdrawnAmount"), f.ANY: ("user",)},
+    "Borrow": {f.ID: ("reserveId",), f.UNSIGNED: ("drawnShares", "drawnAmount"), f.ANY: ("user",)},
+    "Repay": {f.ID: ("reserveId",), f.UNSIGNED: ("drawnShares", "totalAmountRepaid"), f.INTEGER: PREMIUM, f.ANY: ("user",)},
+    "ReportDeficit": {f.ID: ("reserveId",), f.UNSIGNED: ("drawnShares",), f.INTEGER: PREMIUM, f.ANY: ("user",)},
+    "LiquidationCall": {
+        f.ID: ("collateralReserveId", "debtReserveId"), f.INTEGER: PREMIUM, f.BOOLEAN: ("receiveShares",), f.ANY: ("user",),
+        f.UNSIGNED: ("collateralSharesLiquidated", "collateralAmountRemoved", "drawnSharesLiquidated", "debtAmountRestored"),
+    },
+    "SetUsingAsCollateral": {f.ID: ("reserveId",), f.BOOLEAN: ("usingAsCollateral",), f.ANY: ("user",)},
+}
+
+
+def _faults() -> Column:
+    """The first field of an event's body that can't be folded; null for a sound body and for events that are not folded."""
+    out = None
+    for event, kinds in REQUIRED.items():
+        bad = [F.when(~F.coalesce(f.text(x).rlike(pattern), F.lit(False)), F.lit(x)) for pattern, paths in kinds.items() for x in paths]
+        if event == "LiquidationCall":  # two more where the liquidator takes shares
+            more = [F.when(~F.coalesce(f.text(x).rlike(pattern), F.lit(False)), F.lit(x)) for x, pattern in (("liquidator", f.ANY), ("collateralSharesToLiquidator", f.UNSIGNED))]
+            bad.append(F.when(f.text("receiveShares") == "true", F.coalesce(*more)))
+        case = F.coalesce(*bad)
+        out = F.when(F.col("event_name") == event, case) if out is None else out.when(F.col("event_name") == event, case)
+    return out
+
+
+def _faulty(ledger: DataFrame) -> DataFrame:
+    return f.parsed(ledger, *POSITION_FIELDS, "usingAsCollateral").withColumn("fault", _faults()).drop(f.BODY)
+
+
+def poison(ledger: DataFrame) -> DataFrame:
+    """The rows of a Spoke's ledger that would stop a fold, with ``fault``, the field that is missing, malformed or beyond 256 bits."""
+    return _faulty(ledger).where("fault IS NOT NULL")
+
+
+def sound(ledger: DataFrame) -> DataFrame:
+    """The other rows. A retraction has its row's body, so both are on the same side."""
+    return _faulty(ledger).where("fault IS NULL").drop("fault")
+
+
 def flag_rows(ledger: DataFrame) -> DataFrame:
     """Collateral flags at event grain, signed."""
     return f.parsed(ledger.where("event_name = 'SetUsingAsCollateral'"), "user", "reserveId", "usingAsCollateral").select(

@@ -190,7 +190,7 @@ def _hub(spark, sf_dir, until: int | None = None) -> DataFrame:
 
 def _perturbed(view: DataFrame) -> DataFrame:
     """A snapshot in which asset 4's liquidity and asset 9's rate are off by one, and asset 16 is missing from the fold's side."""
-    off = lambda c, a: (F.col(c) + F.when(F.col("asset_id") == a, 1).otherwise(0)).cast("decimal(38,0)")
+    off = lambda c, a: (F.col(c).cast("decimal(38,0)") + F.when(F.col("asset_id") == a, 1).otherwise(0)).cast("decimal(38,0)")
     return view.withColumn("liquidity", off("liquidity", 4)).withColumn("drawn_rate", off("drawn_rate", 9))
 
 

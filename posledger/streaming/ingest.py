@@ -92,11 +92,12 @@ def retractions(past: DataFrame, ranges: DataFrame) -> DataFrame:
     return current(own.join(wanted, within, "left_semi").drop("piece")).withColumn("sign", F.lit(-1))
 
 
-def dispatch(batch: DataFrame, batch_id: int, path: str, progress: str, deltas: str | None = None, listings: str | None = None, labels: DataFrame | None = None, view: str | None = None) -> None:
+def dispatch(batch: DataFrame, batch_id: int, path: str, progress: str, deltas: str | None = None, listings: str | None = None, labels: DataFrame | None = None, view: str | None = None, poison: str | None = None) -> None:
     """Replace the batch's ranges; with ``deltas`` keep the typed position deltas too, with ``listings`` the counts of listed tokens.
 
     Deltas are a table of generations (``operators.generations``), published when the batch is whole; with ``view`` the positions
-    of ``operators.maintained`` are kept from them. With ``labels`` the listed tokens that were never asked about are added to
+    of ``operators.maintained`` are kept from them; with ``poison`` rows that can't be folded go there, each with its fault, and
+    stop no other, where without it they stop the batch. With ``labels`` the listed tokens that were never asked about are added to
     ``listings``/gaps. Only the numbers of the millions of blocks that a batch touches reach the driver.
     """
     spark = batch.sparkSession
@@ -111,7 +112,9 @@ def dispatch(batch: DataFrame, batch_id: int, path: str, progress: str, deltas:
     rows.write.mode("overwrite").partitionBy("block_part").parquet(f"{path}/batch_id={batch_id}")
     own = spark.read.schema(LEDGER).parquet(f"{path}/batch_id={batch_id}")
     if deltas:
-        generations.write_batch(folds.position_rows(own), deltas, batch_id, store)
+        if poison:
+            folds.poison(own).write.mode("overwrite").parquet(f"{poison}/batch_id={batch_id}")
+        generations.write_batch(folds.position_rows(folds.sound(own) if poison else own), deltas, batch_id, store)
     if listings:
         folds.listing_counts(own).write.mode("overwrite").parquet(f"{listings}/counts/batch_id={batch_id}")
         if labels is not None:
@@ -133,14 +136,17 @@ def positions(spark: SparkSession, deltas: str) -> DataFrame:
     return folds.stored_positions(generations.read(spark, deltas, folds.STORED))
 
 
-def rebuild(spark: SparkSession, path: str, deltas: str, view: str | None = None) -> int | None:
+def rebuild(spark: SparkSession, path: str, deltas: str, view: str | None = None, sound_only: bool = False) -> int | None:
     """Make the stored deltas, and the view, again from the ledger; a stream may run meanwhile and goes on from there.
 
+    ``sound_only`` leaves out what a stream with a ``poison`` table leaves out.
+
     The ledger is read up to the last batch that is whole, which is returned; later batches stand beside the new base.
     """
     upto = generations.head(spark, deltas)
     if upto is not None:
-        rows = folds.position_rows(ledger(spark, path, upto))
+        rows = ledger(spark, path, upto)
+        rows = folds.position_rows(folds.sound(rows) if sound_only else rows)
         name = generations.rebuild(rows, deltas, upto, store)
         if view:
             maintained.rebuild(generations.base(spark, deltas, folds.STORED, name), view, upto)
