@@ -72,8 +72,8 @@ POSITION_FIELDS = (
 ASSET_FIELDS = ("assetId", "shares", "amount", "drawnShares", "drawnAmount", "premiumAmount", *PREMIUM, "deficitAmountRay")
 
 
-def position_deltas(ledger: DataFrame) -> DataFrame:
-    """A row per touched position, event leg and scale; a liquidation has two or three legs."""
+def position_deltas(ledger: DataFrame, carry: tuple = ()) -> DataFrame:
+    """A row per touched position, event leg and scale; a liquidation has two or three legs. ``carry`` names columns of the ledger to keep."""
 
     def leg(user="user", reserve="reserveId", **delta):
         return _leg(SUMS, {"user": f.address(user), "reserve_id": f.whole(reserve)}, **delta)
@@ -91,8 +91,8 @@ def position_deltas(ledger: DataFrame) -> DataFrame:
         "ReportDeficit": [leg(drawn_shares=less("drawnShares"), **premium)],
         "LiquidationCall": F.when(f.boolean("receiveShares"), F.array(collateral, debt, liquidator)).otherwise(F.array(collateral, debt)),
     }
-    each = f.parsed(ledger.where(F.col("event_name").isin(*cases)), *POSITION_FIELDS).select("chain_id", F.lower("address").alias("spoke"), "sign", F.explode(_by_event(cases)).alias("leg"))
-    return _signed(each.select("chain_id", "spoke", "sign", "leg.*"), POSITION, SUMS)
+    each = f.parsed(ledger.where(F.col("event_name").isin(*cases)), *POSITION_FIELDS).select("chain_id", F.lower("address").alias("spoke"), "sign", *carry, F.explode(_by_event(cases)).alias("leg"))
+    return _signed(each.select("chain_id", "spoke", "sign", *carry, "leg.*"), (*POSITION, *carry), SUMS)
 
 
 #: What the body of an event has to have, by the kind of its fields.
@@ -204,7 +204,7 @@ def open_positions(positions: DataFrame) -> DataFrame:
     return positions.where("supplied_shares <> '0' OR drawn_shares <> '0'")
 
 
-def hub_deltas(ledger: DataFrame) -> DataFrame:
+def hub_deltas(ledger: DataFrame, carry: tuple = ()) -> DataFrame:
     def leg(**delta):
         return _leg(ASSET_SUMS, {"asset_id": f.whole("assetId")}, **delta)
 
@@ -222,8 +222,8 @@ def hub_deltas(ledger: DataFrame) -> DataFrame:
         "Reclaim": [leg(liquidity=plus("amount"), swept=less("amount"))],
         "RefreshPremium": [leg(**premium)],
     }
-    each = f.parsed(ledger.where(F.col("event_name").isin(*cases)), *ASSET_FIELDS).select("chain_id", F.lower("address").alias("hub"), "sign", F.explode(_by_event(cases)).alias("leg"))
-    return _signed(each.select("chain_id", "hub", "sign", "leg.*"), ASSET, ASSET_SUMS)
+    each = f.parsed(ledger.where(F.col("event_name").isin(*cases)), *ASSET_FIELDS).select("chain_id", F.lower("address").alias("hub"), "sign", *carry, F.explode(_by_event(cases)).alias("leg"))
+    return _signed(each.select("chain_id", "hub", "sign", *carry, "leg.*"), (*ASSET, *carry), ASSET_SUMS)
 
 
 def _plain(digits: Column) -> Column:
@@ -231,8 +231,8 @@ def _plain(digits: Column) -> Column:
     return F.regexp_replace(digits, "^0+(?=[0-9])", "")
 
 
-def hub_state(ledger: DataFrame) -> DataFrame:
-    """Live latest-wins rows of the pool, three independent groups of columns."""
+def hub_state(ledger: DataFrame, carry: tuple = ()) -> DataFrame:
+    """Live latest-wins rows of the pool, three independent groups of columns; ``carry`` names columns of the ledger to keep."""
     name = F.col("event_name")
     only = lambda event, c, kind: F.when(name == event, c.cast(kind))
     read = ("assetId", "drawnIndex", "drawnRate", "accruedFees", "config.liquidityFee", "underlying", "decimals")
@@ -242,7 +242,7 @@ def hub_state(ledger: DataFrame) -> DataFrame:
         only("UpdateAsset", _plain(f.unsigned("accruedFees")), "string").alias("realized_fees"), only("UpdateAsset", F.col("block_timestamp"), "long").alias("index_timestamp"),
         only("UpdateAssetConfig", f.small("config.liquidityFee", 65_535), "int").alias("liquidity_fee"),
         only("AddAsset", f.address("underlying"), "string").alias("underlying"), only("AddAsset", f.small("decimals", 255), "int").alias("decimals"),
-        *ORDER, "version", "sign",
+        *carry, *ORDER, "version", "sign",
     )
     return current(rows, ("hub", "asset_id"))
 

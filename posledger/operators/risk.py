@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fields as f
 from ..functions import wideint as w
+from .asof import state_at
+from .folds import ORDER
+from .ledger import current
 
 
 WALLET = ("chain_id", "user", "spoke")
@@ -84,3 +89,95 @@ def largest_positions(positions: DataFrame, column: str, n: int) -> DataFrame:
     size = F.when(less, -F.length(digits)).otherwise(F.length(digits))
     below = F.when(less, F.translate(digits, "0123456789", "9876543210")).otherwise(digits)
     return positions.orderBy(size.desc(), below.desc(), "user", "spoke", "reserve_id").limit(n)
+
+
+PLACE = 10**10
+
+
+def config_events(ledger: DataFrame) -> DataFrame:
+    """Live risk configurations: (chain_id, spoke, reserve_id, config_key, factor_bps) with their place in the chain."""
+    rows = f.parsed(ledger.where("event_name IN ('AddDynamicReserveConfig', 'UpdateDynamicReserveConfig')"), "reserveId", "dynamicConfigKey", "config.collateralFactor")
+    rows = rows.select(
+        "chain_id", F.lower("address").alias("spoke"), f.whole("reserveId").alias("reserve_id"), f.whole("dynamicConfigKey").alias("config_key"),
+        f.small("config.collateralFactor", 10_000).cast("int").alias("factor_bps"), "event_name", *ORDER, "version", "sign",
+    )
+    return current(rows, ("spoke", "reserve_id", "config_key")).withColumn("place", F.col("block_number") * PLACE + F.col("log_index"))
+
+
+def pins(ledger: DataFrame) -> DataFrame:
+    """Where in the chain each position was pinned last: at a refresh of its own or of all of its wallet, else at its first event.
+
+    A refresh of all is joined with the wallet's positions; both sides are one row per wallet and Spoke, or per position, before they meet.
+    """
+    read = f.parsed(ledger.where("event_name IN ('RefreshAllUserDynamicConfig', 'RefreshSingleUserDynamicConfig', 'Supply', 'Borrow', 'SetUsingAsCollateral')"), "user", "reserveId")
+    rows = current(read.select("chain_id", f.address("user").alias("user"), F.lower("address").alias("spoke"), f.text("reserveId").cast("long").alias("reserve_id"), "event_name", *ORDER, "version", "sign"))
+    rows = rows.withColumn("place", F.col("block_number") * PLACE + F.col("log_index"))
+    whole = rows.where("event_name = 'RefreshAllUserDynamicConfig'").groupBy("chain_id", "user", "spoke").agg(F.max("place").alias("_all"))
+    one = F.max(F.when(F.col("event_name") == "RefreshSingleUserDynamicConfig", F.col("place"))).alias("_one")
+    first = F.min(F.when(F.col("event_name").isin("Supply", "Borrow", "SetUsingAsCollateral"), F.col("place"))).alias("_first")
+    own = rows.where("event_name <> 'RefreshAllUserDynamicConfig'").groupBy(*WALLET, "reserve_id").agg(one, first)
+    met = own.join(whole, list(WALLET), "left")
+    later = F.greatest("_one", F.when(F.col("_all") >= F.coalesce("_first", F.col("_all")), F.col("_all")))
+    return met.select(*WALLET, "reserve_id", F.coalesce(later, F.col("_first")).alias("place"))
+
+
+def pinned_factors(ledger: DataFrame, bucket: int = 1000 * PLACE) -> DataFrame:
+    """Per position the configuration it is pinned to and that key's factor as it is now.
+
+    The key is the last that its reserve got before the pin, found as of it; a key that is updated keeps its number, so what
+    is pinned to it follows, and later keys leave it alone. Without a configuration before the pin both are null.
+    """
+    configs = config_events(ledger)
+    added = configs.where("event_name = 'AddDynamicReserveConfig'").select("chain_id", "spoke", "reserve_id", "place", "config_key")
+    at = state_at(pins(ledger), added, ("chain_id", "spoke", "reserve_id"), "place", latest=("config_key",), bucket=bucket)
+    now = configs.groupBy("chain_id", "spoke", "reserve_id", "config_key").agg(F.max_by("factor_bps", "place").alias("factor_bps"))
+    return at.drop("place").join(now, ["chain_id", "spoke", "reserve_id", "config_key"], "left").select(*WALLET, "reserve_id", "config_key", "factor_bps")
+
+
+#: A century; a wallet that interest alone doesn't end in this time has no time to liquidation.
+HORIZON = 100 * w.YEAR_SECONDS
+
+
+def _first_second(weighted: int, debts: list) -> int | None:
+    """The first second at which 10,000 times the debts' value exceeds the weighted collateral; value never falls with time."""
+
+    def under(seconds: int) -> bool:
+        total = 0
+        for drawn, premium, index, rate, decimals, price in debts:
+            grown = -(-index * (w.RAY + rate * seconds // w.YEAR_SECONDS) // w.RAY) if seconds else index
+            owed = -(-drawn * grown // w.RAY) + premium
+            total += owed * price * 10 ** (18 - decimals) if decimals <= 18 else owed * price // 10 ** (decimals - 18)
+        return total * w.BPS > weighted
+
+    if not under(HORIZON):
+        return None
+    low, high = -1, HORIZON  # not under at low, under at high
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if under(middle) else (middle, high)
+    return high
+
+
+DEBT = ("drawn_shares", "premium_debt", "index", "rate", "decimals", "price")
+
+
+def time_to_liquidation(debts: DataFrame, weighted: DataFrame) -> DataFrame:
+    """Per wallet the first second from now, prices and premium standing still, at which its health is under one.
+
+    ``debts`` has a row per debt with ``DEBT`` (index as it is now, rate per year, both in ray), ``weighted`` the sum of factor times
+    collateral value of each wallet (``health_factor``'s ``weighted``). Zero: it is under one now. Null: not within ``HORIZON``, or
+    something is not known. A wallet's debts are gathered; there are at most as many as its Spoke has reserves.
+    """
+    listed = debts.groupBy(*WALLET).agg(F.collect_list(F.struct(*[F.col(c).cast("string").alias(c) for c in DEBT])).alias("debts"))
+
+    @F.pandas_udf("long")
+    def search(weight: pd.Series, rows: pd.Series) -> pd.Series:
+        out = []
+        for have, many in zip(weight, rows):
+            owed = [[row[c] for c in DEBT] for row in many]
+            known = have is not None and all(x is not None for row in owed for x in row)
+            out.append(_first_second(int(have), [[int(x) for x in row] for row in owed]) if known else None)
+        return pd.Series(out, dtype="Int64")
+
+    df = listed.join(weighted.select(*WALLET, F.col("weighted").cast("string").alias("weighted")), list(WALLET), "left")
+    return df.select(*WALLET, search(F.coalesce("weighted", F.lit("0")), "debts").alias("seconds"))

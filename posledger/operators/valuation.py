@@ -70,15 +70,16 @@ def _supplied(shares, total, added):
     return (None if shares is None or total is None else shares * (total + w.VIRTUAL) // (added + w.VIRTUAL),)
 
 
-def asset_at(hub_assets: DataFrame, at: int) -> DataFrame:
-    """Each asset with its index, unrealised fees and total assets at an instant; null without a checkpoint, with the reason."""
+def asset_at(hub_assets: DataFrame, at: int | Column) -> DataFrame:
+    """Each asset with its index, unrealised fees and total assets at an instant, or its row's; null without a checkpoint, with the reason."""
+    at = at if isinstance(at, Column) else F.lit(at)
     inputs = ("liquidity", "swept", "drawn_shares", "premium_shares", "premium_offset_ray", "deficit_ray", "realized_fees")
     made = w.integers(_asset, ("index_at", "unrealized_fees", "total_added_assets"))(
-        *inputs, F.coalesce("liquidity_fee", F.lit(0)), "drawn_index", "drawn_rate", "index_timestamp", F.lit(at)
+        *inputs, F.coalesce("liquidity_fee", F.lit(0)), "drawn_index", "drawn_rate", "index_timestamp", at
     )
-    df = hub_assets.withColumn("_made", made).withColumn("at", F.lit(at).cast("long"))
+    df = hub_assets.withColumn("_made", made).withColumn("at", at.cast("long"))
     numbers = [F.col(f"_made.{n}").cast(w.DEC).alias(n) for n in ("index_at", "unrealized_fees", "total_added_assets")]
-    return df.select(*hub_assets.columns, *numbers, F.col("_made.reason").alias("unvalued"), "at")
+    return df.select(*[c for c in hub_assets.columns if c != "at"], *numbers, F.col("_made.reason").alias("unvalued"), "at")
 
 
 def supplied_assets(shares: Column) -> Column:
