@@ -34,8 +34,8 @@ BOOLEAN, ANY = "^(true|false)$", "(?s)^.*$"
 
 
 def _strict(path: str, pattern: str) -> Column:
-    t = text(path)
-    return F.when(t.rlike(pattern), t).otherwise(F.raise_error(F.lit(f"missing, malformed or out of range: {path}")).cast("string"))
+    t = f"{BODY}.{path}"
+    return F.expr(f"CASE WHEN {t} RLIKE '{pattern}' THEN {t} ELSE CAST(raise_error('missing, malformed or out of range: {path}') AS string) END")
 
 
 def integer(path: str) -> Column:

@@ -139,12 +139,31 @@ def limbs(text: Column, count: int = LIMBS) -> list[Column]:
     return [F.when(size <= LIMB, text.cast(DEC) if k == 0 else F.lit(None).cast(DEC)).otherwise(x) for k, x in enumerate(long)]
 
 
-def limb(text: Column, scale: Column, count: int = LIMBS) -> Column:
-    """One signed limb of a decimal string of at most ``count`` limbs' digits: the ``scale``-th from the lowest, null where the string ends below it."""
-    minus = F.startswith(text, F.lit("-"))
-    digits = F.lpad(F.substr(text, F.when(minus, 2).otherwise(1)), count * LIMB, "0")
-    part = F.substr(digits, F.lit(1 + (count - 1) * LIMB) - scale * LIMB, F.lit(LIMB)).cast(DEC)
-    return F.when(F.length(text) <= LIMB, F.when(scale == 0, text.cast(DEC))).otherwise(F.when(minus, -part).otherwise(part)).cast(DEC)
+def limb(text: str, scale: str = "scale", negative: str = "false", count: int = LIMBS) -> str:
+    """SQL of one signed limb of a column of digit strings, at most ``count`` limbs long: the one that column ``scale`` numbers from the lowest.
+
+    Null where the string ends below it; where ``negative`` holds the other sign.
+    """
+    minus = f"startswith({text}, '-')"
+    part = f"CAST(substr(lpad(substr({text}, if({minus}, 2, 1)), {count * LIMB}, '0'), {1 + (count - 1) * LIMB} - {scale} * {LIMB}, {LIMB}) AS {DEC})"
+    value = f"CASE WHEN length({text}) <= {LIMB} THEN if({scale} = 0, CAST({text} AS {DEC}), NULL) WHEN {minus} THEN -{part} ELSE {part} END"
+    return f"CAST(if({negative}, -1, 1) * ({value}) AS {DEC})"
+
+
+def joined_columns(*names: str) -> Column:
+    """As ``joined``, of named columns and as one expression."""
+    unit, zero = f"CAST('1{'0' * LIMB}' AS {DEC})", f"CAST(0 AS {DEC})"
+    x = f"CAST(acc.carry + coalesce(p, {zero}) AS {DEC})"
+    low = f"CAST(pmod({x}, {unit}) AS {DEC})"
+    other = f"CASE WHEN acc.seen THEN {unit} - 1 - {low} WHEN {low} = 0 THEN {zero} ELSE {unit} - {low} END"
+    pad = lambda v: f"lpad(CAST(CAST({v} AS {DEC}) AS string), {LIMB}, '0')"
+    step = f"named_struct('carry', CAST(({x} - {low}) / {unit} AS {DEC}), 'text', concat({pad(low)}, acc.text), 'other', concat({pad(other)}, acc.other), 'seen', acc.seen OR {low} > 0)"
+    plain = lambda t: f"regexp_replace({t}, '^0+(?=[0-9])', '')"
+    below = f"concat('-', {plain(f'concat(CAST(CAST(if(acc.seen, -acc.carry - 1, -acc.carry) AS {DEC}) AS string), acc.other)')})"
+    digits = f"if(acc.carry < 0, {below}, {plain('concat(CAST(acc.carry AS string), acc.text)')})"
+    start = f"named_struct('carry', {zero}, 'text', '', 'other', '', 'seen', false)"
+    narrow = " AND ".join(f"coalesce({n}, {zero}) = 0" for n in names[1:])
+    return F.expr(f"CASE WHEN {narrow} THEN CAST(coalesce({names[0]}, {zero}) AS string) ELSE aggregate(array({', '.join(names)}), {start}, (acc, p) -> {step}, acc -> {digits}) END")
 
 
 def joined(*parts: Column) -> Column:

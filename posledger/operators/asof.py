@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.wideint import DEC, LIMBS, joined
+from ..functions.wideint import DEC, LIMBS, joined_columns
 from . import folds
 
 
@@ -61,7 +61,7 @@ def assets_at(asks: DataFrame, ledger: DataFrame, at: str = "at", bucket: int =
     deltas = _spread(folds.hub_deltas(ledger, carry), folds.ASSET_SUMS).withColumnRenamed("block_timestamp", at)
     state = folds.hub_state(ledger, carry).withColumnRenamed("block_timestamp", at)
     df = state_at(asks, deltas.unionByName(state, allowMissingColumns=True), folds.ASSET, at, sums, folds.STATE, folds.ORDER, bucket)
-    wide = [joined(*[F.col(f"{n}_{k}") for k in range(LIMBS)]).alias(n) for n in folds.ASSET_SUMS]
+    wide = [joined_columns(*[f"{n}_{k}" for k in range(LIMBS)]).alias(n) for n in folds.ASSET_SUMS]
     return df.select(*asks.columns, *wide, *folds.STATE, F.coalesce("events", F.lit(0)).alias("events"))
 
 
@@ -72,5 +72,5 @@ def positions_at(asks: DataFrame, ledger: DataFrame, at: str = "at", bucket: int
     times = ledger.where("event_name = 'SetUsingAsCollateral' AND sign > 0").select("chain_id", *folds.ORDER, "version", F.col("block_timestamp").alias(at)).distinct()
     flags = folds.position_flags(ledger).join(times, ["chain_id", *folds.ORDER, "version"]).drop("version")
     df = state_at(asks, deltas.unionByName(flags, allowMissingColumns=True), folds.POSITION, at, sums, ("flag",), folds.ORDER, bucket)
-    wide = [joined(*[F.col(f"{n}_{k}") for k in range(LIMBS)]).alias(n) for n in folds.SUMS]
+    wide = [joined_columns(*[f"{n}_{k}" for k in range(LIMBS)]).alias(n) for n in folds.SUMS]
     return df.select(*asks.columns, *wide, F.coalesce("flag", F.lit(False)).alias("using_as_collateral"), F.coalesce("events", F.lit(0)).alias("events"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fields as f
-from ..functions.wideint import DEC, LIMB, LIMBS, joined, limb
+from ..functions.wideint import DEC, LIMB, LIMBS, joined_columns, limb
 from .ledger import current
 
 POSITION = ("chain_id", "user", "spoke", "reserve_id")
@@ -43,20 +43,18 @@ def _signed(df: DataFrame, keys: tuple, names: tuple) -> DataFrame:
 
     A row has the limbs of one ``scale``. What has no longer amount is one row, at scale 0; longer ones are a row per scale.
     """
-    long = F.greatest(*[F.coalesce(F.length(n), F.lit(0)) for n in names], F.lit(0)) > LIMB
-    scales = F.when(long, F.array(*map(F.lit, range(LIMBS)))).otherwise(F.array(F.lit(0)))
-    back, each = F.col("sign") < 0, df.withColumn("scale", F.explode(scales))
-    parts = [limb(F.col(n), F.col("scale")) for n in names]
-    counted = F.when(F.col("scale") == 0, F.col("sign") * F.col("events")).otherwise(0).cast("long")
-    return each.select(*keys, "scale", *[F.when(back, -v).otherwise(v).cast(DEC).alias(n) for n, v in zip(names, parts)], counted.alias("events"))
+    long = " OR ".join(f"length({n}) > {LIMB}" for n in names)
+    each = df.withColumn("scale", F.expr(f"explode(if({long}, array({', '.join(map(str, range(LIMBS)))}), array(0)))"))
+    parts = [f"{limb(n, negative='sign < 0')} AS {n}" for n in names]
+    return each.selectExpr(*keys, "scale", *parts, "CAST(if(scale = 0, sign * events, 0) AS long) AS events")
 
 
 def _sums(names: tuple) -> list[Column]:
-    return [F.sum(F.when(F.col("scale") == k, F.col(n))).alias(f"{n}_{k}") for n in names for k in range(LIMBS)]
+    return [F.expr(f"sum(if(scale = {k}, {n}, NULL)) AS {n}_{k}") for n in names for k in range(LIMBS)]
 
 
 def _joined(names: tuple) -> list[Column]:
-    return [joined(*[F.col(f"{n}_{k}") for k in range(LIMBS)]).alias(n) for n in names]
+    return [joined_columns(*[f"{n}_{k}" for k in range(LIMBS)]).alias(n) for n in names]
 
 
 def additive(rows: DataFrame, keys: tuple, names: tuple) -> DataFrame:

@@ -64,8 +64,9 @@ def first_of(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def latest_snapshot(rows: DataFrame, keys: list, at: str = "fetched_at") -> DataFrame:
-    """Last write wins per key over appended snapshots."""
-    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(at).desc()))
+    """Last write wins per key over appended snapshots; of equal times the row that is largest by its columns in order of their names."""
+    ties = [F.col(c).desc_nulls_last() for c in sorted(rows.columns) if c not in (*keys, at)]
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(at).desc(), *ties))
     return rows.withColumn("_n", turn).where("_n = 1").drop("_n")
 
 
@@ -88,13 +89,13 @@ def decimals_audit(hub_assets: DataFrame, labels: DataFrame) -> DataFrame:
     return hub_assets.join(token, ["chain_id", "underlying"]).where("token_decimals <> decimals")
 
 
-def enrich(valued: DataFrame, labels: DataFrame, prices: DataFrame, with_prices: bool = True) -> DataFrame:
-    """Labels and dollar values as exact decimal strings; an explicit past instant serves no prices at all."""
+def enrich(valued: DataFrame, labels: DataFrame, prices: DataFrame, as_of: int | None = None) -> DataFrame:
+    """Labels and dollar values as exact decimal strings; with an explicit instant, the one ``views`` was given, there are no prices at all."""
     names = labels.select("chain_id", F.col("token").alias("_token"), "symbol", "name")
     df = valued.withColumn("_token", F.col("asset.underlying")).join(sized(names), ["chain_id", "_token"], "left").drop("_token")
     rates = prices.select("chain_id", "spoke", "reserve_id", F.col("price").alias("_price"), "priced_at")
     df = df.join(sized(rates), ["chain_id", "spoke", "reserve_id"], "left")
-    used = F.col("asset").isNotNull() & F.col("value").isNotNull() & F.lit(with_prices)
+    used = F.col("asset").isNotNull() & F.col("value").isNotNull() & F.lit(as_of is None)
     price, n = F.when(used, F.col("_price")), F.col("asset.decimals")
 
     def usd(amount: Column) -> Column:
@@ -136,3 +137,8 @@ def positions_page(views: dict, chain: int, user: str, spoke: str | None = None,
 def value_all(views: dict) -> DataFrame:
     """Every open position valued, in one plan."""
     return value_positions(open_positions(views["positions"]), views["reserves"], views["assets_at"])
+
+
+def listing(spoke_ledger: DataFrame, hub_ledger: DataFrame, labels: DataFrame, prices: DataFrame, as_of: int | None = None) -> DataFrame:
+    """Every open position, valued and labelled, now and with prices, or at an explicit instant and without: one argument decides both."""
+    return enrich(value_all(views(spoke_ledger, hub_ledger, as_of)), labels, prices, as_of)

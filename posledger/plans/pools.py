@@ -85,8 +85,8 @@ def _prices(spark, sf_dir) -> DataFrame:
     return page.latest_snapshot(page.valid_prices(m.price_snapshots(spark, sf_dir)), ["chain_id", "spoke", "reserve_id"], "priced_at")
 
 
-def _enriched(spark, sf_dir, with_prices=True) -> DataFrame:
-    return page.enrich(_valued(spark, sf_dir), _labels(spark, sf_dir), _prices(spark, sf_dir), with_prices)
+def _enriched(spark, sf_dir, as_of=None) -> DataFrame:
+    return page.enrich(_valued(spark, sf_dir), _labels(spark, sf_dir), _prices(spark, sf_dir), as_of)
 
 
 def enriched_positions(spark, sf_dir):
@@ -96,7 +96,7 @@ def enriched_positions(spark, sf_dir):
 
 def unpriced_nulls(spark, sf_dir):
     """An explicit past instant serves labels and amounts, and no prices at all."""
-    e = _enriched(spark, sf_dir, with_prices=False)
+    e = _enriched(spark, sf_dir, AT)
     return e.groupBy("reserve_id").agg(F.count("*").alias("n"), F.count("supplied").alias("scaled"), F.count("price_usd").alias("priced"), F.count("supplied_usd").alias("in_usd"))
 
 

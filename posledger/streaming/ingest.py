@@ -11,6 +11,8 @@ to the block before it.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -28,7 +30,7 @@ NESTED = ", ".join(f"{c.split()[0]}: {c.split()[1]}" for c in EVENT.split(", ")
 RANGE = f"chain_id int, range_from long, range_to long, dispatch long, head long, rewind boolean, events array<struct<{NESTED}>>"
 LEDGER = EVENT + ", version long, sign int"
 STORED = LEDGER + ", batch_id long, block_part long"
-PROGRESS = "batch_id long, chain_id int, block_from long, block_to long, dispatch long, appended long, rewind boolean, cursor long, head long, lag long"
+PROGRESS = "batch_id long, chain_id int, block_from long, block_to long, dispatch long, appended long, rewind boolean, cursor long, head long, lag long, depth long, seconds double"
 #: Ranges are matched with blocks by pieces of so many blocks.
 PIECE = 1024
 
@@ -100,7 +102,7 @@ def dispatch(batch: DataFrame, batch_id: int, path: str, progress: str, deltas:
     stop no other, where without it they stop the batch. With ``labels`` the listed tokens that were never asked about are added to
     ``listings``/gaps. Only the numbers of the millions of blocks that a batch touches reach the driver.
     """
-    spark = batch.sparkSession
+    spark, began = batch.sparkSession, time.monotonic()
     batch = batch.persist()
     ranges, events = _dispatched(batch)
     spans = F.explode(F.sequence(F.expr("range_from div 1000000"), F.expr("range_to div 1000000")))
@@ -119,7 +121,7 @@ def dispatch(batch: DataFrame, batch_id: int, path: str, progress: str, deltas:
         folds.listing_counts(own).write.mode("overwrite").parquet(f"{listings}/counts/batch_id={batch_id}")
         if labels is not None:
             label_gap(folds.listed_tokens(own.where("sign = 1")), labels).write.mode("overwrite").parquet(f"{listings}/gaps/batch_id={batch_id}")
-    _told(ranges, events, batch_id, progress).write.mode("overwrite").parquet(f"{progress}/batch_id={batch_id}")
+    _told(ranges, events, batch_id, progress, began).write.mode("overwrite").parquet(f"{progress}/batch_id={batch_id}")
     if deltas:
         generations.publish_batch(spark, deltas, batch_id)
         if view:
@@ -153,19 +155,25 @@ def rebuild(spark: SparkSession, path: str, deltas: str, view: str | None = None
     return upto
 
 
-def _told(ranges: DataFrame, events: DataFrame, batch_id: int, progress: str) -> DataFrame:
-    """A row per range: what it appended, and its chain's cursor, highest head and lag after the batch."""
+def _told(ranges: DataFrame, events: DataFrame, batch_id: int, progress: str, began: float) -> DataFrame:
+    """A row per range: what it appended, and its chain's cursor, highest head and lag after the batch.
+
+    ``depth`` is how many blocks behind the cursor of the batch before a rewind set it, ``seconds`` what the batch took until here.
+    """
     counted = _pieces(ranges).join(events.select("chain_id", "block_number", _piece(F.col("block_number"))), ["chain_id", "piece"])
     counted = counted.where("block_number BETWEEN range_from AND range_to").groupBy("chain_id", "range_from", "range_to", "dispatch").agg(F.count("*").alias("appended"))
-    before = ranges.sparkSession.read.schema(PROGRESS).parquet(progress).where(F.col("batch_id") != batch_id).groupBy("chain_id").agg(F.max("head").alias("known"))
+    before = ranges.sparkSession.read.schema(PROGRESS).parquet(progress).where(F.col("batch_id") != batch_id).groupBy("chain_id")
+    before = before.agg(F.max("head").alias("known"), F.max_by("cursor", "batch_id").alias("_was"))
     last = F.max_by(F.when(F.col("rewind"), F.col("range_from") - 1).otherwise(F.col("range_to")), F.struct("dispatch", "range_from", "range_to"))
     state = ranges.groupBy("chain_id").agg(last.alias("cursor"), F.max("head").alias("told"))
-    state = state.join(before, "chain_id", "left").select("chain_id", "cursor", F.greatest("told", "known").alias("head"))
+    state = state.join(before, "chain_id", "left").select("chain_id", "cursor", F.greatest("told", "known").alias("head"), "_was")
+    back = F.when(F.col("rewind"), F.greatest(F.lit(0), F.col("_was") - F.col("range_from") + 1))
     df = ranges.drop("head").join(counted, ["chain_id", "range_from", "range_to", "dispatch"], "left").join(state, "chain_id")
     return df.select(
         F.lit(batch_id).cast("long").alias("batch_id"), "chain_id", F.col("range_from").alias("block_from"), F.col("range_to").alias("block_to"), "dispatch",
         F.coalesce("appended", F.lit(0)).cast("long").alias("appended"), F.coalesce("rewind", F.lit(False)).alias("rewind"), "cursor", "head",
         F.greatest(F.lit(0), F.coalesce("head", "cursor") - F.col("cursor")).cast("long").alias("lag"),
+        back.cast("long").alias("depth"), F.lit(time.monotonic() - began).alias("seconds"),
     )
 
 
@@ -175,6 +183,12 @@ def cursors(progress: DataFrame) -> DataFrame:
     return progress.groupBy("chain_id").agg(last).select("chain_id", "s.*")
 
 
+def throughput(progress: DataFrame) -> DataFrame:
+    """Per batch the rows it appended, the seconds it took, rows a second and the deepest reorganisation, null without one."""
+    each = progress.where("batch_id >= 0").groupBy("batch_id").agg(F.sum("appended").alias("appended"), F.max("seconds").alias("seconds"), F.max("depth").alias("depth"))
+    return each.withColumn("rows_per_second", F.col("appended") / F.col("seconds"))
+
+
 def rewind(headers: DataFrame, ancestor: int) -> DataFrame:
     """The headers that stay after a reorganisation; the range above is landed empty and marked ``rewind``."""
     return truncate_above(headers, ancestor)

@@ -55,6 +55,10 @@ def test_only_the_landed_ranges_are_replaced(spark, tmp_path):
     # an empty range empties, a rewind sets the cursor back
     assert s.run((ranges(spark, (6, 9, 6, 102, True)), events(spark))) == [(0, "5"), (1, "1"), (2, "1"), (3, "7"), (4, "8")]
     assert [tuple(r) for r in ingest.cursors(spark.read.parquet(f"{tmp_path}/progress")).collect()] == [(1, 5, 102, 97)]
+    told = {r.batch_id: r for r in ingest.throughput(spark.read.parquet(f"{tmp_path}/progress")).collect()}
+    assert [told[k].depth for k in sorted(told)][-1] == 0 and told[0].depth is None and told[0].appended == 10 and 0 < told[0].rows_per_second < 10 / 0.001
+    s.run((ranges(spark, (2, 9, 7, 102, True)), events(spark)))
+    assert ingest.throughput(spark.read.parquet(f"{tmp_path}/progress")).where("depth = 4").count() == 1
     headers = spark.createDataFrame([(1, b) for b in range(10)], "chain_id int, block_number long")
     assert ingest.rewind(headers, 5).count() == 6
 

@@ -21,8 +21,10 @@ def test_limbs_and_sums_against_python_integers(spark):
         sums = df.groupBy("k").agg(*w.sums_wide({"x": w.limbs(F.col("t"), count)}))
         got = {k: int(x) for k, x in sums.select("k", w.joined_sums("x", count)).collect()}
         assert got == {k: sum(int(t) for j, t in rows if j == k) for k in got}
+        named = sums.select("k", w.joined_columns(*[f"_x_{i}" for i in range(count)]).alias("x"))
+        assert {k: int(x) for k, x in named.collect()} == got
     for k in range(3):
-        for t, got in df.select("t", w.limb(F.col("t"), F.lit(k))).collect():
+        for t, got in df.withColumn("scale", F.lit(k)).select("t", F.expr(w.limb("t"))).collect():
             n, sign = abs(int(t)), -1 if int(t) < 0 else 1
             assert got == (None if k and len(t) <= w.LIMB else sign * (n // 10 ** (26 * k) % 10**26))
 
