@@ -66,3 +66,24 @@ def drift(reconciled: DataFrame, keys: tuple = ASSET) -> DataFrame:
     size = F.struct(F.length("gap").alias("n"), F.col("gap"), *keys)
     worst = bad.groupBy("field").agg(F.count("*").alias("n"), F.max(size).alias("_most"))
     return worst.select("field", "n", F.col("_most.gap").alias("largest_gap"), *[F.col(f"_most.{k}").alias(k) for k in keys])
+
+
+def drawn_by_hash(seed: int, keys: tuple):
+    """An order that is the same in every run and has nothing to do with the values: the digest of the seed and the key."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))
+
+
+def triage(rows: DataFrame, strata: dict, k: int, seed: int = 1, keys: tuple = POSITION) -> DataFrame:
+    """Up to ``k`` rows of each stratum to compare with the chain first: touched lately, largest, near health 1, any at random.
+
+    ``strata`` maps a name to a condition and an order, largest first; without an order rows are drawn by hash, without a condition from
+    all. A row may stand in several strata. Each stratum keeps ``k`` rows per partition while it reads, so nothing is sorted as a whole;
+    ties of an order are drawn by hash. Rows whose condition or order is null are not in the stratum.
+    """
+    draw, out = drawn_by_hash(seed, keys), None
+    for name, (condition, order) in strata.items():
+        some = rows if condition is None else rows.where(condition)
+        some = some if order is None else some.where(order.isNotNull())
+        taken = some.orderBy(*([] if order is None else [order.desc()]), draw, *keys).limit(k).withColumn("stratum", F.lit(name))
+        out = taken if out is None else out.unionByName(taken)
+    return out

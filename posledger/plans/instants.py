@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import asof, risk
+from ..operators import asof, reconcile, risk
 from ..operators import ledger as lg
 from . import mapping as m
 
@@ -42,7 +42,16 @@ def time_to_liquidation(spark, sf_dir):
     return risk.time_to_liquidation(debts, weighted).select("user", "seconds")
 
 
-QUERIES = {x.__name__: x for x in (assets_at_instants, pinned_factors, time_to_liquidation)}
+def drift_samples(spark, sf_dir):
+    """Of all wallets and reserves, 20 that the last blocks touched, 20 of the most events and 20 at random."""
+    b = m.spoke_base(spark, sf_dir)
+    last = b.agg(F.max("block_number")).first()[0]
+    rows = b.groupBy("user", "spoke", "reserve_id").agg(F.max("block_number").alias("touched"), F.count("*").alias("n"))
+    strata = {"touched": (F.col("touched") > last - 20, None), "largest": (None, F.col("n")), "random": (None, None)}
+    return reconcile.triage(rows, strata, 20, 7, ("user", "spoke", "reserve_id"))
+
+
+QUERIES = {x.__name__: x for x in (assets_at_instants, pinned_factors, time_to_liquidation, drift_samples)}
 
 def _searched() -> str:
     """The same search, a step a common table expression."""
@@ -72,4 +81,7 @@ pin AS (SELECT own.usr, own.spoke, r, coalesce(greatest(one, CASE WHEN al >= coa
 c AS (SELECT spoke, r, event_id AS k FROM sp WHERE event_type = 'purchase' AND event_id % 7 = 0)
 SELECT usr AS user, pin.spoke, pin.r AS reserve_id, k AS config_key, CAST(k % 9000 AS INTEGER) AS factor_bps FROM pin ASOF LEFT JOIN c ON pin.spoke = c.spoke AND pin.r = c.r AND pin.place >= c.k""",
     "time_to_liquidation": _searched(),
+    "drift_samples": f"""WITH {m.SP}, p AS (SELECT usr AS user, spoke, r AS reserve_id, max(b) AS touched, count(*) AS n, md5('7:' || usr || ':' || spoke || ':' || r) AS h FROM sp GROUP BY usr, spoke, r)
+SELECT * EXCLUDE (h) FROM ((SELECT *, 'touched' AS stratum FROM p WHERE touched > (SELECT max(b) - 20 FROM sp) ORDER BY h LIMIT 20)
+ UNION ALL (SELECT *, 'largest' FROM p ORDER BY n DESC, h LIMIT 20) UNION ALL (SELECT *, 'random' FROM p ORDER BY h LIMIT 20))""",
 }

@@ -98,3 +98,15 @@ def risk_value(debt, seconds):
     now = index if not seconds else -(-(index * (w.RAY + rate * seconds // w.YEAR_SECONDS)) // w.RAY)
     amount = -(-(drawn * now) // w.RAY) + premium
     return amount * price * 10 ** (18 - decimals) if decimals <= 18 else amount * price // 10 ** (decimals - 18)
+
+
+def test_samples_of_strata_are_bounded_and_the_same_again(spark):
+    from posledger.operators import reconcile
+
+    rows = [(1, "u%d" % i, "s", i % 3, i % 7, None if i % 11 == 0 else i % 5) for i in range(300)]
+    df = spark.createDataFrame(rows, "chain_id int, user string, spoke string, reserve_id long, block long, size long")
+    strata = {"touched": (F.col("block") > 4, None), "largest": (None, F.col("size")), "none": (F.col("block") > 99, None), "random": (None, None)}
+    got = [sorted(map(tuple, reconcile.triage(x, strata, 9, 3).collect())) for x in (df, df.repartition(7))]
+    assert got[0] == got[1] and len(got[0]) == 27
+    assert all(r[4] > 4 for r in got[0] if r[-1] == "touched") and all(r[5] == 4 for r in got[0] if r[-1] == "largest")
+    assert got[0] != sorted(map(tuple, reconcile.triage(df, strata, 9, 4).collect()))
