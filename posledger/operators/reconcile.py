@@ -31,7 +31,7 @@ def reconcile_hub(fold: DataFrame, after: DataFrame, before: DataFrame | None =
 
     With ``before``, additive fields are compared with the change between the snapshots, and an asset that the
     fold lacks was not touched; without it they are absolute, and a missing asset is a mismatch.
-    Fields that the snapshot does not have are not compared; values are of any width.
+    Fields that the snapshot does not have are not compared; values have up to 156 digits.
     """
     fields = tuple(x for x in (*ADDITIVE, *LATEST) if x in after.columns)
     ours, theirs = _long(fold, ASSET, fields, "ours"), _long(after, ASSET, fields, "theirs")
