@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import folds, maintained
+from ..operators import folds, maintained, totals, valuation
 from ..operators import ledger as lg
 from ..sources import shared
 from ..streaming import flags, ingest
 from . import mapping as m
-from . import positions
+from . import pools, positions
 
 SHOWN = ("user", "spoke", "reserve_id")
 #: Zeros between the copies of a number that a wide amount is made of.
@@ -121,7 +121,28 @@ def position_fold_sound(spark, sf_dir):
     return _shown(folds.positions_current(folds.sound(_spoilt(spark, sf_dir))))
 
 
-QUERIES = {x.__name__: x for x in (rebuild_then_stream, positions_kept, positions_page_kept, collateral_flags_kept, position_fold_wide, poison_rows, position_fold_sound)}
+def quotes(spark, sf_dir, at: int) -> DataFrame:
+    """The quote of each reserve: its pool at an instant, and its last price."""
+    pool = valuation.asset_at(pools._pool(spark, sf_dir), at).withColumn("pool_added_shares", F.col("added_shares"))
+    known = pools._views(spark, sf_dir)["reserves"].join(pool, ["chain_id", "hub", "asset_id"])
+    priced = known.join(pools._prices(spark, sf_dir).select(*totals.RESERVE, "price"), [*totals.RESERVE], "left")
+    return priced.select(*totals.RESERVE, *totals.QUOTE)
+
+
+def spoke_totals_kept(spark, sf_dir):
+    """Totals over four steps: positions of half of the blocks; quotes a day early and half of them dear; all quotes as they are; the positions that the other blocks change."""
+    path, events = shared.table_path(spark, "totals"), m.spoke_events(spark, sf_dir)
+    middle = events.agg(F.max("block_number")).first()[0] // 2
+    early = folds.positions_current(lg.append(events.where(F.col("block_number") <= middle), 1))
+    changed = events.where(F.col("block_number") > middle).select("chain_id", F.lower(F.get_json_object("body", "$.user")).alias("user"), F.col("address").alias("spoke"), F.get_json_object("body", "$.reserveId").cast("long").alias("reserve_id"))
+    late = folds.positions_current(lg.append(events, 1)).join(changed.distinct(), [*totals.POSITION], "left_semi")
+    dear = quotes(spark, sf_dir, pools.AT - 86_400).withColumn("price", F.when(F.col("reserve_id") % 2 == 0, F.col("price") * 3).otherwise(F.col("price")))
+    for step, (rows, told) in enumerate(((early, None), (None, dear), (None, quotes(spark, sf_dir, pools.AT)), (late, None))):
+        totals.apply(spark, path, step, rows, told)
+    return totals.view(spark, path).select("user", "spoke", "supplied_value", "debt_value", "net_worth")
+
+
+QUERIES = {x.__name__: x for x in (spoke_totals_kept, rebuild_then_stream, positions_kept, positions_page_kept, collateral_flags_kept, position_fold_wide, poison_rows, position_fold_sound)}
 
 
 def _fold(where: str = "true", having: str = "true") -> str:
@@ -143,6 +164,7 @@ SELECT spoke, r AS reserve_id, CAST(x AS VARCHAR) AS supplied_shares, CASE WHEN
  CASE WHEN c > 5 THEN max(CASE WHEN i = 5 THEN r END) OVER () END AS next_reserve_id FROM n WHERE i <= 5"""
 
 ORACLES = {
+    "spoke_totals_kept": pools.ORACLES["spoke_totals"],
     "rebuild_then_stream": _fold(),
     "positions_kept": _fold(_KEPT, "sum(ev) > 0 OR coalesce(arg_max(flag, event_id), false)"),
     "positions_page_kept": _PAGE,
