@@ -130,14 +130,14 @@ def quotes(spark, sf_dir, at: int) -> DataFrame:
 
 
 def spoke_totals_kept(spark, sf_dir):
-    """Totals over four steps: positions of half of the blocks; quotes a day early and half of them dear; all quotes as they are; the positions that the other blocks change."""
+    """Totals over three steps: positions of half of the blocks, by quotes a day early of which half are dear; all quotes as they are; the positions that the other blocks change."""
     path, events = shared.table_path(spark, "totals"), m.spoke_events(spark, sf_dir)
     middle = events.agg(F.max("block_number")).first()[0] // 2
     early = folds.positions_current(lg.append(events.where(F.col("block_number") <= middle), 1))
     changed = events.where(F.col("block_number") > middle).select("chain_id", F.lower(F.get_json_object("body", "$.user")).alias("user"), F.col("address").alias("spoke"), F.get_json_object("body", "$.reserveId").cast("long").alias("reserve_id"))
     late = folds.positions_current(lg.append(events, 1)).join(changed.distinct(), [*totals.POSITION], "left_semi")
     dear = quotes(spark, sf_dir, pools.AT - 86_400).withColumn("price", F.when(F.col("reserve_id") % 2 == 0, F.col("price") * 3).otherwise(F.col("price")))
-    for step, (rows, told) in enumerate(((early, None), (None, dear), (None, quotes(spark, sf_dir, pools.AT)), (late, None))):
+    for step, (rows, told) in enumerate(((early, dear), (None, quotes(spark, sf_dir, pools.AT)), (late, None))):
         totals.apply(spark, path, step, rows, told)
     return totals.view(spark, path).select("user", "spoke", "supplied_value", "debt_value", "net_worth")
 

@@ -16,6 +16,8 @@ from . import pools
 TOPIC = {name: "0x" + f"{k + 1:064x}" for k, name in enumerate(logs.SPOKE_EVENTS)}
 HUB_TOPIC = {name: "0x" + f"{k + 101:064x}" for k, name in enumerate(logs.HUB_EVENTS)}
 FORK = 700
+#: Blocks of a folder of landed logs here.
+LANDED = 100
 
 
 def _word(x: str) -> str:
@@ -78,6 +80,19 @@ def _decoded(spark, sf_dir) -> DataFrame:
     return one.unionByName(two)
 
 
+def log_scan(spark, sf_dir):
+    """Supplies and borrows of one Spoke in a third of the blocks, out of the landed logs of both Spokes and the pool; the address is given in upper case."""
+    at, raw = shared.table_path(spark, "logs"), raw_spoke_logs(spark, sf_dir).drop("spoke")
+    logs.land_logs(raw.unionByName(raw_hub_logs(spark, sf_dir)), at, LANDED)
+    lo, hi = _scanned(raw.agg(F.max("block_number")).first()[0])
+    found = logs.raw_logs(spark, at, m.CHAIN, [m.SPOKES[0].upper()], [TOPIC["Supply"].upper(), TOPIC["Borrow"]], lo, hi)
+    return found.select("block_number", "log_index", "address", F.get("topics", F.lit(0)).alias("topic0"), "data")
+
+
+def _scanned(last: int) -> tuple:
+    return last // 3, 2 * (last // 3)
+
+
 def timestamp_fill(spark, sf_dir):
     return _filled(spark, sf_dir).select("block_number", "log_index", "block_timestamp")
 
@@ -223,7 +238,7 @@ def reconcile_positions(spark, sf_dir):
 QUERIES = {
     x.__name__: x
     for x in (
-        timestamp_fill, decode_logs, decode_hub_logs, decoded_fold, header_contiguity, fork_point, settled_split, header_window, replay_plan, stream_fold_equals_batch, stream_ranges,
+        log_scan, timestamp_fill, decode_logs, decode_hub_logs, decoded_fold, header_contiguity, fork_point, settled_split, header_window, replay_plan, stream_fold_equals_batch, stream_ranges,
         reconcile_hub_delta, reconcile_hub_absolute, drift_by_field, reconcile_positions,
     )
 }
@@ -232,6 +247,10 @@ _FIELDS = "('liquidity', 1), ('added_shares', 1), ('drawn_shares', 1), ('premium
 _STATUS = "CASE WHEN a = 16 THEN '{missing}' WHEN field = 'liquidity' AND a = 4 OR field = 'drawn_rate' AND a = 9 THEN 'mismatch' ELSE 'match' END"
 
 ORACLES = {
+    "log_scan": f"""WITH {m.SP}, e AS (SELECT max(b) AS last FROM sp)
+SELECT b AS block_number, CAST(l AS INTEGER) AS log_index, '{m.SPOKES[0]}' AS address, CASE event_type WHEN 'view' THEN '{TOPIC["Supply"]}' ELSE '{TOPIC["Borrow"]}' END AS topic0,
+ '0x' || lpad(lower(to_hex(CASE event_type WHEN 'view' THEN s ELSE s // 2 END)), 64, '0') || lpad(lower(to_hex(CASE event_type WHEN 'view' THEN s + 7 ELSE s // 2 + 1 END)), 64, '0') AS data
+ FROM sp, e WHERE spoke = '{m.SPOKES[0]}' AND event_type IN ('view', 'purchase') AND b BETWEEN last // 3 AND 2 * (last // 3)""",
     "timestamp_fill": f"WITH {m.SP}, h AS (SELECT b, min(t) AS t FROM sp GROUP BY b) SELECT b AS block_number, CAST(l AS INTEGER) AS log_index, CASE WHEN l % 3 = 0 THEN h.t ELSE sp.t END AS block_timestamp FROM sp JOIN h USING (b)",
     "decode_logs": f"""WITH {m.SP} SELECT b AS block_number, CAST(l AS INTEGER) AS log_index, spoke AS address,
  CASE event_type WHEN 'view' THEN 'Supply' WHEN 'click' THEN 'Withdraw' WHEN 'purchase' THEN 'Borrow' WHEN 'error' THEN 'Repay' ELSE 'SetUsingAsCollateral' END AS event_name, usr AS user, CAST(r AS VARCHAR) AS reserve,

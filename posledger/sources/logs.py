@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from . import files
+
 RAW_LOG = "chain_id int, address string, topics array<string>, data string, block_number long, block_timestamp long, block_hash string, tx_hash string, tx_index int, log_index int"
 
 # The decoded events, their fields in order as (path in the body, type), and how many are indexed.
@@ -46,11 +48,45 @@ HUB_EVENTS = {
 }
 
 
-def raw_logs(spark, path: str, addresses: list, topic0: list, lo: int, hi: int, fmt: str = "parquet") -> DataFrame:
-    """Logs of some addresses, in any case, with any of the first topics (all if none is given), in an inclusive block range."""
-    logs = spark.read.schema(RAW_LOG).format(fmt).load(path)
-    logs = logs.where(F.col("block_number").between(lo, hi) & F.lower("address").isin([a.lower() for a in addresses]))
-    return event_set(logs, dict(enumerate(topic0))) if topic0 else logs
+#: Blocks of one folder of landed logs.
+SPAN = 1_000_000
+LANDED = f"{RAW_LOG}, topic0 string"
+
+
+def land_logs(logs: DataFrame, path: str, span: int = SPAN) -> None:
+    """Add logs to a landed table: folders of chain and ``span`` blocks, files in the order of address, event and block.
+
+    Addresses are written in lower case, and the first topic as a column of its own (null for an anonymous log), so that a scan's
+    conditions on both are ones on columns and reach the files' statistics. The span is written down with the table; another
+    one is refused. A range of blocks with many logs is dealt over several files. What lands twice is there twice.
+    """
+    spark = logs.sparkSession
+    told = files.pointer(spark, f"{path}/_span")
+    if told is None:
+        files.publish(spark, f"{path}/_span", {"span": span})
+    elif told["span"] != span:
+        raise ValueError(f"the table has a span of {told['span']} blocks")
+    rows = logs.withColumn("address", F.lower("address")).withColumn("topic0", F.lower(F.get("topics", F.lit(0))))
+    kept = [c.split()[0] for c in LANDED.split(", ")]
+    rows = rows.select(*kept, F.col("chain_id").alias("chain"), F.floor(F.col("block_number") / span).cast("long").alias("blocks")).hint("rebalance", "chain", "blocks")
+    rows.sortWithinPartitions("chain", "blocks", "address", "topic0", "block_number").write.mode("append").partitionBy("chain", "blocks").parquet(path)
+
+
+def raw_logs(spark, path: str, chain: int, addresses: list, topic0: list, lo: int, hi: int) -> DataFrame:
+    """Logs of a chain, of some addresses in any case, with any of the first topics (all if none is given), in an inclusive block range.
+
+    Only folders of the range are listed in the plan; addresses, topics and blocks are filters of the files. No address gives
+    no log, and a table that nothing was landed in has none.
+    """
+    told = files.pointer(spark, f"{path}/_span")
+    columns = [c.split()[0] for c in RAW_LOG.split(", ")]
+    if told is None or not [x for x in files.names(spark, path) if x.startswith("chain=")]:
+        return spark.createDataFrame([], RAW_LOG)
+    span = told["span"]
+    logs = spark.read.schema(f"{LANDED}, chain int, blocks long").parquet(path)
+    logs = logs.where((F.col("chain") == chain) & F.col("blocks").between(lo // span, hi // span))
+    logs = logs.where(F.col("block_number").between(lo, hi) & F.col("address").isin([a.lower() for a in addresses]))
+    return (logs.where(F.col("topic0").isin([t.lower() for t in topic0])) if topic0 else logs).select(*columns)
 
 
 def fill_timestamps(logs: DataFrame, headers: DataFrame) -> DataFrame:
