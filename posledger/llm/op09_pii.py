@@ -8,9 +8,8 @@ n_t documents that have t at all; both run over the whole corpus. Terms whose sh
 or more become spans of kind ``term`` wherever they stand in those documents; ``sanitised`` replaces what it
 finds by its kind, and removes terms of a share of ``remove`` or more.
 
-With ``every``, as the registered query has it, every pair is scored, one seen once included, and what is glued to
-a match, such as brackets or a full stop, is passed over on the way to its words. Without it only terms in two different
-surroundings at least are scored, and a match has words only on a side where a blank follows at once.
+Every pair is scored, one seen once included, and what is glued to a match, such as brackets or a full stop, is passed
+over on the way to its words.
 Words are taken whole, however long: what is looked at on a side doubles until ``reach`` words and the blank
 beyond them are in it, or the text ends.
 
@@ -109,9 +108,9 @@ def _key(text: Column) -> list:
 BLANK, LETTER = r"[\x20\x09-\x0D]", WORD[:-1]
 
 
-def _context(s: Column, e: Column, reach: int, every: bool) -> tuple:
+def _context(s: Column, e: Column, reach: int) -> tuple:
     """The ``reach`` words (with their blanks) before place ``s`` and those after ``e`` of ``text``."""
-    glued = rf"{LETTER}*+" if every else ""
+    glued = rf"{LETTER}*+"
     text, size = F.col("text"), F.length("text")
 
     def widened(window, enough: str) -> Column:
@@ -131,40 +130,36 @@ def _context(s: Column, e: Column, reach: int, every: bool) -> tuple:
         n = F.least((size - e).cast("long"), wide).cast("int")
         return F.struct(F.substr(text, e + 1, n).alias("text"), (n == size - e).alias("all"))
 
-    # without ``every`` a side on which no blank follows at once has no words, which is known at once
-    none = "" if every else rf"|(?<!{BLANK})\z"
-    before = widened(left, rf"{BLANK}(?:{LETTER}++{BLANK}++){{{reach}}}{glued}\z{none}")
-    none = "" if every else rf"|\A(?!{BLANK})"
-    after = widened(right, rf"\A{glued}(?:{BLANK}++{LETTER}++){{{reach}}}{BLANK}{none}")
+    before = widened(left, rf"{BLANK}(?:{LETTER}++{BLANK}++){{{reach}}}{glued}\z")
+    after = widened(right, rf"\A{glued}(?:{BLANK}++{LETTER}++){{{reach}}}{BLANK}")
     before = F.regexp_extract(before, rf"(?<!{LETTER})((?:{LETTER}++{BLANK}++){{0,{reach}}}){glued}\z", 1)
     after = F.regexp_extract(after, rf"\A{glued}((?:{BLANK}++{LETTER}++){{0,{reach}}})", 1)
     return before, after
 
 
-def occurrences(docs: DataFrame, reach: int = 3, every: bool = False) -> DataFrame:
-    """Rows (k1, k2, copies, entity, terms, around) of the base matches of each different text."""
+def occurrences(docs: DataFrame, reach: int = 3) -> DataFrame:
+    """Rows (k1, k2, copies, entity, terms) of the base matches of each different text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     some = docs.select(text.alias("text")).withColumn("found", base_spans(F.col("text")))
     some = some.where(" OR ".join(f"size(found.{k}) > 0" for k in KINDS)).select("text", "found", *_key(F.col("text")))
     kinds = [_tagged(F.col(f"found.{k}"), k) for k in KINDS]
     one = some.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.first("text").alias("text"), F.first("found").alias("found"))
     each = one.select("k1", "k2", "copies", "text", F.explode(F.concat(*kinds)).alias("x"))
-    before, after = _context(F.col("x.s"), F.col("x.e"), reach, every)
+    before, after = _context(F.col("x.s"), F.col("x.e"), reach)
     value = F.when(F.col("x.kind").isin("card", "phone"), _digits(F.col("x.m"))).otherwise(F.lower("x.m"))
     each = each.select("k1", "k2", "copies", F.concat_ws(":", F.col("x.kind"), value).alias("entity"), before.alias("before"), after.alias("after"))
     words = lambda c: F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
     terms = F.array_distinct(F.concat(words("before"), words("after")))
-    return each.select("k1", "k2", "copies", "entity", terms.alias("terms"), F.xxhash64("before", "after").alias("around"))
+    return each.select("k1", "k2", "copies", "entity", terms.alias("terms"))
 
 
-def revealing(docs: DataFrame, near: DataFrame, generalise: float, every: bool = False) -> DataFrame:
+def revealing(docs: DataFrame, near: DataFrame, generalise: float) -> DataFrame:
     """(entity, term, share) of the terms that reveal an entity to a share of ``generalise`` or more."""
     in_text = near.groupBy("k1", "k2", "entity").agg(F.first("copies").alias("copies"))
     entities = in_text.groupBy("entity").agg(F.sum("copies").alias("n_e"))
-    pairs = near.select("k1", "k2", "copies", "entity", "around", F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("k1", "k2", "entity", "term").agg(F.first("copies").alias("copies"), F.min("around").alias("lo"), F.max("around").alias("hi"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    pairs = saved((pairs if every else pairs.where("lo <> hi")).select("entity", "term", "n_te"))
+    pairs = near.select("k1", "k2", "copies", "entity", F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("k1", "k2", "entity", "term").agg(F.first("copies").alias("copies"))
+    pairs = saved(pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_te")))
     total = docs.count()
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(None).cast("double").alias("share"))
@@ -177,10 +172,10 @@ def revealing(docs: DataFrame, near: DataFrame, generalise: float, every: bool =
     return scored.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
 
 
-def _found(docs: DataFrame, reach: int, generalise: float, small: int, every: bool) -> DataFrame:
+def _found(docs: DataFrame, reach: int, generalise: float, small: int) -> DataFrame:
     """The rows as ``_row`` with their base spans and the revealing terms as spans with their share."""
-    near = saved(occurrences(docs, reach, every))
-    reveals = saved(revealing(docs, near, generalise, every))
+    near = saved(occurrences(docs, reach))
+    reveals = saved(revealing(docs, near, generalise))
     own = near.select("k1", "k2", "entity", F.explode("terms").alias("term")).join(reveals, ["entity", "term"])
     own = own.groupBy("k1", "k2", "term").agg(F.max("share").alias("share")).groupBy("k1", "k2")
     own = own.agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("terms"))
@@ -197,9 +192,9 @@ def _listed(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda x: F.concat_ws(":", F.lit(kind), x["s"], x["e"]))
 
 
-def pii_spans(docs: DataFrame, reach: int = 3, generalise: float = 0.9, small: int = SMALL, every: bool = False) -> DataFrame:
+def pii_spans(docs: DataFrame, reach: int = 3, generalise: float = 0.9, small: int = SMALL) -> DataFrame:
     """A row per document: counts of the base kinds, a digest of the base spans, and all spans."""
-    rows = _found(docs.select("doc_id", "text"), reach, generalise, small, every)
+    rows = _found(docs.select("doc_id", "text"), reach, generalise, small)
     base = F.concat(*[_listed(k, F.col(f"base.{k}")) for k in KINDS])
     return rows.select(
         F.col("_row.doc_id").alias("doc_id"), *[F.size(F.col(f"base.{k}")).cast("long").alias(f"n_{k}") for k in KINDS],
@@ -208,9 +203,9 @@ def pii_spans(docs: DataFrame, reach: int = 3, generalise: float = 0.9, small: i
     )
 
 
-def sanitised(docs: DataFrame, reach: int = 3, generalise: float = 0.9, remove: float = 0.97, small: int = SMALL, every: bool = False) -> DataFrame:
+def sanitised(docs: DataFrame, reach: int = 3, generalise: float = 0.9, remove: float = 0.97, small: int = SMALL) -> DataFrame:
     """The documents with their columns; base matches and revealing terms become their kind in brackets, or go."""
-    rows = _found(docs, reach, generalise, small, every)
+    rows = _found(docs, reach, generalise, small)
     marks = [F.transform(_tagged(F.col(f"base.{k}"), f"[{k.upper()}]"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("to"))) for k in KINDS]
     share = lambda x: F.element_at(F.col("terms"), x["m"])
     marks.append(F.transform("spots", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(share(x) >= remove, F.lit("")).otherwise(F.lit("[TERM]")).alias("to"))))

@@ -30,38 +30,39 @@ def base(text):
     return out
 
 
-def brute(rows, reach=3, least=0.9):
-    texts = [r[1] or "" for r in rows]
-    n = len(texts)
-    near, n_e, around, n_te = [], defaultdict(int), defaultdict(set), defaultdict(int)
+def brute_every(rows, reach=3, least=0.9, sort=True):
+    """Revealed terms per row: every pair is scored, and what is glued to a match is passed over."""
+    texts, blank = [r[1] or "" for r in rows], "\t\n\v\f\r "
+    n, near, n_e, n_te, n_t = len(texts), [], defaultdict(int), defaultdict(int), defaultdict(int)
     for t in texts:
         pairs, ents = set(), set()
         for kind, s, e, v in base(t):
-            left = [m.group(0) for m in WORD.finditer(t[:s])] if s and re.match(r"[\x20\x09-\x0D]", t[s - 1]) else []
-            right = [m.group(0) for m in WORD.finditer(t[e:])] if e < len(t) and re.match(r"[\x20\x09-\x0D]", t[e]) else []
+            while s and t[s - 1] not in blank:
+                s -= 1
+            while e < len(t) and t[e] not in blank:
+                e += 1
             ents.add((kind, v))
-            left, right = left[-reach:], right[:reach]
-            for w in left + right:
-                pairs.add(((kind, v), w))
-                around[(kind, v), w].add((tuple(left), tuple(right)))
-        for x in ents:
-            n_e[x] += 1
-        for x in pairs:
-            n_te[x] += 1
+            pairs |= {((kind, v), w) for w in WORD.findall(t[:s])[-reach:] + WORD.findall(t[e:])[:reach]}
+        for counts, keys in ((n_e, ents), (n_te, pairs), (n_t, set(WORD.findall(t)))):
+            for x in keys:
+                counts[x] += 1
         near.append(pairs)
-    n_t = defaultdict(int)
-    for t in texts:
-        for w in set(WORD.findall(t)):
-            n_t[w] += 1
-    reveal = {p for p in n_te if len(around[p]) > 1 and n > n_e[p[0]] and math.log2(n * n_te[p] / (n_t[p[1]] * n_e[p[0]])) / math.log2(n / n_e[p[0]]) >= least}
+    reveal = {p for p in n_te if n > n_e[p[0]] and math.log2(n * n_te[p] / (n_t[p[1]] * n_e[p[0]])) / math.log2(n / n_e[p[0]]) >= least}
     out = []
     for r, t, pairs in zip(rows, texts, near):
-        spans = base(t)
         terms = {w for e, w in pairs if (e, w) in reveal}
+        out.append((r[0], ["term:%d:%d" % m.span() for m in WORD.finditer(t) if m.group(0) in terms]))
+    return sorted(out, key=str) if sort else out
+
+
+def brute(rows):
+    """The whole result: the base spans, and the terms of ``brute_every``."""
+    out, terms = [], dict(enumerate(brute_every([(k, r[1]) for k, r in enumerate(rows)], sort=False)))
+    for k, r in enumerate(rows):
+        spans = base(r[1] or "")
         listed = ["%s:%d:%d" % x[:3] for x in spans]
-        more = ["term:%d:%d" % m.span() for m in WORD.finditer(t) if m.group(0) in terms]
-        counts = [sum(x[0] == k for x in spans) for k in RAW]
-        out.append((r[0], *counts, hashlib.sha256(",".join(listed).encode()).hexdigest(), ",".join(listed + more)))
+        counts = [sum(x[0] == kind for x in spans) for kind in RAW]
+        out.append((r[0], *counts, hashlib.sha256(",".join(listed).encode()).hexdigest(), ",".join(listed + terms[k][1])))
     return sorted(out, key=str)
 
 
@@ -97,10 +98,18 @@ def test_sanitised(spark):
     got = sanitised(df, remove=2.0)
     assert got.columns == df.columns
     by = {r.doc_id: r.text for r in got.collect()}
-    assert by[506] == "write to [TERM] [TERM] at [EMAIL] today" and by[505] == "日本 [EMAIL] 日本 [TERM] [EMAIL]"
-    assert by[60] is None and by[500].startswith("mail [EMAIL]@e.f or [EMAIL][EMAIL], not")
+    assert by[506] == "write to [TERM] [TERM] [TERM] [EMAIL] [TERM]"
+    assert by[60] is None and by[500].startswith("[TERM] [EMAIL]@e.f or [EMAIL][EMAIL], ")
+    texts = {r[0]: r[1] for r in rows}
+    for x in brute(rows):
+        if x[0] is not None and texts[x[0]] is not None and sum(r[0] == x[0] for r in rows) == 1:
+            at, out = 0, ""
+            for s, e, kind in sorted((int(s), int(e), kind) for kind, s, e in (y.split(":") for y in x[-1].split(",") if y)):
+                if s >= at:
+                    out, at = out + texts[x[0]][at:s] + f"[{kind.upper()}]", e
+            assert by[x[0]] == out + texts[x[0]][at:]
     gone = {r.doc_id: r.text for r in sanitised(df).collect()}
-    assert gone[506] == "write to   at [EMAIL] today"
+    assert gone[506] == "write to    [EMAIL] "
 
 
 def test_empty(spark):
@@ -113,38 +122,13 @@ def test_long_runs_cost_their_length(spark):
     assert row.n_email == 0 and row.n_card == 0
 
 
-def brute_every(rows, reach=3, least=0.9):
-    """Revealed terms per row: every pair is scored, and what is glued to a match is passed over."""
-    texts, blank = [r[1] or "" for r in rows], "\t\n\v\f\r "
-    n, near, n_e, n_te, n_t = len(texts), [], defaultdict(int), defaultdict(int), defaultdict(int)
-    for t in texts:
-        pairs, ents = set(), set()
-        for kind, s, e, v in base(t):
-            while s and t[s - 1] not in blank:
-                s -= 1
-            while e < len(t) and t[e] not in blank:
-                e += 1
-            ents.add((kind, v))
-            pairs |= {((kind, v), w) for w in WORD.findall(t[:s])[-reach:] + WORD.findall(t[e:])[:reach]}
-        for counts, keys in ((n_e, ents), (n_te, pairs), (n_t, set(WORD.findall(t)))):
-            for x in keys:
-                counts[x] += 1
-        near.append(pairs)
-    reveal = {p for p in n_te if n > n_e[p[0]] and math.log2(n * n_te[p] / (n_t[p[1]] * n_e[p[0]])) / math.log2(n / n_e[p[0]]) >= least}
-    out = []
-    for r, t, pairs in zip(rows, texts, near):
-        terms = {w for e, w in pairs if (e, w) in reveal}
-        out.append((r[0], ["term:%d:%d" % m.span() for m in WORD.finditer(t) if m.group(0) in terms]))
-    return sorted(out, key=str)
-
-
 def test_every_pair_is_scored(spark):
     rows = [r for r in make() if r[1] is None or len(r[1]) < 2_000]
     rows += [(600, "met Anna Meier (anna@x.org), Bonn", None, None, None)]
     rows += [(610 + i, "text %d\ncall Uwe Lang at ul@y.example or write\nmore %d" % (i, i), None, None, None) for i in range(9)]
     df = spark.createDataFrame(rows, DOCS)
     for small in (200_000, 0):
-        got = pii_spans(df, small=small, every=True).collect()
+        got = pii_spans(df, small=small).collect()
         assert sorted(((r.doc_id, [x for x in r.spans.split(",") if x.startswith("term:")]) for r in got), key=str) == brute_every(rows)
     spans = {r.doc_id: r.spans for r in got}
     assert "term:4:8,term:9:14,term:29:33" in spans[600]
@@ -166,8 +150,8 @@ def test_words_of_any_length_stand_near(spark):
     rows += [(4, "me4@x.org", None, None, None), (5, "z" * 20_000 + " " + "me5@x.org", None, None, None)]
     rows += [(10 + i, "w%d x" % i, None, None, None) for i in range(20)]
     df = spark.createDataFrame(rows, DOCS)
-    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("term:")] for r in pii_spans(df, every=True).collect()}
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("term:")] for r in pii_spans(df).collect()}
     assert got == dict(brute_every(rows)) and [len(got[k]) for k in (1, 2, 3, 5)] == [6, 3, 3, 1]
     for r in (1, 5):
-        got = {x.doc_id: [y for y in x.spans.split(",") if y.startswith("term:")] for x in pii_spans(df, reach=r, every=True).collect()}
+        got = {x.doc_id: [y for y in x.spans.split(",") if y.startswith("term:")] for x in pii_spans(df, reach=r).collect()}
         assert got == dict(brute_every(rows, reach=r))
