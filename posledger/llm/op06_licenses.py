@@ -1,16 +1,20 @@
 """Operator 6, license scans.
 
-An inverted index takes each word of the templates to the templates that have it, and how often. A stretch
-that aligns with a positive score and ``need`` words matched (``coverage`` of a template of n words) is at most
-2n - 1 words long, so some window of 2n - 1 words holds ``need`` words of the template, none counted more often
-than the template has it. Runs of such windows are candidate regions; the filter loses no stretch at the
-threshold. A region is aligned with the template word by word (local alignment: a match counts 1, a
-gap or a differing word -1; up to ``band`` words put in at a place); the best stretches that reach the coverage are taken, none
-overlapping another, and the rest between them is aligned again until none reaches it.
+Every template is known by winnowed fingerprints: the least hash of each window of ``WINDOW`` runs of ``GRAM`` words, and
+for a template too short for one window each run of two words. An inverted index takes a fingerprint to the templates and places
+that have it. The fingerprints of a text, winnowed alike, pick candidates: the template and the diagonals (place in the text less
+place in the template) of what is shared. Around these diagonals, ``band`` words to each side, template and text are aligned (local alignment: a
+match counts 1, a gap or a differing word -1). The best stretches with ``need`` words matched (``coverage`` of the template's n
+words) are taken, none overlapping another.
+
+A notice that is so short or so edited that it keeps no fingerprint is found in another, exact way: a stretch
+that aligns with a positive score and ``need`` words matched is at most 2n - 1 words long, so some window of 2n - 1 words holds
+``need`` words of the template, none counted more often than the template has it. What such windows hold beside the stretches
+found already is aligned over its whole length (up to ``band`` words put in at a place) until no stretch reaches the coverage.
 
 Words are runs of letters, digits and other characters between blanks and ASCII punctuation, with A-Z
-as a-z, so layout and punctuation do not matter. Templates are a parameter: pairs of a name and a text; they
-are few and fixed and go to the tasks with the code.
+as a-z, so layout and punctuation do not matter. Templates are a parameter: pairs of a name and a text, or a table of
+``name`` and ``text``, whose size is checked first (``TEMPLATE_BYTES``; more is an error); they go to the tasks with the code.
 
 Null and empty texts hold nothing; repeated rows give repeated results; long texts are read into words slice by
 slice, cut at a blank, and searched as a whole, so that no border is seen; other columns are ignored.
@@ -23,6 +27,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import kernels as K
 
@@ -46,10 +51,31 @@ TEMPLATES = (
 
 RESULT = "doc_id long, license string, n_matched long, coverage double, span_start long, span_end long"
 SLICE = 1 << 20
+#: Words of a fingerprint, fingerprints of a window, and the most bytes of all templates.
+GRAM, WINDOW, TEMPLATE_BYTES = 3, 4, 64 << 20
 PUNCTUATED = K.SEPARATOR.copy()
 PUNCTUATED[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
 
+def grams(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` words; their order counts."""
+    n = max(0, len(hashes) - size + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(size):
+        out = (out ^ hashes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out
+
+
+def winnowed(hashes: np.ndarray, window: int) -> np.ndarray:
+    """Places of the least hash, the last of equal ones, of each window of hashes; all are one window if they are fewer."""
+    if not len(hashes) or window == 1:
+        return np.arange(len(hashes))
+    views = np.lib.stride_tricks.sliding_window_view(hashes, min(window, len(hashes)))
+    size = views.shape[1]
+    return np.unique(np.arange(len(views)) + size - 1 - np.argmin(views[:, ::-1], axis=1))
+
+
 class Scanner:
     def __init__(self, templates=TEMPLATES, coverage: float = 0.8, band: int = 8):
         self.names, self.band = [n for n, _ in templates], band
@@ -58,11 +84,77 @@ class Scanner:
         self.need = [max(1, math.ceil(coverage * len(x))) for x in self.words]
         self.longest = max((len(x) for x in self.words), default=0)
         self.hash = np.unique(w.hash)
+        kinds = [(GRAM, WINDOW) if len(x) >= GRAM + WINDOW - 1 else (min(2, len(x)), 1) for x in self.words]
+        #: Per kind of fingerprint the inverted index: hashes in order, and the template and place of each.
+        self.index = {}
+        for kind in sorted({k for k in kinds if k[0]}):
+            found = [(g[at], np.full(len(at), t), at) for t, (x, k) in enumerate(zip(self.words, kinds)) if k == kind for g in [grams(x, kind[0])] for at in [winnowed(g, kind[1])]]
+            h, t, at = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(h, kind="stable")
+            self.index[kind] = h[order], t[order], at[order]
         # how often a template has each of the words
         self.room = [np.bincount(np.searchsorted(self.hash, x), minlength=len(self.hash)) for x in self.words]
 
+    def hits(self, words: K.Words):
+        """Arrays of document, template, and place in words and in the template of each fingerprint that they share."""
+        out = []
+        for (size, window), (index, template, place) in self.index.items():
+            g = grams(words.hash, size)
+            inside = words.doc[: len(g)] == words.doc[size - 1 :] if len(g) else np.zeros(0, bool)
+            g[~inside] = np.iinfo(np.uint64).max  # a run over two documents is the least of no window that has another
+            at = winnowed(g, window)
+            at = at[inside[at]]
+            low, high = np.searchsorted(index, g[at]), np.searchsorted(index, g[at], "right")
+            has, n = low < high, high - low
+            at, low, n = at[has], low[has], n[has]
+            k = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+            pos = np.repeat(at, n)
+            out.append((words.doc[pos], template[k], pos, place[k]))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
+
+    def marked(self, words: K.Words):
+        """Rows (template, first word of the region, word past its end, diagonals) of one text where fingerprints are shared."""
+        _, template, pos, place = self.hits(words)
+        order = np.lexsort((pos, template))
+        template, pos, place = template[order], pos[order], place[order]
+        size = 2 * np.array([len(x) for x in self.words], np.int64)[template] + 2 * self.band
+        edge = np.flatnonzero((template[1:] != template[:-1]) | (pos[1:] - pos[:-1] > size[1:])) + 1 if len(pos) else []
+        for part in np.split(np.arange(len(pos)), edge) if len(pos) else []:
+            t, diagonal = int(template[part[0]]), pos[part] - place[part]
+            a = max(0, int(diagonal.min()) - self.band)
+            b = min(len(words), int(diagonal.max()) + len(self.words[t]) + self.band)
+            near = np.unique(np.add.outer(np.unique(diagonal) - a, np.arange(-self.band, self.band + 1)))
+            yield t, a, b, near
+
+    def banded(self, template: np.ndarray, text: np.ndarray, need: int, diagonals: np.ndarray):
+        """As ``align``, over the cells of some diagonals only: what is held is a row of them."""
+        n, size = len(text), len(diagonals)
+        beside = np.flatnonzero(diagonals[1:] == diagonals[:-1] + 1)  # diagonals whose next one is there too
+        score, match, start = np.zeros(size, np.int64), np.zeros(size, np.int64), np.clip(diagonals, 0, n)
+        best = np.zeros((3, n + 1), np.int64)
+        for i, word in enumerate(template):
+            end = i + 1 + diagonals
+            inside = (end >= 1) & (end <= n)
+            same = inside & (text[np.clip(end - 1, 0, n - 1)] == word)
+            s, m, o = score + np.where(same, 1, -1), match + same, start.copy()
+            up = score[beside + 1] - 1 > s[beside]  # a word of the template that the text lacks
+            k = beside[up]
+            s[k], m[k], o[k] = score[k + 1] - 1, match[k + 1], start[k + 1]
+            for _ in range(self.band):  # words of the text that the template lacks
+                k = beside[s[beside] - 1 > s[beside + 1]]
+                if not len(k):
+                    break
+                s[k + 1], m[k + 1], o[k + 1] = s[k] - 1, m[k], o[k]
+            none = ~inside | (s < 0) | (s == 0) & (m == 0)
+            s[none], m[none], o[none] = 0, 0, np.clip(end[none], 0, n)
+            k = np.flatnonzero(inside & (m >= need))
+            k = k[s[k] > best[0, end[k]]]
+            best[:, end[k]] = s[k], m[k], o[k]
+            score, match, start = s, m, o
+        return best
+
     def candidates(self, words: K.Words):
-        """Rows (document, template, first word of the region, word past its end)."""
+        """Rows (document, template, first word of the region, word past its end) where windows hold enough words."""
         if not len(self.hash) or not len(words):
             return []
         k = np.minimum(np.searchsorted(self.hash, words.hash), len(self.hash) - 1)
@@ -111,32 +203,48 @@ class Scanner:
             score, match, start = s, m, o
         return best
 
-    def stretches(self, t: int, text: np.ndarray):
-        """(words matched, first word, word past the end) of stretches that reach the coverage, none overlapping another."""
-        rest = [(0, len(text))]
+    @staticmethod
+    def taken(best: np.ndarray, size: int):
+        """The best stretches (words matched, first word, word past the end), none overlapping another."""
+        score, match, start = best
+        ends, used = np.flatnonzero(score), np.zeros(size, bool)
+        for e in ends[np.argsort(-score[ends], kind="stable")]:
+            if not used[start[e] : e].any():
+                used[start[e] : e] = True
+                yield int(match[e]), int(start[e]), int(e)
+
+    def stretches(self, t: int, text: np.ndarray, rest: list):
+        """Stretches that reach the coverage within the pieces ``rest`` of a text, none overlapping another."""
         while rest:
             a, b = rest.pop()
             if b - a < self.need[t]:
                 continue
-            score, match, start = self.align(self.words[t], text[a:b], self.need[t])
-            ends, used, edges = np.flatnonzero(score), np.zeros(b - a, bool), [a, b]
-            for e in ends[np.argsort(-score[ends], kind="stable")]:
-                if not used[start[e] : e].any():
-                    used[start[e] : e] = True
-                    edges += [a + int(start[e]), a + int(e)]
-                    yield int(match[e]), a + int(start[e]), a + int(e)
-            if len(ends):
-                edges.sort()
-                rest += zip(edges[0::2], edges[1::2])
-
-    def scan(self, text: bytes) -> list:
+            found = [(m, a + i, a + j) for m, i, j in self.taken(self.align(self.words[t], text[a:b], self.need[t]), b - a)]
+            yield from found
+            if found:
+                rest += _between(a, b, sorted(x[1:] for x in found))
+
+    def scan(self, text: bytes, fingerprints: bool = True) -> list:
         """(template, words matched, first and last byte) of every place of a template that is covered enough, by place."""
         words = _Text(text)
-        return sorted(
-            (k, matched, int(words.start[a + i]), int(words.end[a + j - 1]))
-            for _, k, a, b in self.candidates(words)
-            for matched, i, j in self.stretches(k, words.hash[a:b])
-        )
+        found = {t: [] for t in range(len(self.words))}
+        for t, a, b, near in self.marked(words) if fingerprints else ():
+            last = max((x[2] for x in found[t][-1:]), default=0)  # of the region before, whose end may lie in this one
+            own = [(m, a + i, a + j) for m, i, j in self.taken(self.banded(self.words[t], words.hash[a:b], self.need[t], near), b - a)]
+            found[t] += sorted((x for x in own if x[1] >= last), key=lambda x: x[1])
+        begins = {t: np.array([x[1] for x in f], np.int64) for t, f in found.items()}
+        more = []
+        for _, t, a, b in self.candidates(words):
+            own = found[t][max(0, int(np.searchsorted(begins[t], a, "right")) - 1) : int(np.searchsorted(begins[t], b))]
+            more += [(t, *x) for x in self.stretches(t, words.hash, _between(a, b, [x[1:] for x in own if x[2] > a]))]
+        places = [(t, *x) for t, f in found.items() for x in f] + more
+        return sorted((t, m, int(words.start[i]), int(words.end[j - 1])) for t, m, i, j in places)
+
+
+def _between(a: int, b: int, found: list) -> list:
+    """The pieces of a stretch of words that lie between others, which are in order."""
+    ends = [a, *[x for pair in found for x in pair], b]
+    return [(x, y) for x, y in zip(ends[0::2], ends[1::2]) if x < y]
 
 
 class _Text:
@@ -168,7 +276,8 @@ def _scan(scanner: Scanner):
             rows, raw = [], [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column("text")]
             ids = batch.column("doc_id").to_pylist()
             for a, b in _slices(raw):  # the words of many short texts at once tell which have a candidate
-                for d in sorted({c[0] for c in scanner.candidates(K.Words(raw[a:b], True, PUNCTUATED))}):
+                words = K.Words(raw[a:b], True, PUNCTUATED)
+                for d in sorted({int(x) for x in scanner.hits(words)[0]} | {c[0] for c in scanner.candidates(words)}):
                     text = raw[a + d]
                     chars = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
                     for k, m, s, e in scanner.scan(text):
@@ -190,6 +299,16 @@ def _slices(raw: list):
         yield a, len(raw)
 
 
+def template_rows(templates: DataFrame) -> list:
+    """The pairs of a table of ``name`` and ``text``, in the order of their names; rows without either are none."""
+    rows = templates.select("name", "text").where("name IS NOT NULL AND text IS NOT NULL")
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    if size > TEMPLATE_BYTES:
+        raise ValueError(f"templates of {size} bytes, over {TEMPLATE_BYTES}")
+    return sorted((r.name, r.text) for r in rows.collect())
+
+
 def license_spans(docs: DataFrame, templates=TEMPLATES, coverage: float = 0.8) -> DataFrame:
     """A row per license found: words matched, their share of the template, and the span in characters, end exclusive."""
-    return docs.select("doc_id", "text").mapInArrow(_scan(Scanner(templates, coverage=coverage)), RESULT)
+    pairs = template_rows(templates) if isinstance(templates, DataFrame) else templates
+    return docs.select("doc_id", "text").mapInArrow(_scan(Scanner(pairs, coverage=coverage)), RESULT)

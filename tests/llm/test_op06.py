@@ -1,7 +1,9 @@
 import random
 import re
 
+import pytest
 from corpus import DOCS, corpus
+from posledger.llm import op06_licenses as op
 from posledger.llm.op06_licenses import TEMPLATES, Scanner, license_spans
 
 WORD = re.compile(r"[^\s!-/:-@\[-`{-~]+")
@@ -113,8 +115,6 @@ def test_edited_templates_against_plain_alignment():
 
 
 def test_a_notice_over_the_border_of_a_slice_is_one_row(monkeypatch):
-    from posledger.llm import op06_licenses as op
-
     monkeypatch.setattr(op, "SLICE", 1_000)
     notice = dict(TEMPLATES)["MIT-notice"]
     for pad in range(700, 1_050):
@@ -123,3 +123,62 @@ def test_a_notice_over_the_border_of_a_slice_is_one_row(monkeypatch):
         assert found == [("MIT-notice", pad + 1, pad + 1 + len(notice))]
     text = "x" * 5_000 + " " + notice.replace(" ", " " * 90) + " " + "y" * 5_000 + " All rights reserved"
     assert [TEMPLATES[k][0] for k, *_ in Scanner().scan(text.encode())] == ["MIT-notice", "Reserved"]
+
+
+def long_templates(r, n=3, size=900):
+    vocabulary = ["w%d" % k for k in range(300)]
+    return [("long%d" % k, " ".join(r.choice(vocabulary) for _ in range(size))) for k in range(n)]
+
+
+def test_long_templates_are_found_by_their_fingerprints():
+    """Planted with edits of a tenth of the words: every place is found, by the banded alignment alone, over its whole length."""
+    r = random.Random(3)
+    pairs = long_templates(r)
+    scanner = Scanner(pairs)
+    for k in range(12):
+        name, text = pairs[k % 3]
+        w = text.split()
+        for _ in range(len(w) // 10):
+            i = r.randrange(len(w))
+            w[i : i + 1] = r.choice(([], ["new"], [w[i], "more", "words"]))
+        whole = " ".join(["x"] * r.randrange(50) + w + ["y"] * r.randrange(50) + w)
+        data = op._Text(whole.encode())
+        alone = [(t, m, a + i, a + j) for t, a, b, near in scanner.marked(data) for m, i, j in scanner.taken(scanner.banded(scanner.words[t], data.hash[a:b], scanner.need[t], near), b - a)]
+        assert [t for t, *_ in alone] == [k % 3] * 2 and all(m >= 780 and j - i >= len(w) - 20 for _, m, i, j in alone)
+        assert len(scanner.scan(whole.encode())) == 2
+
+
+def test_banded_equals_whole_alignment_where_all_diagonals_are_in():
+    import numpy as np
+
+    r, scanner = random.Random(9), Scanner()
+    for _ in range(60):
+        a, b = (np.array([r.randrange(4) for _ in range(r.randint(1, 12))], np.uint64) for _ in range(2))
+        everything = np.arange(-len(a) - 1, len(b) + 1)
+        need = r.randint(1, len(a))
+        assert (scanner.banded(a, b, need, everything)[0] == scanner.align(a, b, need)[0]).all()
+
+
+def test_fingerprints_of_a_shared_run_are_shared():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    for _ in range(50):
+        run = r.integers(0, 50, op.GRAM + op.WINDOW - 1).astype(np.uint64)
+        chosen = []
+        for _ in range(2):
+            hashes = op.grams(np.concatenate([r.integers(50, 99, r.integers(0, 9)).astype(np.uint64), run, r.integers(50, 99, r.integers(0, 9)).astype(np.uint64)]), op.GRAM)
+            chosen.append(set(hashes[op.winnowed(hashes, op.WINDOW)].tolist()))
+        assert chosen[0] & chosen[1]
+
+
+def test_templates_of_a_table(spark, monkeypatch):
+    pairs = long_templates(random.Random(1), 2, 60)
+    table = spark.createDataFrame([*pairs, (None, "x"), ("y", None), ("", "")], "name string, text string")
+    docs = spark.createDataFrame([(1, "a " + pairs[1][1] + " b", None, None, None), (None, pairs[0][1].upper(), None, None, None), (3, None, None, None, None)], DOCS)
+    got = sorted(map(tuple, license_spans(docs.withColumnRenamed("lang", "license"), table).collect()), key=str)
+    assert [(g[0], g[1], g[3]) for g in got] == [(1, "long1", 1.0), (None, "long0", 1.0)]
+    assert license_spans(docs, table.limit(0)).count() == 0
+    monkeypatch.setattr(op, "TEMPLATE_BYTES", 100)
+    with pytest.raises(ValueError, match="templates of"):
+        license_spans(docs, table)
