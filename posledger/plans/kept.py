@@ -77,9 +77,8 @@ def collateral_flags_kept(spark, sf_dir):
     at, events = shared.table_path(spark, "flags"), m.spoke_events(spark, sf_dir).where("event_name = 'SetUsingAsCollateral'")
     first = lg.append(events, 1)
     for rows in (first, lg.retract_range(first, m.CHAIN, m.HI, 10**9), lg.append(events.where(f"block_number >= {m.HI} AND block_number % 2 = 0"), 2)):
-        rows.coalesce(1).write.mode("append").parquet(f"{at}/ledger")
-    stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/ledger")
-    flags.keep_flags(spark, stream, f"{at}/flags", f"{at}/checkpoint").awaitTermination()
+        rows.write.mode("append").parquet(f"{at}/ledger")
+        flags.keep_flags(spark, spark.readStream.schema(first.schema).parquet(f"{at}/ledger"), f"{at}/flags", f"{at}/checkpoint").awaitTermination()
     return flags.kept_flags(spark, f"{at}/flags").select(*SHOWN, "using_as_collateral")
 
 
