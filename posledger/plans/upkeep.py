@@ -192,8 +192,8 @@ def stream_fold_equals_batch(spark, sf_dir):
     for turn, k in enumerate((0, 1, 2, 2)):
         lo, hi = -(-k * blocks // 3), -(-(k + 1) * blocks // 3) - 1
         ranges = spark.range(lo, hi + 1, 250).selectExpr(f"{m.CHAIN} AS chain_id", "id AS range_from", f"least(id + 249, {hi}L) AS range_to", f"{turn}L AS dispatch", f"{blocks}L AS head", "false AS rewind")
-        ingest.land(ingest.dispatches(events, ranges).coalesce(1), f"{at}/source")
-    ingest.start_ingest(spark, f"{at}/source", f"{at}/ledger", f"{at}/checkpoint", f"{at}/progress", 1, deltas=f"{at}/deltas").awaitTermination()
+        ingest.land(ingest.dispatches(events.where(F.col("block_number").between(lo, hi)), ranges), f"{at}/source")
+        ingest.start_ingest(spark, f"{at}/source", f"{at}/ledger", f"{at}/checkpoint", f"{at}/progress", None, deltas=f"{at}/deltas").awaitTermination()
     p = ingest.positions(spark, f"{at}/deltas")
     return p.select("user", "spoke", "reserve_id", F.col("supplied_shares").cast("string").alias("supplied_shares"), "using_as_collateral", "events")
 

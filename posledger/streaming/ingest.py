@@ -201,10 +201,14 @@ def start(spark: SparkSession, path: str, progress: str) -> None:
     empty(PROGRESS).write.mode("overwrite").parquet(f"{progress}/batch_id=-1")
 
 
-def start_ingest(spark: SparkSession, source: str, path: str, checkpoint: str, progress: str, files_per_batch: int = 16, fmt: str = "json", **more) -> StreamingQuery:
-    """Ingest landed ranges, all that are there now; run again for later ones. ``more`` goes to ``dispatch``."""
+def start_ingest(spark: SparkSession, source: str, path: str, checkpoint: str, progress: str, files_per_batch: int | None = 16, fmt: str = "json", **more) -> StreamingQuery:
+    """Ingest landed ranges, all that are there now; run again for later ones. ``more`` goes to ``dispatch``.
+
+    Without ``files_per_batch`` all that is there is one batch.
+    """
     start(spark, path, progress)
-    stream = spark.readStream.schema(RANGE).option("maxFilesPerTrigger", files_per_batch).format(fmt).load(source)
+    reader = spark.readStream.schema(RANGE).format(fmt)
+    stream = (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).load(source)
     write = stream.writeStream.foreachBatch(lambda df, n: dispatch(df, n, path, progress, **more))
     return write.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

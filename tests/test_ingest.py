@@ -108,3 +108,14 @@ def test_replay(spark):
     assert resume == 6 and sorted(r.block_number for r in lg.current(again).collect()) == [0, 1, 3, 6, 7, 8, 9]
     with pytest.raises(ValueError, match="safe"):
         chain.replay(ledger, ledger, 1, 2, 50, 2, 9)
+
+
+def test_all_that_landed_is_one_batch_of_several_files(spark, tmp_path):
+    """Without a number of files a run takes all of them as one batch, so that a landing needn't be one file of one task."""
+    s = Stream(spark, str(tmp_path), files_per_batch=None)
+    for k in (0, 1):
+        rows = [(lo, lo + 9, k, 200, False) for lo in range(0, 100, 10)]
+        ingest.land(ingest.dispatches(events(spark, *[event(b, b + k) for b in range(100)]), ranges(spark, *rows)).repartition(4, "range_from"), f"{tmp_path}/source")
+        assert s.run() == sorted((b, str(b + k)) for b in range(100))
+    batches = {r.batch_id for r in spark.read.schema(ingest.PROGRESS).parquet(f"{tmp_path}/progress").collect()}
+    assert batches == {0, 1} and len([x for x in (tmp_path / "source").iterdir() if x.name.endswith(".json")]) > 2
