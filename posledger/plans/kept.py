@@ -18,13 +18,14 @@ PAD = 34
 
 
 def _land(spark, events: DataFrame, at: str, lo: int, hi: int, turn: int, last: int) -> None:
-    """The blocks from ``lo`` to ``hi`` land in ranges of 250, as one file."""
+    """The blocks from ``lo`` to ``hi`` land in ranges of 250."""
     rows = spark.range(lo, hi + 1, 250).selectExpr(f"{m.CHAIN} AS chain_id", "id AS range_from", f"least(id + 249, {hi}L) AS range_to", f"{turn}L AS dispatch", f"{last}L AS head", "false AS rewind")
-    ingest.land(ingest.dispatches(events, rows).coalesce(1), f"{at}/source")
+    ingest.land(ingest.dispatches(events.where(F.col("block_number").between(lo, hi)), rows), f"{at}/source")
 
 
 def _run(spark, at: str, **more) -> None:
-    ingest.start_ingest(spark, f"{at}/source", f"{at}/ledger", f"{at}/checkpoint", f"{at}/progress", 1, deltas=f"{at}/deltas", **more).awaitTermination()
+    """What has landed since the last run is one batch, of however many files."""
+    ingest.start_ingest(spark, f"{at}/source", f"{at}/ledger", f"{at}/checkpoint", f"{at}/progress", None, deltas=f"{at}/deltas", **more).awaitTermination()
 
 
 def _shown(p: DataFrame) -> DataFrame:
@@ -36,13 +37,11 @@ def rebuild_then_stream(spark, sf_dir):
     at, events = shared.table_path(spark, "rebuilt"), m.spoke_events(spark, sf_dir)
     last = events.agg(F.max("block_number")).first()[0]
     third = last // 3
-    _land(spark, events, at, 0, third, 1, last)
-    _land(spark, events, at, third + 1, 2 * third, 2, last)
-    _run(spark, at)
-    ingest.rebuild(spark, f"{at}/ledger", f"{at}/deltas")
-    _land(spark, events, at, 2 * third + 1, last, 3, last)
-    _land(spark, events, at, third // 2, third + third // 2, 4, last)
-    _run(spark, at)
+    for turn, (lo, hi) in enumerate(((0, third), (third + 1, 2 * third), (2 * third + 1, last), (third // 2, third + third // 2)), 1):
+        _land(spark, events, at, lo, hi, turn, last)
+        _run(spark, at)
+        if turn == 2:
+            ingest.rebuild(spark, f"{at}/ledger", f"{at}/deltas")
     return _shown(ingest.positions(spark, f"{at}/deltas"))
 
 
@@ -50,11 +49,10 @@ def kept_view(spark, sf_dir) -> str:
     """A view kept over four batches: halves of the blocks, a part of them again, and one range emptied."""
     at, events = shared.table_path(spark, "kept"), m.spoke_events(spark, sf_dir)
     last = events.agg(F.max("block_number")).first()[0]
-    _land(spark, events, at, 0, last // 2, 1, last)
-    _land(spark, events, at, last // 2 + 1, last, 2, last)
-    _land(spark, events, at, last // 3, 2 * (last // 3), 3, last)
-    _land(spark, events.where("false"), at, m.LO, m.HI, 4, last)
-    _run(spark, at, view=f"{at}/view")
+    batches = ((events, 0, last // 2), (events, last // 2 + 1, last), (events, last // 3, 2 * (last // 3)), (events.where("false"), m.LO, m.HI))
+    for turn, (some, lo, hi) in enumerate(batches, 1):
+        _land(spark, some, at, lo, hi, turn, last)
+        _run(spark, at, view=f"{at}/view")
     return f"{at}/view"
 
 
