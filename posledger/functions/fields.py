@@ -13,14 +13,19 @@ from .wideint import fail
 BODY = "_body"
 
 
-def parsed(ledger: DataFrame, *paths: str) -> DataFrame:
-    """The ledger with the fields of its bodies, all as text, in a struct column; other fields are not read."""
+def structure(*paths: str) -> Column:
+    """The fields of a body, all as text, in a struct; other fields are not read."""
     tree: dict = {}
     for path in paths:
         outer, _, inner = path.partition(".")
         tree.setdefault(outer, []).append(inner)
     kinds = [f"{name} " + (f"struct<{', '.join(f'{x}: string' for x in dict.fromkeys(inner))}>" if inner[0] else "string") for name, inner in tree.items()]
-    return ledger.withColumn(BODY, F.from_json("body", ", ".join(kinds)))
+    return F.from_json("body", ", ".join(kinds))
+
+
+def parsed(ledger: DataFrame, *paths: str) -> DataFrame:
+    """The ledger with the fields of its bodies in a struct column."""
+    return ledger.withColumn(BODY, structure(*paths))
 
 
 def text(path: str) -> Column:
