@@ -76,8 +76,7 @@ def _filled(spark, sf_dir) -> DataFrame:
 
 def _decoded(spark, sf_dir) -> DataFrame:
     filled = logs.event_set(_filled(spark, sf_dir), TOPIC)
-    one, two = (logs.decode_logs(filled.where(F.col("spoke") == s), TOPIC, s) for s in m.SPOKES)
-    return one.unionByName(two)
+    return logs.decode_logs(filled, TOPIC, m.SPOKES)
 
 
 def log_scan(spark, sf_dir):

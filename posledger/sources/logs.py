@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from ..functions import wideint as w
 from . import files
 
 RAW_LOG = "chain_id int, address string, topics array<string>, data string, block_number long, block_timestamp long, block_hash string, tx_hash string, tx_index int, log_index int"
@@ -134,25 +135,32 @@ def _body(spec: tuple) -> Column:
     return F.to_json(F.struct(*made))
 
 
-def decode_logs(logs: DataFrame, topic0: dict, contract: str, events: dict = SPOKE_EVENTS) -> DataFrame:
-    """Logs of one contract to ledger events; ``topic0`` has the signature hash of each event.
+def decode_logs(logs: DataFrame, topic0: dict, contract: str | tuple, events: dict = SPOKE_EVENTS) -> DataFrame:
+    """Logs of one contract, or of several that have the same events, to ledger events in one pass; ``topic0`` has the signature hash of each event.
 
     A log of another address, an anonymous or unknown one, and a malformed word are errors.
     """
-    first = F.lower(F.get("topics", F.lit(0)))
-    name, body, code = F.when(F.lit(False), F.lit("")), F.when(F.lit(False), F.lit("")), F.when(F.lit(False), F.lit(""))
-    for event, spec in events.items():
-        if event in topic0:
-            mine = first == topic0[event].lower()
-            kinds = "".join({U: "u", I: "i"}.get(kind, " ") for _, kind in spec[1])
-            name, body, code = name.when(mine, F.lit(event)), body.when(mine, _body(spec)), code.when(mine, F.lit(kinds))
-    wrong = F.lower("address") != contract.lower()
-    name = F.when(wrong, F.raise_error(F.lit("log of another contract")).cast("string")).otherwise(name.otherwise(F.raise_error(F.lit("anonymous or unknown log")).cast("string")))
+    ours = [c.lower() for c in ((contract,) if isinstance(contract, str) else contract)]
+    known = {event: spec for event, spec in events.items() if event in topic0}
+
+    def named(first: Column) -> Column:
+        found = F.when(F.lit(False), F.lit(""))
+        for event in known:
+            found = found.when(first == topic0[event].lower(), F.lit(event))
+        return found.otherwise(F.raise_error(F.lit("anonymous or unknown log")).cast("string"))
+
+    # a filter on the event is pushed below these columns: the topic is bound, so that it is not made again for each event it is compared with
+    name = w.bound(F.lower(F.get("topics", F.lit(0))), named)
+    name = F.when(~F.lower("address").isin(ours), F.raise_error(F.lit("log of another contract")).cast("string")).otherwise(name)
+    body, code = F.when(F.lit(False), F.lit("")), F.when(F.lit(False), F.lit(""))
+    for event, spec in known.items():
+        kinds = "".join({U: "u", I: "i"}.get(kind, " ") for _, kind in spec[1])
+        body, code = body.when(F.col("_name") == event, _body(spec)), code.when(F.col("_name") == event, F.lit(kinds))
     topics = [F.get("topics", F.lit(k)).alias(f"topic{k}") for k in (1, 2, 3)]
-    words = logs.withColumn("_words", _words()).withColumn("_kinds", code.otherwise(F.lit("")))
+    words = logs.withColumn("_name", name).withColumn("_words", _words()).withColumn("_kinds", code.otherwise(F.lit("")))
     return words.withColumn("_numbers", _numbers("_words", "_kinds")).select(
         "chain_id", F.lower("address").alias("address"), "block_number", "log_index", "block_hash", "block_timestamp", "tx_hash", "tx_index",
-        name.alias("event_name"), *topics, body.alias("body"), "data",
+        F.col("_name").alias("event_name"), *topics, body.alias("body"), "data",
     )
 
 

@@ -1,7 +1,7 @@
 """What a plan does once for each row, read off the plan: costs that only show on large tables."""
 
 from posledger.operators import folds
-from posledger.plans import kept
+from posledger.plans import kept, upkeep
 
 DATA = "/root/testdata/sf0.001"
 
@@ -13,3 +13,7 @@ def _plan(df) -> str:
 def test_a_filter_on_the_fault_parses_a_body_once(spark):
     df = folds.sound(kept._spoilt(spark, DATA)).select("block_number")
     assert _plan(df).count("from_json") == 1
+
+
+def test_both_contracts_are_decoded_in_one_pass(spark):
+    assert _plan(upkeep._decoded(spark, DATA)).count("_numbers(") == 1
