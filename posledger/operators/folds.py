@@ -50,9 +50,20 @@ def _signed(df: DataFrame, keys: tuple, names: tuple) -> DataFrame:
 
 
 def _sums(names: tuple) -> list[Column]:
+    """All scales in one aggregation, as a stream needs it: every row carries a sum per scale and column on."""
     return [F.expr(f"sum(if(scale = {k}, {n}, NULL)) AS {n}_{k}") for n in names for k in range(LIMBS)]
 
 
+def _sums_of_scale(names: tuple) -> list[Column]:
+    """Sums of rows that are grouped by ``scale`` too, a third as many for a row to carry on."""
+    return [F.sum(n).alias(n) for n in names]
+
+
+def _by_scale(names: tuple) -> list[Column]:
+    """The sums of the scales, a row each, side by side."""
+    return [F.expr(f"max(if(scale = {k}, {n}, NULL)) AS {n}_{k}") for n in names for k in range(LIMBS)]
+
+
 def _joined(names: tuple) -> list[Column]:
     return [joined_columns(*[f"{n}_{k}" for k in range(LIMBS)]).alias(n) for n in names]
 
@@ -166,9 +177,10 @@ def _latest(column: str) -> Column:
 
 
 def fold_positions(deltas: DataFrame, flags: DataFrame) -> DataFrame:
-    """Positions from deltas and live flags, by one aggregation over both."""
-    both = deltas.unionByName(flags.drop("version"), allowMissingColumns=True)
-    folded = both.groupBy(*POSITION).agg(*_sums(SUMS), F.coalesce(_latest("flag"), F.lit(False)).alias("using_as_collateral"), F.coalesce(F.sum("events"), F.lit(0)).cast("long").alias("events"))
+    """Positions from deltas and live flags, by one aggregation over both; then a position's scales, mostly one, become one row."""
+    both = deltas.unionByName(flags.drop("version").withColumn("scale", F.lit(0)), allowMissingColumns=True)
+    parts = both.groupBy(*POSITION, "scale").agg(*_sums_of_scale(SUMS), _latest("flag").alias("flag"), F.sum("events").alias("events"))
+    folded = parts.groupBy(*POSITION).agg(*_by_scale(SUMS), F.coalesce(F.max("flag"), F.lit(False)).alias("using_as_collateral"), F.coalesce(F.sum("events"), F.lit(0)).cast("long").alias("events"))
     return folded.select(*POSITION, *_joined(SUMS), "using_as_collateral", "events")
 
 
@@ -256,11 +268,10 @@ def hub_assets_current(ledger: DataFrame) -> DataFrame:
 
     The halves are folded apart, since text can't be held by the hash aggregation of the many delta rows, and meet as one row each.
     """
-    sums = hub_deltas(ledger).groupBy(*ASSET).agg(*_sums(ASSET_SUMS), F.sum("events").alias("events"))
+    sums = hub_deltas(ledger).groupBy(*ASSET, "scale").agg(*_sums_of_scale(ASSET_SUMS), F.sum("events").alias("events"))
     state = hub_state(ledger).groupBy(*ASSET).agg(*[_latest(c).alias(c) for c in STATE])
     both = sums.unionByName(state, allowMissingColumns=True)
-    whole = [F.sum(f"{n}_{k}").alias(f"{n}_{k}") for n in ASSET_SUMS for k in range(LIMBS)]
-    folded = both.groupBy(*ASSET).agg(*whole, F.coalesce(F.sum("events"), F.lit(0)).cast("long").alias("events"), *[F.max(c).alias(c) for c in STATE])
+    folded = both.groupBy(*ASSET).agg(*_by_scale(ASSET_SUMS), F.coalesce(F.sum("events"), F.lit(0)).cast("long").alias("events"), *[F.max(c).alias(c) for c in STATE])
     return folded.select(*ASSET, *_joined(ASSET_SUMS), *STATE, "events")
 
 
