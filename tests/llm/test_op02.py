@@ -56,5 +56,17 @@ def test_ordered_repeats():
             assert got[i, j] == want
 
 
+def test_passages_of_over_50_words(spark):
+    """A passage that two documents share goes from 400 bytes on, however many words it has; shorter ones and clean documents stay whole."""
+    rng = np.random.default_rng(8)
+    prose = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(n))
+    passages = {size: f" {prose(120)[: size - 2]} " for size in (339, 399, 400, 520)}
+    assert all(len(p) == size and len(p.split()) > 50 for size, p in passages.items())
+    sizes = [size for size in passages for _ in "ab"] + [0] * 4
+    texts = [f"{prose(90)}{side}{passages.get(size, ' ')}{side}{prose(40)}" for size, side in zip(sizes, "ab" * 6)]
+    got = {tuple(r)[:4] for r in suffix_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {(i, len(t), size * (size >= 400), int(size >= 400)) for i, (t, size) in enumerate(zip(texts, sizes))}
+
+
 def test_empty(spark):
     assert suffix_digest(spark.createDataFrame([], DOCS)).count() == 0
